@@ -112,10 +112,20 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
 
 
 def resolve_overlaps(cells: DataFrame) -> DataFrame:
-    """Same (page, line, offset, attribute) written twice → later annotation wins."""
-    return cells.groupBy("page_id", "line_id", "offset", "attribute").agg(
-        F.max_by(F.struct("bio", "ch", "new_char_idx"), F.col("anno_seq")).alias("_w"),
-    ).select("page_id", "line_id", "offset", "attribute", "_w.bio", "_w.ch", "_w.new_char_idx")
+    """Same (page, line, offset, attribute) written twice → later annotation wins.
+
+    ch and new_char_idx are functions of the cell, so they ride along as
+    grouping keys; the winner is packed into one bigint (anno_seq * 2 + tag)
+    so the aggregate stays a hash aggregate with a fixed-width buffer.
+    """
+    packed = F.col("anno_seq") * 2 + F.when(F.col("bio") == "I", 1).otherwise(0)
+    g = cells.groupBy("page_id", "line_id", "offset", "attribute", "ch", "new_char_idx").agg(
+        F.max(packed).alias("_w"))
+    return g.select(
+        "page_id", "line_id", "offset", "attribute",
+        F.when(F.pmod(F.col("_w"), F.lit(2)) == 1, F.lit("I")).otherwise(F.lit("B")).alias("bio"),
+        "ch", "new_char_idx",
+    )
 
 
 def label_chars(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,

@@ -134,7 +134,7 @@ def explode_chars(lines: DataFrame) -> DataFrame:
     )
 
 
-def kept_chars(lines: DataFrame, p: TextParams) -> DataFrame:
+def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     """Kept characters with new_char_idx, block_id and block_idx.
 
     Per line: split once into code points, keep the offsets of non-whitespace
@@ -142,6 +142,7 @@ def kept_chars(lines: DataFrame, p: TextParams) -> DataFrame:
     rank inside the line, so new_char_idx = kept_base + rank (no window).
     Line mode keeps only the first ``capacity`` of them (dropped characters get
     no index — the running sums already count the truncated numbers).
+    ``context`` > 0 adds the raw neighbours ctx_m1.., ctx_p1.. ('' past the line).
     """
     cap = p.capacity
     body = lines.where(F.col("in_body") & (F.col("kept_n") > 0))
@@ -165,6 +166,8 @@ def kept_chars(lines: DataFrame, p: TextParams) -> DataFrame:
         F.element_at("_chars", F.col("offset") + 1).alias("ch"),
         (F.col("kept_base") + F.col("_k")).alias("new_char_idx"),
         F.col("_k").cast("int").alias("_k"),
+        *[F.coalesce(F.get("_chars", F.col("offset") + s * j), F.lit("")).alias(f"ctx_{n}{j}")
+          for j in range(1, context + 1) for s, n in ((-1, "m"), (1, "p"))],
     )
     if p.mode == "line":
         out = out.withColumn("block_id", F.col("line_id").cast("bigint")) \

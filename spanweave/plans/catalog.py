@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import fixture_params
 from ..functions import text as tx
-from ..operators import annotate, chars, evaluate, spans, splits
+from ..operators import annotate, chars, evaluate, examples, scoring, spans, splits
 from ..sources import fixtures as fx
 from ..sources.pages import load_pages, output_layout, split_lines
 from . import oracle as O
@@ -445,6 +445,297 @@ def q_early_stop(spark, d):
                     F.round("best_valid_f1", 6).alias("best_valid_f1"))
 
 
+# ---------------------------------------------------------- 2.5 example arrays
+
+VOCAB_SQL = """vocab AS (
+  SELECT ch, n, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 + 5 AS INTEGER) AS id
+  FROM (SELECT ch, count(*) AS n FROM kept GROUP BY ch)
+)"""
+
+
+def _examples_codepoint(spark, d):
+    c = _corpus(spark, d, P)
+    return examples.encode_codepoints(examples.block_chars(c.chars))
+
+
+@register("encode_codepoints", W(BASE) + """SELECT page_id, block_id,
+  '57344,' || string_agg(CAST(unicode(ch) AS VARCHAR), ',' ORDER BY block_idx)
+  || CASE WHEN count(*) <= 3 THEN ',0,0,0' ELSE '' END AS ids
+  FROM kept GROUP BY page_id, block_id""")
+def q_encode_codepoints(spark, d):
+    e = _examples_codepoint(spark, d)
+    return e.select("page_id", "block_id", F.array_join("input_ids", ",").alias("ids"))
+
+
+@register("pad_short_blocks", W(BASE) + """SELECT page_id, block_id, CAST(count(*) AS INTEGER) AS n,
+  count(*) <= 3 AS padded, CAST(count(*) + 1 + CASE WHEN count(*) <= 3 THEN 3 ELSE 0 END AS INTEGER) AS n_ids
+  FROM kept GROUP BY page_id, block_id""")
+def q_pad_short_blocks(spark, d):
+    e = _examples_codepoint(spark, d)
+    return e.select("page_id", "block_id", F.col("n").cast("int").alias("n"), (F.col("n") <= 3).alias("padded"),
+                    F.size("input_ids").cast("int").alias("n_ids"))
+
+
+@register("attention_mask", W(BASE) + """SELECT page_id, block_id,
+  CAST(count(*) + 1 + CASE WHEN count(*) <= 3 THEN 3 ELSE 0 END AS INTEGER) AS mask_len,
+  CAST(0 AS INTEGER) AS n_attend, CAST(count(*) + 2 AS INTEGER) AS vocab_mask_len
+  FROM kept GROUP BY page_id, block_id""")
+def q_attention_mask(spark, d):
+    e = _examples_codepoint(spark, d).withColumn("m", examples.codepoint_mask())
+    return e.select(
+        "page_id", "block_id", F.size("m").cast("int").alias("mask_len"),
+        F.size(F.filter("m", lambda x: x)).cast("int").alias("n_attend"),
+        (F.col("n") + 2).cast("int").alias("vocab_mask_len"))
+
+
+@register("build_vocab", W(BASE, VOCAB_SQL) + "SELECT ch, CAST(n AS BIGINT) AS n, id FROM vocab")
+def q_build_vocab(spark, d):
+    return examples.build_vocab(_corpus(spark, d, P).chars)
+
+
+@register("encode_vocab", W(O.base(P510), VOCAB_SQL) + """SELECT k.page_id, k.block_id,
+  '2,' || string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
+  FROM kept k JOIN vocab v USING (ch) GROUP BY k.page_id, k.block_id""")
+def q_encode_vocab(spark, d):
+    c = _corpus(spark, d, P510)
+    e = examples.encode_vocab(c.chars, examples.build_vocab(c.chars))
+    return e.select("page_id", "block_id", F.array_join("input_ids", ",").alias("ids"))
+
+
+LABELS_SQL = """ai AS (SELECT attribute, CAST(row_number() OVER (ORDER BY attribute) - 1 AS INTEGER) AS attr_idx
+  FROM (SELECT DISTINCT attribute FROM gold_anno)),
+blabels AS (
+  SELECT d.page_id, k.block_id, ai.attr_idx,
+         '-1,' || string_agg(CASE d.bio WHEN 'B' THEN '0' WHEN 'I' THEN '1' ELSE '2' END, ','
+                             ORDER BY k.block_idx) || ',-1' AS labels
+  FROM dense d JOIN kept k ON k.page_id = d.page_id AND k.new_char_idx = d.new_char_idx
+  JOIN ai USING (attribute)
+  GROUP BY d.page_id, k.block_id, ai.attr_idx
+)"""
+LABELS_BASE = W(O.base(P510), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes(), LABELS_SQL)
+
+
+def _block_labels(spark, d, p):
+    c = _corpus(spark, d, p)
+    g = _gold(spark, d)
+    frame = chars.page_frame(c.pages, p)
+    sk = chars.block_stats_narrow(frame, p)
+    return examples.block_labels(sk, c.labels(g), c.chars, annotate.attribute_index(g),
+                                 "vocab" if p.variant == "vocab" else "codepoint")
+
+
+@register("block_labels", LABELS_BASE + "SELECT page_id, block_id, attr_idx, labels FROM blabels")
+def q_block_labels(spark, d):
+    bl = _block_labels(spark, d, P510)
+    return bl.select("page_id", "block_id", "attr_idx", F.array_join("labels", ",").alias("labels"))
+
+
+@register("batch_pad", LABELS_BASE + """, bl2 AS (
+  SELECT page_id, block_id, string_agg(labels, '|' ORDER BY attr_idx) AS labels, max(length(labels)) AS _l
+  FROM blabels GROUP BY page_id, block_id
+),
+ex AS (
+  SELECT k.page_id, k.block_id, count(*) + 2 AS n_ids, '2,' || string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
+  FROM kept k JOIN (SELECT ch, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 + 5 AS INTEGER) AS id
+                    FROM (SELECT ch, count(*) AS n FROM kept GROUP BY ch)) v USING (ch)
+  GROUP BY k.page_id, k.block_id
+),
+bt AS (
+  SELECT ex.*, bl2.labels, CAST((row_number() OVER (PARTITION BY ex.page_id ORDER BY ex.block_id) - 1) // 8 AS BIGINT) AS batch_id
+  FROM ex JOIN bl2 USING (page_id, block_id)
+),
+bt2 AS (SELECT *, max(n_ids) OVER (PARTITION BY page_id, batch_id) AS len FROM bt)
+SELECT page_id, batch_id, block_id,
+  ids || repeat(',0', CAST(len - n_ids AS INTEGER)) AS ids,
+  CAST(n_ids AS INTEGER) AS n_attend,
+  array_to_string(list_transform(string_split(labels, '|'), lambda x: x || repeat(',-1', CAST(len - n_ids AS INTEGER))), '|') AS labels
+FROM bt2""")
+def q_batch_pad(spark, d):
+    c = _corpus(spark, d, P510)
+    ex = examples.encode_vocab(c.chars, examples.build_vocab(c.chars))
+    bl = _block_labels(spark, d, P510).groupBy("page_id", "block_id").agg(
+        F.array_sort(F.collect_list(F.struct("attr_idx", "labels"))).alias("_l"))
+    ex = ex.join(bl.select("page_id", "block_id", F.transform("_l", lambda x: x["labels"]).alias("labels")),
+                 ["page_id", "block_id"])
+    b = examples.batch_pad(ex, 8)
+    return b.select(
+        "page_id", "batch_id", "block_id", F.array_join("input_ids", ",").alias("ids"),
+        F.size(F.filter("attention_mask", lambda x: x)).cast("int").alias("n_attend"),
+        F.array_join(F.transform("labels", lambda r: F.array_join(r, ",")), "|").alias("labels"))
+
+
+@register("reassemble_page", LABELS_BASE + """SELECT d.page_id, ai.attr_idx, d.new_char_idx,
+  CAST(CASE d.bio WHEN 'B' THEN 0 WHEN 'I' THEN 1 ELSE 2 END AS INTEGER) AS pred
+  FROM dense d JOIN ai USING (attribute)""")
+def q_reassemble_page(spark, d):
+    # block positions with gold labels as the "prediction": positions whose label
+    # is -1 (CLS, SEP) drop out and the rest map back to characters
+    c = _corpus(spark, d, P510)
+    bl = _block_labels(spark, d, P510)
+    pos = bl.select("page_id", "block_id", "attr_idx", F.posexplode("labels").alias("pos", "label")) \
+        .withColumn("pred", F.col("label"))
+    r = spans.reassemble_page(pos, c.chars)
+    return r.select("page_id", "attr_idx", "new_char_idx", F.col("pred").cast("int").alias("pred"))
+
+
+# ------------------------------------------------------------------ 2.7 scoring
+
+HEAD_SQL = """ex AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS i FROM embeddings
+),
+hid AS (
+  SELECT ex.vec_id, a.a, o.o,
+         greatest(0.0, sum(ex.x * ((((a.a * 31 + o.o * 17 + ex.i * 7) % 13) - 6) / 10.0))
+                  + ((((a.a * 31 + o.o * 17 + 64 * 7) % 13) - 6) / 10.0)) AS h
+  FROM ex, range(3) a(a), range(64) o(o) GROUP BY ex.vec_id, a.a, o.o
+),
+logit AS (
+  SELECT hid.vec_id, hid.a AS attr_idx, t.t AS tag_idx,
+         sum(hid.h * ((((hid.a * 31 + t.t * 17 + hid.o * 7) % 13) - 6) / 10.0))
+         + ((((hid.a * 31 + t.t * 17 + 64 * 7) % 13) - 6) / 10.0) AS logit
+  FROM hid, range(3) t(t) GROUP BY hid.vec_id, hid.a, t.t
+),
+mx AS (SELECT *, max(logit) OVER (PARTITION BY vec_id, attr_idx) AS m FROM logit),
+prob AS (
+  SELECT vec_id, attr_idx, tag_idx, logit,
+         exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY vec_id, attr_idx) AS p
+  FROM mx
+)"""
+
+
+def _heads(spark, d):
+    emb = spark.read.parquet(f"{d}/embeddings.parquet")
+    w1, w2 = scoring.head_weights(fx.HEAD_ATTRS, 64, fx.head_weight)
+    return scoring.linear_heads(emb, "embedding", ["vec_id"], w1, w2)
+
+
+def _explode_tags(df, col, name):
+    return df.select("vec_id", "attr_idx", F.posexplode(col).alias("tag_idx", name)) \
+        .select("vec_id", F.col("attr_idx").cast("int"), F.col("tag_idx").cast("int"), F.round(name, 6).alias(name))
+
+
+@register("linear_heads", W(HEAD_SQL) +
+          "SELECT vec_id, CAST(attr_idx AS INTEGER) AS attr_idx, CAST(tag_idx AS INTEGER) AS tag_idx, "
+          "round(logit, 6) AS logit FROM logit")
+def q_linear_heads(spark, d):
+    return _explode_tags(_heads(spark, d), "logits", "logit")
+
+
+@register("softmax_scores", W(HEAD_SQL) +
+          "SELECT vec_id, CAST(attr_idx AS INTEGER) AS attr_idx, CAST(tag_idx AS INTEGER) AS tag_idx, "
+          "round(p, 6) AS prob FROM prob")
+def q_softmax_scores(spark, d):
+    return _explode_tags(scoring.softmax_scores(_heads(spark, d)), "probs", "prob")
+
+
+@register("argmax_tag", W(HEAD_SQL) +
+          "SELECT vec_id, CAST(attr_idx AS INTEGER) AS attr_idx, CAST(arg_min(tag_idx, -p + tag_idx * 1e-12) "
+          "AS INTEGER) AS pred FROM prob GROUP BY vec_id, attr_idx")
+def q_argmax_tag(spark, d):
+    a = scoring.argmax_tag(scoring.softmax_scores(_heads(spark, d)))
+    return a.select("vec_id", F.col("attr_idx").cast("int"), "pred")
+
+
+@register("masked_nll", W(HEAD_SQL, """lab AS (
+  SELECT vec_id, vec_id // 8 AS batch_id, a.a AS attr_idx,
+         CASE WHEN (vec_id + a.a) % 4 = 0 THEN -1 ELSE (label + a.a) % 3 END AS label
+  FROM embeddings, range(3) a(a)
+),
+per AS (
+  SELECT l.batch_id, l.attr_idx, avg(-ln(p.p)) AS m
+  FROM lab l JOIN prob p ON p.vec_id = l.vec_id AND p.attr_idx = l.attr_idx AND p.tag_idx = l.label
+  WHERE l.label <> -1 GROUP BY l.batch_id, l.attr_idx
+),
+sz AS (SELECT vec_id // 8 AS batch_id, count(*) AS n FROM embeddings GROUP BY 1)""") +
+          "SELECT CAST(per.batch_id AS BIGINT) AS batch_id, round(sum(m) / max(sz.n), 6) AS loss "
+          "FROM per JOIN sz USING (batch_id) GROUP BY per.batch_id")
+def q_masked_nll(spark, d):
+    emb = spark.read.parquet(f"{d}/embeddings.parquet")
+    probs = scoring.softmax_scores(_heads(spark, d))
+    lab = fx.embedding_labels(emb)
+    r = scoring.masked_nll(probs, lab, ["vec_id"])
+    return r.select(F.col("batch_id").cast("bigint"), F.round("loss", 6).alias("loss"))
+
+
+TAGGER_SQL = """splits AS (
+  SELECT page_id, CASE WHEN r <= 900 THEN 'train' WHEN r <= 950 THEN 'valid' ELSE 'test' END AS tvt
+  FROM (SELECT page_id, row_number() OVER (ORDER BY md5('0:' || CAST(page_id AS VARCHAR)), page_id) AS r
+        FROM (SELECT DISTINCT page_id FROM anno))
+),
+kept_ctx AS (
+  SELECT k.*, coalesce(r.ch, '') AS prev_ch FROM kept k
+  LEFT JOIN rawchars r ON r.page_id = k.page_id AND r.line_id = k.line_id AND r."offset" = k."offset" - 1
+),
+tr_chars AS (SELECT k.* FROM kept_ctx k JOIN splits s ON s.page_id = k.page_id AND s.tvt = 'train'),
+tr_lab AS (SELECT l.*, k.prev_ch FROM labels l JOIN tr_chars k USING (page_id, new_char_idx)),
+freq AS (SELECT prev_ch, ch, count(*) AS n FROM tr_chars GROUP BY prev_ch, ch),
+lc AS (SELECT attribute, prev_ch, ch, CAST(sum(CASE WHEN bio = 'B' THEN 1 ELSE 0 END) AS BIGINT) AS n_b,
+              CAST(sum(CASE WHEN bio = 'I' THEN 1 ELSE 0 END) AS BIGINT) AS n_i
+       FROM tr_lab GROUP BY attribute, prev_ch, ch),
+model AS (
+  SELECT lc.attribute, lc.prev_ch, lc.ch, lc.n_b, lc.n_i, CAST(f.n - lc.n_b - lc.n_i AS BIGINT) AS n_o,
+         CASE WHEN f.n - lc.n_b - lc.n_i >= lc.n_i AND f.n - lc.n_b - lc.n_i >= lc.n_b THEN 'O'
+              WHEN lc.n_i >= lc.n_b THEN 'I' ELSE 'B' END AS bio
+  FROM lc JOIN freq f USING (prev_ch, ch)
+),
+p_labels AS (
+  SELECT k.page_id, m.attribute, k.new_char_idx, m.bio, k.line_id, k."offset", k.ch
+  FROM kept_ctx k JOIN splits s ON s.page_id = k.page_id AND s.tvt IN ('valid', 'test')
+  JOIN model m ON m.ch = k.ch AND m.prev_ch = k.prev_ch AND m.bio <> 'O'
+)"""
+TAGGER = W(BASE, O.anno_cte(), O.cells_ctes(), TAGGER_SQL)
+
+
+def _tagger_parts(spark, d):
+    c = _corpus(spark, d, P)
+    g = _gold(spark, d)
+    sp = splits.split_pages(annotate.annotated_pages(g))
+    return c, g, sp
+
+
+def _count_model(spark, d):
+    c, g, sp = _tagger_parts(spark, d)
+    train = sp.where(F.col("tvt") == "train")
+    ctx = chars.kept_chars(c.lines, P, context=1)
+    return c, g, sp, ctx, scoring.train_tagger_counts(ctx, c.labels(g), train)
+
+
+@register("train_tagger_counts", TAGGER + "SELECT attribute, prev_ch, ch, n_b, n_i, n_o, bio FROM model")
+def q_train_tagger_counts(spark, d):
+    return _count_model(spark, d)[4]
+
+
+PRED_DENSE = O.dense_spans_ctes("p_").replace("FROM kept k CROSS JOIN attrs a", """FROM (SELECT k.* FROM kept k
+    JOIN splits s ON s.page_id = k.page_id AND s.tvt IN ('valid', 'test')) k CROSS JOIN attrs a""")
+
+
+@register("score_pages", TAGGER.rstrip() + ",\n" + PRED_DENSE +
+          "\nSELECT page_id, attribute, start_idx, end_idx, start_line, start_offset, end_line, end_offset, text "
+          "FROM p_spans")
+def q_score_pages(spark, d):
+    c, g, sp, ctx, model = _count_model(spark, d)
+    hold = splits.holdout_merge(sp)
+    ch = ctx.join(hold.select("page_id"), "page_id", "left_semi")
+    tagged = scoring.score_pages(ch, lambda x: scoring.score_with_counts(x, model))
+    return spans.decode_spans(tagged).select(
+        "page_id", "attribute", "start_idx", "end_idx", "start_line", "start_offset", "end_line", "end_offset", "text")
+
+
+def q_train_tagger_lr(spark, d):
+    """Rows-only: predicted spans of the logistic-regression tagger on hold-out pages."""
+    c, g, sp = _tagger_parts(spark, d)
+    ctx = chars.kept_chars(c.lines, P, context=2)
+    names = spans.attribute_names(annotate.attribute_index(g))
+    models = scoring.train_tagger_lr(ctx, c.labels(g), sp.where(F.col("tvt") == "train"), names, k=2,
+                                     num_features=1 << 14, max_iter=15)
+    hold = ctx.join(splits.holdout_merge(sp).select("page_id"), "page_id", "left_semi")
+    return spans.decode_spans(scoring.score_with_lr(hold, models)).select(
+        "page_id", "attribute", "start_idx", "end_idx", "text")
+
+
+REGISTRY["train_tagger_lr"] = (q_train_tagger_lr, None)
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in REGISTRY.items()}
 

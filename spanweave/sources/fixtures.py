@@ -49,42 +49,45 @@ def fixture_annotations(pages: DataFrame) -> DataFrame:
     """Gold spans derived from raw page lines.
 
     Columns: page_id, title (null), attribute, text_offset, anno_seq.
+    One pass over the lines for the pattern spans, one over the page ids for
+    the extras.
     """
     lines = split_lines(pages)
-    parts = []
-    for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS):
-        m = F.regexp_extract("line", pattern, 0)
-        so = F.instr(F.col("line"), m) - 1
-        parts.append(
-            lines.where(m != "").select(
-                "page_id",
-                F.lit(name).alias("attribute"),
-                _offset(F.col("line_id"), so, F.col("line_id"), so + F.length(m), m).alias("text_offset"),
-                (F.col("line_id").cast("bigint") * 4 + k).alias("anno_seq"),
-            )
+    cands = F.array(*[
+        F.struct(
+            F.lit(name).alias("attribute"),
+            F.lit(k).alias("k"),
+            F.regexp_extract("line", pattern, 0).alias("m"),
         )
-    ids = pages.select("page_id")
+        for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS)
+    ])
+    per_line = lines.select("page_id", "line_id", "line", F.inline_outer(cands)) \
+        .where(F.col("m") != "")
+    so = F.instr(F.col("line"), F.col("m")) - 1
+    spans = per_line.select(
+        "page_id", "attribute",
+        _offset(F.col("line_id"), so, F.col("line_id"), so + F.length("m"), F.col("m")).alias("text_offset"),
+        (F.col("line_id").cast("bigint") * 4 + F.col("k")).alias("anno_seq"),
+    )
     L = F.lit
-    extras = [
-        ids.where(F.col("page_id") % MULTI_LINE_MOD == 0).select(
-            "page_id", L("cap").alias("attribute"),
-            _offset(L(1), L(2), L(2), L(6)).alias("text_offset"), L(EXTRA_SEQ).cast("bigint").alias("anno_seq")),
-        ids.where(F.col("page_id") % OVERLAP_MOD == 0).select(
-            "page_id", L("accent-word").alias("attribute"),
-            _offset(L(1), L(0), L(1), L(8)).alias("text_offset"), L(EXTRA_SEQ + 1).cast("bigint").alias("anno_seq")),
-        ids.where(F.col("page_id") % EMPTY_MOD == 0).select(
-            "page_id", L("number").alias("attribute"),
-            _offset(L(1), L(5), L(1), L(5)).alias("text_offset"), L(EXTRA_SEQ + 2).cast("bigint").alias("anno_seq")),
-        ids.where(F.col("page_id") % EMPTY_MOD == 0).select(
-            "page_id", L("number").alias("attribute"),
-            _offset(L(1), L(8), L(2), L(3)).alias("text_offset"), L(EXTRA_SEQ + 3).cast("bigint").alias("anno_seq")),
-        ids.where(F.col("page_id") % MISSING_PAGE_MOD == 0).select(
-            (F.col("page_id") + MISSING_PAGE_SHIFT).alias("page_id"), L("cap").alias("attribute"),
-            _offset(L(0), L(0), L(0), L(3)).alias("text_offset"), L(0).cast("bigint").alias("anno_seq")),
-    ]
-    out = parts[0]
-    for df in parts[1:] + extras:
-        out = out.unionByName(df)
+    pid = F.col("page_id")
+
+    def extra(cond, page, attribute, sl, so_, el, eo, seq):
+        return F.when(cond, F.struct(
+            page.alias("page_id"), L(attribute).alias("attribute"),
+            _offset(L(sl), L(so_), L(el), L(eo)).alias("text_offset"),
+            L(seq).cast("bigint").alias("anno_seq"),
+        ))
+
+    extras = F.array(
+        extra(pid % MULTI_LINE_MOD == 0, pid, "cap", 1, 2, 2, 6, EXTRA_SEQ),
+        extra(pid % OVERLAP_MOD == 0, pid, "accent-word", 1, 0, 1, 8, EXTRA_SEQ + 1),
+        extra(pid % EMPTY_MOD == 0, pid, "number", 1, 5, 1, 5, EXTRA_SEQ + 2),
+        extra(pid % EMPTY_MOD == 0, pid, "number", 1, 8, 2, 3, EXTRA_SEQ + 3),
+        extra(pid % MISSING_PAGE_MOD == 0, pid + MISSING_PAGE_SHIFT, "cap", 0, 0, 0, 3, 0),
+    )
+    ex = pages.select(F.explode(F.filter(extras, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    out = spans.unionByName(ex)
     return out.select("page_id", F.lit(None).cast("string").alias("title"), "attribute", "text_offset", "anno_seq")
 
 
