@@ -17,10 +17,10 @@ from ..functions.arrays import prefix_sum
 from ..functions.text import is_whitespace_cp
 
 
-def span_bounds(annotations: DataFrame) -> DataFrame:
+def span_bounds(annotations: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Flatten text_offset to sl, so, el, eo."""
     return annotations.select(
-        "page_id", "attribute", "anno_seq",
+        "page_id", "attribute", "anno_seq", *extra,
         F.col("text_offset.start.line_id").alias("sl"),
         F.col("text_offset.start.offset").alias("so"),
         F.col("text_offset.end.line_id").alias("el"),
@@ -45,36 +45,37 @@ def annotated_pages(annotations: DataFrame) -> DataFrame:
     return annotations.select("page_id").distinct()
 
 
-def span_lines(annotations: DataFrame, page_lines: DataFrame) -> DataFrame:
+def span_lines(annotations: DataFrame, page_lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per (annotation, covered line that exists).
 
     page_lines: (page_id, n_lines) — clips ``sl..el`` to the page so that a
     malformed annotation cannot expand past it.  Empty spans (eo <= so, or
     el < sl) produce nothing.
     """
-    b = span_bounds(annotations).where((F.col("so") < F.col("eo")) & (F.col("sl") <= F.col("el")))
+    b = span_bounds(annotations, extra).where((F.col("so") < F.col("eo")) & (F.col("sl") <= F.col("el")))
     b = b.join(page_lines.select("page_id", "n_lines"), "page_id")
     lo = F.greatest(F.col("sl"), F.lit(0))
     hi = F.least(F.col("el"), F.col("n_lines") - 1)
     return b.where(lo <= hi).select(
-        "page_id", "attribute", "anno_seq", "sl", "so", "el", "eo",
+        "page_id", "attribute", "anno_seq", "sl", "so", "el", "eo", *extra,
         F.explode(F.sequence(lo, hi)).alias("line_id"),
     )
 
 
 def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
-                 p: TextParams) -> DataFrame:
+                 p: TextParams, extra: tuple[str, ...] = ()) -> DataFrame:
     """All cells of all spans on existing characters, kept or not.
 
-    Columns: page_id, line_id, offset, attribute, anno_seq, bio, ch,
-    new_char_idx (null when the character is dropped).
+    Columns: page_id, line_id, offset, attribute, anno_seq, bio, ch, prev_ch
+    (the raw character before, '' at line start), new_char_idx (null when the
+    character is dropped), plus the ``extra`` annotation columns.
     """
-    sl = span_lines(annotations, page_lines)
+    sl = span_lines(annotations, page_lines, extra)
     ln = lines.select("page_id", "line_id", "line", "in_body", "kept_base")
     j = sl.join(ln, ["page_id", "line_id"])
     cps = F.transform(F.split("line", ""), lambda c: F.ascii(c))
     j = j.select(
-        "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base",
+        "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base", *extra,
         F.split("line", "").alias("_chars"),
         cps.alias("_cps"),
         F.greatest(F.col("so"), F.lit(0)).alias("_lo"),
@@ -92,7 +93,7 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
     ).select("*", prefix_sum(F.col("_keep")).alias("_run"))
     cells = j.select(
         "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base",
-        "_lo", "_base", "_chars",
+        "_lo", "_base", "_chars", *extra,
         F.posexplode_outer(F.arrays_zip("_keep", "_run")).alias("_j", "_c"),
     ).where(F.col("_j").isNotNull())
     offset = (F.col("_lo") + F.col("_j")).cast("int")
@@ -107,38 +108,40 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
         F.when((F.col("line_id") == F.col("sl")) & (offset == F.col("so")), F.lit("B"))
         .otherwise(F.lit("I")).alias("bio"),
         F.element_at("_chars", offset + 1).alias("ch"),
+        F.coalesce(F.get("_chars", offset - 1), F.lit("")).alias("prev_ch"),
         F.when(kept, F.col("kept_base") + rank).alias("new_char_idx"),
+        *extra,
     )
 
 
-def resolve_overlaps(cells: DataFrame) -> DataFrame:
+def resolve_overlaps(cells: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Same (page, line, offset, attribute) written twice → later annotation wins.
 
-    ch and new_char_idx are functions of the cell, so they ride along as
-    grouping keys; the winner is packed into one bigint (anno_seq * 2 + tag)
-    so the aggregate stays a hash aggregate with a fixed-width buffer.
+    ch, prev_ch and new_char_idx are functions of the cell, so they ride along
+    as grouping keys; the winner is packed into one bigint (anno_seq * 2 +
+    tag) so the aggregate stays a hash aggregate with a fixed-width buffer.
     """
     packed = F.col("anno_seq") * 2 + F.when(F.col("bio") == "I", 1).otherwise(0)
-    g = cells.groupBy("page_id", "line_id", "offset", "attribute", "ch", "new_char_idx").agg(
+    g = cells.groupBy("page_id", "line_id", "offset", "attribute", *extra, "ch", "prev_ch", "new_char_idx").agg(
         F.max(packed).alias("_w"))
     return g.select(
-        "page_id", "line_id", "offset", "attribute",
+        "page_id", "line_id", "offset", "attribute", *extra,
         F.when(F.pmod(F.col("_w"), F.lit(2)) == 1, F.lit("I")).otherwise(F.lit("B")).alias("bio"),
-        "ch", "new_char_idx",
+        "ch", "prev_ch", "new_char_idx",
     )
 
 
 def label_chars(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
-                p: TextParams) -> DataFrame:
+                p: TextParams, extra: tuple[str, ...] = ()) -> DataFrame:
     """Sparse labels: the tagged kept characters (every other kept char is O).
 
-    Columns: page_id, attribute, new_char_idx, bio, line_id, offset, ch.
-    Cells on dropped characters vanish before the overlap resolution, which
-    only needs the cells of one character.
+    Columns: page_id, attribute, new_char_idx, bio, line_id, offset, ch,
+    prev_ch (+ extra).  Cells on dropped characters vanish before the overlap
+    resolution, which only needs the cells of one character.
     """
-    cells = expand_spans(annotations, lines, page_lines, p).where(F.col("new_char_idx").isNotNull())
-    return resolve_overlaps(cells).select(
-        "page_id", "attribute", "new_char_idx", "bio", "line_id", "offset", "ch",
+    cells = expand_spans(annotations, lines, page_lines, p, extra).where(F.col("new_char_idx").isNotNull())
+    return resolve_overlaps(cells, extra).select(
+        "page_id", "attribute", *extra, "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch",
     )
 
 

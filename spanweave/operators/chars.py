@@ -215,10 +215,13 @@ def block_stats_narrow(frame: DataFrame, p: TextParams) -> DataFrame:
             (F.col("kept_base") + F.col("kept_n") - 1).alias("last_idx"),
         )
     nb = F.expr(f"(n_kept + {cap - 1}) div {cap}")
+    # Filters only on the generated column: a filter on n_kept would be pushed
+    # below the generator and copy the whole cleaning expression into it.
     b = frame.select("page_id", "n_kept", nb.alias("_nb")).select(
         "page_id", "n_kept",
-        F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("block_id"),
-    ).where(F.col("block_id").isNotNull() & (F.col("n_kept") > 0))
+        F.explode_outer(F.when(F.col("_nb") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
+        .alias("block_id"),
+    ).where(F.col("block_id").isNotNull())
     return b.select(
         "page_id", "block_id",
         F.least(F.lit(cap).cast("bigint"), F.col("n_kept") - F.col("block_id") * cap).alias("n_chars"),

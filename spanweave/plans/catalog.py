@@ -17,7 +17,7 @@ from ..operators import annotate, chars, evaluate, examples, scoring, spans, spl
 from ..sources import fixtures as fx
 from ..sources.pages import load_pages, output_layout, split_lines
 from . import oracle as O
-from .extract import Corpus, extract_spans
+from .extract import Corpus, extract_spans, gold_and_pred_spans
 
 P = fixture_params()                                           # char mode, cap 2047
 P510 = fixture_params(variant="vocab", max_length=512)         # char mode, cap 510
@@ -224,7 +224,7 @@ def q_resolve_overlaps(spark, d):
 
 
 @register("label_chars", ANNO +
-          'SELECT page_id, attribute, new_char_idx, bio, line_id, "offset", ch FROM labels')
+          'SELECT page_id, attribute, new_char_idx, bio, line_id, "offset", ch, prev_ch FROM labels')
 def q_label_chars(spark, d):
     return _corpus(spark, d).labels(_gold(spark, d))
 
@@ -353,11 +353,12 @@ EVAL_FULL = W(_pred_ctes(), MATCH_SQL)
 
 
 def _eval_parts(spark, d):
+    """Matches of gold and predicted spans (one expansion, one decode) + page list."""
     c = _corpus(spark, d)
-    g = c.spans_of(_gold(spark, d))
-    p = c.spans_of(_pred(spark, d))
-    pages = annotate.annotated_pages(_gold(spark, d)).join(c.pages.select("page_id"), "page_id", "left_semi")
-    return g, p, pages
+    g = _gold(spark, d)
+    matches = evaluate.match_sets(gold_and_pred_spans(c, g, fx.fixture_predictions(g)))
+    pages = annotate.annotated_pages(g).join(c.pages.select("page_id"), "page_id", "left_semi")
+    return matches, pages
 
 
 @register("gold_spans", GOLD_SPANS + f"SELECT {SPAN_COLS} FROM spans")
@@ -367,23 +368,22 @@ def q_gold_spans(spark, d):
 
 @register("span_matches", EVAL_FULL + "SELECT page_id, attribute, start_idx, end_idx, tp, fn, fp FROM matches")
 def q_span_matches(spark, d):
-    g, p, _ = _eval_parts(spark, d)
-    return evaluate.span_matches(g, p)
+    return _eval_parts(spark, d)[0]
 
 
 @register("page_prf", EVAL_FULL + """SELECT page_id, n_gold, n_pred, tp, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf2""")
 def q_page_prf(spark, d):
-    g, p, pages = _eval_parts(spark, d)
-    r = evaluate.page_prf(evaluate.span_matches(g, p), pages)
+    matches, pages = _eval_parts(spark, d)
+    r = evaluate.page_prf(matches, pages)
     return r.select("page_id", "n_gold", "n_pred", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @register("macro_page_f1", EVAL_FULL +
           "SELECT CAST(count(*) AS BIGINT) AS n_pages, round(coalesce(avg(f1), 0.0), 6) AS macro_f1 FROM prf2")
 def q_macro_page_f1(spark, d):
-    g, p, pages = _eval_parts(spark, d)
-    m = evaluate.macro_page_f1(evaluate.page_prf(evaluate.span_matches(g, p), pages))
+    matches, pages = _eval_parts(spark, d)
+    m = evaluate.macro_page_f1(evaluate.page_prf(matches, pages))
     return m.select(F.col("n_pages").cast("bigint"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
@@ -667,7 +667,7 @@ kept_ctx AS (
   LEFT JOIN rawchars r ON r.page_id = k.page_id AND r.line_id = k.line_id AND r."offset" = k."offset" - 1
 ),
 tr_chars AS (SELECT k.* FROM kept_ctx k JOIN splits s ON s.page_id = k.page_id AND s.tvt = 'train'),
-tr_lab AS (SELECT l.*, k.prev_ch FROM labels l JOIN tr_chars k USING (page_id, new_char_idx)),
+tr_lab AS (SELECT l.* FROM labels l JOIN splits s ON s.page_id = l.page_id AND s.tvt = 'train'),
 freq AS (SELECT prev_ch, ch, count(*) AS n FROM tr_chars GROUP BY prev_ch, ch),
 lc AS (SELECT attribute, prev_ch, ch, CAST(sum(CASE WHEN bio = 'B' THEN 1 ELSE 0 END) AS BIGINT) AS n_b,
               CAST(sum(CASE WHEN bio = 'I' THEN 1 ELSE 0 END) AS BIGINT) AS n_i

@@ -63,15 +63,25 @@ def extract_spans(pages: DataFrame, annotations: DataFrame, params: TextParams)
     )
 
 
+def gold_and_pred_spans(corpus: "Corpus", gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Spans of both annotation sets from ONE expansion and ONE decode.
+
+    The sets are unioned with a ``set`` column that rides through the tagging
+    and becomes part of the decode key, so the line table is read once.
+    """
+    both = gold.withColumn("set", F.lit("gold")).unionByName(pred.withColumn("set", F.lit("pred")))
+    lab = annotate.label_chars(both, corpus.lines, corpus.info, corpus.params, extra=("set",))
+    return spans.decode_spans(lab, keys=("page_id", "attribute", "set"))
+
+
 def evaluate_pages(pages: DataFrame, gold: DataFrame, pred: DataFrame, params: TextParams,
                    eval_pages: DataFrame | None = None) -> DataFrame:
     """Per-page precision / recall / F1 of predicted spans against gold spans."""
     c = Corpus(pages, params)
-    g = c.spans_of(gold)
-    p = c.spans_of(pred)
+    matches = evaluate.match_sets(gold_and_pred_spans(c, gold, pred))
     pages_list = eval_pages if eval_pages is not None else annotate.annotated_pages(gold).join(
         pages.select("page_id"), "page_id", "left_semi")
-    return evaluate.page_prf(evaluate.span_matches(g, p), pages_list)
+    return evaluate.page_prf(matches, pages_list)
 
 
 def predict_records(pages: DataFrame, tagged: DataFrame, params: TextParams) -> DataFrame:

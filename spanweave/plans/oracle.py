@@ -167,10 +167,12 @@ def cells_ctes(prefix: str = "") -> str:
   LEFT JOIN kept k ON k.page_id = c.page_id AND k.line_id = c.line_id AND k."offset" = c.o
 ),
 {prefix}labels AS (
-  SELECT page_id, attribute, arg_max(new_char_idx, anno_seq) AS new_char_idx, arg_max(bio, anno_seq) AS bio,
-         line_id, "offset", arg_max(ch, anno_seq) AS ch
-  FROM {prefix}cells WHERE new_char_idx IS NOT NULL
-  GROUP BY page_id, line_id, "offset", attribute
+  SELECT l.*, coalesce(r.ch, '') AS prev_ch FROM (
+    SELECT page_id, attribute, arg_max(new_char_idx, anno_seq) AS new_char_idx, arg_max(bio, anno_seq) AS bio,
+           line_id, "offset", arg_max(ch, anno_seq) AS ch
+    FROM {prefix}cells WHERE new_char_idx IS NOT NULL
+    GROUP BY page_id, line_id, "offset", attribute) l
+  LEFT JOIN rawchars r ON r.page_id = l.page_id AND r.line_id = l.line_id AND r."offset" = l."offset" - 1
 )"""
 
 
