@@ -91,7 +91,7 @@ def page_frame(pages: DataFrame, p: TextParams) -> DataFrame:
     return base.select(
         "page_id", "category", "title",
         F.size("_clean").cast("int").alias("n_lines"),
-        F.coalesce(F.element_at("_kept_end", -1), F.lit(0).cast("bigint")).alias("n_kept"),
+        F.coalesce(F.try_element_at("_kept_end", F.lit(-1)), F.lit(0).cast("bigint")).alias("n_kept"),
         (F.col("_cut") - 1).alias("footer_line"),
         lines.alias("lines"),
     )

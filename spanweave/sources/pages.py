@@ -30,9 +30,11 @@ def read_pages(spark: SparkSession, plain_dir: str, category: str | None = None)
     """``{category}/{page_id}.txt`` files → pages(category, page_id, text).
 
     ``wholetext`` reads one row per file; id and category come from the path.
+    Zero-length files are skipped by the file scan (an empty page has no lines,
+    hence no characters or spans either).
     """
     glob = f"{plain_dir.rstrip('/')}/{category or '*'}/*.txt"
-    df = spark.read.option("wholetext", True).text(glob)
+    df = spark.read.text(glob, wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
         F.regexp_extract(path, r"([^/]+)/[^/]+\.txt$", 1).alias("category"),
