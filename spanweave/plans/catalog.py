@@ -17,7 +17,7 @@ from ..operators import annotate, chars, evaluate, examples, scoring, spans, spl
 from ..sources import fixtures as fx
 from ..sources.pages import load_pages, output_layout, split_lines
 from . import oracle as O
-from .extract import Corpus, extract_spans, gold_and_pred_spans
+from .extract import Corpus, extract_spans, flat_records, gold_and_pred_spans
 
 P = fixture_params()                                           # char mode, cap 2047
 P510 = fixture_params(variant="vocab", max_length=512)         # char mode, cap 510
@@ -324,6 +324,20 @@ def q_span_records(spark, d):
         "page_id", "title", "attribute", "start_line", "start_offset", "end_line", "end_offset", "text")
 
 
+@register("write_predictions", REGISTRY["span_records"][1])
+def q_write_predictions(spark, d):
+    """Sink round trip: gold span records written as JSON-lines under the shared
+    checkpoint folder, read back with the explicit schema, flattened."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.pages import read_predictions, write_predictions
+    c = _corpus(spark, d)
+    rec = spans.span_records(c.spans_of(_gold(spark, d)), c.info)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    write_predictions(rec, path)
+    return flat_records(read_predictions(spark, path))
+
+
 # ------------------------------------------------------------- 2.9 evaluation
 
 MATCH_SQL = """matches AS (
