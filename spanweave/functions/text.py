@@ -53,13 +53,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# A literal every match of the pattern contains: lines without it skip the regex.
+REQUIRED_LITERAL = {URL_PATTERN: "://", FILE_PATTERN: "ファイル:"}
+
+
 def blank_regex(line: Column, pattern: str) -> Column:
-    """Replace every match by blanks of the first match's length."""
+    """Replace every match by blanks of the first match's length.
+
+    The replace only runs when the search found a match, and patterns with a
+    required literal are skipped on lines without it (exact: such lines
+    cannot match).
+    """
     java = JAVA_DOT + pattern
+    need = REQUIRED_LITERAL.get(pattern)
 
     def body(x: Column) -> Column:
-        first = F.regexp_extract(x, java, 0)
-        return F.regexp_replace(x, F.lit(java), F.repeat(F.lit(" "), F.length(first)))
+        def search(y: Column) -> Column:
+            first = F.regexp_extract(y, java, 0)
+            return let(first, lambda m: F.when(m == "", y).otherwise(
+                F.regexp_replace(y, F.lit(java), F.repeat(F.lit(" "), F.length(m)))))
+        if need is None:
+            return search(x)
+        return F.when(F.instr(x, need) == 0, x).otherwise(search(x))
 
     return let(line, body)
 

@@ -469,7 +469,7 @@ VOCAB_SQL = """vocab AS (
 
 def _examples_codepoint(spark, d):
     c = _corpus(spark, d, P)
-    return examples.encode_codepoints(examples.block_chars(c.chars))
+    return examples.encode_codepoint_blocks(examples.codepoint_blocks(c.lines, P))
 
 
 @register("encode_codepoints", W(BASE) + """SELECT page_id, block_id,
@@ -701,22 +701,29 @@ TAGGER = W(BASE, O.anno_cte(), O.cells_ctes(), TAGGER_SQL)
 
 
 def _tagger_parts(spark, d):
-    c = _corpus(spark, d, P)
-    g = _gold(spark, d)
+    """Pages, gold spans and the split; the train / hold-out corpora only clean
+    their own pages (the page filter runs before any text work)."""
+    pages = _pages(spark, d)
+    g = fx.fixture_annotations(pages)
     sp = splits.split_pages(annotate.annotated_pages(g))
-    return c, g, sp
+    return pages, g, sp
+
+
+def _subset(pages, ids):
+    return Corpus(pages.join(ids.select("page_id"), "page_id", "left_semi"), P)
 
 
 def _count_model(spark, d):
-    c, g, sp = _tagger_parts(spark, d)
-    train = sp.where(F.col("tvt") == "train")
-    ctx = chars.kept_chars(c.lines, P, context=1)
-    return c, g, sp, ctx, scoring.train_tagger_counts(ctx, c.labels(g), train)
+    pages, g, sp = _tagger_parts(spark, d)
+    train_ids = sp.where(F.col("tvt") == "train")
+    train = _subset(pages, train_ids)
+    ctx = chars.kept_chars(train.lines, P, context=1)
+    return pages, sp, scoring.train_tagger_counts(ctx, train.labels(g), train_ids)
 
 
 @register("train_tagger_counts", TAGGER + "SELECT attribute, prev_ch, ch, n_b, n_i, n_o, bio FROM model")
 def q_train_tagger_counts(spark, d):
-    return _count_model(spark, d)[4]
+    return _count_model(spark, d)[2]
 
 
 PRED_DENSE = O.dense_spans_ctes("p_").replace("FROM kept k CROSS JOIN attrs a", """FROM (SELECT k.* FROM kept k
@@ -727,9 +734,9 @@ PRED_DENSE = O.dense_spans_ctes("p_").replace("FROM kept k CROSS JOIN attrs a",
           "\nSELECT page_id, attribute, start_idx, end_idx, start_line, start_offset, end_line, end_offset, text "
           "FROM p_spans")
 def q_score_pages(spark, d):
-    c, g, sp, ctx, model = _count_model(spark, d)
-    hold = splits.holdout_merge(sp)
-    ch = ctx.join(hold.select("page_id"), "page_id", "left_semi")
+    pages, sp, model = _count_model(spark, d)
+    hold = _subset(pages, splits.holdout_merge(sp))
+    ch = chars.kept_chars(hold.lines, P, context=1)
     tagged = scoring.score_pages(ch, lambda x: scoring.score_with_counts(x, model))
     return spans.decode_spans(tagged).select(
         "page_id", "attribute", "start_idx", "end_idx", "start_line", "start_offset", "end_line", "end_offset", "text")
@@ -737,12 +744,14 @@ def q_score_pages(spark, d):
 
 def q_train_tagger_lr(spark, d):
     """Rows-only: predicted spans of the logistic-regression tagger on hold-out pages."""
-    c, g, sp = _tagger_parts(spark, d)
-    ctx = chars.kept_chars(c.lines, P, context=2)
+    pages, g, sp = _tagger_parts(spark, d)
+    train_ids = sp.where(F.col("tvt") == "train")
+    train = _subset(pages, train_ids)
+    ctx = chars.kept_chars(train.lines, P, context=2)
     names = spans.attribute_names(annotate.attribute_index(g))
-    models = scoring.train_tagger_lr(ctx, c.labels(g), sp.where(F.col("tvt") == "train"), names, k=2,
+    models = scoring.train_tagger_lr(ctx, train.labels(g), train_ids, names, k=2,
                                      num_features=1 << 14, max_iter=15)
-    hold = ctx.join(splits.holdout_merge(sp).select("page_id"), "page_id", "left_semi")
+    hold = chars.kept_chars(_subset(pages, splits.holdout_merge(sp)).lines, P, context=2)
     return spans.decode_spans(scoring.score_with_lr(hold, models)).select(
         "page_id", "attribute", "start_idx", "end_idx", "text")
 

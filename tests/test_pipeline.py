@@ -153,3 +153,16 @@ def test_tag_strings_split_at_first_dash(spark):
     r = df.select(annotate.tag_string(F.col("bio"), F.col("attribute")).alias("t")) \
         .select("t", annotate.tag_prefix(F.col("t")).alias("p")).collect()
     assert [(x.t, x.p) for x in r] == [("B-a-b-c", "B"), ("I-x", "I"), ("O", "O")]
+
+
+@pytest.mark.parametrize("p", PARAMS[:3], ids=lambda p: f"{p.mode}-{p.capacity}")
+def test_codepoint_blocks_from_line_segments(spark, p):
+    from spanweave.operators import examples
+    pages = all_pages()
+    lines = chars.clean_lines(pages_df(spark, pages), p)
+    got = {(r.page_id, r.block_id): r.cps for r in examples.codepoint_blocks(lines, p).collect()}
+    expect = {}
+    for pid, text in pages.items():
+        for c in model.page_chars(text, p):
+            expect.setdefault((pid, c["block_id"]), []).append(ord(c["ch"]))
+    assert got == expect
