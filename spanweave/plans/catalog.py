@@ -17,7 +17,7 @@ from ..operators import annotate, chars, evaluate, examples, scoring, spans, spl
 from ..sources import fixtures as fx
 from ..sources.pages import load_pages, output_layout, split_lines
 from . import oracle as O
-from .extract import Corpus, extract_spans, flat_records, gold_and_pred_spans
+from .extract import Corpus, extract_spans, flat_records, set_spans
 
 P = fixture_params()                                           # char mode, cap 2047
 P510 = fixture_params(variant="vocab", max_length=512)         # char mode, cap 510
@@ -370,7 +370,7 @@ def _eval_parts(spark, d):
     """Matches of gold and predicted spans (one expansion, one decode) + page list."""
     c = _corpus(spark, d)
     g = _gold(spark, d)
-    matches = evaluate.match_sets(gold_and_pred_spans(c, g, fx.fixture_predictions(g)))
+    matches = evaluate.match_sets(set_spans(c, fx.fixture_gold_and_pred(g)))
     pages = annotate.annotated_pages(g).join(c.pages.select("page_id"), "page_id", "left_semi")
     return matches, pages
 

@@ -70,7 +70,12 @@ def gold_and_pred_spans(corpus: "Corpus", gold: DataFrame, pred: DataFrame) -> D
     and becomes part of the decode key, so the line table is read once.
     """
     both = gold.withColumn("set", F.lit("gold")).unionByName(pred.withColumn("set", F.lit("pred")))
-    lab = annotate.label_chars(both, corpus.lines, corpus.info, corpus.params, extra=("set",))
+    return set_spans(corpus, both)
+
+
+def set_spans(corpus: "Corpus", annotations: DataFrame) -> DataFrame:
+    """Spans of annotations that carry a ``set`` column, decoded per set."""
+    lab = annotate.label_chars(annotations, corpus.lines, corpus.info, corpus.params, extra=("set",))
     return spans.decode_spans(lab, keys=("page_id", "attribute", "set"))
 
 

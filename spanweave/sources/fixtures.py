@@ -104,6 +104,26 @@ def fixture_predictions(annotations: DataFrame) -> DataFrame:
     )
 
 
+def fixture_gold_and_pred(annotations: DataFrame) -> DataFrame:
+    """Gold spans and their perturbed predictions from ONE pass over the gold
+    rows, as one table with ``set`` = gold | pred (the same rule as
+    ``fixture_predictions``)."""
+    key = F.col("page_id") + F.col("text_offset.start.line_id")
+    eo = F.col("text_offset.end.offset")
+    pred_off = _offset(F.col("text_offset.start.line_id"), F.col("text_offset.start.offset"),
+                       F.col("text_offset.end.line_id"),
+                       F.when(key % PRED_SHORTEN_MOD == 0, eo - 1).otherwise(eo), F.col("text_offset.text"))
+    both = F.array(
+        F.struct(F.lit("gold").alias("set"), F.col("text_offset").alias("t")),
+        F.when(key % PRED_DROP_MOD != 0, F.struct(F.lit("pred").alias("set"), pred_off.alias("t"))),
+    )
+    return annotations.select(
+        "page_id", "title", "attribute", "anno_seq",
+        F.explode(F.filter(both, lambda x: x.isNotNull())).alias("_x"),
+    ).select("page_id", "title", "attribute", F.col("_x.t").alias("text_offset"), "anno_seq",
+             F.col("_x.set").alias("set"))
+
+
 def epoch_log(events: DataFrame) -> DataFrame:
     """events → epoch_log(run, epoch, valid_f1): run = user, epoch = 0-based rank by time."""
     from pyspark.sql import Window
