@@ -212,7 +212,8 @@ def q_page_annotations(spark, d):
           'SELECT page_id, line_id, "offset", attribute, anno_seq, bio, ch, new_char_idx FROM cells')
 def q_expand_spans(spark, d):
     c = _corpus(spark, d)
-    return annotate.expand_spans(_gold(spark, d), c.lines, c.info, P)
+    return annotate.expand_spans(_gold(spark, d), c.lines, c.info, P).select(
+        "page_id", "line_id", "offset", "attribute", "anno_seq", "bio", "ch", "new_char_idx")
 
 
 @register("resolve_overlaps", ANNO + """SELECT page_id, line_id, "offset", attribute,
