@@ -110,6 +110,7 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
         F.element_at("_chars", offset + 1).alias("ch"),
         F.coalesce(F.get("_chars", offset - 1), F.lit("")).alias("prev_ch"),
         F.when(kept, F.col("kept_base") + rank).alias("new_char_idx"),
+        F.when(kept, rank.cast("int")).alias("line_rank"),
         *extra,
     )
 
@@ -122,12 +123,13 @@ def resolve_overlaps(cells: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame
     tag) so the aggregate stays a hash aggregate with a fixed-width buffer.
     """
     packed = F.col("anno_seq") * 2 + F.when(F.col("bio") == "I", 1).otherwise(0)
-    g = cells.groupBy("page_id", "line_id", "offset", "attribute", *extra, "ch", "prev_ch", "new_char_idx").agg(
+    g = cells.groupBy("page_id", "line_id", "offset", "attribute", *extra, "ch", "prev_ch", "new_char_idx",
+                      "line_rank").agg(
         F.max(packed).alias("_w"))
     return g.select(
         "page_id", "line_id", "offset", "attribute", *extra,
         F.when(F.pmod(F.col("_w"), F.lit(2)) == 1, F.lit("I")).otherwise(F.lit("B")).alias("bio"),
-        "ch", "prev_ch", "new_char_idx",
+        "ch", "prev_ch", "new_char_idx", "line_rank",
     )
 
 
@@ -136,12 +138,13 @@ def label_chars(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
     """Sparse labels: the tagged kept characters (every other kept char is O).
 
     Columns: page_id, attribute, new_char_idx, bio, line_id, offset, ch,
-    prev_ch (+ extra).  Cells on dropped characters vanish before the overlap
+    prev_ch, line_rank (rank among the kept chars of its line) (+ extra).  Cells on dropped characters vanish before the overlap
     resolution, which only needs the cells of one character.
     """
     cells = expand_spans(annotations, lines, page_lines, p, extra).where(F.col("new_char_idx").isNotNull())
     return resolve_overlaps(cells, extra).select(
         "page_id", "attribute", *extra, "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch",
+        "line_rank",
     )
 
 

@@ -227,7 +227,8 @@ def q_resolve_overlaps(spark, d):
 @register("label_chars", ANNO +
           'SELECT page_id, attribute, new_char_idx, bio, line_id, "offset", ch, prev_ch FROM labels')
 def q_label_chars(spark, d):
-    return _corpus(spark, d).labels(_gold(spark, d))
+    return _corpus(spark, d).labels(_gold(spark, d)).select(
+        "page_id", "attribute", "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch")
 
 
 @register("tag_strings", ANNO + """SELECT page_id, attribute, new_char_idx,
@@ -535,8 +536,7 @@ def _block_labels(spark, d, p):
     g = _gold(spark, d)
     frame = chars.page_frame(c.pages, p)
     sk = chars.block_stats_narrow(frame, p)
-    return examples.block_labels(sk, c.labels(g), c.chars, annotate.attribute_index(g),
-                                 "vocab" if p.variant == "vocab" else "codepoint")
+    return examples.block_labels(sk, c.labels(g), annotate.attribute_index(g), p)
 
 
 @register("block_labels", LABELS_BASE + "SELECT page_id, block_id, attr_idx, labels FROM blabels")

@@ -166,3 +166,35 @@ def test_codepoint_blocks_from_line_segments(spark, p):
         for c in model.page_chars(text, p):
             expect.setdefault((pid, c["block_id"]), []).append(ord(c["ch"]))
     assert got == expect
+
+
+@pytest.mark.parametrize("p", PARAMS[:3], ids=lambda p: f"{p.mode}-{p.capacity}")
+def test_block_labels_match_model(spark, p):
+    from spanweave.operators import examples
+    rng = random.Random(13)
+    pages = all_pages()
+    attrs = ["a-b", "c", "d"]
+    rows = random_annotations(rng, pages, attrs)
+    c = Corpus(pages_df(spark, pages), p)
+    anno = _anno_df(spark, rows)
+    sk = chars.block_stats_narrow(chars.page_frame(c.pages, p), p)
+    got = {(r.page_id, r.block_id, r.attr_idx): r.labels
+           for r in examples.block_labels(sk, c.labels(anno), annotate.attribute_index(anno), p).collect()}
+    code = {"B": 0, "I": 1, "O": 2}
+    expect = {}
+    for pid, text in pages.items():
+        chs = model.page_chars(text, p)
+        tags = model.cells([dict(sl=r[2], so=r[3], el=r[4], eo=r[5], attribute=r[1])
+                            for r in sorted(rows, key=lambda r: r[6]) if r[0] == pid])
+        blocks = {}
+        for ch in chs:
+            blocks.setdefault(ch["block_id"], []).append(ch)
+        for b, members in blocks.items():
+            for ai, attr in enumerate(sorted(attrs)):
+                body = [code[tags.get((m["line_id"], m["offset"], attr), "O")] for m in members]
+                if p.variant == "vocab":
+                    row = [-1] + body + [-1]
+                else:
+                    row = [-1] + body + ([-1] * 3 if len(body) <= 3 else [])
+                expect[(pid, b, ai)] = row
+    assert got == expect
