@@ -90,11 +90,16 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
             F.slice("_cps", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")),
             lambda cp: F.when(is_whitespace_cp(cp), F.lit(0)).otherwise(F.lit(1)),
         ).alias("_keep"),
-    ).select("*", prefix_sum(F.col("_keep")).alias("_run"))
+    ).select(
+        "*", prefix_sum(F.col("_keep")).alias("_run"),
+        F.slice("_chars", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")).alias("_ch"),
+        F.slice(F.concat(F.array(F.lit("")), "_chars"), F.col("_lo") + 1, F.col("_hi") - F.col("_lo")).alias("_prev"),
+    )
+    # every cell's fields are zipped before the explode: rows never carry the line's array
     cells = j.select(
         "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base",
-        "_lo", "_base", "_chars", *extra,
-        F.posexplode_outer(F.arrays_zip("_keep", "_run")).alias("_j", "_c"),
+        "_lo", "_base", *extra,
+        F.posexplode_outer(F.arrays_zip("_keep", "_run", "_ch", "_prev")).alias("_j", "_c"),
     ).where(F.col("_j").isNotNull())
     offset = (F.col("_lo") + F.col("_j")).cast("int")
     rank = F.col("_base") + F.col("_c._run") - 1
@@ -107,8 +112,8 @@ def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame
         "attribute", "anno_seq",
         F.when((F.col("line_id") == F.col("sl")) & (offset == F.col("so")), F.lit("B"))
         .otherwise(F.lit("I")).alias("bio"),
-        F.element_at("_chars", offset + 1).alias("ch"),
-        F.coalesce(F.get("_chars", offset - 1), F.lit("")).alias("prev_ch"),
+        F.col("_c._ch").alias("ch"),
+        F.col("_c._prev").alias("prev_ch"),
         F.when(kept, F.col("kept_base") + rank).alias("new_char_idx"),
         F.when(kept, rank.cast("int")).alias("line_rank"),
         *extra,

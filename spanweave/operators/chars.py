@@ -137,37 +137,44 @@ def explode_chars(lines: DataFrame) -> DataFrame:
 def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     """Kept characters with new_char_idx, block_id and block_idx.
 
-    Per line: split once into code points, keep the offsets of non-whitespace
-    characters, explode those.  The position among the kept offsets is the
-    rank inside the line, so new_char_idx = kept_base + rank (no window).
+    Per line: split once into code points and keep the (offset, char) structs
+    of non-whitespace characters; the position among them is the rank inside
+    the line, so new_char_idx = kept_base + rank (no window).  Everything a
+    character row needs is inside its struct before the explode, so exploded
+    rows never carry the line's array (that would copy it once per char).
     Line mode keeps only the first ``capacity`` of them (dropped characters get
     no index — the running sums already count the truncated numbers).
     ``context`` > 0 adds the raw neighbours ctx_m1.., ctx_p1.. ('' past the line).
     """
     cap = p.capacity
     body = lines.where(F.col("in_body") & (F.col("kept_n") > 0))
-    # Offsets of kept characters; the split array is only a transform input.
-    kept_offsets = F.filter(
-        F.transform("_cps", lambda cp, o: F.when(is_whitespace_cp(cp), F.lit(-1)).otherwise(o)),
-        lambda o: o >= 0,
-    )
+
+    def items(arr: Column) -> Column:
+        def one(c: Column, o: Column) -> Column:
+            fields = [o.alias("offset"), c.alias("ch"), F.ascii(c).alias("cp")]
+            for j in range(1, context + 1):
+                fields.append(F.coalesce(F.get(arr, o - j), F.lit("")).alias(f"ctx_m{j}"))
+                fields.append(F.coalesce(F.get(arr, o + j), F.lit("")).alias(f"ctx_p{j}"))
+            return F.struct(*fields)
+
+        return F.filter(F.transform(arr, one), lambda s: ~is_whitespace_cp(s["cp"]))
+
+    kept = let(F.split("line", ""), items)
     if p.mode == "line":
-        kept_offsets = F.slice(kept_offsets, 1, cap)
+        kept = F.slice(kept, 1, cap)
     exploded = body.select(
-        "page_id", "line_id", "char_base", "kept_base", F.split("line", "").alias("_chars"),
-    ).withColumn("_cps", F.transform("_chars", lambda c: F.ascii(c))).select(
-        "page_id", "line_id", "char_base", "kept_base", "_chars",
-        F.posexplode_outer(kept_offsets).alias("_k", "offset"),
-    ).where(F.col("offset").isNotNull())
+        "page_id", "line_id", "char_base", "kept_base",
+        F.posexplode_outer(kept).alias("_k", "_c"),
+    ).where(F.col("_k").isNotNull())
+    ctx_cols = [F.col(f"_c.ctx_{n}{j}").alias(f"ctx_{n}{j}") for j in range(1, context + 1) for n in ("m", "p")]
     out = exploded.select(
         "page_id", "line_id",
-        F.col("offset").cast("int").alias("offset"),
-        (F.col("char_base") + F.col("offset")).alias("char_idx"),
-        F.element_at("_chars", F.col("offset") + 1).alias("ch"),
+        F.col("_c.offset").cast("int").alias("offset"),
+        (F.col("char_base") + F.col("_c.offset")).alias("char_idx"),
+        F.col("_c.ch").alias("ch"),
         (F.col("kept_base") + F.col("_k")).alias("new_char_idx"),
         F.col("_k").cast("int").alias("_k"),
-        *[F.coalesce(F.get("_chars", F.col("offset") + s * j), F.lit("")).alias(f"ctx_{n}{j}")
-          for j in range(1, context + 1) for s, n in ((-1, "m"), (1, "p"))],
+        *ctx_cols,
     )
     if p.mode == "line":
         out = out.withColumn("block_id", F.col("line_id").cast("bigint")) \
