@@ -147,6 +147,11 @@ def label_chars(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
     resolution, which only needs the cells of one character.
     """
     cells = expand_spans(annotations, lines, page_lines, p, extra).where(F.col("new_char_idx").isNotNull())
+    # One hash partitioning on (page_id, attribute) serves the overlap
+    # resolution, the decode window, the span aggregate and the span match
+    # (each clusters on a superset of these keys): one shuffle of tag cells
+    # instead of one per stage.
+    cells = cells.repartition("page_id", "attribute")
     return resolve_overlaps(cells, extra).select(
         "page_id", "attribute", *extra, "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch",
         "line_rank",
