@@ -29,9 +29,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def cluster_conf(total_input_bytes: int | None = None) -> dict[str, str]:
+    """Settings for a large cluster (what the plans assume at 100 TB scale).
+
+    - Scan splits of 64 MB: a page row becomes a few times its size as cleaned
+      line arrays, so input splits are kept below the 128 MB default.
+    - Shuffle partitions sized from the input (about 256 MB per partition of
+      input, i.e. ~400k for 100 TB) and left to AQE to coalesce; the shuffles
+      here move line rows or sparse tag rows, both smaller than the input.
+    - AQE skew handling for the joins whose keys can be hot (model / character
+      joins when the small side is too big to broadcast).
+    """
+    parts = 2000 if not total_input_bytes else max(200, total_input_bytes // (256 << 20))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(64 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="spanweave-ckpt-", dir=os.environ.get("SPANWEAVE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
