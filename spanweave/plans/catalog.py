@@ -702,24 +702,32 @@ TAGGER = W(BASE, O.anno_cte(), O.cells_ctes(), TAGGER_SQL)
 
 
 def _tagger_parts(spark, d):
-    """Pages, gold spans and the split; the train / hold-out corpora only clean
-    their own pages (the page filter runs before any text work)."""
+    """Pages and the split.  The split (one small row per annotated page) is
+    checkpointed into the shared checkpoint folder: both the train and the
+    hold-out side read it, and the gold derivation behind it runs once."""
     pages = _pages(spark, d)
-    g = fx.fixture_annotations(pages)
-    sp = splits.split_pages(annotate.annotated_pages(g))
-    return pages, g, sp
+    sp = splits.split_pages(annotate.annotated_pages(fx.fixture_annotations(pages))).checkpoint()
+    return pages, sp
 
 
 def _subset(pages, ids):
     return Corpus(pages.join(ids.select("page_id"), "page_id", "left_semi"), P)
 
 
-def _count_model(spark, d):
-    pages, g, sp = _tagger_parts(spark, d)
+def _train_side(pages, sp, context):
+    """Train corpus, its kept chars with context, and its labels.  The fixture
+    rule is per page, so the train pages' annotations come from those pages
+    alone (no second pass over the whole corpus)."""
     train_ids = sp.where(F.col("tvt") == "train")
     train = _subset(pages, train_ids)
-    ctx = chars.kept_chars(train.lines, P, context=1)
-    return pages, sp, scoring.train_tagger_counts(ctx, train.labels(g), train_ids)
+    ctx = chars.kept_chars(train.lines, P, context=context)
+    return train_ids, ctx, train.labels(fx.fixture_annotations(train.pages))
+
+
+def _count_model(spark, d):
+    pages, sp = _tagger_parts(spark, d)
+    train_ids, ctx, labels = _train_side(pages, sp, 1)
+    return pages, sp, scoring.train_tagger_counts(ctx, labels, train_ids)
 
 
 @register("train_tagger_counts", TAGGER + "SELECT attribute, prev_ch, ch, n_b, n_i, n_o, bio FROM model")
@@ -745,12 +753,10 @@ def q_score_pages(spark, d):
 
 def q_train_tagger_lr(spark, d):
     """Rows-only: predicted spans of the logistic-regression tagger on hold-out pages."""
-    pages, g, sp = _tagger_parts(spark, d)
-    train_ids = sp.where(F.col("tvt") == "train")
-    train = _subset(pages, train_ids)
-    ctx = chars.kept_chars(train.lines, P, context=2)
-    names = spans.attribute_names(annotate.attribute_index(g))
-    models = scoring.train_tagger_lr(ctx, train.labels(g), train_ids, names, k=2,
+    pages, sp = _tagger_parts(spark, d)
+    train_ids, ctx, labels = _train_side(pages, sp, 2)
+    names = spans.attribute_names(annotate.attribute_index(fx.fixture_annotations(pages)))
+    models = scoring.train_tagger_lr(ctx, labels, train_ids, names, k=2,
                                      num_features=1 << 14, max_iter=15)
     hold = chars.kept_chars(_subset(pages, splits.holdout_merge(sp)).lines, P, context=2)
     return spans.decode_spans(scoring.score_with_lr(hold, models)).select(
