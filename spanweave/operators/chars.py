@@ -199,11 +199,6 @@ def block_stats(chars: DataFrame) -> DataFrame:
     )
 
 
-def page_block_counts(chars: DataFrame) -> DataFrame:
-    """Examples per page (the dataset length is the sum)."""
-    return chars.groupBy("page_id").agg(F.countDistinct("block_id").alias("n_blocks"))
-
-
 def block_stats_narrow(frame: DataFrame, p: TextParams) -> DataFrame:
     """Block statistics straight from the page / line grain (no character rows).
 

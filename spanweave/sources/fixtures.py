@@ -8,10 +8,10 @@ grow with the input tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import TEXT_OFFSET, load_pages, split_lines
+from .pages import TEXT_OFFSET, split_lines
 
 # --- fixture rules (fixed values shared with the SQL oracle) ------------------
 # attribute name → pattern; the first match on a raw line is a gold span.
@@ -164,8 +164,3 @@ def embedding_labels(embeddings: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
-
-
-def load_tables(spark: SparkSession, sf_dir: str) -> dict:
-    pages = load_pages(spark, sf_dir)
-    return {"pages": pages, "annotations": fixture_annotations(pages)}
