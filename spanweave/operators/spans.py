@@ -119,12 +119,23 @@ def attribute_names(attributes: DataFrame) -> list[str]:
 
 
 def dense_tags(chars: DataFrame, labels: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Every kept character × every attribute, tag O unless labelled."""
+    """Every kept character × every attribute, tag O unless labelled.
+
+    Union instead of join: an O row per (character, attribute) plus the label
+    rows, hash-partitioned once on (page_id, attribute).  The aggregate that
+    keeps the label over the O (fixed-width int code, hash aggregate) and the
+    per-(page, attribute) windows downstream both accept that partitioning,
+    so the dense rows are shuffled once.
+    """
     names = attribute_names(attributes)
-    d = chars.select(
+    cols = ["page_id", "attribute", "new_char_idx", "line_id", "offset", "ch"]
+    o_rows = chars.select(
         "page_id", "new_char_idx", "line_id", "offset", "ch",
         F.explode(F.array(*[F.lit(n) for n in names])).alias("attribute"),
-    )
-    lab = labels.select("page_id", "attribute", "new_char_idx", F.col("bio").alias("_bio"))
-    return d.join(lab, ["page_id", "attribute", "new_char_idx"], "left") \
-        .withColumn("bio", F.coalesce("_bio", F.lit("O"))).drop("_bio")
+    ).select(*cols, F.lit(0).alias("_code"))
+    lab = labels.select(*cols, F.when(F.col("bio") == "B", 1).when(F.col("bio") == "I", 2)
+                        .otherwise(0).alias("_code"))
+    u = o_rows.unionByName(lab).repartition("page_id", "attribute")
+    g = u.groupBy(*cols).agg(F.max("_code").alias("_code"))
+    return g.select(*cols, F.when(F.col("_code") == 1, "B").when(F.col("_code") == 2, "I")
+                    .otherwise("O").alias("bio"))
