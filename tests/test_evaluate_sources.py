@@ -158,3 +158,14 @@ def test_invariants_on_driver_tables(spark):
                                            F.length("text_offset.text")) == F.col("text_offset.text"))
                         .collect()}
     assert got == exp
+
+
+def test_spread_only_for_tiny_inputs(spark):
+    from spanweave.session import cluster_conf, spread
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(10).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == cores
+    big = spark.range(0, 1000, numPartitions=cores * 2)
+    assert spread(big) is big  # enough scan partitions: unchanged, no shuffle
+    conf = cluster_conf(100 << 40)
+    assert conf["spark.sql.adaptive.enabled"] == "true" and int(conf["spark.sql.shuffle.partitions"]) > 100000
