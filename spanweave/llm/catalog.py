@@ -12,12 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, risk_rules, simhash_trie, spaced_seed, url_rules, warc
+from . import mixing, pitman_yor, risk_rules, simhash_trie, spaced_seed, url_rules, warc
 from .common import new_folder, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = risk_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
@@ -66,7 +70,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_risk_rules, op3_spaced_seed, op4_source_mix, op6_simhash_trie, op8_content_archive, op10_url_rules)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op6_simhash_trie, op8_content_archive, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
