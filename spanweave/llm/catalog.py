@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pitman_yor, risk_rules, simhash_trie, spaced_seed, url_rules, warc
+import corpus_pipeline
+
+from . import importance, mixing, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, url_rules, warc
 from .common import new_folder, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -40,11 +42,19 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "path", "word_no", "secret", "score")
+
+
 def op8_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -70,7 +80,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op6_simhash_trie, op8_content_archive, op10_url_rules)}
+    ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -78,4 +89,4 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mix": mixing.mix_sql(),
         "op8_content_archive": _WARC_SQL,
         "op10_url_rules": _URL_SQL.format(rules=", ".join(str(r) for r in URL_RULES)),
-    }
+    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

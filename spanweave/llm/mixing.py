@@ -5,12 +5,10 @@ document, so a rerun draws the same keys.  A source's target is met by complete
 epochs first; what is left is filled with documents in key order, prefix-summed
 to the budget.
 
-The prefix sum never sorts a whole source.  Per source, sizes are summed in
-1024 key buckets (map-side combined); the budget ends in one bucket, which is
-summed in 1024 parts again, and only the documents of one such part are put in
-order.  Equal keys (repeated rows) are summed as one group and told apart by
-counting them per input partition.  A source holding a third of all rows
-therefore costs one more aggregate row per task, not a third of the sort.
+The prefix sum never sorts a whole source (``selection.within_budget``), so a
+source holding a third of all rows costs one more aggregate row per task, not a
+third of the sort.  Texts are read once, for sizes and keys; everything after
+works on narrow rows.
 """
 
 from __future__ import annotations
@@ -21,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, word_count
+from .selection import within_budget
 
-BUCKETS = 1024
 SYMBOLS = "#*$%&|<>"
 
 
@@ -62,20 +60,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
         "w", "cap", "left_size", "left_w", "level", "capped")
 
 
-def _boundary(rows: DataFrame, by: str, budget: DataFrame) -> DataFrame:
-    """The value of ``by`` in which each source's budget ends, and the sum of all sizes before it.
-
-    budget(source, room, before); rows(source, ``by``, size) are those still in question.
-    """
-    sums = rows.groupBy("source", by).agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    run = sums.join(budget.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("s").over(w), F.lit(0)))
-    last = F.max(F.struct(F.col(by), F.col("start")))
-    return materialize(run.where("start < room").groupBy("source").agg(last.alias("m"), F.first("room").alias("room")).select(
-        "source", F.col(f"m.{by}").alias(by), "room", F.col("m.start").alias("before")), "mix-boundary")
-
-
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 0,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken.
@@ -104,32 +88,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
     plan = plan.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = materialize(plan, "mix-plan")
 
-    # A key's place among its source's keys, about evenly spread over [0, 1); its first and second ten bits.
+    # A key's place among its source's keys, about evenly spread over [0, 1).
+    named = plan.select(F.col("source").alias("_s"), "rate", "source_size", "target", "epochs")
     place = F.least(F.lit(1.0) - F.exp(-F.col("key") * F.col("rate")), F.lit(1 - 1e-9))
-    keyed = base.join(plan.select(F.col("source").alias("_s"), "rate"), F.col("source").eqNullSafe(F.col("_s"))).withColumns({
-        "b1": F.floor(place * BUCKETS), "b2": F.floor(place * BUCKETS * BUCKETS)}).select("source", "size", "key", "b1", "b2")
-    edge = plan.where("room > 0").select("source", "room", F.lit(0).cast("long").alias("before"))
-    edge = _boundary(keyed, "b1", edge)
-    inside = lambda by: keyed.join(
-        edge.select(F.col("source").alias("_s"), F.col(by).alias("_b")), F.col("source").eqNullSafe(F.col("_s")) & (F.col(by) == F.col("_b"))).drop("_s", "_b")
-    edge = _boundary(inside("b1"), "b2", edge.select("source", "room", "before"))
-    edge = _boundary(inside("b2"), "key", edge.select("source", "room", "before"))
-
-    # Documents with the very key at which the budget ends: as many of them as come nearest to it.
-    cut = plan.join(edge.select(F.col("source").alias("_s"), F.col("key").alias("edge_key"), "before"),
-                    F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rate")
-    cut = materialize(cut, "mix-cuts").withColumnRenamed("source", "_s")
-    all_rows = base.join(cut, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "u", "weight")
-    at_edge = all_rows.where("key = edge_key").withColumn("part", F.shiftright("row_no", 33))
-    per_part = at_edge.groupBy("source", "part").agg(F.count("*").alias("n"))
-    parts = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per_part.select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("offset"))
-    numbered = at_edge.withColumn("i", F.row_number().over(Window.partitionBy("source", "part").orderBy("row_no"))).join(
-        offset, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    taken_at_edge = numbered.where(F.col("before") + (F.col("offset") + F.col("i") - 0.5) * F.col("size") <= F.col("room")).select(F.col("row_no").alias("_r"))
-    extra = F.when(F.col("key") < F.col("edge_key"), 1).when(F.col("_r").isNotNull(), 1).otherwise(0)
-    out = all_rows.join(materialize(taken_at_edge, "mix-edge"), F.col("row_no") == F.col("_r"), "left")
-    return out.withColumn("copies", (F.col("epochs") + extra).cast("long")).select(
+    rows = base.join(named, F.col("source").eqNullSafe(F.col("_s"))).withColumn("place", place).drop("_s")
+    out = within_budget(rows, plan.select("source", "room"))
+    return out.withColumn("copies", F.col("epochs").cast("long") + F.col("within").cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

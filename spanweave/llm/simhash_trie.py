@@ -236,8 +236,9 @@ def near_links(fps: DataFrame, distance: int = 2, heavy_node: int = HEAVY_NODE,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2,
                     keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``keep``, fp (signed), fingerprint (16 hex digits), component_id.
+    """One row per document: id, ``keep``, fp (signed), group_fp, fingerprint (16 hex digits), component_id.
 
+    group_fp is one fingerprint of the component, the same for all its documents.
     component_id is the smallest id of the documents that links of at most
     ``distance`` differing bits reach.
 
@@ -252,6 +253,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = materialize(roots.join(leaves, "fp"), "simhash-linked")
     groups = materialize(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-groups")
     of_leaf = leaves.join(linked.select("fp", "root"), "fp", "left").join(groups, "root", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("group_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
     out = marked.join(materialize(of_leaf, "simhash-components"), F.col("fp") == F.col("_fp"))
-    return out.select(id_col, *keep, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(id_col, *keep, "fp", "group_fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
