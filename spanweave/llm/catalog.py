@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import importance, mixing, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, url_rules, warc
+from . import importance, mixing, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, suffix_dedup, url_rules, warc
 from .common import new_folder, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -38,6 +38,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -80,7 +84,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules)
+    ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op5_suffix_dedup, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
