@@ -38,10 +38,13 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w))
 
 
+def _window_hash(tokens: Column, at: Column, i: int, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(i), *[F.get(tokens, at + o) for o in mask])
+
+
 def _window_hashes(tokens: Column, n: Column, at: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """The hashes of the masks placed at ``at``; null where a mask runs past the end."""
-    one = lambda i, mask: F.when(at + mask[-1] < n, F.xxhash64(F.lit(i), *[F.get(tokens, at + o) for o in mask]))
-    return F.array(*[one(i, mask) for i, mask in enumerate(masks)])
+    return F.array(*[F.when(at + mask[-1] < n, _window_hash(tokens, at, i, mask)) for i, mask in enumerate(masks)])
 
 
 def _unrolled(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: tuple[str, ...]) -> DataFrame:
@@ -57,6 +60,14 @@ def _unrolled(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: tuple[str
     return hashed.where("seed is not null")
 
 
+def _seeds(items: DataFrame, i: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(seed, item_no, q) of one mask; a full mask is for the items of just its length."""
+    n, span = F.size("tokens"), masks[i][-1] + 1
+    fit = items.where(n >= span if i < len(MASKS) else n == span)
+    at = fit.select("item_no", "tokens", F.explode(F.sequence(F.lit(0), n - span)).alias("q"))
+    return at.select(_window_hash(F.col("tokens"), F.col("q"), i, masks[i]).alias("seed"), "item_no", "q")
+
+
 def masks_for(lengths: list[int], masks: tuple[tuple[int, ...], ...] = MASKS) -> tuple[tuple[int, ...], ...]:
     """The masks, and a full one for each item length too short for any of them."""
     shortest = min(m[-1] + 1 for m in masks)
@@ -79,8 +90,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short = min(m[-1] + 1 for m in MASKS)
     lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < short).distinct().collect()]  # fewer than a mask's span
     masks = masks_for(lengths)
-    seeds = _unrolled(items, masks, ("item_no",)).select("seed", "item_no", F.col("at").alias("q"))
-    seeds = materialize(seeds.distinct(), "seeds")
+    seeds = materialize(functools.reduce(DataFrame.unionByName, [_seeds(items, i, masks) for i in range(len(masks))]).distinct(), "seeds")
     blocks = max(1, math.ceil(seeds.count() / max_block))
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

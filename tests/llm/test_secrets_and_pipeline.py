@@ -1,0 +1,116 @@
+"""Secret forest, the pipeline and the registered queries."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from spanweave.llm import catalog, secret_forest
+from tests.llm.data import awkward, documents
+from tests.llm.test_duplicates import brute_fingerprint, brute_overlaps, components
+
+SF = "/root/testdata/sf0.001"
+PROSE = "the quick brown fox jumps over the lazy dog and then runs along the river until night falls on misunderstandings counterrevolutionaries".split()
+
+
+def corpus(seed=0, n=300):
+    """(id, text) of prose with secrets, and with long words, numbers and checksums that are none; the secrets by id."""
+    rng = random.Random(seed)
+    rows, secrets = [], {}
+    for i in range(n):
+        w = [rng.choice(PROSE) for _ in range(40)]
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        kind = i % 4
+        if kind == 0:
+            w[20:20] = [rng.choice(["token", "api_key", "Secret"]), "=", f'"{value}"']
+            secrets[i] = value
+        elif kind == 1:
+            w[20:20] = ["order", "".join(rng.choice("0123456789") for _ in range(16))]
+        elif kind == 2:
+            w[20:20] = ["token", "=", '"your' + "x" * 30 + '1"']
+        rows.append((i, " ".join(w), "en", f"src/{i % 3}.py", 0, "", "", ""))
+    return rows, secrets
+
+
+def test_forest_finds_secrets_and_leaves_the_rest(spark):
+    rows, secrets = corpus()
+    found = secret_forest.find_secrets(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.secret) for r in found} == set(secrets.items())
+
+
+def test_forest_learns_from_labelled_findings(spark):
+    """Held-out accuracy with findings labelled by hand."""
+    rows, secrets = corpus(1)
+    seen = secret_forest.candidates(documents(spark, rows))
+    truth = spark.createDataFrame(list(secrets.items()), "doc_id long, secret string").withColumn("label", F.lit(1))
+    labelled = seen.join(truth, ["doc_id", "secret"], "left").na.fill(0, ["label"])
+    new_rows, new_secrets = corpus(2)
+    found = secret_forest.find_secrets(documents(spark, rows + [(r[0] + 1000, *r[1:]) for r in new_rows]), labelled=labelled).collect()
+    held = {(r.doc_id - 1000, r.secret) for r in found if r.doc_id >= 1000}
+    assert len(held & set(new_secrets.items())) >= 0.95 * len(new_secrets) and len(held - set(new_secrets.items())) <= 2
+
+
+def test_language_tables(spark):
+    words = secret_forest.dictionary(documents(spark, [(i, "Abc, abd xyz9 " * 3, None, None, None, None, None, None) for i in range(2)]))
+    assert {(r.word, r.n) for r in words.collect()} == {("abc", 6), ("abd", 6)}
+    transitions, triples = secret_forest.language_tables(words)
+    assert triples[0 * 676 + 1 * 26 + 2] == 1 and triples[0 * 676 + 1 * 26 + 3] == 1 and sum(triples) == 2
+    assert transitions[0 * 28 + 1] < transitions[0 * 28 + 2]
+
+
+def test_awkward_rows(spark):
+    rows, secrets = corpus(3, 80)
+    odd = [(1, None, None, None, None, None, None, None), (None, rows[0][1], None, None, None, None, None, None), (None, "", "", "", 0, "", "", ""), rows[0],
+           (5000, "x" * 100_000 + " token = " + "a1" * 50_000, None, None, None, None, None, None)]
+    docs = documents(spark, rows + odd)
+    found = secret_forest.find_secrets(docs)
+    clean = secret_forest.redact(docs, found)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    texts = {(r.doc_id, r.text) for r in clean.collect()}
+    for i, value in secrets.items():
+        assert not any(value in (t or "") for _, t in texts)
+    assert (None, rows[0][1].replace(secrets[0], "[SECRET]")) in texts and (1, None) in texts
+    assert secret_forest.find_secrets(documents(spark, awkward())).count() == 0  # one label only: no forest
+    assert secret_forest.find_secrets(documents(spark, [])).count() == 0
+
+
+def test_pipeline_stages(spark):
+    """Every stage against brute force on its own input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs.collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        after = out.collect()
+        left = {r.doc_id for r in after}
+        if name == "quality_rules":
+            judged = catalog.op2_risk_rules(spark, SF)
+            assert left == {r.doc_id for r in judged.where("kept").collect()}
+        elif name == "near_duplicates":
+            fps = {r.doc_id: brute_fingerprint(r.text) for r in before}
+            groups = components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+            assert left == {min(i for i, f in fps.items() if f in g) for g in groups}
+        elif name == "decontamination":
+            assert left == {r.doc_id for r in before} - {i for i, _ in brute_overlaps([(r.doc_id, r.text) for r in before], items)}
+        elif name == "secrets":
+            assert left == {r.doc_id for r in before}
+        docs, before = spark.createDataFrame(after, docs.schema), after
+    mixed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in mixed} == {r.doc_id for r in before}
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, text, "en", "s", 0) for i in (3, 3, 5, None)] + [(None, "another text " + text[::-1], "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "None"]
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n != "pipeline"])
+def test_queries_run_on_the_smoke_tables(spark, name):
+    out = catalog.queries()[name](spark, SF)
+    assert len(set(out.columns)) == len(out.columns)
+    assert out.count() > 0
