@@ -8,7 +8,7 @@ invented prose in European languages.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 # --- fixed values that must equal the original task's -----------------------
@@ -36,6 +36,9 @@ MAX_LENGTH_CODEPOINT = 2048
 MAX_LENGTH_VOCAB = 512
 # ------------------------------------------------------------------------------
 
+# A page is named by its category and its id: every category is a run of its own.
+PAGE = ["category", "page_id"]
+
 
 @dataclass(frozen=True)
 class TextParams:
@@ -55,7 +58,6 @@ class TextParams:
     variant: str = "codepoint"
     max_length: int = MAX_LENGTH_CODEPOINT
     blank_patterns: bool = True
-    extra: dict = field(default_factory=dict, compare=False)
 
     @property
     def capacity(self) -> int:

@@ -40,13 +40,3 @@ def softmax(logits: Column) -> Column:
 def argmax(arr: Column) -> Column:
     """0-based index of the largest element; ties → first."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
-
-
-def pad_right(arr: Column, length: Column, pad) -> Column:
-    """Pad ``arr`` with ``pad`` up to ``length`` elements."""
-    n = F.greatest(length - F.size(arr), F.lit(0))
-    return F.concat(arr, F.array_repeat(F.lit(pad), n))
-
-
-def round_array(arr: Column, places: int = 6) -> Column:
-    return F.transform(arr, lambda x: F.round(x, places))

@@ -1,122 +1,147 @@
 """Gold spans → per-character B/I/O tags.
 
 A span covers lines ``sl..el`` and, on EVERY one of those lines, offsets
-``so..eo-1``; its first cell is B, every other cell I.  Cells are produced by
-joining span-lines to the cleaned line table on (page_id, line_id), so a span
-never expands past the lines and characters that exist, and tag cells carry
-their kept-character index straight from the line they sit on.
+``so..eo-1``; its first cell is B, every other cell I.
+
+Plan shape: the annotations of a page become one array (small), which meets the
+page frame in one join on the page; everything after that happens inside the
+page row.  Spans are clipped to the lines that exist, grouped by line, and a
+line is split once however many spans it holds.  No line text is ever shuffled
+by line; only the tagged characters move afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TextParams
+from ..config import PAGE, TextParams
 from ..functions.arrays import prefix_sum
-from ..functions.text import is_whitespace_cp
+from ..functions.text import is_whitespace_cp, let
 
 
 def span_bounds(annotations: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Flatten text_offset to sl, so, el, eo."""
+    """Flatten text_offset to sl, so, el, eo and the span's text."""
     return annotations.select(
-        "page_id", "attribute", "anno_seq", *extra,
+        *PAGE, "attribute", "anno_seq", *extra,
         F.col("text_offset.start.line_id").alias("sl"),
         F.col("text_offset.start.offset").alias("so"),
         F.col("text_offset.end.line_id").alias("el"),
         F.col("text_offset.end.offset").alias("eo"),
+        F.col("text_offset.text").alias("text"),
     )
 
 
 def attribute_index(annotations: DataFrame) -> DataFrame:
-    """Sorted distinct attributes → attr_idx 0..n-1 (a tiny dimension).
+    """Sorted distinct attributes of each category → attr_idx 0..n-1.
 
-    The distinct runs as a partial + final aggregate; only the distinct names
-    (a handful) reach the global rank.
+    The distinct runs as a partial + final aggregate, and the rank is per
+    category, over the names of its annotation schema.
     """
-    names = annotations.select("attribute").where(F.col("attribute").isNotNull()).distinct()
+    names = annotations.select("category", "attribute").where(F.col("attribute").isNotNull()).distinct()
     return names.select(
-        "attribute",
-        (F.row_number().over(Window.orderBy("attribute")) - 1).cast("int").alias("attr_idx"),
+        "category", "attribute",
+        (F.row_number().over(Window.partitionBy("category").orderBy("attribute")) - 1).cast("int").alias("attr_idx"),
     )
 
 
 def annotated_pages(annotations: DataFrame) -> DataFrame:
-    return annotations.select("page_id").distinct()
+    return annotations.select(*PAGE).distinct()
 
 
-def span_lines(annotations: DataFrame, page_lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (annotation, covered line that exists).
+def page_annotations(annotations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Annotations with the state of their page: found, empty, or missing.
 
-    page_lines: (page_id, n_lines) — clips ``sl..el`` to the page so that a
-    malformed annotation cannot expand past it.  Empty spans (eo <= so, or
-    el < sl) produce nothing.
+    A left join from the annotated pages, so that a page without a file (or
+    with an empty one) is reported instead of dropping out unseen.
     """
-    b = span_bounds(annotations, extra).where((F.col("so") < F.col("eo")) & (F.col("sl") <= F.col("el")))
-    b = b.join(page_lines.select("page_id", "n_lines"), "page_id")
-    lo = F.greatest(F.col("sl"), F.lit(0))
-    hi = F.least(F.col("el"), F.col("n_lines") - 1)
-    return b.where(lo <= hi).select(
-        "page_id", "attribute", "anno_seq", "sl", "so", "el", "eo", *extra,
-        F.explode(F.sequence(lo, hi)).alias("line_id"),
-    )
-
-
-def expand_spans(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
-                 p: TextParams, extra: tuple[str, ...] = ()) -> DataFrame:
+    state = pages.groupBy(*PAGE).agg(F.max(F.length("text")).alias("_n"))
+    j = annotations.join(state, PAGE, "left")
+    return j.withColumn("page_state", F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 0, "empty")
+                        .otherwise("found")).drop("_n")
+
+
+def page_spans(annotations: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per annotated page: its spans as an array (the annotations of one page)."""
+    b = span_bounds(annotations, extra)
+    return b.groupBy(*PAGE).agg(
+        F.collect_list(F.struct("attribute", "anno_seq", "sl", "so", "el", "eo", *extra)).alias("spans"))
+
+
+def _by_line(spans: Column, n_lines: Column) -> Column:
+    """Array of (line_id, spans on it): spans clipped to the page, sorted, cut into runs of one line."""
+    none = F.array().cast("array<int>")
+
+    def covered(s: Column) -> Column:
+        lo, hi = F.greatest(s["sl"], F.lit(0)), F.least(s["el"], n_lines - 1)
+        lines = F.when((s["so"] < s["eo"]) & (lo <= hi), F.sequence(lo, hi)).otherwise(none)
+        return F.transform(lines, lambda line: F.struct(line.alias("line_id"), s.alias("span")))
+
+    def runs(cells: Column) -> Column:
+        first = F.filter(
+            F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1)).otherwise(none),
+            lambda i: (i == 0) | (F.get(cells, i)["line_id"] != F.get(cells, i - 1)["line_id"]))
+        return let(first, lambda starts: F.transform(starts, lambda at, r: F.struct(
+            F.get(cells, at)["line_id"].alias("line_id"),
+            F.transform(F.slice(cells, at + 1, F.coalesce(F.get(starts, r + 1), F.size(cells)) - at), lambda c: c["span"]).alias("spans"))))
+
+    return let(F.array_sort(F.flatten(F.transform(spans, covered))), runs)
+
+
+def _line_cells(line: Column, spans: Column, extra: tuple[str, ...]) -> Column:
+    """Cells of all spans of one line: the line is split once, ranks come from one running count."""
+    def cells(chars: Column, kept: Column, run: Column) -> Column:
+        def of_span(s: Column) -> Column:
+            lo, hi = F.greatest(s["so"], F.lit(0)), F.least(s["eo"], F.size(chars))
+            offsets = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(offsets, lambda o: F.struct(
+                s["attribute"].alias("attribute"), s["anno_seq"].alias("anno_seq"),
+                s["sl"].alias("sl"), s["so"].alias("so"),
+                o.alias("offset"), F.get(chars, o).alias("ch"),
+                F.when(o > 0, F.get(chars, o - 1)).otherwise("").alias("prev_ch"),
+                F.get(kept, o).alias("keep"), (F.get(run, o) - 1).alias("rank"),
+                *[s[e].alias(e) for e in extra]))
+        return F.flatten(F.transform(spans, of_span))
+
+    flag = lambda c: F.when(is_whitespace_cp(F.ascii(c)), F.lit(0)).otherwise(F.lit(1))
+    # An empty pattern leaves no trailing '' for a line that is not empty.
+    return let(F.split(line, ""), lambda chars: let(F.transform(chars, flag), lambda kept: let(
+        prefix_sum(kept), lambda run: cells(chars, kept, run))))
+
+
+def expand_spans(annotations: DataFrame, frame: DataFrame, p: TextParams, extra: tuple[str, ...] = (),
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """All cells of all spans on existing characters, kept or not.
 
-    Columns: page_id, line_id, offset, attribute, anno_seq, bio, ch, prev_ch
-    (the raw character before, '' at line start), new_char_idx (null when the
-    character is dropped), plus the ``extra`` annotation columns.
+    frame: ``page_frame`` rows.  Columns: category, page_id, line_id, offset,
+    attribute, anno_seq, bio, ch, prev_ch (the raw character before, '' at line
+    start), new_char_idx (null when the character is dropped), line_rank, plus
+    the ``extra`` annotation columns and the ``carry`` columns of the page.
     """
-    sl = span_lines(annotations, page_lines, extra)
-    ln = lines.select("page_id", "line_id", "line", "in_body", "kept_base")
-    j = sl.join(ln, ["page_id", "line_id"])
-    cps = F.transform(F.split("line", ""), lambda c: F.ascii(c))
-    j = j.select(
-        "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base", *extra,
-        F.split("line", "").alias("_chars"),
-        cps.alias("_cps"),
-        F.greatest(F.col("so"), F.lit(0)).alias("_lo"),
-        F.least(F.col("eo"), F.length("line")).alias("_hi"),
-    ).where(F.col("_lo") < F.col("_hi"))
-    # Kept characters of the line before the span start, then a running count
-    # over the span's own cells gives each cell its rank inside the line.
-    j = j.select(
-        "*",
-        F.size(F.filter(F.slice("_cps", 1, F.col("_lo")), lambda cp: ~is_whitespace_cp(cp))).alias("_base"),
-        F.transform(
-            F.slice("_cps", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")),
-            lambda cp: F.when(is_whitespace_cp(cp), F.lit(0)).otherwise(F.lit(1)),
-        ).alias("_keep"),
-    ).select(
-        "*", prefix_sum(F.col("_keep")).alias("_run"),
-        F.slice("_chars", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")).alias("_ch"),
-        F.slice(F.concat(F.array(F.lit("")), "_chars"), F.col("_lo") + 1, F.col("_hi") - F.col("_lo")).alias("_prev"),
-    )
-    # every cell's fields are zipped before the explode: rows never carry the line's array
-    cells = j.select(
-        "page_id", "line_id", "attribute", "anno_seq", "sl", "so", "in_body", "kept_base",
-        "_lo", "_base", *extra,
-        F.posexplode_outer(F.arrays_zip("_keep", "_run", "_ch", "_prev")).alias("_j", "_c"),
-    ).where(F.col("_j").isNotNull())
-    offset = (F.col("_lo") + F.col("_j")).cast("int")
-    rank = F.col("_base") + F.col("_c._run") - 1
-    kept = (F.col("_c._keep") == 1) & F.col("in_body")
+    j = frame.select(*PAGE, "n_lines", "lines", *carry).join(page_spans(annotations, extra), PAGE)
+    # ``*_outer`` and a filter on the generated column: see ``clean_lines``.
+    runs = j.select(*PAGE, "lines", *carry, F.explode_outer(_by_line(F.col("spans"), F.col("n_lines"))).alias("_r"))
+    runs = runs.where(F.col("_r").isNotNull()).select(
+        *PAGE, *carry, F.get("lines", F.col("_r.line_id")).alias("_l"), F.col("_r.spans").alias("_s"))
+    cells = runs.select(*PAGE, *carry, F.col("_l.line_id").alias("line_id"), F.col("_l.in_body").alias("in_body"),
+                        F.col("_l.kept_base").alias("kept_base"),
+                        F.explode_outer(_line_cells(F.col("_l.line"), F.col("_s"), extra)).alias("_c"))
+    cells = cells.where(F.col("_c").isNotNull())
+    rank = F.col("_c.rank")
+    kept = (F.col("_c.keep") == 1) & F.col("in_body")
     if p.mode == "line":
         kept = kept & (rank < p.capacity)
+    first = (F.col("line_id") == F.col("_c.sl")) & (F.col("_c.offset") == F.col("_c.so"))
     return cells.select(
-        "page_id", "line_id",
-        offset.alias("offset"),
-        "attribute", "anno_seq",
-        F.when((F.col("line_id") == F.col("sl")) & (offset == F.col("so")), F.lit("B"))
-        .otherwise(F.lit("I")).alias("bio"),
-        F.col("_c._ch").alias("ch"),
-        F.col("_c._prev").alias("prev_ch"),
+        *PAGE, "line_id",
+        F.col("_c.offset").alias("offset"),
+        F.col("_c.attribute").alias("attribute"), F.col("_c.anno_seq").alias("anno_seq"),
+        F.when(first, F.lit("B")).otherwise(F.lit("I")).alias("bio"),
+        F.col("_c.ch").alias("ch"),
+        F.col("_c.prev_ch").alias("prev_ch"),
         F.when(kept, F.col("kept_base") + rank).alias("new_char_idx"),
         F.when(kept, rank.cast("int")).alias("line_rank"),
-        *extra,
+        *[F.col(f"_c.{e}").alias(e) for e in extra], *carry,
     )
 
 
@@ -128,34 +153,32 @@ def resolve_overlaps(cells: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame
     tag) so the aggregate stays a hash aggregate with a fixed-width buffer.
     """
     packed = F.col("anno_seq") * 2 + F.when(F.col("bio") == "I", 1).otherwise(0)
-    g = cells.groupBy("page_id", "line_id", "offset", "attribute", *extra, "ch", "prev_ch", "new_char_idx",
+    g = cells.groupBy(*PAGE, "line_id", "offset", "attribute", *extra, "ch", "prev_ch", "new_char_idx",
                       "line_rank").agg(
         F.max(packed).alias("_w"))
     return g.select(
-        "page_id", "line_id", "offset", "attribute", *extra,
+        *PAGE, "line_id", "offset", "attribute", *extra,
         F.when(F.pmod(F.col("_w"), F.lit(2)) == 1, F.lit("I")).otherwise(F.lit("B")).alias("bio"),
         "ch", "prev_ch", "new_char_idx", "line_rank",
     )
 
 
-def label_chars(annotations: DataFrame, lines: DataFrame, page_lines: DataFrame,
-                p: TextParams, extra: tuple[str, ...] = ()) -> DataFrame:
+def label_chars(annotations: DataFrame, frame: DataFrame, p: TextParams, extra: tuple[str, ...] = (),
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Sparse labels: the tagged kept characters (every other kept char is O).
 
-    Columns: page_id, attribute, new_char_idx, bio, line_id, offset, ch,
-    prev_ch, line_rank (rank among the kept chars of its line) (+ extra).  Cells on dropped characters vanish before the overlap
+    Columns: category, page_id, attribute, new_char_idx, bio, line_id, offset,
+    ch, prev_ch, line_rank (rank among the kept chars of its line), ``extra``
+    and ``carry``.  Cells on dropped characters vanish before the overlap
     resolution, which only needs the cells of one character.
     """
-    cells = expand_spans(annotations, lines, page_lines, p, extra).where(F.col("new_char_idx").isNotNull())
-    # One hash partitioning on (page_id, attribute) serves the overlap
-    # resolution, the decode window, the span aggregate and the span match
-    # (each clusters on a superset of these keys): one shuffle of tag cells
-    # instead of one per stage.
-    cells = cells.repartition("page_id", "attribute")
-    return resolve_overlaps(cells, extra).select(
-        "page_id", "attribute", *extra, "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch",
-        "line_rank",
-    )
+    cells = expand_spans(annotations, frame, p, extra, carry).where(F.col("new_char_idx").isNotNull())
+    # One hash partitioning on (page, attribute) serves the overlap resolution,
+    # the decode window, the span aggregate and the span match (each clusters
+    # on a superset of these keys): one shuffle of tag cells instead of one per
+    # stage.
+    cells = cells.repartition(*PAGE, "attribute")
+    return resolve_overlaps(cells, (*extra, *carry))
 
 
 def tag_string(bio, attribute):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TextParams
+from ..config import PAGE, TextParams
 from ..functions.arrays import prefix_sum
 from ..functions.text import (
     clean_line, let, footer_trigger, is_whitespace_cp, kept_count, normalize_newlines,
@@ -37,14 +37,14 @@ def page_frame(pages: DataFrame, p: TextParams) -> DataFrame:
     raw = split_lines_expr(F.col("text"))
     clean = F.transform(raw, clean_line) if p.blank_patterns else raw
     base = pages.select(
-        "page_id", "category",
+        *PAGE,
         title_expr(norm, p.title_marker).alias("title"),
         clean.alias("_clean"),
     )
     # 1-based index of the first footer line, 0 when the page has none.
     trig = F.transform("_clean", lambda l: footer_trigger(l, p.footer_regex, p.footer_headings))
     base = base.select(
-        "page_id", "category", "title", "_clean",
+        *PAGE, "title", "_clean",
         F.array_position(trig, True).cast("int").alias("_cut"),
         F.transform("_clean", lambda l: F.length(l)).alias("_len"),
         F.transform("_clean", kept_count).alias("_kc"),
@@ -58,20 +58,20 @@ def page_frame(pages: DataFrame, p: TextParams) -> DataFrame:
         )
 
     base = base.select(
-        "page_id", "category", "title", "_clean", "_cut", "_len",
+        *PAGE, "title", "_clean", "_cut", "_len",
         let(F.col("_cut"), body_flags).alias("_body"),
         F.col("_kc"),
     )
     cap = F.lit(p.capacity)
     base = base.select(
-        "page_id", "category", "title", "_clean", "_cut", "_len", "_body",
+        *PAGE, "title", "_clean", "_cut", "_len", "_body",
         F.zip_with(
             "_kc", "_body",
             lambda n, b: F.when(b, F.least(n, cap) if p.mode == "line" else n).otherwise(F.lit(0)),
         ).alias("_kept"),
     )
     base = base.select(
-        "page_id", "category", "title", "_clean", "_cut", "_len", "_body", "_kept",
+        *PAGE, "title", "_clean", "_cut", "_len", "_body", "_kept",
         prefix_sum(F.col("_len")).alias("_len_end"),
         prefix_sum(F.col("_kept")).alias("_kept_end"),
     )
@@ -89,7 +89,7 @@ def page_frame(pages: DataFrame, p: TextParams) -> DataFrame:
         ),
     )
     return base.select(
-        "page_id", "category", "title",
+        *PAGE, "title",
         F.size("_clean").cast("int").alias("n_lines"),
         F.coalesce(F.try_element_at("_kept_end", F.lit(-1)), F.lit(0).cast("bigint")).alias("n_kept"),
         (F.col("_cut") - 1).alias("footer_line"),
@@ -100,7 +100,7 @@ def page_frame(pages: DataFrame, p: TextParams) -> DataFrame:
 def page_info(pages: DataFrame, p: TextParams) -> DataFrame:
     """page_id, category, title, n_lines — no cleaning needed, one row per page."""
     return pages.select(
-        "page_id", "category",
+        *PAGE,
         title_expr(normalize_newlines(F.col("text")), p.title_marker).alias("title"),
         F.size(split_lines_expr(F.col("text"))).cast("int").alias("n_lines"),
     )
@@ -113,9 +113,11 @@ def clean_lines(pages: DataFrame, p: TextParams) -> DataFrame:
     infers ``size(array) > 0`` and pushes it below the projections, which
     copies the whole cleaning expression into a filter and runs it twice.
     """
-    return page_frame(pages, p).select(
-        "page_id", "category", F.inline_outer("lines"),
-    ).where(F.col("line_id").isNotNull())
+    return frame_lines(page_frame(pages, p))
+
+
+def frame_lines(frame: DataFrame) -> DataFrame:
+    return frame.select(*PAGE, F.inline_outer("lines")).where(F.col("line_id").isNotNull())
 
 
 def explode_chars(lines: DataFrame) -> DataFrame:
@@ -124,10 +126,10 @@ def explode_chars(lines: DataFrame) -> DataFrame:
     char_idx: page-wide running index over all raw characters (incl. newline).
     """
     return lines.select(
-        "page_id", "line_id", "char_base",
+        *PAGE, "line_id", "char_base",
         F.posexplode_outer(F.split("line", "")).alias("offset", "ch"),
     ).where(F.col("offset").isNotNull()).select(
-        "page_id", "line_id",
+        *PAGE, "line_id",
         F.col("offset").cast("int").alias("offset"),
         (F.col("char_base") + F.col("offset")).alias("char_idx"),
         "ch",
@@ -163,12 +165,12 @@ def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     if p.mode == "line":
         kept = F.slice(kept, 1, cap)
     exploded = body.select(
-        "page_id", "line_id", "char_base", "kept_base",
+        *PAGE, "line_id", "char_base", "kept_base",
         F.posexplode_outer(kept).alias("_k", "_c"),
     ).where(F.col("_k").isNotNull())
     ctx_cols = [F.col(f"_c.ctx_{n}{j}").alias(f"ctx_{n}{j}") for j in range(1, context + 1) for n in ("m", "p")]
     out = exploded.select(
-        "page_id", "line_id",
+        *PAGE, "line_id",
         F.col("_c.offset").cast("int").alias("offset"),
         (F.col("char_base") + F.col("_c.offset")).alias("char_idx"),
         F.col("_c.ch").alias("ch"),
@@ -190,15 +192,6 @@ def page_chars(pages: DataFrame, p: TextParams) -> DataFrame:
     return kept_chars(clean_lines(pages, p), p)
 
 
-def block_stats(chars: DataFrame) -> DataFrame:
-    """Non-empty blocks per page: size and index range (one row per block)."""
-    return chars.groupBy("page_id", "block_id").agg(
-        F.count(F.lit(1)).alias("n_chars"),
-        F.min("new_char_idx").alias("first_idx"),
-        F.max("new_char_idx").alias("last_idx"),
-    )
-
-
 def block_stats_narrow(frame: DataFrame, p: TextParams) -> DataFrame:
     """Block statistics straight from the page / line grain (no character rows).
 
@@ -208,10 +201,10 @@ def block_stats_narrow(frame: DataFrame, p: TextParams) -> DataFrame:
     """
     cap = p.capacity
     if p.mode == "line":
-        ln = frame.select("page_id", F.inline_outer("lines")).where(
+        ln = frame.select(*PAGE, F.inline_outer("lines")).where(
             F.col("in_body") & (F.col("kept_n") > 0))
         return ln.select(
-            "page_id", F.col("line_id").cast("bigint").alias("block_id"),
+            *PAGE, F.col("line_id").cast("bigint").alias("block_id"),
             F.col("kept_n").cast("bigint").alias("n_chars"),
             F.col("kept_base").alias("first_idx"),
             (F.col("kept_base") + F.col("kept_n") - 1).alias("last_idx"),
@@ -219,13 +212,13 @@ def block_stats_narrow(frame: DataFrame, p: TextParams) -> DataFrame:
     nb = F.expr(f"(n_kept + {cap - 1}) div {cap}")
     # Filters only on the generated column: a filter on n_kept would be pushed
     # below the generator and copy the whole cleaning expression into it.
-    b = frame.select("page_id", "n_kept", nb.alias("_nb")).select(
-        "page_id", "n_kept",
+    b = frame.select(*PAGE, "n_kept", nb.alias("_nb")).select(
+        *PAGE, "n_kept",
         F.explode_outer(F.when(F.col("_nb") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
         .alias("block_id"),
     ).where(F.col("block_id").isNotNull())
     return b.select(
-        "page_id", "block_id",
+        *PAGE, "block_id",
         F.least(F.lit(cap).cast("bigint"), F.col("n_kept") - F.col("block_id") * cap).alias("n_chars"),
         (F.col("block_id") * cap).alias("first_idx"),
         (F.least(F.col("n_kept"), (F.col("block_id") + 1) * cap) - 1).alias("last_idx"),

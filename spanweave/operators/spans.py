@@ -21,21 +21,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import PAGE
 
-def bio_transitions(tags: DataFrame, keys=("page_id", "attribute")) -> DataFrame:
-    """Dense tag sequence → insert/start/end flags per position."""
-    w = Window.partitionBy(*keys).orderBy("new_char_idx")
-    prev = F.lag("bio", 1, "O").over(w)
-    tagged = F.col("prev_bio").isin("B", "I")
-    return tags.withColumn("prev_bio", prev).select(
-        "*",
-        ((tagged & F.col("bio").isin("B", "O"))).alias("insert"),
-        (F.col("bio").isin("B") | ((F.col("prev_bio") == "O") & (F.col("bio") == "I"))).alias("start"),
-        (F.col("bio").isin("B", "I")).alias("end"),
-    )
+
+KEYS = (*PAGE, "attribute")
 
 
-def decode_spans(tagged: DataFrame, keys=("page_id", "attribute")) -> DataFrame:
+def bio_transitions(tagged: DataFrame, keys=KEYS) -> DataFrame:
+    """Sparse tags → the positions where something happens, with their flags.
+
+    tagged: keys + new_char_idx, bio, n_kept (kept characters of the page).
+    start: a span begins here; end: the span may end here (every tagged
+    position); insert: the span before this position is closed here, that is the
+    position after a tagged one unless it holds an I.  All three follow from the
+    tagged characters, so O positions are never produced: the only ones that
+    matter stand right after a run.
+    """
+    w = Window.partitionBy(*keys).orderBy("new_char_idx")
+    t = tagged.where(F.col("bio").isin("B", "I"))
+    prev, nxt = F.lag("new_char_idx").over(w), F.lead("new_char_idx").over(w)
+    here = F.col("new_char_idx")
+    t = t.withColumns({"_prev": prev, "_next": nxt})
+    after_run = F.col("_prev").isNotNull() & (F.col("_prev") == here - 1)
+    own = F.struct(here.alias("new_char_idx"), F.col("bio"),
+                   (after_run & (F.col("bio") == "B")).alias("insert"),
+                   ((F.col("bio") == "B") | ~after_run).alias("start"), F.lit(True).alias("end"))
+    # The O position that closes a run, if the page goes on.
+    gap = (F.col("_next").isNull() | (F.col("_next") != here + 1)) & (here + 1 < F.col("n_kept"))
+    closing = F.when(gap, F.struct((here + 1).alias("new_char_idx"), F.lit("O").alias("bio"), F.lit(True).alias("insert"),
+                                   F.lit(False).alias("start"), F.lit(False).alias("end")))
+    return t.select(*keys, F.inline(F.array_compact(F.array(own, closing))))
+
+
+def decode_spans(tagged: DataFrame, keys=KEYS) -> DataFrame:
     """Sparse tagged characters → one row per span.
 
     tagged: keys + new_char_idx, bio ('B'/'I'), line_id, offset, ch.
@@ -69,15 +87,13 @@ def decode_spans(tagged: DataFrame, keys=("page_id", "attribute")) -> DataFrame:
     )
 
 
-def span_records(spans: DataFrame, info: DataFrame) -> DataFrame:
-    """Attach the page title and build the nested prediction record.
+def span_records(spans: DataFrame) -> DataFrame:
+    """Spans with their page's title (a decode key) → nested prediction records.
 
-    info: (page_id, title) — one row per page.  Field order of text_offset is
-    start, text, end.  Ordering (page, attribute, position) is left to the sink.
+    Field order of text_offset is start, text, end.
     """
-    j = spans.join(info.select("page_id", "title"), "page_id", "left")
-    return j.select(
-        "page_id", "title", "attribute",
+    return spans.select(
+        *PAGE, "title", "attribute",
         F.struct(
             F.struct(F.col("start_line").alias("line_id"), F.col("start_offset").alias("offset")).alias("start"),
             F.col("text").alias("text"),
@@ -87,55 +103,16 @@ def span_records(spans: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-def reassemble_page(block_scores: DataFrame, chars: DataFrame) -> DataFrame:
-    """Block-position predictions → per-character tags of each page.
-
-    block_scores: page_id, block_id, attr_idx, pos (0-based position in the
-    model input), label (−1 = special/padding), pred (tag index).
-    Positions with label −1 are dropped; position ``block_idx + 1`` holds the
-    character (position 0 is [CLS]).  The join back to the character table
-    restores new_char_idx and the source coordinates.
-    """
-    kept = block_scores.where(F.col("label") != -1).select(
-        "page_id", "block_id", "attr_idx", "pred",
-        (F.col("pos") - 1).cast("int").alias("block_idx"),
-    )
-    return kept.join(
-        chars.select("page_id", "block_id", "block_idx", "new_char_idx", "line_id", "offset", "ch"),
-        ["page_id", "block_id", "block_idx"],
-    )
-
-
-# The attribute dimension is collected to build the dense matrix; it is the
-# list of attribute names of an annotation schema, checked to stay small.
-MAX_ATTRIBUTES = 4096
-
-
-def attribute_names(attributes: DataFrame) -> list[str]:
-    rows = attributes.orderBy("attr_idx").limit(MAX_ATTRIBUTES + 1).collect()
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes: not a dimension")
-    return [r["attribute"] for r in rows]
-
-
-def dense_tags(chars: DataFrame, labels: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Every kept character × every attribute, tag O unless labelled.
+def reassemble_page(block_scores: DataFrame) -> DataFrame:
+    """Block predictions → per-character tags of each page.
 
-    Union instead of join: an O row per (character, attribute) plus the label
-    rows, hash-partitioned once on (page_id, attribute).  The aggregate that
-    keeps the label over the O (fixed-width int code, hash aggregate) and the
-    per-(page, attribute) windows downstream both accept that partitioning,
-    so the dense rows are shuffled once.
+    block_scores: category, page_id, block_id, attr_idx, first_idx (kept index of
+    the block's first character) and two arrays over the model input, labels
+    (-1 = special/padding) and pred (tag index).  Positions with label -1 are
+    dropped; position ``i`` holds the character ``i - 1`` of its block (position 0
+    is [CLS]), so its kept index is arithmetic and nothing is joined.
     """
-    names = attribute_names(attributes)
-    cols = ["page_id", "attribute", "new_char_idx", "line_id", "offset", "ch"]
-    o_rows = chars.select(
-        "page_id", "new_char_idx", "line_id", "offset", "ch",
-        F.explode(F.array(*[F.lit(n) for n in names])).alias("attribute"),
-    ).select(*cols, F.lit(0).alias("_code"))
-    lab = labels.select(*cols, F.when(F.col("bio") == "B", 1).when(F.col("bio") == "I", 2)
-                        .otherwise(0).alias("_code"))
-    u = o_rows.unionByName(lab).repartition("page_id", "attribute")
-    g = u.groupBy(*cols).agg(F.max("_code").alias("_code"))
-    return g.select(*cols, F.when(F.col("_code") == 1, "B").when(F.col("_code") == 2, "I")
-                    .otherwise("O").alias("bio"))
+    pos = block_scores.select(*PAGE, "block_id", "attr_idx", "first_idx", F.posexplode_outer(F.arrays_zip("labels", "pred")).alias("_pos", "_x"))
+    return pos.where(F.col("_pos").isNotNull() & (F.col("_x.labels") != -1)).select(
+        *PAGE, "block_id", "attr_idx", (F.col("_pos") - 1).cast("int").alias("block_idx"),
+        (F.col("first_idx") + F.col("_pos") - 1).cast("bigint").alias("new_char_idx"), F.col("_x.pred").alias("pred"))

@@ -8,14 +8,19 @@ places on both sides; integer widths are cast explicitly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import fixture_params
+from ..config import PAGE, fixture_params
 from ..functions import text as tx
 from ..operators import annotate, chars, evaluate, examples, scoring, spans, splits
 from ..sources import fixtures as fx
-from ..sources.pages import load_pages, output_layout, split_lines
+from ..session import checkpointed, ensure_checkpoint_dir
+from ..sources.pages import (
+    load_pages, output_layout, read_annotations, read_pages, read_predictions, split_lines, write_partitioned, write_predictions,
+)
 from . import oracle as O
 from .extract import Corpus, extract_spans, flat_records, set_spans
 
@@ -56,30 +61,50 @@ BASE = O.base()
 # ----------------------------------------------------------------- 2.1 sources
 
 
-@register("read_pages", "SELECT doc_id AS page_id, source AS category, text FROM documents")
+def _folder(spark, name):
+    """A new folder under the one that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_pages", "SELECT doc_id AS page_id, source AS category, text FROM documents WHERE length(text) > 0")
 def q_read_pages(spark, d):
-    return _pages(spark, d).select("page_id", "category", "text")
+    """Round trip: the pages written as one text file per page, named {category}/{page_id}.txt, and read back.
+
+    A page's file is a folder with one part to Spark's writer; ``read_pages`` takes
+    both layouts.  The writer ends every row with a newline, which is taken off again.
+    """
+    path = _folder(spark, "pages")
+    pages = _pages(spark, d).where(F.length("text") > 0)
+    pages.select("category", "page_id", F.col("text").alias("value")).repartition("category", "page_id").write.partitionBy(
+        "category", "page_id").text(path)
+    return read_pages(spark, path).select("page_id", "category", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
 
 
 @register("split_lines", W(O.raw_lines_cte()) + "SELECT page_id, line_id, line FROM raw_lines")
 def q_split_lines(spark, d):
-    return split_lines(_pages(spark, d))
+    return split_lines(_pages(spark, d)).select("page_id", "line_id", "line")
 
 
 @register("read_annotations", W(O.raw_lines_cte(), O.anno_cte()) +
-          "SELECT page_id, attribute, sl, so, el, eo, text, anno_seq FROM anno")
+          """SELECT category, page_id, attribute, sl, so, el, eo, text,
+  CAST(row_number() OVER (PARTITION BY category, page_id ORDER BY anno_seq) - 1 AS BIGINT) AS anno_seq FROM anno""")
 def q_read_annotations(spark, d):
-    a = _gold(spark, d)
-    b = annotate.span_bounds(a)
-    return b.join(a.select("page_id", "anno_seq", "attribute", F.col("text_offset.text").alias("text")),
-                  ["page_id", "anno_seq", "attribute"]) \
-        .select("page_id", "attribute", "sl", "so", "el", "eo", "text", "anno_seq")
+    """The gold spans as {category}_dist.json files, a page's spans in order, read back with their ordinals."""
+    path = _folder(spark, "annotations")
+    gold = _gold(spark, d).withColumn("file", F.concat("category", F.lit("_dist.json")))
+    gold.repartition("file", "page_id").sortWithinPartitions("file", "page_id", "anno_seq").select(
+        "page_id", "title", "attribute", "text_offset", "file").write.partitionBy("file").option("ignoreNullFields", "false").json(path)
+    return annotate.span_bounds(read_annotations(spark, path)).select(
+        "category", "page_id", "attribute", "sl", "so", "el", "eo", "text", "anno_seq")
 
 
-@register("output_layout",
-          "SELECT doc_id AS page_id, lower(source) || '_shiba_char' AS out_dir FROM documents")
+@register("output_layout", """SELECT doc_id AS page_id, lower(source) || '_shiba_char' AS out_dir, lower(source) AS out_category,
+  'shiba' AS out_model, 'char' AS out_block FROM documents""")
 def q_output_layout(spark, d):
-    return output_layout(_pages(spark, d), None, "Shiba", "Char").select("page_id", "out_dir")
+    """Page ids written under the partition folders and read back with the folders' columns."""
+    path = _folder(spark, "layout")
+    write_partitioned(output_layout(_pages(spark, d).select(*PAGE), None, "Shiba", "Char").drop("category"), path)
+    return spark.read.schema("page_id bigint, out_dir string, out_category string, out_model string, out_block string").json(path)
 
 
 # ------------------------------------------------------- 2.2 page-text operators
@@ -91,10 +116,10 @@ def q_page_title(spark, d):
 
 
 def _blank_query(step, fn):
-    sql = W(O.raw_lines_cte(), O.clean_ctes(steps=(step,))) + "SELECT page_id, line_id, line FROM clean"
+    sql = W(O.raw_lines_cte(), O.prefixed_lines_cte(), O.clean_ctes(steps=(step,), src="prefixed")) + "SELECT page_id, line_id, line FROM clean"
 
     def run(spark, d):
-        return split_lines(_pages(spark, d)).select("page_id", "line_id", fn(F.col("line")).alias("line"))
+        return fx.prefixed_lines(_pages(spark, d)).select("page_id", "line_id", fn(F.col("line")).alias("line"))
     return run, sql
 
 
@@ -109,11 +134,13 @@ for _name, _step, _fn in [
     REGISTRY[_name] = (_run, _sql)
 
 
-@register("blank_urls",
-          f"SELECT page_id, {O.blank_sql('url', tx.URL_PATTERN)} AS url FROM pages")
+@register("blank_urls", W(O.raw_lines_cte(), O.prefixed_lines_cte(), O.clean_ctes(steps=("url",), src="prefixed")) + f"""
+SELECT page_id, line_id, line FROM clean UNION ALL SELECT page_id, -1, {O.blank_sql('url', tx.URL_PATTERN)} FROM pages""")
 def q_blank_urls(spark, d):
-    pg = spark.read.parquet(f"{d}/pages.parquet")
-    return pg.select("page_id", tx.blank_regex(F.col("url"), tx.URL_PATTERN).alias("url"))
+    """Lines with several URLs of different lengths, and the URLs of the crawled pages (as line -1)."""
+    lines = fx.prefixed_lines(_pages(spark, d)).select("page_id", "line_id", "line")
+    urls = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.lit(-1).alias("line_id"), F.col("url").alias("line"))
+    return lines.unionByName(urls).select("page_id", "line_id", tx.blank_regex(F.col("line"), tx.URL_PATTERN).alias("line"))
 
 
 @register("clean_lines", W(O.raw_lines_cte(), O.clean_ctes()) + "SELECT page_id, line_id, line FROM clean")
@@ -121,12 +148,12 @@ def q_clean_lines(spark, d):
     return _corpus(spark, d).lines.select("page_id", "line_id", "line")
 
 
-@register("footer_trigger", W(O.raw_lines_cte(), O.clean_ctes()) +
+@register("footer_trigger", W(O.raw_lines_cte(), O.prefixed_lines_cte(), O.clean_ctes(src="prefixed")) +
           f"SELECT page_id, line_id, ({O.trigger_sql(P)}) AS trigger FROM clean")
 def q_footer_trigger(spark, d):
-    return _corpus(spark, d).lines.select(
-        "page_id", "line_id",
-        tx.footer_trigger(F.col("line"), P.footer_regex, P.footer_headings).alias("trigger"))
+    line = tx.clean_line(F.col("line"))
+    return fx.prefixed_lines(_pages(spark, d)).select("page_id", "line_id", line.alias("line")).select(
+        "page_id", "line_id", tx.footer_trigger(F.col("line"), P.footer_regex, P.footer_headings).alias("trigger"))
 
 
 @register("footer_cut", W(BASE) + "SELECT page_id, cut AS footer_line FROM trig")
@@ -157,7 +184,7 @@ def q_kept_chars(spark, d):
 
 @register("explode_chars", W(BASE) + 'SELECT page_id, line_id, "offset", char_idx, ch FROM rawchars')
 def q_explode_chars(spark, d):
-    return chars.explode_chars(_corpus(spark, d).lines)
+    return chars.explode_chars(_corpus(spark, d).lines).drop("category")
 
 
 @register("raw_char_index", W(BASE) + "SELECT page_id, line_id, CAST(char_base AS BIGINT) AS char_base FROM body")
@@ -186,7 +213,7 @@ def q_blocks_by_line(spark, d):
   min(new_char_idx) AS first_idx, max(new_char_idx) AS last_idx FROM kept GROUP BY page_id, block_id""")
 def q_block_stats(spark, d):
     c = _corpus(spark, d, P510)
-    return chars.block_stats_narrow(chars.page_frame(c.pages, P510), P510)
+    return chars.block_stats_narrow(c.frame, P510).drop("category")
 
 
 # ------------------------------------------------------ 2.4 annotation operators
@@ -195,24 +222,25 @@ ANNO = W(BASE, O.anno_cte(), O.cells_ctes())
 
 
 @register("attribute_index", W(O.raw_lines_cte(), O.anno_cte()) +
-          "SELECT attribute, CAST(row_number() OVER (ORDER BY attribute) - 1 AS INTEGER) AS attr_idx "
-          "FROM (SELECT DISTINCT attribute FROM anno)")
+          "SELECT category, attribute, CAST(row_number() OVER (PARTITION BY category ORDER BY attribute) - 1 AS INTEGER) AS attr_idx "
+          "FROM (SELECT DISTINCT category, attribute FROM anno)")
 def q_attribute_index(spark, d):
     return annotate.attribute_index(_gold(spark, d))
 
 
 @register("page_annotations", W(O.raw_lines_cte(), O.anno_cte()) +
-          "SELECT a.page_id, a.attribute, a.anno_seq FROM anno a JOIN documents d ON d.doc_id = a.page_id")
+          """SELECT a.category, a.page_id, a.attribute, a.anno_seq,
+  CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN coalesce(length(d.text), 0) = 0 THEN 'empty' ELSE 'found' END AS page_state
+  FROM anno a LEFT JOIN documents d ON d.doc_id = a.page_id AND d.source = a.category""")
 def q_page_annotations(spark, d):
-    return _gold(spark, d).join(_pages(spark, d).select("page_id"), "page_id") \
-        .select("page_id", "attribute", "anno_seq")
+    return annotate.page_annotations(_gold(spark, d), _pages(spark, d)).select(*PAGE, "attribute", "anno_seq", "page_state")
 
 
 @register("expand_spans", ANNO +
           'SELECT page_id, line_id, "offset", attribute, anno_seq, bio, ch, new_char_idx FROM cells')
 def q_expand_spans(spark, d):
     c = _corpus(spark, d)
-    return annotate.expand_spans(_gold(spark, d), c.lines, c.info, P).select(
+    return annotate.expand_spans(_gold(spark, d), c.frame, P).select(
         "page_id", "line_id", "offset", "attribute", "anno_seq", "bio", "ch", "new_char_idx")
 
 
@@ -220,7 +248,7 @@ def q_expand_spans(spark, d):
   arg_max(bio, anno_seq) AS bio FROM cells GROUP BY page_id, line_id, "offset", attribute""")
 def q_resolve_overlaps(spark, d):
     c = _corpus(spark, d)
-    return annotate.resolve_overlaps(annotate.expand_spans(_gold(spark, d), c.lines, c.info, P)) \
+    return annotate.resolve_overlaps(annotate.expand_spans(_gold(spark, d), c.frame, P)) \
         .select("page_id", "line_id", "offset", "attribute", "bio")
 
 
@@ -231,53 +259,41 @@ def q_label_chars(spark, d):
         "page_id", "attribute", "new_char_idx", "bio", "line_id", "offset", "ch", "prev_ch")
 
 
-@register("tag_strings", ANNO + """SELECT page_id, attribute, new_char_idx,
-  CASE WHEN bio = 'O' THEN 'O' ELSE bio || '-' || attribute END AS tag,
-  split_part(CASE WHEN bio = 'O' THEN 'O' ELSE bio || '-' || attribute END, '-', 1) AS bio FROM labels""")
-def q_tag_strings(spark, d):
-    lab = _corpus(spark, d).labels(_gold(spark, d))
-    t = annotate.tag_string(F.col("bio"), F.col("attribute"))
-    return lab.select("page_id", "attribute", "new_char_idx", t.alias("tag"),
-                      annotate.tag_prefix(t).alias("bio"))
-
-
-@register("annotated_pages", W(O.raw_lines_cte(), O.anno_cte()) + "SELECT DISTINCT page_id FROM anno")
+@register("annotated_pages", W(O.raw_lines_cte(), O.anno_cte()) + "SELECT DISTINCT category, page_id FROM anno")
 def q_annotated_pages(spark, d):
     return annotate.annotated_pages(_gold(spark, d))
 
 
 # ----------------------------------------------------------- 2.6 split / sample
 
-SPLIT_SQL = W(O.raw_lines_cte(), O.anno_cte(), """splits AS (
-  SELECT page_id, CASE WHEN r <= 900 THEN 'train' WHEN r <= 950 THEN 'valid' ELSE 'test' END AS tvt
-  FROM (SELECT page_id, row_number() OVER (ORDER BY md5('0:' || CAST(page_id AS VARCHAR)), page_id) AS r
-        FROM (SELECT DISTINCT page_id FROM anno))
-)""")
+SPLIT_SQL = W(O.raw_lines_cte(), O.anno_cte(), O.splits_cte())
+
 
+def _split(annotations):
+    return splits.split_pages(annotate.annotated_pages(annotations), n_train=fx.N_TRAIN, n_valid=fx.N_VALID)
 
-@register("split_pages", SPLIT_SQL + "SELECT page_id, tvt FROM splits")
+
+@register("split_pages", SPLIT_SQL + "SELECT category, page_id, tvt FROM splits")
 def q_split_pages(spark, d):
-    return splits.split_pages(annotate.annotated_pages(_gold(spark, d)))
+    return _split(_gold(spark, d))
 
 
-@register("holdout_merge", SPLIT_SQL + "SELECT page_id, tvt FROM splits WHERE tvt IN ('valid', 'test')")
+@register("holdout_merge", SPLIT_SQL + "SELECT category, page_id, tvt FROM splits WHERE tvt IN ('valid', 'test')")
 def q_holdout_merge(spark, d):
-    return splits.holdout_merge(splits.split_pages(annotate.annotated_pages(_gold(spark, d))))
+    return splits.holdout_merge(_split(_gold(spark, d)))
 
 
 @register("split_annotations", SPLIT_SQL +
-          "SELECT a.page_id, a.attribute, a.anno_seq, s.tvt FROM anno a JOIN splits s USING (page_id)")
+          "SELECT a.category, a.page_id, a.attribute, a.anno_seq, s.tvt FROM anno a JOIN splits s USING (category, page_id)")
 def q_split_annotations(spark, d):
     g = _gold(spark, d)
-    return splits.split_annotations(g, splits.split_pages(annotate.annotated_pages(g))) \
-        .select("page_id", "attribute", "anno_seq", "tvt")
+    return splits.split_annotations(g, checkpointed(_split(g))).select(*PAGE, "attribute", "anno_seq", "tvt")
 
 
 # ----------------------------------------------------------- 2.8 span decoding
 
 SPAN_COLS = "page_id, attribute, start_idx, end_idx, start_line, start_offset, end_line, end_offset, text"
 GOLD_SPANS = W(BASE, O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes())
-PRED_SQL_CTES = [BASE, O.anno_cte(pred=True).replace("anno AS (", "p_anno AS (")]
 
 
 def _pred_ctes() -> str:
@@ -285,32 +301,22 @@ def _pred_ctes() -> str:
     gold_part, pred_part = pred.split(",\nanno AS (", 1)
     return ",\n".join([BASE, gold_part, "p_anno AS (" + pred_part, "anno AS (SELECT * FROM gold_anno)",
                        O.cells_ctes(), O.cells_ctes("p_"), O.dense_spans_ctes(), O.dense_spans_ctes("p_")
-                       .replace("attrs AS (SELECT DISTINCT attribute FROM gold_anno),\n", "")])
+                       .replace(O.ATTRS, "")])
 
 
 EVAL = W(_pred_ctes())
 
 
-@register("bio_transitions", GOLD_SPANS + """SELECT page_id, attribute,
-  CAST(sum(CASE WHEN prev_bio IN ('B','I') AND bio IN ('B','O') THEN 1 ELSE 0 END) AS BIGINT) AS n_insert,
-  CAST(sum(CASE WHEN bio = 'B' OR (prev_bio = 'O' AND bio = 'I') THEN 1 ELSE 0 END) AS BIGINT) AS n_start,
-  CAST(sum(CASE WHEN bio IN ('B','I') THEN 1 ELSE 0 END) AS BIGINT) AS n_end
-  FROM trans GROUP BY page_id, attribute""")
+@register("bio_transitions", GOLD_SPANS + """SELECT page_id, attribute, new_char_idx, bio,
+  prev_bio IN ('B','I') AND bio IN ('B','O') AS "insert", bio = 'B' OR (prev_bio = 'O' AND bio = 'I') AS "start",
+  bio IN ('B','I') AS "end" FROM trans WHERE bio <> 'O' OR prev_bio <> 'O'""")
 def q_bio_transitions(spark, d):
-    c = _corpus(spark, d)
-    g = _gold(spark, d)
-    dense = spans.dense_tags(c.chars, c.labels(g), annotate.attribute_index(g))
-    t = spans.bio_transitions(dense)
-    return t.groupBy("page_id", "attribute").agg(
-        F.sum(F.col("insert").cast("long")).alias("n_insert"),
-        F.sum(F.col("start").cast("long")).alias("n_start"),
-        F.sum(F.col("end").cast("long")).alias("n_end"),
-    )
+    return spans.bio_transitions(_corpus(spark, d).labels(_gold(spark, d), carry=("n_kept",))).drop("category")
 
 
 @register("decode_spans", EVAL + f"SELECT {SPAN_COLS} FROM p_spans")
 def q_decode_spans(spark, d):
-    return _corpus(spark, d).spans_of(_pred(spark, d))
+    return _corpus(spark, d).spans_of(_pred(spark, d)).drop("category")
 
 
 @register("span_text", GOLD_SPANS + "SELECT page_id, attribute, start_idx, text FROM spans")
@@ -326,18 +332,23 @@ def q_span_records(spark, d):
         "page_id", "title", "attribute", "start_line", "start_offset", "end_line", "end_offset", "text")
 
 
-@register("write_predictions", REGISTRY["span_records"][1])
+@register("write_predictions", W(BASE, O.title_cte(P), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes(), """ai AS (
+  SELECT category, attribute, row_number() OVER (PARTITION BY category ORDER BY attribute) - 1 AS attr_idx
+  FROM (SELECT DISTINCT category, attribute FROM gold_anno))""") +
+          """SELECT s.page_id, t.title, s.attribute, s.start_line, s.start_offset, s.end_line, s.end_offset, s.text,
+  lower(d.source) || '_shiba_char' AS out_dir,
+  CAST(row_number() OVER (PARTITION BY d.source ORDER BY CAST(s.page_id AS VARCHAR) || '.txt', ai.attr_idx, s.start_idx) - 1 AS BIGINT) AS place
+  FROM spans s LEFT JOIN titles t USING (page_id) JOIN documents d ON d.doc_id = s.page_id
+  JOIN ai ON ai.category = d.source AND ai.attribute = s.attribute""")
 def q_write_predictions(spark, d):
-    """Sink round trip: gold span records written as JSON-lines under the shared
-    checkpoint folder, read back with the explicit schema, flattened."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    from ..sources.pages import read_predictions, write_predictions
-    c = _corpus(spark, d)
-    rec = spans.span_records(c.spans_of(_gold(spark, d)), c.info)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
-    write_predictions(rec, path)
-    return flat_records(read_predictions(spark, path))
+    """Gold span records written in the original's order and layout, read back with their place in the files."""
+    path = _folder(spark, "predictions")
+    g = _gold(spark, d)
+    write_predictions(_corpus(spark, d).records(g), annotate.attribute_index(g), path, "Shiba", "Char")
+    back = read_predictions(spark, path).withColumn("_at", F.struct(
+        F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")))
+    w = Window.partitionBy("out_dir").orderBy("_at")
+    return flat_records(back, "out_dir", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
 
 
 # ------------------------------------------------------------- 2.9 evaluation
@@ -351,7 +362,8 @@ MATCH_SQL = """matches AS (
   FROM spans g FULL OUTER JOIN p_spans p
     ON g.page_id = p.page_id AND g.attribute = p.attribute AND g.start_idx = p.start_idx AND g.end_idx = p.end_idx
 ),
-eval_pages AS (SELECT DISTINCT a.page_id FROM anno a JOIN documents d ON d.doc_id = a.page_id),
+eval_pages AS (SELECT DISTINCT s.page_id FROM splits s JOIN documents d ON d.doc_id = s.page_id AND d.source = s.category
+               WHERE s.tvt IN ('valid', 'test')),
 prf AS (
   SELECT e.page_id, CAST(coalesce(sum(CASE WHEN m.tp OR m.fn THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_gold,
          CAST(coalesce(sum(CASE WHEN m.tp OR m.fp THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_pred,
@@ -365,44 +377,37 @@ prf2 AS (
          CASE WHEN n_gold + n_pred = 0 THEN 0.0 ELSE 2.0 * tp / (n_gold + n_pred) END AS f1
   FROM prf
 )"""
-EVAL_FULL = W(_pred_ctes(), MATCH_SQL)
+EVAL_FULL = W(_pred_ctes(), O.splits_cte("gold_anno"), MATCH_SQL)
 
 
-def _eval_parts(spark, d):
-    """Matches of gold and predicted spans (one expansion, one decode) + page list."""
-    c = _corpus(spark, d)
-    g = _gold(spark, d)
-    matches = evaluate.match_sets(set_spans(c, fx.fixture_gold_and_pred(g)))
-    pages = annotate.annotated_pages(g).join(c.pages.select("page_id"), "page_id", "left_semi")
-    return matches, pages
+def _matches(spark, d):
+    """Matches of gold spans and their perturbed copies: one expansion, one decode."""
+    return evaluate.match_sets(set_spans(_corpus(spark, d), fx.fixture_gold_and_pred(_gold(spark, d))))
+
+
+def _holdout_pages(spark, d):
+    """The hold-out pages that exist."""
+    return _tagger_split(spark, d).where(F.col("tvt") != "train").join(_pages(spark, d).select(*PAGE), PAGE, "left_semi").select(*PAGE)
 
 
 @register("gold_spans", GOLD_SPANS + f"SELECT {SPAN_COLS} FROM spans")
 def q_gold_spans(spark, d):
-    return _corpus(spark, d).spans_of(_gold(spark, d))
+    return _corpus(spark, d).spans_of(_gold(spark, d)).drop("category")
 
 
 @register("span_matches", EVAL_FULL + "SELECT page_id, attribute, start_idx, end_idx, tp, fn, fp FROM matches")
 def q_span_matches(spark, d):
-    return _eval_parts(spark, d)[0]
+    return _matches(spark, d).drop("category")
 
 
 @register("page_prf", EVAL_FULL + """SELECT page_id, n_gold, n_pred, tp, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf2""")
 def q_page_prf(spark, d):
-    matches, pages = _eval_parts(spark, d)
-    r = evaluate.page_prf(matches, pages)
+    pages = checkpointed(_holdout_pages(spark, d))
+    r = evaluate.page_prf(_matches(spark, d).join(pages, PAGE, "left_semi"), pages)
     return r.select("page_id", "n_gold", "n_pred", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@register("macro_page_f1", EVAL_FULL +
-          "SELECT CAST(count(*) AS BIGINT) AS n_pages, round(coalesce(avg(f1), 0.0), 6) AS macro_f1 FROM prf2")
-def q_macro_page_f1(spark, d):
-    matches, pages = _eval_parts(spark, d)
-    m = evaluate.macro_page_f1(evaluate.page_prf(matches, pages))
-    return m.select(F.col("n_pages").cast("bigint"), F.round("macro_f1", 6).alias("macro_f1"))
-
-
 EPOCHS_SQL = """elog AS (
   SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS epoch,
          value / 500.0 AS valid_f1
@@ -492,40 +497,46 @@ def q_pad_short_blocks(spark, d):
                     F.size("input_ids").cast("int").alias("n_ids"))
 
 
-@register("attention_mask", W(BASE) + """SELECT page_id, block_id,
-  CAST(count(*) + 1 + CASE WHEN count(*) <= 3 THEN 3 ELSE 0 END AS INTEGER) AS mask_len,
-  CAST(0 AS INTEGER) AS n_attend, CAST(count(*) + 2 AS INTEGER) AS vocab_mask_len
-  FROM kept GROUP BY page_id, block_id""")
-def q_attention_mask(spark, d):
-    e = _examples_codepoint(spark, d).withColumn("m", examples.codepoint_mask())
-    return e.select(
-        "page_id", "block_id", F.size("m").cast("int").alias("mask_len"),
-        F.size(F.filter("m", lambda x: x)).cast("int").alias("n_attend"),
-        (F.col("n") + 2).cast("int").alias("vocab_mask_len"))
-
-
 @register("build_vocab", W(BASE, VOCAB_SQL) + "SELECT ch, CAST(n AS BIGINT) AS n, id FROM vocab")
 def q_build_vocab(spark, d):
     return examples.build_vocab(_corpus(spark, d, P).chars)
 
 
+def _examples_vocab(spark, d):
+    """Vocabulary blocks; the vocabulary (bounded by Unicode) is counted once."""
+    c = _corpus(spark, d, P510)
+    vocab = checkpointed(examples.build_vocab(c.chars))
+    return examples.encode_vocab(examples.codepoint_blocks(c.lines, P510), vocab)
+
+
 @register("encode_vocab", W(O.base(P510), VOCAB_SQL) + """SELECT k.page_id, k.block_id,
   '2,' || string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
   FROM kept k JOIN vocab v USING (ch) GROUP BY k.page_id, k.block_id""")
 def q_encode_vocab(spark, d):
-    c = _corpus(spark, d, P510)
-    e = examples.encode_vocab(c.chars, examples.build_vocab(c.chars))
-    return e.select("page_id", "block_id", F.array_join("input_ids", ",").alias("ids"))
+    return _examples_vocab(spark, d).select("page_id", "block_id", F.array_join("input_ids", ",").alias("ids"))
+
+
+@register("attention_mask", W(O.base(P), """cp AS (SELECT page_id, block_id, count(*) AS n FROM kept GROUP BY page_id, block_id),
+vb AS (SELECT page_id, b AS block_id, least(510, t - 510 * b) AS n
+       FROM (SELECT page_id, sum(n) AS t FROM cp GROUP BY page_id), LATERAL (SELECT unnest(range(CAST((t + 509) // 510 AS BIGINT))) AS b))""") + """SELECT 'codepoint' AS variant, page_id, block_id, repeat('0', CAST(n + 1 + CASE WHEN n <= 3 THEN 3 ELSE 0 END AS INTEGER)) AS mask FROM cp
+UNION ALL
+SELECT 'vocab', page_id, block_id, repeat('1', CAST(n + 2 AS INTEGER)) FROM vb""")
+def q_attention_mask(spark, d):
+    """Both masks as they are built, a digit per position."""
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "").alias("mask")
+    cp = _examples_codepoint(spark, d).withColumn("m", examples.codepoint_mask())
+    return cp.select(F.lit("codepoint").alias("variant"), "page_id", "block_id", written("m")).unionByName(
+        _examples_vocab(spark, d).select(F.lit("vocab").alias("variant"), "page_id", "block_id", written("attention_mask")))
 
 
-LABELS_SQL = """ai AS (SELECT attribute, CAST(row_number() OVER (ORDER BY attribute) - 1 AS INTEGER) AS attr_idx
-  FROM (SELECT DISTINCT attribute FROM gold_anno)),
+LABELS_SQL = """ai AS (SELECT category, attribute, CAST(row_number() OVER (PARTITION BY category ORDER BY attribute) - 1 AS INTEGER) AS attr_idx
+  FROM (SELECT DISTINCT category, attribute FROM gold_anno)),
 blabels AS (
   SELECT d.page_id, k.block_id, ai.attr_idx,
          '-1,' || string_agg(CASE d.bio WHEN 'B' THEN '0' WHEN 'I' THEN '1' ELSE '2' END, ','
                              ORDER BY k.block_idx) || ',-1' AS labels
   FROM dense d JOIN kept k ON k.page_id = d.page_id AND k.new_char_idx = d.new_char_idx
-  JOIN ai USING (attribute)
+  JOIN documents c ON c.doc_id = d.page_id JOIN ai ON ai.category = c.source AND ai.attribute = d.attribute
   GROUP BY d.page_id, k.block_id, ai.attr_idx
 )"""
 LABELS_BASE = W(O.base(P510), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes(), LABELS_SQL)
@@ -534,9 +545,20 @@ LABELS_BASE = W(O.base(P510), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes()
 def _block_labels(spark, d, p):
     c = _corpus(spark, d, p)
     g = _gold(spark, d)
-    frame = chars.page_frame(c.pages, p)
-    sk = chars.block_stats_narrow(frame, p)
-    return examples.block_labels(sk, c.labels(g), annotate.attribute_index(g), p)
+    attributes = checkpointed(annotate.attribute_index(g))  # a few names per category
+    return examples.block_labels(chars.block_stats_narrow(c.frame, p), c.labels(g), attributes, p)
+
+
+@register("tag_strings", GOLD_SPANS + """SELECT page_id, attribute, new_char_idx,
+  CASE WHEN bio = 'O' THEN 'O' ELSE bio || '-' || attribute END AS tag,
+  split_part(CASE WHEN bio = 'O' THEN 'O' ELSE bio || '-' || attribute END, '-', 1) AS bio FROM dense""")
+def q_tag_strings(spark, d):
+    """Every kept character and attribute, O included, spelled out from the label arrays of the blocks."""
+    bl = _block_labels(spark, d, P510)
+    pos = bl.select("page_id", "attribute", "first_idx", F.posexplode_outer("labels").alias("pos", "label")).where(F.col("label") >= 0)
+    t = annotate.tag_string(annotate.bio_from_index(F.col("label")), F.col("attribute"))
+    return pos.select("page_id", "attribute", (F.col("first_idx") + F.col("pos") - 1).cast("bigint").alias("new_char_idx"),
+                      t.alias("tag"), annotate.tag_prefix(t).alias("bio"))
 
 
 @register("block_labels", LABELS_BASE + "SELECT page_id, block_id, attr_idx, labels FROM blabels")
@@ -566,12 +588,10 @@ SELECT page_id, batch_id, block_id,
   array_to_string(list_transform(string_split(labels, '|'), lambda x: x || repeat(',-1', CAST(len - n_ids AS INTEGER))), '|') AS labels
 FROM bt2""")
 def q_batch_pad(spark, d):
-    c = _corpus(spark, d, P510)
-    ex = examples.encode_vocab(c.chars, examples.build_vocab(c.chars))
-    bl = _block_labels(spark, d, P510).groupBy("page_id", "block_id").agg(
+    bl = _block_labels(spark, d, P510).groupBy(*PAGE, "block_id").agg(
         F.array_sort(F.collect_list(F.struct("attr_idx", "labels"))).alias("_l"))
-    ex = ex.join(bl.select("page_id", "block_id", F.transform("_l", lambda x: x["labels"]).alias("labels")),
-                 ["page_id", "block_id"])
+    ex = _examples_vocab(spark, d).join(bl.select(*PAGE, "block_id", F.transform("_l", lambda x: x["labels"]).alias("labels")),
+                                        [*PAGE, "block_id"])
     b = examples.batch_pad(ex, 8)
     return b.select(
         "page_id", "batch_id", "block_id", F.array_join("input_ids", ",").alias("ids"),
@@ -580,16 +600,15 @@ def q_batch_pad(spark, d):
 
 
 @register("reassemble_page", LABELS_BASE + """SELECT d.page_id, ai.attr_idx, d.new_char_idx,
-  CAST(CASE d.bio WHEN 'B' THEN 0 WHEN 'I' THEN 1 ELSE 2 END AS INTEGER) AS pred
-  FROM dense d JOIN ai USING (attribute)""")
+  CAST((CASE d.bio WHEN 'B' THEN 0 WHEN 'I' THEN 1 ELSE 2 END
+        + CASE WHEN (d.page_id + k.block_idx + ai.attr_idx) % 5 = 0 THEN 1 ELSE 0 END) % 3 AS INTEGER) AS pred
+  FROM dense d JOIN kept k ON k.page_id = d.page_id AND k.new_char_idx = d.new_char_idx
+  JOIN documents c ON c.doc_id = d.page_id JOIN ai ON ai.category = c.source AND ai.attribute = d.attribute""")
 def q_reassemble_page(spark, d):
-    # block positions with gold labels as the "prediction": positions whose label
-    # is -1 (CLS, SEP) drop out and the rest map back to characters
-    c = _corpus(spark, d, P510)
+    """Block predictions that differ from the labels at every fifth position, put back onto the characters."""
     bl = _block_labels(spark, d, P510)
-    pos = bl.select("page_id", "block_id", "attr_idx", F.posexplode("labels").alias("pos", "label")) \
-        .withColumn("pred", F.col("label"))
-    r = spans.reassemble_page(pos, c.chars)
+    pred = F.transform("labels", lambda x, i: F.pmod(x + F.when((F.col("page_id") + i - 1 + F.col("attr_idx")) % 5 == 0, 1).otherwise(0), F.lit(3)))
+    r = spans.reassemble_page(bl.withColumn("pred", pred))
     return r.select("page_id", "attr_idx", "new_char_idx", F.col("pred").cast("int").alias("pred"))
 
 
@@ -651,119 +670,140 @@ def q_argmax_tag(spark, d):
     return a.select("vec_id", F.col("attr_idx").cast("int"), "pred")
 
 
-@register("masked_nll", W(HEAD_SQL, """lab AS (
-  SELECT vec_id, vec_id // 8 AS batch_id, a.a AS attr_idx,
-         CASE WHEN (vec_id + a.a) % 4 = 0 THEN -1 ELSE (label + a.a) % 3 END AS label
-  FROM embeddings, range(3) a(a)
+@register("masked_nll", W(HEAD_SQL, """sc AS (
+  SELECT l.vec_id, l.vec_id // 8 AS batch_id, l.attr_idx, l.tag_idx, l.logit * CASE WHEN l.vec_id % 5 = 0 THEN 100.0 ELSE 1.0 END AS x,
+         CASE WHEN (l.vec_id + l.attr_idx) % 4 = 0 OR ((l.vec_id // 8) % 7 = 0 AND l.attr_idx = 2) THEN -1
+              ELSE (e.label + l.attr_idx) % 3 END AS label
+  FROM logit l JOIN embeddings e USING (vec_id)
 ),
-per AS (
-  SELECT l.batch_id, l.attr_idx, avg(-ln(p.p)) AS m
-  FROM lab l JOIN prob p ON p.vec_id = l.vec_id AND p.attr_idx = l.attr_idx AND p.tag_idx = l.label
-  WHERE l.label <> -1 GROUP BY l.batch_id, l.attr_idx
+lse AS (SELECT *, max(x) OVER w AS m FROM sc WINDOW w AS (PARTITION BY vec_id, attr_idx)),
+pos AS (
+  SELECT vec_id, batch_id, attr_idx, any_value(label) AS label,
+         max(m) + ln(sum(exp(x - m))) - max(CASE WHEN tag_idx = label THEN x END) AS nll
+  FROM lse GROUP BY vec_id, batch_id, attr_idx
 ),
-sz AS (SELECT vec_id // 8 AS batch_id, count(*) AS n FROM embeddings GROUP BY 1)""") +
-          "SELECT CAST(per.batch_id AS BIGINT) AS batch_id, round(sum(m) / max(sz.n), 6) AS loss "
-          "FROM per JOIN sz USING (batch_id) GROUP BY per.batch_id")
+per AS (SELECT batch_id, attr_idx, avg(CASE WHEN label <> -1 THEN nll END) AS m, count(*) AS n FROM pos GROUP BY batch_id, attr_idx)""") +
+          "SELECT CAST(batch_id AS BIGINT) AS batch_id, CASE WHEN bool_or(m IS NULL) THEN NULL ELSE round(sum(m) / max(n), 6) END AS loss "
+          "FROM per GROUP BY batch_id")
 def q_masked_nll(spark, d):
     emb = spark.read.parquet(f"{d}/embeddings.parquet")
-    probs = scoring.softmax_scores(_heads(spark, d))
-    lab = fx.embedding_labels(emb)
-    r = scoring.masked_nll(probs, lab, ["vec_id"])
-    return r.select(F.col("batch_id").cast("bigint"), F.round("loss", 6).alias("loss"))
+    w1, w2 = scoring.head_weights(fx.HEAD_ATTRS, 64, fx.head_weight)
+    scored = scoring.linear_heads(emb, "embedding", ["vec_id", "label"], w1, w2)
+    scored = scored.select(
+        fx.embedding_batch().alias("batch_id"), "attr_idx", F.transform("logits", lambda x: x * fx.logit_scale()).alias("logits"),
+        fx.embedding_label(F.col("attr_idx")).alias("label"))
+    return scoring.masked_nll(scored).select("batch_id", F.round("loss", 6).alias("loss"))
 
 
-TAGGER_SQL = """splits AS (
-  SELECT page_id, CASE WHEN r <= 900 THEN 'train' WHEN r <= 950 THEN 'valid' ELSE 'test' END AS tvt
-  FROM (SELECT page_id, row_number() OVER (ORDER BY md5('0:' || CAST(page_id AS VARCHAR)), page_id) AS r
-        FROM (SELECT DISTINCT page_id FROM anno))
-),
-kept_ctx AS (
-  SELECT k.*, coalesce(r.ch, '') AS prev_ch FROM kept k
+TAGGER_SQL = """kept_ctx AS (
+  SELECT k.*, d.source AS category, coalesce(r.ch, '') AS prev_ch FROM kept k JOIN documents d ON d.doc_id = k.page_id
   LEFT JOIN rawchars r ON r.page_id = k.page_id AND r.line_id = k.line_id AND r."offset" = k."offset" - 1
 ),
 tr_chars AS (SELECT k.* FROM kept_ctx k JOIN splits s ON s.page_id = k.page_id AND s.tvt = 'train'),
-tr_lab AS (SELECT l.* FROM labels l JOIN splits s ON s.page_id = l.page_id AND s.tvt = 'train'),
-freq AS (SELECT prev_ch, ch, count(*) AS n FROM tr_chars GROUP BY prev_ch, ch),
-lc AS (SELECT attribute, prev_ch, ch, CAST(sum(CASE WHEN bio = 'B' THEN 1 ELSE 0 END) AS BIGINT) AS n_b,
+tr_lab AS (SELECT l.*, s.category FROM labels l JOIN splits s ON s.page_id = l.page_id AND s.tvt = 'train'),
+freq AS (SELECT category, prev_ch, ch, count(*) AS n FROM tr_chars GROUP BY category, prev_ch, ch),
+lc AS (SELECT category, attribute, prev_ch, ch, CAST(sum(CASE WHEN bio = 'B' THEN 1 ELSE 0 END) AS BIGINT) AS n_b,
               CAST(sum(CASE WHEN bio = 'I' THEN 1 ELSE 0 END) AS BIGINT) AS n_i
-       FROM tr_lab GROUP BY attribute, prev_ch, ch),
+       FROM tr_lab GROUP BY category, attribute, prev_ch, ch),
 model AS (
-  SELECT lc.attribute, lc.prev_ch, lc.ch, lc.n_b, lc.n_i, CAST(f.n - lc.n_b - lc.n_i AS BIGINT) AS n_o,
+  SELECT lc.category, lc.attribute, lc.prev_ch, lc.ch, lc.n_b, lc.n_i, CAST(f.n - lc.n_b - lc.n_i AS BIGINT) AS n_o,
          CASE WHEN f.n - lc.n_b - lc.n_i >= lc.n_i AND f.n - lc.n_b - lc.n_i >= lc.n_b THEN 'O'
               WHEN lc.n_i >= lc.n_b THEN 'I' ELSE 'B' END AS bio
-  FROM lc JOIN freq f USING (prev_ch, ch)
+  FROM lc JOIN freq f USING (category, prev_ch, ch)
 ),
 p_labels AS (
   SELECT k.page_id, m.attribute, k.new_char_idx, m.bio, k.line_id, k."offset", k.ch
-  FROM kept_ctx k JOIN splits s ON s.page_id = k.page_id AND s.tvt IN ('valid', 'test')
-  JOIN model m ON m.ch = k.ch AND m.prev_ch = k.prev_ch AND m.bio <> 'O'
+  FROM kept_ctx k JOIN model m ON m.category = k.category AND m.ch = k.ch AND m.prev_ch = k.prev_ch AND m.bio <> 'O'
 )"""
-TAGGER = W(BASE, O.anno_cte(), O.cells_ctes(), TAGGER_SQL)
+TAGGER = W(BASE, O.anno_cte(), O.cells_ctes(), O.splits_cte(), TAGGER_SQL)
 
 
-def _tagger_parts(spark, d):
-    """Pages and the split.  The split (one small row per annotated page) is
-    checkpointed into the shared checkpoint folder: both the train and the
-    hold-out side read it, and the gold derivation behind it runs once."""
-    pages = _pages(spark, d)
-    sp = splits.split_pages(annotate.annotated_pages(fx.fixture_annotations(pages))).checkpoint()
-    return pages, sp
+def _tagger_split(spark, d):
+    """The split (one small row per annotated page), derived once and kept in the shared folder."""
+    return checkpointed(_split(_gold(spark, d)))
 
 
-def _subset(pages, ids):
-    return Corpus(pages.join(ids.select("page_id"), "page_id", "left_semi"), P)
+def _train_corpus(pages, sp):
+    """The train pages: at most n_train per category, so AQE may broadcast their ids; the text is filtered, not shuffled."""
+    return Corpus(pages.join(F.broadcast(sp.where(F.col("tvt") == "train").select(*PAGE)), PAGE, "left_semi"), P)
 
 
 def _train_side(pages, sp, context):
-    """Train corpus, its kept chars with context, and its labels.  The fixture
-    rule is per page, so the train pages' annotations come from those pages
-    alone (no second pass over the whole corpus)."""
-    train_ids = sp.where(F.col("tvt") == "train")
-    train = _subset(pages, train_ids)
+    """Kept characters with context and labels of the train pages.  The fixture
+    rule is per page, so their annotations come from those pages alone."""
+    train = _train_corpus(pages, sp)
     ctx = chars.kept_chars(train.lines, P, context=context)
-    return train_ids, ctx, train.labels(fx.fixture_annotations(train.pages))
+    return ctx, train.labels(fx.fixture_annotations(train.pages))
 
 
-def _count_model(spark, d):
-    pages, sp = _tagger_parts(spark, d)
-    train_ids, ctx, labels = _train_side(pages, sp, 1)
-    return pages, sp, scoring.train_tagger_counts(ctx, labels, train_ids)
+def _count_model(pages, sp):
+    return scoring.train_tagger_counts(*_train_side(pages, sp, 1))
 
 
-@register("train_tagger_counts", TAGGER + "SELECT attribute, prev_ch, ch, n_b, n_i, n_o, bio FROM model")
+@register("train_tagger_counts", TAGGER + "SELECT category, attribute, prev_ch, ch, n_b, n_i, n_o, bio FROM model")
 def q_train_tagger_counts(spark, d):
-    return _count_model(spark, d)[2]
+    return _count_model(_pages(spark, d), _tagger_split(spark, d))
 
 
-PRED_DENSE = O.dense_spans_ctes("p_").replace("FROM kept k CROSS JOIN attrs a", """FROM (SELECT k.* FROM kept k
-    JOIN splits s ON s.page_id = k.page_id AND s.tvt IN ('valid', 'test')) k CROSS JOIN attrs a""")
+def _scored(pages, sp):
+    """Predicted spans of the count tagger on the given pages, annotated or not."""
+    ctx = chars.kept_chars(chars.clean_lines(pages, P), P, context=1)
+    return spans.decode_spans(scoring.score_with_counts(ctx, _count_model(pages, sp)))
+
+
+PRED_DENSE = O.dense_spans_ctes("p_")
 
 
 @register("score_pages", TAGGER.rstrip() + ",\n" + PRED_DENSE +
           "\nSELECT page_id, attribute, start_idx, end_idx, start_line, start_offset, end_line, end_offset, text "
           "FROM p_spans")
 def q_score_pages(spark, d):
-    pages, sp, model = _count_model(spark, d)
-    hold = _subset(pages, splits.holdout_merge(sp))
-    ch = chars.kept_chars(hold.lines, P, context=1)
-    tagged = scoring.score_pages(ch, lambda x: scoring.score_with_counts(x, model))
-    return spans.decode_spans(tagged).select(
+    return _scored(_pages(spark, d), _tagger_split(spark, d)).select(
         "page_id", "attribute", "start_idx", "end_idx", "start_line", "start_offset", "end_line", "end_offset", "text")
 
 
+@register("macro_page_f1", W(BASE, O.anno_cte(), O.cells_ctes(), O.splits_cte(), TAGGER_SQL, O.dense_spans_ctes(),
+                             PRED_DENSE.replace(O.ATTRS, ""), MATCH_SQL) +
+          "SELECT CAST(count(*) AS BIGINT) AS n_pages, round(coalesce(avg(f1), 0.0), 6) AS macro_f1 FROM prf2")
+def q_macro_page_f1(spark, d):
+    """The closed loop: train the count tagger, score the pages, decode, and compare with gold on the hold-out pages."""
+    pages, sp = _pages(spark, d), _tagger_split(spark, d)
+    held = checkpointed(pages.select(*PAGE).join(splits.holdout_merge(sp), PAGE, "left_semi"))
+    gold = Corpus(pages, P).spans_of(fx.fixture_annotations(pages))
+    cols = [*evaluate.SPAN_KEY]
+    both = gold.select(*cols, F.lit("gold").alias("set")).unionByName(_scored(pages, sp).select(*cols, F.lit("pred").alias("set")))
+    m = evaluate.macro_page_f1(evaluate.page_prf(evaluate.match_sets(both.join(held, PAGE, "left_semi")), held))
+    return m.select(F.col("n_pages").cast("bigint"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+def lr_spans(spark, d):
+    """Predicted spans of the logistic-regression tagger on all pages, and the kept characters they were made from."""
+    pages, sp = _pages(spark, d), _tagger_split(spark, d)
+    ctx, labels = _train_side(pages, sp, 2)
+    # The attribute names of the annotation schema, one model each.
+    names = [r.attribute for r in annotate.attribute_index(_gold(spark, d)).select("attribute").distinct().orderBy("attribute").collect()]
+    models = scoring.train_tagger_lr(ctx, labels, names, k=2)
+    kept = chars.kept_chars(chars.clean_lines(pages, P), P, context=2)
+    return spans.decode_spans(scoring.score_with_lr(kept, models)), kept
+
+
+@register("train_tagger_lr", W(BASE, O.anno_cte(), O.splits_cte()) + """SELECT s.page_id, CAST(count(k.ch) AS BIGINT) AS n_scored,
+  true AS spans_hold FROM splits s JOIN documents d ON d.doc_id = s.page_id AND d.source = s.category
+  LEFT JOIN kept k ON k.page_id = s.page_id WHERE s.tvt IN ('valid', 'test') GROUP BY s.page_id""")
 def q_train_tagger_lr(spark, d):
-    """Rows-only: predicted spans of the logistic-regression tagger on hold-out pages."""
-    pages, sp = _tagger_parts(spark, d)
-    train_ids, ctx, labels = _train_side(pages, sp, 2)
-    names = spans.attribute_names(annotate.attribute_index(fx.fixture_annotations(pages)))
-    models = scoring.train_tagger_lr(ctx, labels, train_ids, names, k=2,
-                                     num_features=1 << 14, max_iter=15)
-    hold = chars.kept_chars(_subset(pages, splits.holdout_merge(sp)).lines, P, context=2)
-    return spans.decode_spans(scoring.score_with_lr(hold, models)).select(
-        "page_id", "attribute", "start_idx", "end_idx", "text")
-
-
-REGISTRY["train_tagger_lr"] = (q_train_tagger_lr, None)
+    """Per hold-out page: characters scored, and whether every predicted span's text is the kept characters of its range.
+
+    The spans themselves are ``lr_spans``; the fit is iterative and has no SQL form.
+    """
+    sp, kept = lr_spans(spark, d)
+    held = _holdout_pages(spark, d)
+    text = kept.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("new_char_idx", "ch"))), lambda x: x["ch"]), "").alias("kept"))
+    found = sp.groupBy(*PAGE).agg(F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
+    j = held.join(text, PAGE, "left").join(found, PAGE, "left")
+    right = F.forall(F.coalesce("spans", F.array().cast("array<struct<start_idx:bigint,end_idx:bigint,text:string>>")),
+                     lambda s: F.substring(F.col("kept"), (s["start_idx"] + 1).cast("int"), (s["end_idx"] - s["start_idx"] + 1).cast("int")) == s["text"])
+    return j.select("page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_scored"), right.alias("spans_hold"))
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TextParams
+from ..config import PAGE, TextParams
 from ..operators import annotate, chars, evaluate, spans
 
 
@@ -24,27 +24,33 @@ class Corpus:
 
     @cached_property
     def info(self) -> DataFrame:
-        """page_id, category, title, n_lines."""
+        """category, page_id, title, n_lines."""
         return chars.page_info(self.pages, self.params)
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        """One row per page with its cleaned lines and running indices."""
+        return chars.page_frame(self.pages, self.params)
+
     @cached_property
     def lines(self) -> DataFrame:
-        return chars.clean_lines(self.pages, self.params)
+        return chars.frame_lines(self.frame)
 
     @cached_property
     def chars(self) -> DataFrame:
         return chars.kept_chars(self.lines, self.params)
 
-    def labels(self, annotations: DataFrame) -> DataFrame:
+    def labels(self, annotations: DataFrame, extra: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
         """Sparse gold labels: tagged kept characters."""
-        return annotate.label_chars(annotations, self.lines, self.info, self.params)
+        return annotate.label_chars(annotations, self.frame, self.params, extra, carry)
 
     def spans_of(self, annotations: DataFrame) -> DataFrame:
         """Spans decoded from the labels the annotations put on kept characters."""
         return spans.decode_spans(self.labels(annotations))
 
     def records(self, annotations: DataFrame) -> DataFrame:
-        return spans.span_records(self.spans_of(annotations), self.info)
+        """Prediction records; the title comes from the page row the labels come from."""
+        return spans.span_records(spans.decode_spans(self.labels(annotations, carry=("title",)), keys=(*spans.KEYS, "title")))
 
 
 def extract_spans(pages: DataFrame, annotations: DataFrame, params: TextParams) -> DataFrame:
@@ -55,53 +61,34 @@ def extract_spans(pages: DataFrame, annotations: DataFrame, params: TextParams)
     goes through).  Flat columns: page_id, title, attribute, start/end
     coordinates, text, start_idx, end_idx.
     """
-    c = Corpus(pages, params)
-    sp = c.spans_of(annotations)
-    return sp.join(c.info.select("page_id", "title"), "page_id", "left").select(
+    labels = Corpus(pages, params).labels(annotations, carry=("title",))
+    return spans.decode_spans(labels, keys=(*spans.KEYS, "title")).select(
         "page_id", "title", "attribute", "start_line", "start_offset", "end_line",
         "end_offset", "text", "start_idx", "end_idx",
     )
 
 
-def gold_and_pred_spans(corpus: "Corpus", gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Spans of both annotation sets from ONE expansion and ONE decode.
-
-    The sets are unioned with a ``set`` column that rides through the tagging
-    and becomes part of the decode key, so the line table is read once.
-    """
-    both = gold.withColumn("set", F.lit("gold")).unionByName(pred.withColumn("set", F.lit("pred")))
-    return set_spans(corpus, both)
-
-
 def set_spans(corpus: "Corpus", annotations: DataFrame) -> DataFrame:
-    """Spans of annotations that carry a ``set`` column, decoded per set."""
-    lab = annotate.label_chars(annotations, corpus.lines, corpus.info, corpus.params, extra=("set",))
-    return spans.decode_spans(lab, keys=("page_id", "attribute", "set"))
+    """Spans of annotations that carry a ``set`` column (gold | pred), from ONE expansion and ONE decode."""
+    return spans.decode_spans(corpus.labels(annotations, extra=("set",)), keys=(*spans.KEYS, "set"))
 
 
 def evaluate_pages(pages: DataFrame, gold: DataFrame, pred: DataFrame, params: TextParams,
                    eval_pages: DataFrame | None = None) -> DataFrame:
     """Per-page precision / recall / F1 of predicted spans against gold spans."""
-    c = Corpus(pages, params)
-    matches = evaluate.match_sets(gold_and_pred_spans(c, gold, pred))
+    both = gold.withColumn("set", F.lit("gold")).unionByName(pred.withColumn("set", F.lit("pred")))
+    matches = evaluate.match_sets(set_spans(Corpus(pages, params), both))
     pages_list = eval_pages if eval_pages is not None else annotate.annotated_pages(gold).join(
-        pages.select("page_id"), "page_id", "left_semi")
-    return evaluate.page_prf(matches, pages_list)
-
-
-def predict_records(pages: DataFrame, tagged: DataFrame, params: TextParams) -> DataFrame:
-    """Sparse predicted tags (page_id, attribute, new_char_idx, bio + coordinates) → records."""
-    c = Corpus(pages, params)
-    return spans.span_records(spans.decode_spans(tagged), c.info).orderBy(
-        "page_id", "attribute", "start_idx")
+        pages.select(*PAGE), PAGE, "left_semi")
+    return evaluate.page_prf(matches.join(pages_list.select(*PAGE), PAGE, "left_semi"), pages_list)
 
 
-def flat_records(records: DataFrame) -> DataFrame:
+def flat_records(records: DataFrame, *more) -> DataFrame:
     return records.select(
         "page_id", "title", "attribute",
         F.col("text_offset.start.line_id").alias("start_line"),
         F.col("text_offset.start.offset").alias("start_offset"),
         F.col("text_offset.end.line_id").alias("end_line"),
         F.col("text_offset.end.offset").alias("end_offset"),
-        F.col("text_offset.text").alias("text"),
+        F.col("text_offset.text").alias("text"), *more,
     )

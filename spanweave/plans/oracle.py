@@ -116,22 +116,34 @@ kept AS (
 )"""
 
 
+def prefixed_lines_cte() -> str:
+    """raw_lines with the fixture prefixes."""
+    whens = " ".join(f"WHEN {k} THEN {q(text)}" for k, text in fx.FIXTURE_PREFIXES.items())
+    return f"""prefixed AS (
+  SELECT page_id, category, line_id, CASE (page_id + line_id) % {fx.PREFIX_MOD} {whens} ELSE '' END || line AS line FROM raw_lines
+)"""
+
+
 def anno_cte(pred: bool = False) -> str:
     """Fixture gold spans (or the perturbed predictions) from raw lines."""
     parts = []
     for k, (name, pattern) in enumerate(fx.ATTRIBUTE_PATTERNS):
-        parts.append(f"""SELECT page_id, {q(name)} AS attribute, line_id AS sl,
-         CAST(instr(line, m) - 1 AS INTEGER) AS so, line_id AS el,
-         CAST(instr(line, m) - 1 + length(m) AS INTEGER) AS eo, m AS text,
-         CAST(line_id AS BIGINT) * 4 + {k} AS anno_seq
-  FROM (SELECT page_id, line_id, line, regexp_extract(line, {q(pattern)}) AS m FROM raw_lines) WHERE m <> ''""")
+        p = q(pattern)
+        parts.append(f"""SELECT category, page_id, {q(name)} AS attribute, line_id AS sl, so, line_id AS el,
+         CAST(so + length(m) AS INTEGER) AS eo, m AS text,
+         (CAST(line_id AS BIGINT) * 4 + {k}) * {fx.MATCH_STEP} + i AS anno_seq
+  FROM (SELECT category, page_id, line_id, i, ms[i + 1] AS m,
+               CAST(list_sum(list_transform(between[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) AS INTEGER) AS so
+        FROM (SELECT category, page_id, line_id, ms, between, unnest(range(len(ms))) AS i
+              FROM (SELECT category, page_id, line_id, regexp_extract_all(line, {p}) AS ms, regexp_split_to_array(line, {p}) AS between
+                    FROM raw_lines)))""")
     x = fx.EXTRA_SEQ
     parts += [
-        f"SELECT doc_id, 'cap', 1, 2, 2, 6, NULL, {x} FROM documents WHERE doc_id % {fx.MULTI_LINE_MOD} = 0",
-        f"SELECT doc_id, 'accent-word', 1, 0, 1, 8, NULL, {x + 1} FROM documents WHERE doc_id % {fx.OVERLAP_MOD} = 0",
-        f"SELECT doc_id, 'number', 1, 5, 1, 5, NULL, {x + 2} FROM documents WHERE doc_id % {fx.EMPTY_MOD} = 0",
-        f"SELECT doc_id, 'number', 1, 8, 2, 3, NULL, {x + 3} FROM documents WHERE doc_id % {fx.EMPTY_MOD} = 0",
-        f"SELECT doc_id + {fx.MISSING_PAGE_SHIFT}, 'cap', 0, 0, 0, 3, NULL, 0 FROM documents "
+        f"SELECT source, doc_id, 'cap', 1, 2, 2, 6, NULL, {x} FROM documents WHERE doc_id % {fx.MULTI_LINE_MOD} = 0",
+        f"SELECT source, doc_id, 'accent-word', 1, 0, 1, 8, NULL, {x + 1} FROM documents WHERE doc_id % {fx.OVERLAP_MOD} = 0",
+        f"SELECT source, doc_id, 'number', 1, 5, 1, 5, NULL, {x + 2} FROM documents WHERE doc_id % {fx.EMPTY_MOD} = 0",
+        f"SELECT source, doc_id, 'number', 1, 8, 2, 3, NULL, {x + 3} FROM documents WHERE doc_id % {fx.EMPTY_MOD} = 0",
+        f"SELECT source, doc_id + {fx.MISSING_PAGE_SHIFT}, 'cap', 0, 0, 0, 3, NULL, 0 FROM documents "
         f"WHERE doc_id % {fx.MISSING_PAGE_MOD} = 0",
     ]
     body = "\n  UNION ALL\n  ".join(parts)
@@ -142,12 +154,20 @@ def anno_cte(pred: bool = False) -> str:
         return gold + ",\nanno AS (SELECT * FROM gold_anno)"
     return gold + f""",
 anno AS (
-  SELECT page_id, attribute, sl, so, el,
+  SELECT category, page_id, attribute, sl, so, el,
          CASE WHEN (page_id + sl) % {fx.PRED_SHORTEN_MOD} = 0 THEN eo - 1 ELSE eo END AS eo, text, anno_seq
   FROM gold_anno WHERE (page_id + sl) % {fx.PRED_DROP_MOD} <> 0
 )"""
 
 
+def splits_cte(src: str = "anno") -> str:
+    return f"""splits AS (
+  SELECT category, page_id, CASE WHEN r <= {fx.N_TRAIN} THEN 'train' WHEN r <= {fx.N_TRAIN + fx.N_VALID} THEN 'valid' ELSE 'test' END AS tvt
+  FROM (SELECT category, page_id, row_number() OVER (PARTITION BY category ORDER BY md5('0:' || CAST(page_id AS VARCHAR)), page_id) AS r
+        FROM (SELECT DISTINCT category, page_id FROM {src}))
+)"""
+
+
 def cells_ctes(prefix: str = "") -> str:
     """Expand every span of ``{prefix}anno`` cell by cell and resolve overlaps."""
     a = f"{prefix}anno"
@@ -176,12 +196,15 @@ def cells_ctes(prefix: str = "") -> str:
 )"""
 
 
+ATTRS = """attrs AS (SELECT DISTINCT a.category, a.attribute FROM gold_anno a),
+"""
+
+
 def dense_spans_ctes(prefix: str = "") -> str:
     """Dense tag matrix (kept chars × attributes), lag, running start count."""
-    return f"""attrs AS (SELECT DISTINCT attribute FROM gold_anno),
-{prefix}dense AS (
+    return ATTRS + f"""{prefix}dense AS (
   SELECT k.page_id, a.attribute, k.new_char_idx, k.line_id, k."offset", k.ch, coalesce(t.bio, 'O') AS bio
-  FROM kept k CROSS JOIN attrs a
+  FROM kept k JOIN documents d ON d.doc_id = k.page_id JOIN attrs a ON a.category = d.source
   LEFT JOIN {prefix}labels t ON t.page_id = k.page_id AND t.attribute = a.attribute
                            AND t.new_char_idx = k.new_char_idx
 ),

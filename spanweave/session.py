@@ -1,8 +1,7 @@
-"""Session helpers: local test sessions, input spreading, lineage cuts."""
+"""Session helpers: local test sessions, lineage cuts."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.spanweave.inputPartitions", str(shuffle_partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,48 +29,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def cluster_conf(total_input_bytes: int | None = None) -> dict[str, str]:
-    """Settings for a large cluster (what the plans assume at 100 TB scale).
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    - Scan splits of 64 MB: a page row becomes a few times its size as cleaned
-      line arrays, so input splits are kept below the 128 MB default.
-    - Shuffle partitions sized from the input (about 256 MB per partition of
-      input, i.e. ~400k for 100 TB) and left to AQE to coalesce; the shuffles
-      here move line rows or sparse tag rows, both smaller than the input.
-    - AQE skew handling for the joins whose keys can be hot (model / character
-      joins when the small side is too big to broadcast).
+    On a cluster a missing setting is an error, since a folder of the driver's
+    own machine is of no use to the executors; ``local_session`` sets one.
     """
-    parts = 2000 if not total_input_bytes else max(200, total_input_bytes // (256 << 20))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(64 << 20),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.session.timeZone": "UTC",
-    }
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="spanweave-ckpt-", dir=os.environ.get("SPANWEAVE_SCRATCH", "/tmp"))
+    if not d and spark.sparkContext.master.startswith("local["):
+        d = tempfile.mkdtemp(prefix="spanweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+    if not d:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a tiny input at least one partition per core.
-
-    A corpus of many files already yields far more scan partitions than cores
-    and is returned unchanged (no shuffle).  A single small file (one Parquet
-    row group) would otherwise run every page-level step in one task.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

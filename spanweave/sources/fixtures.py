@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import PAGE
+from ..functions.arrays import prefix_sum
+from ..functions.text import let
 from .pages import TEXT_OFFSET, split_lines
 
 # --- fixture rules (fixed values shared with the SQL oracle) ------------------
-# attribute name → pattern; the first match on a raw line is a gold span.
+# attribute name → pattern; every match on a raw line is a gold span.
 ATTRIBUTE_PATTERNS = (
     ("cap", "[A-Z][a-z]{3,}"),
     ("accent-word", "[a-z]*[éèê][a-z]*"),
@@ -26,12 +29,16 @@ OVERLAP_MOD = 11          # accent-word span (1,0)-(1,8), later than the line sp
 EMPTY_MOD = 13            # number spans (1,5)-(1,5) and (1,8)-(2,3): no cells
 MISSING_PAGE_MOD = 97     # cap span on page_id + MISSING_PAGE_SHIFT (no such page)
 MISSING_PAGE_SHIFT = 10_000_000
-EXTRA_SEQ = 1_000_000     # extras come after the line spans in file order
+MATCH_STEP = 1 << 20      # ordinal = (line × 4 + attribute) × MATCH_STEP + match
+EXTRA_SEQ = 1 << 50       # extras come after the line spans in file order
 # predictions = gold, dropped when (page_id + line_id) % 5 = 0, end offset
 # shortened by one when % 7 = 0
 PRED_DROP_MOD = 5
 PRED_SHORTEN_MOD = 7
 # embeddings → scoring fixtures
+# pages per category of the split (the documents have 20 sources of few pages)
+N_TRAIN = 30
+N_VALID = 5
 HEAD_ATTRS = 3
 BATCH_SIZE = 8
 # ------------------------------------------------------------------------------
@@ -45,36 +52,41 @@ def _offset(sl, so, el, eo, text=None):
     ).cast(TEXT_OFFSET)
 
 
+def _matches(line, pattern: str):
+    """Array of (i, so, m): every match on the line with its offset, from the lengths of what stands between."""
+    def placed(found):
+        between = F.transform(F.split(line, pattern, -1), lambda x: F.length(x))
+        lengths = F.transform(found, lambda x: F.length(x))
+        return let(F.arrays_zip(prefix_sum(F.slice(between, 1, F.size(found))).alias("b"), prefix_sum(lengths).alias("e"), found.alias("m")),
+                   lambda z: F.transform(z, lambda x, i: F.struct(
+                       i.cast("long").alias("i"), (x["b"] + x["e"] - F.length(x["m"])).cast("int").alias("so"), x["m"].alias("m"))))
+    return let(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), placed)
+
+
 def fixture_annotations(pages: DataFrame) -> DataFrame:
     """Gold spans derived from raw page lines.
 
-    Columns: page_id, title (null), attribute, text_offset, anno_seq.
-    One pass over the lines for the pattern spans, one over the page ids for
-    the extras.
+    Columns: category, page_id, title (null), attribute, text_offset, anno_seq.
     """
     lines = split_lines(pages)
     cands = F.array(*[
-        F.struct(
-            F.lit(name).alias("attribute"),
-            F.lit(k).alias("k"),
-            F.regexp_extract("line", pattern, 0).alias("m"),
-        )
+        F.struct(F.lit(name).alias("attribute"), F.lit(k).alias("k"), _matches(F.col("line"), pattern).alias("found"))
         for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS)
     ])
-    per_line = lines.select("page_id", "line_id", "line", F.inline_outer(cands)) \
-        .where(F.col("m") != "")
-    so = F.instr(F.col("line"), F.col("m")) - 1
+    per_line = lines.select(*PAGE, "line_id", F.inline_outer(cands)).select(
+        *PAGE, "line_id", "attribute", "k", F.inline_outer("found")).where(F.col("m").isNotNull())
+    so = F.col("so")
     spans = per_line.select(
-        "page_id", "attribute",
+        *PAGE, "attribute",
         _offset(F.col("line_id"), so, F.col("line_id"), so + F.length("m"), F.col("m")).alias("text_offset"),
-        (F.col("line_id").cast("bigint") * 4 + F.col("k")).alias("anno_seq"),
+        ((F.col("line_id").cast("bigint") * 4 + F.col("k")) * MATCH_STEP + F.col("i")).alias("anno_seq"),
     )
     L = F.lit
     pid = F.col("page_id")
 
     def extra(cond, page, attribute, sl, so_, el, eo, seq):
         return F.when(cond, F.struct(
-            page.alias("page_id"), L(attribute).alias("attribute"),
+            F.col("category").alias("category"), page.alias("page_id"), L(attribute).alias("attribute"),
             _offset(L(sl), L(so_), L(el), L(eo)).alias("text_offset"),
             L(seq).cast("bigint").alias("anno_seq"),
         ))
@@ -88,7 +100,7 @@ def fixture_annotations(pages: DataFrame) -> DataFrame:
     )
     ex = pages.select(F.explode(F.filter(extras, lambda x: x.isNotNull())).alias("x")).select("x.*")
     out = spans.unionByName(ex)
-    return out.select("page_id", F.lit(None).cast("string").alias("title"), "attribute", "text_offset", "anno_seq")
+    return out.select(*PAGE, F.lit(None).cast("string").alias("title"), "attribute", "text_offset", "anno_seq")
 
 
 def fixture_predictions(annotations: DataFrame) -> DataFrame:
@@ -118,9 +130,9 @@ def fixture_gold_and_pred(annotations: DataFrame) -> DataFrame:
         F.when(key % PRED_DROP_MOD != 0, F.struct(F.lit("pred").alias("set"), pred_off.alias("t"))),
     )
     return annotations.select(
-        "page_id", "title", "attribute", "anno_seq",
+        *PAGE, "title", "attribute", "anno_seq",
         F.explode(F.filter(both, lambda x: x.isNotNull())).alias("_x"),
-    ).select("page_id", "title", "attribute", F.col("_x.t").alias("text_offset"), "anno_seq",
+    ).select(*PAGE, "title", "attribute", F.col("_x.t").alias("text_offset"), "anno_seq",
              F.col("_x.set").alias("set"))
 
 
@@ -149,18 +161,38 @@ def head_weight(attr: int, out: int, inp: int) -> float:
     return ((attr * 31 + out * 17 + inp * 7) % 13 - 6) / 10.0
 
 
-def embedding_labels(embeddings: DataFrame) -> DataFrame:
-    """Per-(vector, attribute) labels; -1 (ignored) when (vec_id + attr) % 4 = 0."""
-    rows = []
-    for a in range(HEAD_ATTRS):
-        rows.append(embeddings.select(
-            "vec_id",
-            (F.col("vec_id") / BATCH_SIZE).cast("bigint").alias("batch_id"),
-            F.lit(a).alias("attr_idx"),
-            F.when((F.col("vec_id") + a) % 4 == 0, F.lit(-1))
-            .otherwise(F.pmod(F.col("label") + a, F.lit(3))).cast("int").alias("label"),
-        ))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def embedding_label(attr_idx):
+    """Label of a vector for an attribute; -1 (ignored) when (vec_id + attr) % 4 = 0, and for all of batch % 7 = 0, attribute 2."""
+    none = ((F.col("vec_id") + attr_idx) % 4 == 0) | ((embedding_batch() % 7 == 0) & (attr_idx == 2))
+    return F.when(none, F.lit(-1)).otherwise(F.pmod(F.col("label") + attr_idx, F.lit(3))).cast("int")
+
+
+def embedding_batch():
+    return F.expr(f"vec_id div {BATCH_SIZE}").cast("bigint")
+
+
+def logit_scale():
+    """Every fifth vector's logits are scaled up, so that some probabilities underflow."""
+    return F.when(F.col("vec_id") % 5 == 0, F.lit(100.0)).otherwise(F.lit(1.0))
+
+
+# Raw lines that the driver documents lack: one of these is put before a line
+# when its number matches (page_id + line_id) % 12.
+FIXTURE_PREFIXES = {
+    0: "^ ",
+    1: "ファイル:a.png ファイル:bb.jpeg ",
+    2: "移動先:\t\t\t\t\t案内、\t\t\t\t\t検索 ",
+    3: "出典: フリー百科事典『ウィキペディア（Wikipedia）』 ",
+    4: "「x」から取得 ",
+    5: "see http://a.jp/x and https://longer.example.com/path?q=1 or ftp://f.org/abc ",
+}
+PREFIX_MOD = 12
+
+
+def prefixed_lines(pages: DataFrame) -> DataFrame:
+    """Raw lines, some of them with a prefix that the blanking and footer rules act on."""
+    which = (F.col("page_id") + F.col("line_id")) % PREFIX_MOD
+    prefix = F.lit("")
+    for k, text in FIXTURE_PREFIXES.items():
+        prefix = F.when(which == k, F.lit(text)).otherwise(prefix)
+    return split_lines(pages).withColumn("line", F.concat(prefix, F.col("line")))

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import PAGE
 from ..functions.text import split_lines_expr
 
-PAGES_SCHEMA = "category string, page_id bigint, text string"
+# {category}/{page_id}.txt, or the folders a partitioned text sink writes for the same.
+PAGE_FILE = r"(?:category=)?([^/]+)/(?:page_id=([0-9]+)/[^/]+|([0-9]+))\.txt$"
+ANNOTATION_FILE = r"(?:[^/=]*=)?([^/=]+)_dist\.json(?:/[^/]*)?$"
 
 POS = T.StructType([T.StructField("line_id", T.IntegerType()), T.StructField("offset", T.IntegerType())])
 # Field order start, text, end is the order the predictions are written in.
@@ -30,15 +33,15 @@ def read_pages(spark: SparkSession, plain_dir: str, category: str | None = None)
     """``{category}/{page_id}.txt`` files → pages(category, page_id, text).
 
     ``wholetext`` reads one row per file; id and category come from the path.
-    Zero-length files are skipped by the file scan (an empty page has no lines,
-    hence no characters or spans either).
+    Zero-length files are skipped by the file scan; ``annotate.page_annotations``
+    reports annotated pages that are missing.
     """
-    glob = f"{plain_dir.rstrip('/')}/{category or '*'}/*.txt"
-    df = spark.read.text(glob, wholetext=True)
+    root = f"{plain_dir.rstrip('/')}/{category}" if category else plain_dir
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+\.txt$", 1).alias("category"),
-        F.regexp_extract(path, r"([^/]+)\.txt$", 1).cast("bigint").alias("page_id"),
+        F.regexp_extract(path, PAGE_FILE, 1).alias("category"),
+        F.concat(F.regexp_extract(path, PAGE_FILE, 2), F.regexp_extract(path, PAGE_FILE, 3)).cast("bigint").alias("page_id"),
         F.col("value").alias("text"),
     )
 
@@ -53,45 +56,64 @@ def pages_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..session import spread
-    return spread(pages_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The driver documents as pages.
+
+    ``spark.spanweave.inputPartitions`` deals out a file of one row group, which Spark
+    cannot split; only local sessions for small test files set it.
+    """
+    pages = pages_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    parts = spark.conf.get("spark.spanweave.inputPartitions", None)
+    return pages.repartition(int(parts)) if parts else pages
 
 
 def split_lines(pages: DataFrame) -> DataFrame:
-    """pages → lines(page_id, line_id, line); lines keep their newline."""
+    """pages → lines(category, page_id, line_id, line); lines keep their newline."""
     return pages.select(
-        "page_id",
+        *PAGE,
         F.posexplode(split_lines_expr(F.col("text"))).alias("line_id", "line"),
     ).withColumn("line_id", F.col("line_id").cast("int"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines gold spans with an explicit schema and a file-order ordinal.
+    """``{category}_dist.json`` files: gold spans with their category and a file-order ordinal.
 
-    ``anno_seq`` is the annotation's position among the annotations of its
+    The category is the file name's; a directory of such files holds several.
+    A line that does not parse is an error, not a row of nulls.  ``anno_seq`` is the annotation's position among the annotations of its
     page in file order (later annotations win on overlap).  Row order inside a
     split plus the split's byte offset and the file path give a total order
     consistent with the file; the per-page rank only shuffles annotations.
     """
-    df = spark.read.schema(ANNOTATION_SCHEMA).json(path)
+    df = spark.read.schema(ANNOTATION_SCHEMA).option("mode", "FAILFAST").json(path)
+    df = df.withColumn("category", F.regexp_extract(F.col("_metadata.file_path"), ANNOTATION_FILE, 1))
     order_key = F.struct(
         F.col("_metadata.file_path").alias("f"),
         F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("m"),
     )
     df = df.withColumn("_ord", order_key)
-    w = Window.partitionBy("page_id").orderBy("_ord")
+    w = Window.partitionBy(*PAGE).orderBy("_ord")
     return df.withColumn("anno_seq", (F.row_number().over(w) - 1).cast("bigint")).drop("_ord")
 
 
-def write_predictions(spans: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested spans as JSON-lines; non-ASCII characters are written as is."""
-    cols = ["page_id", "title", "attribute", "text_offset"]
-    spans.select(*cols).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_predictions(records: DataFrame, attributes: DataFrame, root: str, model: str, block: str, mode: str = "overwrite") -> None:
+    """Records as JSON-lines under ``{root}/{category}_{model}_{block}``, in the order of the original.
+
+    Pages in the string order of their file name, then attribute index, then
+    position.  A range exchange and a sort give that order over the part files
+    (whose names sort alike); nothing is gathered into one task.  Non-ASCII
+    characters are written as is.
+    """
+    r = records.join(attributes, ["category", "attribute"], "left")
+    order = ["category", F.concat(F.col("page_id").cast("string"), F.lit(".txt")), "attr_idx", "start_idx"]
+    laid = output_layout(r, None, model, block)
+    ranged = laid.repartitionByRange(*order).sortWithinPartitions("out_dir", *order)
+    ranged.select("page_id", "title", "attribute", "text_offset", "out_dir").write.mode(mode).partitionBy("out_dir").option(
+        "ignoreNullFields", "false").json(root)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ANNOTATION_SCHEMA).json(path)
+    return spark.read.schema(T.StructType([*ANNOTATION_SCHEMA.fields, T.StructField("out_dir", T.StringType())])).option(
+        "mode", "FAILFAST").json(path)
 
 
 def output_layout(df: DataFrame, category: str | None, model: str, block: str) -> DataFrame:

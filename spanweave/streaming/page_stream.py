@@ -4,8 +4,8 @@ Prediction over a folder of ``{category}/{page_id}.txt`` files, run
 incrementally: every new file is one whole page, so a micro-batch is a set of
 complete pages and the batch plan (clean → characters → score → spans) needs
 no state across batches.  Each micro-batch appends JSON-lines predictions;
-progress and exactly-once bookkeeping live in the checkpoint location, which
-defaults to a folder under the session's ``spark.checkpoint.dir``.
+progress and exactly-once bookkeeping live in the checkpoint location, a
+required argument, since every stream needs one of its own.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import TextParams
+from ..config import PAGE, TextParams
 from ..operators import chars, spans
-from ..session import ensure_checkpoint_dir
 
 
 def read_page_stream(spark: SparkSession, plain_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -40,22 +39,20 @@ def tag_pages(pages: DataFrame, params: TextParams,
     """Batch plan for one set of whole pages → flat predicted span records."""
     lines = chars.clean_lines(pages, params)
     kept = chars.kept_chars(lines, params, context=context)
-    sp = spans.decode_spans(scorer(kept))
-    info = chars.page_info(pages, params)
-    return spans.span_records(sp, info).select("page_id", "title", "attribute", "text_offset")
+    sp = spans.decode_spans(scorer(kept)).join(chars.page_info(pages, params).drop("n_lines"), PAGE)
+    return spans.span_records(sp).select("page_id", "title", "attribute", "text_offset")
 
 
 def start_prediction_stream(spark: SparkSession, plain_dir: str, out_dir: str, params: TextParams,
-                            scorer: Callable[[DataFrame], DataFrame], checkpoint: str | None = None,
+                            scorer: Callable[[DataFrame], DataFrame], checkpoint: str,
                             trigger_once: bool = False) -> StreamingQuery:
     """Start the query; every micro-batch appends the predictions of its pages."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/page_stream"
     pages = read_page_stream(spark, plain_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # one folder per micro-batch, overwritten on replay: idempotent
         tag_pages(batch, params, scorer).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
-    w = pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    w = pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
