@@ -81,7 +81,7 @@ def test_title_and_footer(spark):
 def _anno_df(spark, rows):
     schema = "page_id bigint, attribute string, sl int, so int, el int, eo int, anno_seq bigint"
     df = spark.createDataFrame(rows, schema)
-    return df.select("page_id", F.lit(None).cast("string").alias("title"), "attribute",
+    return df.select(F.lit("C").alias("category"), "page_id", F.lit(None).cast("string").alias("title"), "attribute",
                      _offset(F.col("sl"), F.col("so"), F.col("el"), F.col("eo")).alias("text_offset"), "anno_seq")
 
 
@@ -136,16 +136,40 @@ def test_decode_matches_state_machine(spark):
     rng = random.Random(5)
     seqs = [[rng.choice("BIO") for _ in range(rng.randint(0, 30))] for _ in range(300)]
     seqs += [["I"], ["O", "I", "I"], ["B", "B"], ["I", "B", "I", "O", "I"], ["O"] * 4, ["B"] * 3 + ["I"]]
-    rows = [(i, "a", k, t, 0, k, "x") for i, s in enumerate(seqs) for k, t in enumerate(s)]
-    df = spark.createDataFrame(rows, "page_id bigint, attribute string, new_char_idx bigint, bio string, "
-                                     "line_id int, offset int, ch string")
+    rows = [("C", i, "a", k, t, 0, k, "x", len(s)) for i, s in enumerate(seqs) for k, t in enumerate(s)]
+    df = spark.createDataFrame(rows, "category string, page_id bigint, attribute string, new_char_idx bigint, bio string, "
+                                     "line_id int, offset int, ch string, n_kept bigint")
     got = {(r.page_id, r.start_idx, r.end_idx) for r in spans.decode_spans(df).collect()}
     expect = {(i, s, e) for i, seq in enumerate(seqs) for s, e in model.decode(seq)}
     assert got == expect
-    # the dense transition flags agree: one start per span
-    t = spans.bio_transitions(df).groupBy("page_id").agg(F.sum(F.col("start").cast("int")).alias("n")).collect()
-    for r in t:
-        assert r.n == len(model.decode(seqs[r.page_id]))
+    # the flags derived from the sparse tags are those of the dense sequence
+    got = {(r.page_id, r.new_char_idx, r.insert, r.start, r.end) for r in spans.bio_transitions(df).collect()}
+    expect = set()
+    for i, seq in enumerate(seqs):
+        for k, (prev, t) in enumerate(zip(["O"] + seq, seq)):
+            flags = (prev != "O" and t in "BO", t == "B" or (prev == "O" and t == "I"), t != "O")
+            if any(flags):
+                expect.add((i, k, *flags))
+    assert got == expect
+
+
+def test_page_id_in_two_categories(spark):
+    """The same page id in two categories: own text, own labels, own attribute index, own split."""
+    from spanweave.operators import splits
+    pages = spark.createDataFrame([("City", 1, "abc def\n"), ("Company", 1, "xyz uvw\n")], "category string, page_id bigint, text string")
+    rows = [("City", 1, "name", 0, 0, 0, 3, 0), ("Company", 1, "brand", 0, 4, 0, 7, 0), ("Company", 1, "name", 0, 0, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "category string, page_id bigint, attribute string, sl int, so int, el int, eo int, anno_seq bigint")
+    anno = df.select("category", "page_id", F.lit(None).cast("string").alias("title"), "attribute",
+                     _offset(F.col("sl"), F.col("so"), F.col("el"), F.col("eo")).alias("text_offset"), "anno_seq")
+    got = {(r.category, r.attribute, r.text) for r in Corpus(pages, TextParams(header_last=-1)).spans_of(anno).collect()}
+    assert got == {("City", "name", "abc"), ("Company", "brand", "uvw"), ("Company", "name", "x")}
+    index = {(r.category, r.attribute): r.attr_idx for r in annotate.attribute_index(anno).collect()}
+    assert index == {("City", "name"): 0, ("Company", "brand"): 0, ("Company", "name"): 1}
+    sizes = splits.split_pages(annotate.annotated_pages(anno), n_train=1, n_valid=1)
+    assert [r.tvt for r in sizes.collect()] == ["train", "train"]
+    state = annotate.page_annotations(anno.withColumn("page_id", F.when(F.col("attribute") == "brand", 9).otherwise(F.col("page_id"))), pages)
+    assert {(r.category, r.attribute, r.page_state) for r in state.collect()} == {
+        ("City", "name", "found"), ("Company", "brand", "missing"), ("Company", "name", "found")}
 
 
 def test_tag_strings_split_at_first_dash(spark):

@@ -17,8 +17,8 @@ def test_stream_matches_batch(spark):
         with open(f"{root}/in/City/{k}.txt", "w", encoding="utf-8") as f:
             f.write(v)
     model = spark.createDataFrame(
-        [("pop", "の", "人", "B"), ("pop", "人", "口", "I")],
-        "attribute string, prev_ch string, ch string, bio string")
+        [("City", "pop", "の", "人", "B"), ("City", "pop", "人", "口", "I")],
+        "category string, attribute string, prev_ch string, ch string, bio string")
     p = TextParams(header_last=0)
     scorer = lambda kept: scoring.score_with_counts(kept, model)
     q = start_prediction_stream(spark, f"{root}/in", f"{root}/out", p, scorer,
