@@ -17,7 +17,7 @@ from ..config import PAGE, fixture_params
 from ..functions import text as tx
 from ..operators import annotate, chars, evaluate, examples, scoring, spans, splits
 from ..sources import fixtures as fx
-from ..session import checkpointed, ensure_checkpoint_dir
+from ..session import bounded_broadcast, checkpointed, ensure_checkpoint_dir
 from ..sources.pages import (
     load_pages, output_layout, read_annotations, read_pages, read_predictions, split_lines, write_partitioned, write_predictions,
 )
@@ -545,8 +545,7 @@ LABELS_BASE = W(O.base(P510), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes()
 def _block_labels(spark, d, p):
     c = _corpus(spark, d, p)
     g = _gold(spark, d)
-    attributes = checkpointed(annotate.attribute_index(g))  # a few names per category
-    return examples.block_labels(chars.block_stats_narrow(c.frame, p), c.labels(g), attributes, p)
+    return examples.block_labels(chars.block_stats_narrow(c.frame, p), c.labels(g), annotate.attribute_index(g), p)
 
 
 @register("tag_strings", GOLD_SPANS + """SELECT page_id, attribute, new_char_idx,
@@ -724,8 +723,8 @@ def _tagger_split(spark, d):
 
 
 def _train_corpus(pages, sp):
-    """The train pages: at most n_train per category, so AQE may broadcast their ids; the text is filtered, not shuffled."""
-    return Corpus(pages.join(F.broadcast(sp.where(F.col("tvt") == "train").select(*PAGE)), PAGE, "left_semi"), P)
+    """The train pages: n_train ids per category, counted before they are broadcast; the text is filtered, not shuffled."""
+    return Corpus(pages.join(bounded_broadcast(sp.where(F.col("tvt") == "train").select(*PAGE)), PAGE, "left_semi"), P)
 
 
 def _train_side(pages, sp, context):

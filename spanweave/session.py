@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanweave") -> SparkSession:
@@ -49,3 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, cut from its lineage, with a broadcast hint if it was counted to have at most ``max_rows`` narrow rows.
+
+    A larger one is left to an ordinary join, whose skewed partitions AQE splits.
+    """
+    small = checkpointed(df)
+    return F.broadcast(small) if small.count() <= max_rows else small

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PAGE
 from ..functions.arrays import prefix_sum
-from ..functions.text import let
+from ..functions.text import let, split_lines_expr
 from .pages import TEXT_OFFSET, split_lines
 
 # --- fixture rules (fixed values shared with the SQL oracle) ------------------
@@ -68,25 +68,21 @@ def fixture_annotations(pages: DataFrame) -> DataFrame:
 
     Columns: category, page_id, title (null), attribute, text_offset, anno_seq.
     """
-    lines = split_lines(pages)
-    cands = F.array(*[
-        F.struct(F.lit(name).alias("attribute"), F.lit(k).alias("k"), _matches(F.col("line"), pattern).alias("found"))
-        for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS)
-    ])
-    per_line = lines.select(*PAGE, "line_id", F.inline_outer(cands)).select(
-        *PAGE, "line_id", "attribute", "k", F.inline_outer("found")).where(F.col("m").isNotNull())
-    so = F.col("so")
-    spans = per_line.select(
-        *PAGE, "attribute",
-        _offset(F.col("line_id"), so, F.col("line_id"), so + F.length("m"), F.col("m")).alias("text_offset"),
-        ((F.col("line_id").cast("bigint") * 4 + F.col("k")) * MATCH_STEP + F.col("i")).alias("anno_seq"),
-    )
+    # One pass: a row per line, the page's extras on its first row (also when it has no lines).
+    lines = pages.select(*PAGE, F.posexplode_outer(split_lines_expr(F.col("text"))).alias("line_id", "line"))
+    def spans_of(k: int, name: str, pattern: str):
+        return F.transform(_matches(F.col("line"), pattern), lambda x: F.struct(
+            F.col("page_id").alias("page_id"), F.lit(name).alias("attribute"),
+            _offset(F.col("line_id"), x["so"], F.col("line_id"), x["so"] + F.length(x["m"]), x["m"]).alias("text_offset"),
+            ((F.col("line_id").cast("bigint") * 4 + k) * MATCH_STEP + x["i"]).alias("anno_seq")))
+
+    found = [spans_of(k, name, pattern) for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS)]
     L = F.lit
     pid = F.col("page_id")
 
     def extra(cond, page, attribute, sl, so_, el, eo, seq):
         return F.when(cond, F.struct(
-            F.col("category").alias("category"), page.alias("page_id"), L(attribute).alias("attribute"),
+            page.alias("page_id"), L(attribute).alias("attribute"),
             _offset(L(sl), L(so_), L(el), L(eo)).alias("text_offset"),
             L(seq).cast("bigint").alias("anno_seq"),
         ))
@@ -98,8 +94,10 @@ def fixture_annotations(pages: DataFrame) -> DataFrame:
         extra(pid % EMPTY_MOD == 0, pid, "number", 1, 8, 2, 3, EXTRA_SEQ + 3),
         extra(pid % MISSING_PAGE_MOD == 0, pid + MISSING_PAGE_SHIFT, "cap", 0, 0, 0, 3, 0),
     )
-    ex = pages.select(F.explode(F.filter(extras, lambda x: x.isNotNull())).alias("x")).select("x.*")
-    out = spans.unionByName(ex)
+    none = F.filter(extras, lambda x: F.lit(False))
+    first = F.when(F.coalesce(F.col("line_id"), F.lit(0)) == 0, F.filter(extras, lambda x: x.isNotNull())).otherwise(none)
+    every = F.concat(*[F.coalesce(f, none) for f in found], first)
+    out = lines.select("category", F.explode_outer(every).alias("x")).where(F.col("x").isNotNull()).select("category", "x.*")
     return out.select(*PAGE, F.lit(None).cast("string").alias("title"), "attribute", "text_offset", "anno_seq")
 
 
