@@ -776,14 +776,14 @@ def q_macro_page_f1(spark, d):
 
 
 def lr_spans(spark, d):
-    """Predicted spans of the logistic-regression tagger on all pages, and the kept characters they were made from."""
+    """Predicted spans of the logistic-regression tagger on all pages."""
     pages, sp = _pages(spark, d), _tagger_split(spark, d)
     ctx, labels = _train_side(pages, sp, 2)
     # The attribute names of the annotation schema, one model each.
     names = [r.attribute for r in annotate.attribute_index(_gold(spark, d)).select("attribute").distinct().orderBy("attribute").collect()]
     models = scoring.train_tagger_lr(ctx, labels, names, k=2)
     kept = chars.kept_chars(chars.clean_lines(pages, P), P, context=2)
-    return spans.decode_spans(scoring.score_with_lr(kept, models)), kept
+    return spans.decode_spans(scoring.score_with_lr(kept, models))
 
 
 @register("train_tagger_lr", W(BASE, O.anno_cte(), O.splits_cte()) + """SELECT s.page_id, CAST(count(k.ch) AS BIGINT) AS n_scored,
@@ -794,11 +794,11 @@ def q_train_tagger_lr(spark, d):
 
     The spans themselves are ``lr_spans``; the fit is iterative and has no SQL form.
     """
-    sp, kept = lr_spans(spark, d)
     held = _holdout_pages(spark, d)
-    text = kept.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("new_char_idx", "ch"))), lambda x: x["ch"]), "").alias("kept"))
-    found = sp.groupBy(*PAGE).agg(F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
+    body = F.filter("lines", lambda x: x["in_body"])
+    text = _corpus(spark, d).frame.select(*PAGE, F.col("n_kept").alias("n"), F.array_join(F.transform(
+        body, lambda x: F.regexp_replace(x["line"], F.lit(tx.WS_CLASS), F.lit(""))), "").alias("kept"))
+    found = lr_spans(spark, d).groupBy(*PAGE).agg(F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
     j = held.join(text, PAGE, "left").join(found, PAGE, "left")
     right = F.forall(F.coalesce("spans", F.array().cast("array<struct<start_idx:bigint,end_idx:bigint,text:string>>")),
                      lambda s: F.substring(F.col("kept"), (s["start_idx"] + 1).cast("int"), (s["end_idx"] - s["start_idx"] + 1).cast("int")) == s["text"])
