@@ -106,7 +106,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rule = F.concat("rule_host", "rule_path")
     best = hits.groupBy("url").agg(F.max(F.struct(
         F.length(rule).alias("n"), F.length("rule_host").alias("h"), rule.alias("rule"), "action")).alias("best"))
-    best = materialize(best.select(F.col("url").alias("_url"), F.col("best.rule").alias("rule"),
+    best = materialize(best.select(F.col("url").alias("__rule_url"), F.col("best.rule").alias("rule"),
                                    F.col("best.action").alias("verdict")), "url-verdicts")
-    joined = base.join(best, F.col(url_col) == F.col("_url"), "left")
+    joined = base.join(best, F.col(url_col) == F.col("__rule_url"), "left")
     return joined.select(*base.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
