@@ -13,8 +13,12 @@ Stages, and what their decisions do:
 5. mixing: one row per document with how often the mix takes it.
 
 Stages 1 and 2 need a decision per row, not per id, since ids may be null or
-repeated.  They number the rows in a copy written to the shared folder, decide on
-narrow columns, and join the numbers back.
+repeated.  Stage 1 carries the documents through the pass that takes their
+statistics and decides in the row.  Stage 2 numbers the rows in a copy written to
+the shared folder, decides on narrow columns, and joins the numbers back.  Joins
+that bring a decision back to the texts are sort-merge joins at every size: what
+they join with grows with the documents, so it must not be broadcast because a
+small input happens to allow it.
 """
 
 from __future__ import annotations
@@ -27,32 +31,23 @@ from pyspark.sql import functions as F
 from spanweave.llm import mixing, risk_rules, secret_forest, simhash_trie, spaced_seed
 from spanweave.llm.common import materialize, table
 
-ROW = "_row_no"
-
-
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a row number that stays: the copy is read again, never computed again."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-
-
-def _only(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The numbered documents whose number is in ``rows``, without it."""
-    return numbered.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+ROW = "__pipeline_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs, "pipeline-quality")
-    judged = risk_rules.judge_quality(numbered, table(spark, sf_dir, "labels"), keep=(ROW,))
-    return _only(numbered, materialize(judged.where("kept").select(ROW), "pipeline-kept"))
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # no name of the documents clashes with the operator's
+    judged = risk_rules.judge_quality(docs.toDF(*names.values()), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", names["doc_id"]),
+                                      names["doc_id"], names["text"], names["lang"], keep=tuple(n for c, n in names.items() if c != "doc_id"))
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs, "pipeline-near")
+    numbered = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-near")  # read again, never computed again
     grouped = simhash_trie.near_duplicates(numbered, keep=(ROW,))
     # Components of null ids only have no id; their fingerprints cannot be told apart by it, so the root names a group.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", ROW))
     kept = grouped.groupBy("group_fp").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return _only(numbered, materialize(kept, "pipeline-firsts"))
+    return numbered.join(materialize(kept, "pipeline-firsts").hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

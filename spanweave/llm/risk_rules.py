@@ -79,7 +79,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns of ``docs`` and the text statistics; the text itself goes no further."""
+    """``keep`` columns of ``docs`` and the text statistics; the text itself goes no further unless it is kept."""
     cols = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema[:-1]] + [STATS])
 

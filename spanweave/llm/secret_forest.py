@@ -194,11 +194,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every occurrence of a document's secrets replaced by ``REDACTED``; columns and rows as they are."""
-    secrets = findings.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.sort_array(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("_secrets"))  # the secrets of one text
+    secrets = findings.groupBy(F.col("doc_id").alias("__secret_id"), F.col("text_key").alias("__secret_key")).agg(
+        F.sort_array(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("__secrets"))  # the secrets of one text
     secrets = materialize(secrets, "secrets")
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(secrets, F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    clean = F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(
-        F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s["secret"], F.lit(REDACTED))))
+    # The findings grow with the documents: never broadcast.
+    joined = docs.join(secrets.hint("merge"), F.col(id_col).eqNullSafe(F.col("__secret_id")) & (key == F.col("__secret_key")), "left")
+    clean = F.when(F.col("__secrets").isNull(), F.col(text_col)).otherwise(
+        F.aggregate("__secrets", F.col(text_col), lambda t, s: F.replace(t, s["secret"], F.lit(REDACTED))))
     return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])

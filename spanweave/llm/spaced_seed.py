@@ -125,5 +125,6 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents (id and text) named in ``overlaps``; columns as they are."""
-    gone = materialize(overlaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "seed-gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key")), "left_anti")
+    gone = materialize(overlaps.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "seed-gone")
+    # What is removed grows with the documents: never broadcast.
+    return docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__gone_key")), "left_anti")
