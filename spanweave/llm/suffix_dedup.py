@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,8 +31,7 @@ from .tokens import mix
 
 LENGTH = 400
 ANCHOR = 128
-# A chunk of whole anchors must stay below 2^21 bytes, the largest name.
-HEAVY_BYTES = 1 << 19
+HEAVY_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 SEGMENT = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -93,8 +92,16 @@ def anchors(raw: bytes, length: int, anchor: int, rolling: _Rolling) -> Iterator
 _BITS = 21
 
 
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Triples as integers of the same order, for values below 2^21 or, by way of names for the pairs, 2^31."""
+    if max(int(x.max(initial=0)) for x in (a, b, c)) < 1 << _BITS:
+        return (a << 2 * _BITS) | (b << _BITS) | c
+    _, pair = np.unique((a << 31) | b, return_inverse=True)
+    return (pair.astype(np.int64) << 31) | c
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of positive integers below 2^21 by the difference cover modulo 3.
+    """Suffix array of positive integers below 2^31 by the difference cover modulo 3.
 
     Sorts the triples at positions i mod 3 != 0, recurses on their names until
     they are unique, sorts the other suffixes by (symbol, rank of the next) and
@@ -108,7 +115,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     extra = n % 3 == 1  # a sampled empty suffix keeps the two halves of the recursion apart
     one, two = np.arange(1, n + extra, 3), np.arange(2, n, 3)
     sampled = np.concatenate([one, two])
-    key = (x[sampled] << 2 * _BITS) | (x[sampled + 1] << _BITS) | x[sampled + 2]
+    key = _packed(x[sampled], x[sampled + 1], x[sampled + 2])
     order = np.argsort(key)
     ordered = key[order]
     name = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
@@ -122,15 +129,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     by_rank = by_rank[by_rank < n]
 
     def pair(i: np.ndarray) -> np.ndarray:
-        return (x[i] << _BITS) | rank[i + 1]
-
-    def triple(i: np.ndarray) -> np.ndarray:
-        return (x[i] << 2 * _BITS) | (x[i + 1] << _BITS) | rank[i + 2]
+        return (x[i] << 31) | rank[i + 1]
 
     rest = np.arange(0, n, 3)
     rest = rest[np.argsort(pair(rest))]
     ones, twos = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
-    place = np.arange(len(rest)) + np.searchsorted(pair(ones), pair(rest)) + np.searchsorted(triple(twos), triple(rest))
+    both = np.concatenate([twos, rest])  # packed together, so that their keys compare
+    triples = _packed(x[both], x[both + 1], rank[both + 2])
+    place = np.arange(len(rest)) + np.searchsorted(pair(ones), pair(rest)) + np.searchsorted(triples[:len(twos)], triples[len(twos):])
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[place] = False
@@ -248,7 +254,11 @@ def _count_windows(pieces: DataFrame, length: int) -> DataFrame:
 
     windows = pieces.select("anchor", "piece_hash", "piece", "copies").mapInArrow(run, "anchor long, piece_hash long, a long, h1 long, h2 long, copies long")
     twice = materialize(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2"), "suffix-windows")
-    return windows.join(twice, ["h1", "h2"], "left_semi").select("anchor", "piece_hash", "a", (F.col("a") + 1).alias("b"))
+    hit = windows.join(twice, ["h1", "h2"], "left_semi").select("anchor", "piece_hash", "a")
+    # Neighbouring starts of one piece (bounded by its length) are one interval.
+    order = Window.partitionBy("anchor", "piece_hash").orderBy("a")
+    islands = hit.withColumn("island", F.col("a") - F.row_number().over(order)).groupBy("anchor", "piece_hash", "island")
+    return islands.agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b")).drop("island")
 
 
 def repeated_intervals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:

@@ -95,6 +95,11 @@ def test_suffix_array_matches_a_sort():
         assert suffix_dedup.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_suffix_array_of_many_symbols(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_BITS", 2)  # as if the names were too large to pack
+    test_suffix_array_matches_a_sort()
+
+
 def brute_removed(texts, length):
     count = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
