@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 
@@ -54,7 +54,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, data[ends - 1].astype(np.int64) | before << 8, starts
 
 
-def batch_words(texts: list[str | None], lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def batch_words(texts: Collection[str | None], lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of the words of ``texts`` in order: hash, ending, index of the text, and the texts that end in this piece.
 
     A text longer than a piece is cut at a space and goes on in the next one.
