@@ -1,6 +1,7 @@
 """Secret scan: a random forest decides which long tokens are secrets.
 
-Candidates are runs of 16 or more of ``[A-Za-z0-9+/=_-]``.  A forest judges each
+Candidates are runs of 16 or more of ``[A-Za-z0-9+/_-]`` and the ``=`` that pad
+them; an ``=`` before a value parts the name from it.  A forest judges each
 by its length and make-up, the likelihood of its character transitions, how much
 of it dictionary words cover, the path it stands in and the words around it; it
 is trained on labelled findings and its negatives are the false positives that
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, lower_ascii, materialize
 
 MIN_LENGTH = 16
-CANDIDATE = r"([A-Za-z0-9+/=_-]{16,})"
-CREDENTIAL = r"(?i)(token|secret|passw|pwd|credential|auth|bearer|private|(api|access|signing|encryption)[_-]?key)"
+CANDIDATE = r"([A-Za-z0-9+/_-]{16,}+(?:={1,2}(?!=*[\"']?[A-Za-z0-9+/_-]))?)"  # an equals sign only as padding
+ASSIGNS = r"^=+[\"']?[A-Za-z0-9+/_-]"
+CREDENTIAL = r"(?i)(token|secret|passw|pwd|credential|auth|bearer|private|(api|access|signing|encryption)[_-]?key|[?&]key=)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|0{8}|1234567)"
 CONFIG_PATH = r"(?i)\.(env|ya?ml|json|toml|ini|cfg|conf|pem|key|properties|tf|sh|py|js|ts|go|java|rb|php)$"
 TEST_PATH = r"(?i)(test|spec|example|sample|doc|fixture|mock)"
@@ -37,7 +39,7 @@ REDACTED = "[SECRET]"
 LETTERS = 26
 CLASSES = 28  # letters, digits, anything else
 FEATURES = ["length", "digits", "capitals", "distinct", "switches", "transition", "coverage", "path_depth", "path_config", "path_test", "path_hash",
-            "credential_before", "assigned", "quoted", "placeholder", "letters_before", "letters_after"]
+            "credential_before", "assigned", "quoted", "placeholder", "assigns", "letters_before", "letters_after"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -111,7 +113,9 @@ def with_features(found: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
         inside = (a < LETTERS) & (b < LETTERS) & (c < LETTERS)
         return F.when(inside, _entry(triples, F.when(inside, a * 676 + b * 26 + c).otherwise(0)).cast("double")).otherwise(0.0)
 
-    path, context = around("path"), F.concat_ws(" ", around("before2"), around("before1"), F.call_function("substring_index", F.col("word"), F.col("secret"), F.lit(1)))
+    prefix = F.call_function("substring_index", F.col("word"), s, F.lit(1))
+    suffix = F.substring(F.col("word"), F.length(prefix) + n + 1, F.length("word"))
+    path, context = around("path"), F.concat_ws(" ", around("before2"), around("before1"), prefix)
     columns = {
         "length": n,
         "digits": share("[0-9]"),
@@ -128,6 +132,7 @@ def with_features(found: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
         "assigned": context.rlike(r"[=:]"),
         "quoted": F.col("word").rlike("[\"']"),
         "placeholder": F.concat_ws(" ", context, s).rlike(PLACEHOLDER),
+        "assigns": suffix.rlike(ASSIGNS) & ~prefix.rlike("[=:][\"']?$"),
         "letters_before": F.length(F.regexp_replace(around("before1"), "[^A-Za-z]", "")) / F.greatest(F.length(around("before1")), F.lit(1)),
         "letters_after": F.length(F.regexp_replace(around("after"), "[^A-Za-z]", "")) / F.greatest(F.length(around("after")), F.lit(1)),
     }
@@ -138,9 +143,10 @@ def label_findings(featured: DataFrame) -> DataFrame:
     """The labelling rule used where no labelled findings are at hand: + label.
 
     A candidate with letters and digits that is assigned to a credential's name is
-    a secret unless it is a placeholder; every other candidate is a false positive.
+    a secret unless it is a placeholder or itself the name of what follows; every
+    other candidate is a false positive.
     """
-    named = (F.col("credential_before") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0)
+    named = (F.col("credential_before") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("assigns") == 0)
     mixed = F.col("secret").rlike("[0-9]") & F.col("secret").rlike("[A-Za-z]")
     return featured.withColumn("label", (named & mixed).cast("double"))
 

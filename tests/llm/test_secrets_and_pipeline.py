@@ -51,6 +51,28 @@ def test_forest_learns_from_labelled_findings(spark):
     assert len(held & set(new_secrets.items())) >= 0.95 * len(new_secrets) and len(held - set(new_secrets.items())) <= 2
 
 
+def test_assigned_values_without_spaces(spark):
+    """The name before an equals sign is context, not part of the candidate."""
+    rows, secrets = corpus(4)
+    rng = random.Random(6)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    forms = ["API_KEY={}", "export MY_SERVICE_ACCESS_KEY_2={}", "token={}", "run --token={} now", 'PASSWORD="{}"', "https://maps.acme.net/a?page=2&api_key={}",
+             "https://maps.acme.net/a?key={}&page=2", "secret={}==", "auth='{}=='"]
+    want = set(secrets.items())
+    for i, form in enumerate(forms):
+        for k in range(5):
+            v = value()
+            rows.append((1000 + 10 * i + k, "the river runs " + form.format(v) + " until night falls", "en", "src/a.env", 0, "", "", ""))
+            want.add((1000 + 10 * i + k, v + "==" * ("==" in form)))
+    rows.append((2000, "token = MY_SERVICE_BUCKET_2=quick the COUNTER_REVOLUTION_9=" + value(), "en", "src/a.env", 0, "", "", ""))
+    docs = documents(spark, rows)
+    assert {r.secret for r in secret_forest.candidates(docs).where("doc_id = 2000").collect()} >= {"MY_SERVICE_BUCKET_2", "COUNTER_REVOLUTION_9"}
+    found = secret_forest.find_secrets(docs)
+    assert {(r.doc_id, r.secret) for r in found.collect()} == want
+    clean = {r.doc_id: r.text for r in secret_forest.redact(docs, found).where("doc_id >= 1000").collect()}
+    assert "API_KEY=[SECRET] until" in clean[1000] and "--token=[SECRET] now" in clean[1030]
+
+
 def test_language_tables(spark):
     words = secret_forest.dictionary(documents(spark, [(i, "Abc, abd xyz9 " * 3, None, None, None, None, None, None) for i in range(2)]))
     assert {(r.word, r.n) for r in words.collect()} == {("abc", 6), ("abd", 6)}
