@@ -27,6 +27,9 @@ from .common import lower_ascii, materialize, words
 # Offsets of the selected tokens.  Any 13 tokens with at most two substituted
 # hold an intact placement of one of these (tests/llm checks all cases).
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8))
+# Besides these, for items of 8 to 12 words, which are verified on their own width:
+# with them, any substitutions that the verifier accepts leave a placement intact.
+SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 5), (0, 1, 5, 6, 8))
 WINDOW = 13
 SIMILARITY = 0.8
 MIN_ITEM_WORDS = 5
@@ -61,17 +64,19 @@ def _unrolled(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: tuple[str
 
 
 def _seeds(items: DataFrame, i: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(seed, item_no, q) of one mask; a full mask is for the items of just its length."""
-    n, span = F.size("tokens"), masks[i][-1] + 1
-    fit = items.where(n >= span if i < len(MASKS) else n == span)
+    """(seed, item_no, q) of one mask; a short mask is for the items of 8 to 12 words, a full one for the items of just its length."""
+    n, span, short = F.size("tokens"), masks[i][-1] + 1, min(m[-1] + 1 for m in MASKS)
+    of_short = n.between(max(span, short), WINDOW - 1)
+    fit = items.where(n >= span if i < len(MASKS) else of_short if masks[i] in SHORT_MASKS else n == span)
     at = fit.select("item_no", "tokens", F.explode(F.sequence(F.lit(0), n - span)).alias("q"))
     return at.select(_window_hash(F.col("tokens"), F.col("q"), i, masks[i]).alias("seed"), "item_no", "q")
 
 
 def masks_for(lengths: list[int], masks: tuple[tuple[int, ...], ...] = MASKS) -> tuple[tuple[int, ...], ...]:
-    """The masks, and a full one for each item length too short for any of them."""
+    """The masks, the short ones if an item is shorter than the window, and a full one for each item length too short for any of the masks."""
     shortest = min(m[-1] + 1 for m in masks)
-    return masks + tuple(tuple(range(n)) for n in sorted(lengths) if n < shortest)
+    short = SHORT_MASKS if any(shortest <= n < WINDOW for n in lengths) else ()
+    return masks + short + tuple(tuple(range(n)) for n in sorted(lengths) if n < shortest)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -87,8 +92,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("tokens"))
     items = materialize(items.where(F.size("tokens") >= MIN_ITEM_WORDS).distinct().withColumn("item_no", F.monotonically_increasing_id()), "seed-items")
-    short = min(m[-1] + 1 for m in MASKS)
-    lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < short).distinct().collect()]  # fewer than a mask's span
+    lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]  # at most eight
     masks = masks_for(lengths)
     seeds = materialize(functools.reduce(DataFrame.unionByName, [_seeds(items, i, masks) for i in range(len(masks))]).distinct(), "seeds")
     blocks = max(1, math.ceil(seeds.count() / max_block))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 
@@ -177,6 +178,22 @@ def test_masks_survive_every_pair_of_substitutions():
             assert any(not {s + o for o in m} & {a, b} for m in spaced_seed.MASKS for s in range(13 - m[-1]))
 
 
+def test_every_allowed_substitution_set_is_found(spark):
+    """Items of 8 to 13 words, each with every set of substitutions that 80 % allows, and with one more."""
+    items, docs, want = [], [], {}
+    for m in range(8, spaced_seed.WINDOW + 1):
+        item = [f"w{m}x{i}" for i in range(m)]
+        items.append((m, " ".join(item)))
+        allowed = m - math.ceil(spaced_seed.SIMILARITY * m)
+        for gone in (g for k in range(allowed + 2) for g in itertools.combinations(range(m), k)):
+            if len(gone) <= allowed:
+                want[len(docs), m] = m - len(gone)
+            docs.append((len(docs), " ".join(["before", *["changed" if j in gone else w for j, w in enumerate(item)], "after"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = spaced_seed.find_overlaps(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.equal_words for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("block", [spaced_seed.MAX_BLOCK, 40])
 def test_overlaps_match_brute_force(spark, block):
     rng = random.Random(9)
