@@ -29,17 +29,24 @@ from .common import SPACE_CLASS, lower_ascii, materialize
 MIN_LENGTH = 16
 CANDIDATE = r"([A-Za-z0-9+/_-]{16,}+(?:={1,2}(?!=*[\"']?[A-Za-z0-9+/_-]))?)"  # an equals sign only as padding
 ASSIGNS = r"^=+[\"']?[A-Za-z0-9+/_-]"
-CREDENTIAL = r"(?i)(token|secret|passw|pwd|credential|auth|bearer|private|(api|access|signing|encryption)[_-]?key|[?&]key=)"
+CREDENTIAL = r"(?i)(token|secret|passw|pwd|credential|auth|bearer|private|(api|access|signing|encryption)[_-]?key|[?&]key=|\bkey is\b)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|0{8}|1234567)"
+# Credentials that their issuer's prefix and length give away.
+KNOWN = (r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
+         r"|AIza[A-Za-z0-9_-]{35}|[srp]k_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{32,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,})$")
+UUID = r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"
+CHECKSUM = r"(?i)(commit|\bsha[-_]?[0-9]|md5|checksum|digest|\bhash|etag|integrity|revision|\bcrc)"
+KEY = r"(?i)(?<![a-z])keys?(?![a-z])"
 CONFIG_PATH = r"(?i)\.(env|ya?ml|json|toml|ini|cfg|conf|pem|key|properties|tf|sh|py|js|ts|go|java|rb|php)$"
 TEST_PATH = r"(?i)(test|spec|example|sample|doc|fixture|mock)"
+SWITCH = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 MIN_DICTIONARY_COUNT = 5
 MAX_LABELLED = 20_000
 REDACTED = "[SECRET]"
 LETTERS = 26
 CLASSES = 28  # letters, digits, anything else
 FEATURES = ["length", "digits", "capitals", "distinct", "switches", "transition", "coverage", "path_depth", "path_config", "path_test", "path_hash",
-            "credential_before", "assigned", "quoted", "placeholder", "assigns", "letters_before", "letters_after"]
+            "credential_before", "assigned", "quoted", "placeholder", "assigns", "known", "random", "key_before", "checksum", "letters_before", "letters_after"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -92,6 +99,17 @@ def language_tables(words: DataFrame) -> tuple[bytes, bytes]:
     return transitions, bytes(flags)
 
 
+def random_cost(transitions: bytes) -> float:
+    """Mean cost of a pair of letters, half way between text like the dictionary's and letters drawn at random."""
+    cost = [[transitions[CLASSES * a + b] for b in range(LETTERS)] for a in range(LETTERS)]
+    chance = [[2 ** (-x / 10) for x in row] for row in cost]
+    share = [1 / LETTERS] * LETTERS
+    for _ in range(50):  # how often each letter comes, when letters follow each other by the table
+        share = [sum(share[a] * chance[a][b] / sum(chance[a]) for a in range(LETTERS)) for b in range(LETTERS)]
+    text = sum(share[a] * sum(c * x for c, x in zip(chance[a], cost[a])) / sum(chance[a]) for a in range(LETTERS))
+    return (text + sum(map(sum, cost)) / LETTERS ** 2) / 2
+
+
 def _entry(table: bytes, index: Column) -> Column:
     """The byte of a constant table at ``index``."""
     return F.ascii(F.substring(F.lit(table), index + 1, F.lit(1)).cast("string"))
@@ -121,7 +139,7 @@ def with_features(found: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
         "distinct": F.size(F.array_distinct("codes")) / n,
-        "switches": share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
+        "switches": share(SWITCH),
         "transition": mean(pair_scores, F.lit(0.0)),
         "coverage": mean(F.transform(F.sequence(F.lit(0), F.size("codes") - 3), covered), F.lit(0.0)),
         "path_depth": F.size(F.split(path, "/")),
@@ -132,7 +150,12 @@ def with_features(found: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
         "assigned": context.rlike(r"[=:]"),
         "quoted": F.col("word").rlike("[\"']"),
         "placeholder": F.concat_ws(" ", context, s).rlike(PLACEHOLDER),
+        "key_before": context.rlike(KEY),
+        "checksum": context.rlike(CHECKSUM),
         "assigns": suffix.rlike(ASSIGNS) & ~prefix.rlike("[=:][\"']?$"),
+        "known": s.rlike(KNOWN),
+        "random": F.when(s.rlike("^[A-Za-z]+$"), mean(pair_scores, F.lit(0.0)) > random_cost(transitions)).otherwise(
+            s.rlike("[A-Za-z]") & s.rlike("[0-9]") & (share(SWITCH) >= 0.1)),
         "letters_before": F.length(F.regexp_replace(around("before1"), "[^A-Za-z]", "")) / F.greatest(F.length(around("before1")), F.lit(1)),
         "letters_after": F.length(F.regexp_replace(around("after"), "[^A-Za-z]", "")) / F.greatest(F.length(around("after")), F.lit(1)),
     }
@@ -140,15 +163,26 @@ def with_features(found: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
 
 
 def label_findings(featured: DataFrame) -> DataFrame:
-    """The labelling rule used where no labelled findings are at hand: + label.
-
-    A candidate with letters and digits that is assigned to a credential's name is
-    a secret unless it is a placeholder or itself the name of what follows; every
-    other candidate is a false positive.
+    """The labelling rules used where no labelled findings are at hand: + label, null where the evidence does not decide.
+
+    Secrets (1): an issuer's known shape; a candidate with letters and digits, or of
+    letters that no word would have, that is assigned to a credential's name; random
+    letters and digits after a credential's name.  False
+    positives (0): placeholders, names of what follows, UUIDs and checksums without a
+    credential's name before them, values assigned to another name than a credential's
+    or a key's, words without a credential's name before them, and whatever is not
+    random: numbers and identifiers.  Random candidates without either evidence have
+    no label: the forest decides them.
     """
-    named = (F.col("credential_before") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("assigns") == 0)
-    mixed = F.col("secret").rlike("[0-9]") & F.col("secret").rlike("[A-Za-z]")
-    return featured.withColumn("label", (named & mixed).cast("double"))
+    secret, yes = F.col("secret"), lambda c: F.col(c) > 0
+    named = yes("credential_before") & yes("assigned")
+    mixed = secret.rlike("[0-9]") & secret.rlike("[A-Za-z]")
+    other = yes("checksum") | secret.rlike(UUID) | (yes("assigned") & ~yes("key_before")) | secret.rlike("^[A-Za-z]+$")
+    identifier = other & ~yes("credential_before")
+    label = (F.when(secret.rlike(PLACEHOLDER) | (yes("assigns") & ~yes("known")), 0.0).when(yes("known"), 1.0)
+             .when(named & ~yes("placeholder") & (mixed | yes("random")), 1.0)
+             .when(yes("credential_before") & ~yes("placeholder") & ~yes("checksum") & mixed & yes("random"), 1.0).when(identifier | ~yes("random"), 0.0))
+    return featured.withColumn("label", label)
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = 40, depth: int = 8, seed: int = 0) -> RandomForestClassificationModel | None:
@@ -179,12 +213,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Findings that the forest holds for secrets: doc_id, text_key (MD5 of the text), path, word_no, secret, score.
 
     ``labelled`` has the columns of ``candidates`` and label (1 a secret, 0 a false
-    positive); without it the candidates are labelled by ``label_findings``.
+    positive); without it the candidates are labelled by ``label_findings``; those it
+    leaves open are the forest's to decide, and known shapes are findings in any case.
 
     Defined results: null and empty texts have no candidates; a null path or id is
     kept as null; a secret that occurs twice in a text is two findings; repeated
     rows give their findings each; when either label is missing there is no forest
-    and nothing is found; an empty table gives no rows; columns not named, whatever
+    and only what ``label_findings`` holds for a secret is found, with ``labelled`` nothing; an empty table gives no rows; columns not named, whatever
     they are called, are ignored.
     """
     tables = language_tables(materialize(dictionary(docs, text_col), "forest-dictionary"))
@@ -194,8 +229,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     forest = train(examples, max_labelled)
     columns = FINDINGS.split(", ")
     if forest is None:
-        return featured.withColumn("score", F.lit(0.0)).where(F.lit(False)).select(*columns)
-    return judge(featured, forest).where(F.col("score") >= threshold).select(*columns)
+        return examples.withColumn("score", F.lit(1.0)).where((F.col("label") == 1) & F.lit(labelled is None)).select(*columns)
+    judged = judge(featured if labelled is not None else examples, forest)
+    if labelled is None:
+        judged = judged.withColumn("score", F.when((F.col("known") > 0) & (F.col("label") == 1), 1.0).otherwise(F.col("score")))
+    return judged.where(F.col("score") >= threshold).select(*columns)
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
