@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import importance, mixing, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, suffix_dedup, url_rules, warc
+from . import hadamard_codes, importance, mixing, phrases, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, suffix_dedup, url_rules, warc
 from .common import new_folder, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -64,6 +64,14 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op12_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, payload, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
@@ -84,7 +92,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op5_suffix_dedup, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules)
+    ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op5_suffix_dedup, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules,
+           op12_hadamard_codes, op13_phrase_automata)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -93,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mix": mixing.mix_sql(),
         "op8_content_archive": _WARC_SQL,
         "op10_url_rules": _URL_SQL.format(rules=", ".join(str(r) for r in URL_RULES)),
+        "op12_hadamard_codes": hadamard_codes.compress_sql(),
+        "op13_phrase_automata": phrases.mine_sql(),
     } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
