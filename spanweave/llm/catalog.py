@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hadamard_codes, importance, mixing, phrases, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, suffix_dedup, url_rules, warc
+from . import hadamard_codes, importance, mixing, phrases, pitman_yor, risk_rules, secret_forest, simhash_trie, spaced_seed, suffix_dedup, token_counts, url_rules, warc
 from .common import new_folder, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -64,6 +64,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hadamard_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -93,7 +98,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_pitman_yor, op2_risk_rules, op3_spaced_seed, op4_source_mix, op5_suffix_dedup, op6_simhash_trie, op7_secret_forest, op8_content_archive, op9_importance, op10_url_rules,
-           op12_hadamard_codes, op13_phrase_automata)
+           op11_token_counts, op12_hadamard_codes, op13_phrase_automata)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
