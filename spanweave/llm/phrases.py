@@ -2,10 +2,9 @@
 
 1. Every task cuts its texts into shards of some megabytes per language, encodes
    the words of a shard by a dictionary and writes both once.
-2. Dictionaries are summed up by word.  Words below the least count cannot be part
-   of a candidate; the others are numbered by the running sum of their counts in
-   (language, word) order, so numbers sort like the words and tell the share of the
-   corpus before them.
+2. Dictionaries are dealt out by word, sorted and summed up.  Words below the least
+   count cannot be part of a candidate; the others are numbered by the running sum
+   of their counts in that order, so a number tells the share of the corpus before it.
 3. Each shard sorts its n-grams and builds a count automaton from them, state layer
    by state layer: an arc has a word as label and the number of occurrences of the
    path up to it as weight.  First for pairs of frequent words; then, over chains
@@ -33,12 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.order import running_sum
-
 from .common import materialize
 from .packing import pack, unpack
 
@@ -258,16 +256,84 @@ def _ranges(automaton: CountAutomaton, layer: int, number: np.ndarray, count: np
 # --- words --------------------------------------------------------------------
 
 def _vocabulary(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(words, shard words): (lang, word, count, number) of the frequent words, and (shard, at, number, count) arrays of each shard's."""
+    """(words, shard words): (lang, word, count, number) of the frequent words, and (shard, at, number, count) arrays of each shard's.
+
+    The dictionaries are dealt out by word and sorted; a task sums up its words in
+    order and answers with one row per shard, not per word and shard.
+    """
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_range = TaskContext.get().partitionId()
+        sofar, rest, held, size = 0, None, [], 0
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            shard, at, numbers, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(shard, kind="stable")
+            first = _runs(shard[order])
+            ends = pa.array(np.append(first, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (at, numbers, counts)]
+            yield _vocabulary_batch(at_range, shard[order][first], [None] * len(first), [None] * len(first), lists)
+
+        for batch in _with_end(batches):
+            rows = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)])
+            # The last word may go on in the next batch.
+            rows = rows.combine_chunks()
+            lang, word = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.string()) for c in ("lang", "word"))
+            new = np.ones(rows.num_rows, bool)
+            if rows.num_rows > 1:
+                new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(word[1:], word[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            whole = rows.num_rows if not batch.num_rows else int(first[-1])
+            rest, first = rows.slice(whole), first[first < whole]
+            if not whole:
+                continue
+            n = rows.column("n").to_numpy()[:whole]
+            totals = np.add.reduceat(n, first)
+            frequent = totals >= least
+            numbers = sofar + np.cumsum(np.where(frequent, totals, 0)) - np.where(frequent, totals, 0)
+            sofar += int(totals[frequent].sum())
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, whole)))
+            mine = frequent[of]
+            if not mine.any():
+                continue
+            held.append((rows.column("shard").to_numpy()[:whole][mine], rows.column("at").to_numpy()[:whole][mine].astype(np.int64), numbers[of][mine], totals[of][mine]))
+            size += int(mine.sum())
+            some = pa.array(first[frequent])
+            singles = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1), pa.int32()), pa.array(x[frequent])) for x in (np.zeros_like(totals), numbers, totals)]
+            yield _vocabulary_batch(at_range, np.full(len(some), -1), lang.take(some), word.take(some), singles)
+            if size >= RANGE_TOKENS:
+                yield from answered()
+                held, size = [], 0
+        if held:
+            yield from answered()
+
     cells = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     cells = cells.select("shard", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang", "word"))  # a word has one row per shard
-    frequent = materialize(cells.withColumn("count", total).where(F.col("count") >= least).drop("n"), "phrase-cells")
-    words = frequent.groupBy("lang", "word").agg(F.first("count").alias("count"))
-    words = materialize(running_sum(words, [F.col("lang"), F.col("word")], F.col("count"), "number"), "phrase-words")
-    numbered = frequent.drop("count").join(words.hint("merge"), ["lang", "word"])
-    held = numbered.groupBy("shard").agg(F.collect_list(F.struct("at", "number", "count")).alias("w"))
-    return words, materialize(held.select("shard", *[F.col(f"w.{c}").alias(c) for c in ("at", "number", "count")]), "phrase-numbers")
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(n, "lang", "word").sortWithinPartitions("lang", "word")
+    answers = materialize(dealt.mapInArrow(number, "of int, shard long, lang string, word string, at array<long>, number array<long>, count array<long>"), "phrase-numbers")
+    words = answers.where("shard = -1").select("of", "lang", "word", F.get("count", F.lit(0)).alias("count"), F.get("number", F.lit(0)).alias("number"))
+    # What the tasks before have counted; one row per task.
+    sums = words.groupBy("of").agg(F.sum("count").alias("s"))
+    before = F.broadcast(sums.select("of", F.coalesce(F.sum("s").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+    words = materialize(words.join(before, "of").select("lang", "word", "count", (F.col("number") + F.col("before")).alias("number")), "phrase-words")
+    own = answers.where("shard >= 0").join(before, "of").select("shard", "at", F.transform("number", lambda x: x + F.col("before")).alias("number"), "count")
+    return words, materialize(own.groupBy("shard").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("at", "number", "count")]), "phrase-shard-words")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows, and an empty one after the last."""
+    last = None
+    for last in batches:
+        if last.num_rows:
+            yield last
+    if last is not None:
+        yield last.slice(0, 0)
+
+
+def _vocabulary_batch(of: int, shard: np.ndarray, lang, word, lists: list[pa.Array]) -> pa.RecordBatch:
+    text = lambda x: x if isinstance(x, pa.Array) else pa.array(x, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), of), pa.int32()), pa.array(shard, pa.int64()), text(lang), text(word), *lists],
+                                      names=["of", "shard", "lang", "word", "at", "number", "count"])
 
 
 def _longs(value: pa.Scalar) -> np.ndarray:
