@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 CHUNK = 256
-MOST_STATES = 1 << 18
+MOST_STATES = 1 << 17
 SCALAR_CHUNKS = 16  # so few chunks inside long words run one by one
 _OFFSET, _SHIFT = 128, 256  # a cell is next state × _SHIFT + count + _OFFSET
 
@@ -164,10 +164,10 @@ class Counter:
                 self.inner.add(node)
                 node = self.trie.setdefault((node, x), len(self.trie) + 1)
             self.token_at[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
+        self.follows: dict[tuple[int, int], bool] = {}
         self.column = np.full(512, -1, np.int32)
         self.columns = 0
         self.table = np.full((1024, 64), -1, np.int32)
@@ -210,7 +210,7 @@ class Counter:
             if to == len(self.states):
                 self.states.append(key)
         if to >= len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.table = np.concatenate([self.table, np.full((len(self.table) // 2, self.table.shape[1]), -1, np.int32)])
         self.table[state, self.column[symbol]] = to * _SHIFT + count + _OFFSET
 
     def _cells(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -228,8 +228,8 @@ class Counter:
             self.restart()
         for x in np.unique(stream[self.column[stream] < 0]).tolist():
             self.column[x], self.columns = self.columns, self.columns + 1
-        if self.columns > self.table.shape[1]:
-            self.table = np.concatenate([self.table, np.full((len(self.table), 512 - self.table.shape[1]), -1, np.int32)], axis=1)
+        while self.columns > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)], axis=1)
         out = np.zeros(len(stream), np.int64)
         start = np.arange(0, len(stream), CHUNK)
         stop = np.minimum(start + CHUNK, len(stream))
