@@ -39,7 +39,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    removed = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return removed.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed")).drop("kept")
 
 
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
