@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import PAGE, fixture_params
 from ..functions import text as tx
-from ..operators import annotate, chars, evaluate, examples, scoring, spans, splits
+from ..operators import annotate, block_model, blocks, chars, evaluate, examples, scoring, spans, splits
 from ..sources import fixtures as fx
 from ..session import bounded_broadcast, checkpointed, ensure_checkpoint_dir
 from ..sources.pages import (
@@ -472,6 +472,16 @@ VOCAB_SQL = """vocab AS (
   SELECT ch, n, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 + 5 AS INTEGER) AS id
   FROM (SELECT ch, count(*) AS n FROM kept GROUP BY ch)
 )"""
+# The vocabulary of the train pages: characters that only other pages hold are unknown.
+TRAIN_VOCAB_SQL = """vocab AS (
+  SELECT ch, n, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 + 5 AS INTEGER) AS id
+  FROM (SELECT k.ch, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.page_id
+        JOIN splits s ON s.page_id = d.doc_id AND s.category = d.source AND s.tvt = 'train' GROUP BY k.ch)
+),
+vocab_ids AS (
+  SELECT k.page_id, k.block_id, count(*) + 2 AS n_ids, '2,' || string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
+  FROM kept k LEFT JOIN vocab v USING (ch) GROUP BY k.page_id, k.block_id
+)"""
 
 
 def _examples_codepoint(spark, d):
@@ -502,16 +512,18 @@ def q_build_vocab(spark, d):
     return examples.build_vocab(_corpus(spark, d, P).chars)
 
 
+def _train_vocab(spark, d, p):
+    """The vocabulary of the train pages (bounded by Unicode), counted once."""
+    train = _train_corpus(_pages(spark, d), _tagger_split(spark, d), p)
+    return checkpointed(examples.build_vocab(train.chars))
+
+
 def _examples_vocab(spark, d):
-    """Vocabulary blocks; the vocabulary (bounded by Unicode) is counted once."""
     c = _corpus(spark, d, P510)
-    vocab = checkpointed(examples.build_vocab(c.chars))
-    return examples.encode_vocab(examples.codepoint_blocks(c.lines, P510), vocab)
+    return examples.encode_vocab(examples.codepoint_blocks(c.lines, P510), _train_vocab(spark, d, P510))
 
 
-@register("encode_vocab", W(O.base(P510), VOCAB_SQL) + """SELECT k.page_id, k.block_id,
-  '2,' || string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
-  FROM kept k JOIN vocab v USING (ch) GROUP BY k.page_id, k.block_id""")
+@register("encode_vocab", W(O.base(P510), O.anno_cte(), O.splits_cte(), TRAIN_VOCAB_SQL) + "SELECT page_id, block_id, ids FROM vocab_ids")
 def q_encode_vocab(spark, d):
     return _examples_vocab(spark, d).select("page_id", "block_id", F.array_join("input_ids", ",").alias("ids"))
 
@@ -542,10 +554,20 @@ blabels AS (
 LABELS_BASE = W(O.base(P510), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes(), LABELS_SQL)
 
 
-def _block_labels(spark, d, p):
-    c = _corpus(spark, d, p)
+def _label_blocks(spark, d, p):
+    """Blocks of all pages with their code points and tag runs."""
     g = _gold(spark, d)
-    return examples.block_labels(chars.block_stats_narrow(c.frame, p), c.labels(g), annotate.attribute_index(g), p)
+    return blocks.page_blocks(_corpus(spark, d, p).frame, p, g, annotate.attribute_index(g))
+
+
+def _block_labels(spark, d, p):
+    return examples.block_labels(_label_blocks(spark, d, p), p)
+
+
+def _labelled_examples(spark, d):
+    """Ids, mask and label arrays of every block, from one row per page."""
+    rows = examples.label_arrays(_label_blocks(spark, d, P510), P510).select(*PAGE, "block_id", "n", F.col("chars").alias("cps"), "labels")
+    return examples.encode_vocab(rows, _train_vocab(spark, d, P510)).where(F.size("labels") > 0)
 
 
 @register("tag_strings", GOLD_SPANS + """SELECT page_id, attribute, new_char_idx,
@@ -566,36 +588,39 @@ def q_block_labels(spark, d):
     return bl.select("page_id", "block_id", "attr_idx", F.array_join("labels", ",").alias("labels"))
 
 
-@register("batch_pad", LABELS_BASE + """, bl2 AS (
-  SELECT page_id, block_id, string_agg(labels, '|' ORDER BY attr_idx) AS labels, max(length(labels)) AS _l
-  FROM blabels GROUP BY page_id, block_id
-),
-ex AS (
-  SELECT k.page_id, k.block_id, count(*) + 2 AS n_ids, '2,' || string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY k.block_idx) || ',3' AS ids
-  FROM kept k JOIN (SELECT ch, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 + 5 AS INTEGER) AS id
-                    FROM (SELECT ch, count(*) AS n FROM kept GROUP BY ch)) v USING (ch)
-  GROUP BY k.page_id, k.block_id
+EXAMPLES_SQL = W(O.base(P510), O.anno_cte(), O.splits_cte(), TRAIN_VOCAB_SQL, O.cells_ctes(), O.dense_spans_ctes(), LABELS_SQL) + """, bl2 AS (
+  SELECT page_id, block_id, string_agg(labels, '|' ORDER BY attr_idx) AS labels FROM blabels GROUP BY page_id, block_id
 ),
-bt AS (
-  SELECT ex.*, bl2.labels, CAST((row_number() OVER (PARTITION BY ex.page_id ORDER BY ex.block_id) - 1) // 8 AS BIGINT) AS batch_id
-  FROM ex JOIN bl2 USING (page_id, block_id)
+ex AS (SELECT v.*, bl2.labels, d.source AS category FROM vocab_ids v JOIN bl2 USING (page_id, block_id) JOIN documents d ON d.doc_id = v.page_id)"""
+PADDED_SQL = """ids || repeat(',0', CAST(len - n_ids AS INTEGER)) AS ids, CAST(n_ids AS INTEGER) AS n_attend,
+  array_to_string(list_transform(string_split(labels, '|'), lambda x: x || repeat(',-1', CAST(len - n_ids AS INTEGER))), '|') AS labels"""
+
+
+def _padded(df, *keys):
+    return df.select(*keys, F.array_join("input_ids", ",").alias("ids"), F.size(F.filter("attention_mask", lambda x: x)).cast("int").alias("n_attend"),
+                     F.array_join(F.transform("labels", lambda r: F.array_join(r, ",")), "|").alias("labels"))
+
+
+@register("batch_pad", EXAMPLES_SQL + f""", bt AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY page_id ORDER BY block_id) - 1) // 8 AS BIGINT) AS batch_id FROM ex
 ),
 bt2 AS (SELECT *, max(n_ids) OVER (PARTITION BY page_id, batch_id) AS len FROM bt)
-SELECT page_id, batch_id, block_id,
-  ids || repeat(',0', CAST(len - n_ids AS INTEGER)) AS ids,
-  CAST(n_ids AS INTEGER) AS n_attend,
-  array_to_string(list_transform(string_split(labels, '|'), lambda x: x || repeat(',-1', CAST(len - n_ids AS INTEGER))), '|') AS labels
-FROM bt2""")
+SELECT page_id, batch_id, block_id, {PADDED_SQL} FROM bt2""")
 def q_batch_pad(spark, d):
-    bl = _block_labels(spark, d, P510).groupBy(*PAGE, "block_id").agg(
-        F.array_sort(F.collect_list(F.struct("attr_idx", "labels"))).alias("_l"))
-    ex = _examples_vocab(spark, d).join(bl.select(*PAGE, "block_id", F.transform("_l", lambda x: x["labels"]).alias("labels")),
-                                        [*PAGE, "block_id"])
-    b = examples.batch_pad(ex, 8)
-    return b.select(
-        "page_id", "batch_id", "block_id", F.array_join("input_ids", ",").alias("ids"),
-        F.size(F.filter("attention_mask", lambda x: x)).cast("int").alias("n_attend"),
-        F.array_join(F.transform("labels", lambda r: F.array_join(r, ",")), "|").alias("labels"))
+    return _padded(examples.batch_pad(_labelled_examples(spark, d), 8), "page_id", "batch_id", "block_id")
+
+
+@register("training_batches", EXAMPLES_SQL + f""", tr AS (
+  SELECT ex.*, row_number() OVER (ORDER BY md5('7:2:' || ex.category || ':' || CAST(ex.page_id AS VARCHAR) || ':' || CAST(block_id AS VARCHAR)), ex.page_id, block_id) - 1 AS r
+  FROM ex JOIN splits s ON s.page_id = ex.page_id AND s.category = ex.category AND s.tvt = 'train'
+),
+tr2 AS (SELECT *, max(n_ids) OVER (PARTITION BY r // 8) AS len FROM tr)
+SELECT CAST(r // 8 AS BIGINT) AS batch_id, CAST(r % 8 AS INTEGER) AS place, page_id, block_id, {PADDED_SQL} FROM tr2""")
+def q_training_batches(spark, d):
+    """The train blocks of all pages in one seeded permutation, in padded batches of eight."""
+    train = bounded_broadcast(_tagger_split(spark, d).where(F.col("tvt") == "train").select(*PAGE))
+    made = examples.training_batches(_labelled_examples(spark, d).join(train, PAGE, "left_semi"), 8, seed=7, epoch=2)
+    return _padded(made, "batch_id", "place", "page_id", "block_id")
 
 
 @register("reassemble_page", LABELS_BASE + """SELECT d.page_id, ai.attr_idx, d.new_char_idx,
@@ -722,9 +747,9 @@ def _tagger_split(spark, d):
     return checkpointed(_split(_gold(spark, d)))
 
 
-def _train_corpus(pages, sp):
+def _train_corpus(pages, sp, p=P):
     """The train pages: n_train ids per category, counted before they are broadcast; the text is filtered, not shuffled."""
-    return Corpus(pages.join(bounded_broadcast(sp.where(F.col("tvt") == "train").select(*PAGE)), PAGE, "left_semi"), P)
+    return Corpus(pages.join(bounded_broadcast(sp.where(F.col("tvt") == "train").select(*PAGE)), PAGE, "left_semi"), p)
 
 
 def _train_side(pages, sp, context):
@@ -761,6 +786,38 @@ def q_score_pages(spark, d):
         "page_id", "attribute", "start_idx", "end_idx", "start_line", "start_offset", "end_line", "end_offset", "text")
 
 
+MODEL_SQL = """kept_ctx AS (
+  SELECT k.*, coalesce(r.ch, '') AS prev_ch FROM kept k
+  LEFT JOIN rawchars r ON r.page_id = k.page_id AND r.line_id = k.line_id AND r."offset" = k."offset" - 1
+),
+pairs AS (SELECT DISTINCT ch, prev_ch, unicode(ch) AS cp, CASE WHEN prev_ch = '' THEN 0 ELSE unicode(prev_ch) END AS bf FROM kept_ctx),
+hidden AS (SELECT ch, prev_ch, j, (cp * (2 * j + 3) + bf * (j + 1) + 5 * j) % 11 - 5 AS h FROM pairs, range({n}) t(j)),
+inner_layer AS (SELECT ch, prev_ch, a, o, greatest(0, sum(h * ((a * 31 + o * 17 + j * 7) % 13 - 6)) + ((a * 31 + o * 17 + {n} * 7) % 13 - 6)) AS h
+  FROM hidden, range(2) x(a), range({n}) y(o) GROUP BY ch, prev_ch, a, o),
+logits AS (SELECT ch, prev_ch, a, t, sum(h * ((a * 31 + t * 17 + o * 7) % 13 - 6)) + ((a * 31 + t * 17 + {n} * 7) % 13 - 6) + CASE WHEN t = 2 THEN {bias} ELSE 0 END AS x
+  FROM inner_layer, range(3) z(t) GROUP BY ch, prev_ch, a, t),
+best AS (SELECT ch, prev_ch, a, arg_max(t, x * 4 - t) AS tag FROM logits GROUP BY ch, prev_ch, a),
+tagged AS (
+  SELECT k.page_id, CASE WHEN a = 0 THEN '{first}' ELSE '{second}' END AS attribute, k.new_char_idx, tag, k.line_id, k."offset", k.ch
+  FROM kept_ctx k JOIN best b ON b.ch = k.ch AND b.prev_ch = k.prev_ch WHERE tag < 2
+),
+numbered AS (
+  SELECT *, sum(st) OVER (PARTITION BY page_id, attribute ORDER BY new_char_idx ROWS UNBOUNDED PRECEDING) AS span_no
+  FROM (SELECT *, CASE WHEN tag = 0 OR lag(new_char_idx) OVER w IS DISTINCT FROM new_char_idx - 1 THEN 1 ELSE 0 END AS st
+        FROM tagged WINDOW w AS (PARTITION BY page_id, attribute ORDER BY new_char_idx))
+)""".format(n=fx.BLOCK_HIDDEN, bias=fx.BLOCK_O_BIAS, first=fx.BLOCK_ATTRS[0], second=fx.BLOCK_ATTRS[1])
+
+
+@register("score_pages_model", W(BASE, MODEL_SQL) + """SELECT page_id, attribute, min(new_char_idx) AS start_idx, max(new_char_idx) AS end_idx,
+  arg_min(line_id, new_char_idx) AS start_line, arg_min("offset", new_char_idx) AS start_offset,
+  arg_max(line_id, new_char_idx) AS end_line, arg_max("offset", new_char_idx) + 1 AS end_offset, string_agg(ch, '' ORDER BY new_char_idx) AS text
+  FROM numbered GROUP BY page_id, attribute, span_no""")
+def q_score_pages_model(spark, d):
+    """Spans of a model over padded block batches: hidden vectors by formula, two-layer heads, argmax, reassembly, decode."""
+    return block_model.predict_spans(_pages(spark, d), P, fx.block_scorer()).select(
+        "page_id", "attribute", "start_idx", "end_idx", "start_line", "start_offset", "end_line", "end_offset", "text")
+
+
 @register("macro_page_f1", W(BASE, O.anno_cte(), O.cells_ctes(), O.splits_cte(), TAGGER_SQL, O.dense_spans_ctes(),
                              PRED_DENSE.replace(O.ATTRS, ""), MATCH_SQL) +
           "SELECT CAST(count(*) AS BIGINT) AS n_pages, round(coalesce(avg(f1), 0.0), 6) AS macro_f1 FROM prf2")

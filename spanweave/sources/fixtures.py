@@ -8,12 +8,15 @@ grow with the input tables.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PAGE
 from ..functions.arrays import prefix_sum
 from ..functions.text import let, split_lines_expr
+from ..operators.block_model import HeadScorer
+from ..operators.scoring import head_weights
 from .pages import TEXT_OFFSET, split_lines
 
 # --- fixture rules (fixed values shared with the SQL oracle) ------------------
@@ -159,6 +162,30 @@ def head_weight(attr: int, out: int, inp: int) -> float:
     return ((attr * 31 + out * 17 + inp * 7) % 13 - 6) / 10.0
 
 
+# The block model: hidden vectors by formula from a character and the raw one before it.
+# All values are integers, so that logits are exact and ties fall alike everywhere.
+BLOCK_ATTRS = ("first", "second")
+BLOCK_HIDDEN = 8
+BLOCK_O_BIAS = 60
+
+
+def block_hidden(batch):
+    """h_j = (cp × (2j + 3) + before × (j + 1) + 5j) mod 11 - 5."""
+    j = np.arange(BLOCK_HIDDEN)
+    return (batch.ids[..., None] * (2 * j + 3) + batch.before[..., None] * (j + 1) + 5 * j) % 11 - 5
+
+
+def block_weight(attr: int, out: int, inp: int) -> int:
+    """Formula-defined weights of the block model's heads (input index h = bias)."""
+    return (attr * 31 + out * 17 + inp * 7) % 13 - 6
+
+
+def block_scorer() -> HeadScorer:
+    w1, w2 = head_weights(len(BLOCK_ATTRS), BLOCK_HIDDEN, block_weight)
+    w2[:, 2, -1] += BLOCK_O_BIAS
+    return HeadScorer(BLOCK_ATTRS, block_hidden, w1, w2)
+
+
 def embedding_label(attr_idx):
     """Label of a vector for an attribute; -1 (ignored) when (vec_id + attr) % 4 = 0, and for all of batch % 7 = 0, attribute 2."""
     none = ((F.col("vec_id") + attr_idx) % 4 == 0) | ((embedding_batch() % 7 == 0) & (attr_idx == 2))

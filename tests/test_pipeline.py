@@ -194,16 +194,15 @@ def test_codepoint_blocks_from_line_segments(spark, p):
 
 @pytest.mark.parametrize("p", PARAMS[:3], ids=lambda p: f"{p.mode}-{p.capacity}")
 def test_block_labels_match_model(spark, p):
-    from spanweave.operators import examples
+    from spanweave.operators import blocks as page_rows, examples
     rng = random.Random(13)
     pages = all_pages()
     attrs = ["a-b", "c", "d"]
     rows = random_annotations(rng, pages, attrs)
     c = Corpus(pages_df(spark, pages), p)
     anno = _anno_df(spark, rows)
-    sk = chars.block_stats_narrow(chars.page_frame(c.pages, p), p)
-    got = {(r.page_id, r.block_id, r.attr_idx): r.labels
-           for r in examples.block_labels(sk, c.labels(anno), annotate.attribute_index(anno), p).collect()}
+    made = page_rows.page_blocks(c.frame, p, anno, annotate.attribute_index(anno))
+    got = {(r.page_id, r.block_id, r.attr_idx): r.labels for r in examples.block_labels(made, p).collect()}
     code = {"B": 0, "I": 1, "O": 2}
     expect = {}
     for pid, text in pages.items():
