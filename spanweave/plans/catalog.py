@@ -832,34 +832,45 @@ def q_macro_page_f1(spark, d):
     return m.select(F.col("n_pages").cast("bigint"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
-def lr_spans(spark, d):
-    """Predicted spans of the logistic-regression tagger on all pages."""
+def _lr_model(spark, d):
     pages, sp = _pages(spark, d), _tagger_split(spark, d)
     ctx, labels = _train_side(pages, sp, 2)
-    # The attribute names of the annotation schema, one model each.
+    # The attribute names of the annotation schema.
     names = [r.attribute for r in annotate.attribute_index(_gold(spark, d)).select("attribute").distinct().orderBy("attribute").collect()]
-    models = scoring.train_tagger_lr(ctx, labels, names, k=2)
-    kept = chars.kept_chars(chars.clean_lines(pages, P), P, context=2)
-    return spans.decode_spans(scoring.score_with_lr(kept, models))
+    return scoring.train_tagger_lr(ctx, labels, names, k=2)
+
+
+def lr_spans(spark, d):
+    """Predicted spans of the logistic-regression tagger on all pages."""
+    kept = chars.kept_chars(chars.clean_lines(_pages(spark, d), P), P, context=2)
+    return spans.decode_spans(scoring.score_with_lr(kept, _lr_model(spark, d)))
 
 
 @register("train_tagger_lr", W(BASE, O.anno_cte(), O.splits_cte()) + """SELECT s.page_id, CAST(count(k.ch) AS BIGINT) AS n_scored,
-  true AS spans_hold FROM splits s JOIN documents d ON d.doc_id = s.page_id AND d.source = s.category
+  true AS spans_hold, true AS fit_holds FROM splits s JOIN documents d ON d.doc_id = s.page_id AND d.source = s.category
   LEFT JOIN kept k ON k.page_id = s.page_id WHERE s.tvt IN ('valid', 'test') GROUP BY s.page_id""")
 def q_train_tagger_lr(spark, d):
-    """Per hold-out page: characters scored, and whether every predicted span's text is the kept characters of its range.
+    """Per hold-out page: characters that the model scored; whether every predicted span's text is the kept
+    characters of its range; whether the fit's loss fell at every step, to less than a tenth of that of even odds.
 
-    The spans themselves are ``lr_spans``; the fit is iterative and has no SQL form.
+    The fit is iterative and has no SQL form; tests check its gradient and its hold-out F1.
     """
-    held = _holdout_pages(spark, d)
+    held = bounded_broadcast(_holdout_pages(spark, d))
+    model = _lr_model(spark, d)
+    fell = all(b <= a for a, b in zip(model.losses, model.losses[1:])) and (not model.losses or model.losses[-1] < model.losses[0] / 10)
+    own = Corpus(_pages(spark, d).join(held, PAGE, "left_semi"), P)
+    kept = chars.kept_chars(own.lines, P, context=2)
+    scored = checkpointed(scoring.lr_tags(kept, model).select(*PAGE, "new_char_idx", "line_id", "offset", "ch", "tags"))
+    n = scored.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
     body = F.filter("lines", lambda x: x["in_body"])
-    text = _corpus(spark, d).frame.select(*PAGE, F.col("n_kept").alias("n"), F.array_join(F.transform(
+    text = own.frame.select(*PAGE, F.array_join(F.transform(
         body, lambda x: F.regexp_replace(x["line"], F.lit(tx.WS_CLASS), F.lit(""))), "").alias("kept"))
-    found = lr_spans(spark, d).groupBy(*PAGE).agg(F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
-    j = held.join(text, PAGE, "left").join(found, PAGE, "left")
+    found = spans.decode_spans(scoring.spread_tags(scored, model.attributes)).groupBy(*PAGE).agg(
+        F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
+    j = held.join(n, PAGE, "left").join(text, PAGE, "left").join(found, PAGE, "left")
     right = F.forall(F.coalesce("spans", F.array().cast("array<struct<start_idx:bigint,end_idx:bigint,text:string>>")),
                      lambda s: F.substring(F.col("kept"), (s["start_idx"] + 1).cast("int"), (s["end_idx"] - s["start_idx"] + 1).cast("int")) == s["text"])
-    return j.select("page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_scored"), right.alias("spans_hold"))
+    return j.select("page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_scored"), right.alias("spans_hold"), F.lit(fell).alias("fit_holds"))
 
 
 def queries() -> dict:
