@@ -52,10 +52,13 @@ def annotated_pages(annotations: DataFrame) -> DataFrame:
 def page_annotations(annotations: DataFrame, pages: DataFrame) -> DataFrame:
     """Annotations with the state of their page: found, empty, or missing.
 
-    A left join from the annotated pages, so that a page without a file (or
-    with an empty one) is reported instead of dropping out unseen.
+    pages: page rows with their text, or ``list_pages`` rows with the files' lengths
+    (n_bytes), which also know empty files.  A left join from the annotated pages, so
+    that a page without a file (or with an empty one) is reported instead of dropping
+    out unseen.
     """
-    state = pages.groupBy(*PAGE).agg(F.max(F.length("text")).alias("_n"))
+    size = F.col("n_bytes") if "n_bytes" in pages.columns else F.length("text")
+    state = pages.groupBy(*PAGE).agg(F.max(size).alias("_n"))
     j = annotations.join(state, PAGE, "left")
     return j.withColumn("page_state", F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 0, "empty")
                         .otherwise("found")).drop("_n")

@@ -66,6 +66,26 @@ def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.repartition(int(parts)) if parts else pages
 
 
+def list_pages(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
+    """category, page_id, n_bytes of every page file, empty ones included (their text has no row in ``read_pages``).
+
+    Only the files' names and lengths are read.  A scan skips files without content,
+    so the names come from the driver's file index (which holds every scanned folder's
+    files anyway), the lengths from a scan of the metadata; a file without one is empty.
+    """
+    folder = f"{path.rstrip('/')}/{category or '*'}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.txt$", 1).alias("category"),
+                         F.regexp_extract("path", r"([^/]+)\.txt$", 1).cast("bigint").alias("page_id"), *[c for c in df.columns if c != "path"])
+
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")  # URL-encoded, unlike the scan's
+    names = named(listed.select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path")))
+    lengths = named(files.select("path", F.col("length").alias("n_bytes")))
+    return names.join(lengths, PAGE, "left").select(*PAGE, F.coalesce("n_bytes", F.lit(0).cast("bigint")).alias("n_bytes"))
+
+
 def split_lines(pages: DataFrame) -> DataFrame:
     """pages → lines(category, page_id, line_id, line); lines keep their newline."""
     return pages.select(
@@ -98,6 +118,8 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 def write_predictions(records: DataFrame, attributes: DataFrame, root: str, model: str, block: str, mode: str = "overwrite") -> None:
     """Records as JSON-lines under ``{root}/{category}_{model}_{block}``, in the order of the original.
 
+    Overwriting replaces the folders that the records belong to; those of other
+    categories, models and block modes stay as they are.
     Pages in the string order of their file name, then attribute index, then
     position.  A range exchange and a sort give that order over the part files
     (whose names sort alike); nothing is gathered into one task.  Non-ASCII
@@ -108,7 +130,7 @@ def write_predictions(records: DataFrame, attributes: DataFrame, root: str, mode
     laid = output_layout(r, None, model, block)
     ranged = laid.repartitionByRange(*order).sortWithinPartitions("out_dir", *order)
     ranged.select("page_id", "title", "attribute", "text_offset", "out_dir").write.mode(mode).partitionBy("out_dir").option(
-        "ignoreNullFields", "false").json(root)
+        "partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").json(root)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -126,4 +148,5 @@ def output_layout(df: DataFrame, category: str | None, model: str, block: str) -
 
 
 def write_partitioned(df: DataFrame, root: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy("out_category", "out_model", "out_block").json(root)
+    """Overwriting replaces only the partition folders that ``df`` has rows for."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("out_category", "out_model", "out_block").json(root)
