@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -34,7 +34,7 @@ ANCHOR = 128
 HEAVY_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 SEGMENT = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 
 
 # --- rolling hashes -------------------------------------------------------------
@@ -184,106 +184,104 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- on Spark -------------------------------------------------------------------
 
-TEXT_KEY = ("text_hash", "n_bytes")
+TEXT_KEY = ("text_h1", "text_h2", "n_bytes")
+PIECE_KEY = ("piece_h1", "piece_h2")
+
+
+def _hash128(raw: str, names: tuple[str, ...]) -> tuple[Column, Column]:
+    """Two hashes of other seeds: what has both is taken for one string."""
+    return F.xxhash64(raw).alias(names[0]), F.xxhash64(F.lit(1), raw).alias(names[1])
 
 
 def _keyed(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-    return docs.select(*keep, raw.alias("raw")).select(*keep, F.xxhash64("raw").alias("text_hash"), F.octet_length("raw").cast("long").alias("n_bytes"), "raw")
+    return docs.select(*keep, raw.alias("raw")).select(*keep, *_hash128("raw", TEXT_KEY), F.octet_length("raw").cast("long").alias("n_bytes"), "raw")
 
 
 def _find_anchors(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(anchor, text_hash, n_bytes, first, end, hits) of every run of windows."""
+    """texts(TEXT_KEY, raw, copies) → (anchor, TEXT_KEY, copies, first, end, hits) of every run of windows."""
+    names = ["anchor", *TEXT_KEY, "copies", "first", "end", "hits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = _Rolling(_BASES[0], SEGMENT + length)
-        names = ["anchor", *TEXT_KEY, "first", "end", "hits"]
+        rolling = _Rolling(_BASE, SEGMENT + length)
         for batch in batches:
             held: list[list[np.ndarray]] = [[] for _ in names]
-            for text_hash, n_bytes, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for *key, raw in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4)):
                 for value, first, end, hits in anchors(raw.as_py(), length, anchor, rolling):
-                    for column, x in zip(held, (value.view(np.int64), np.full(len(value), text_hash), np.full(len(value), n_bytes), first, end, hits)):
+                    for column, x in zip(held, (value.view(np.int64), *[np.full(len(value), k) for k in key], first, end, hits)):
                         column.append(x)
             if held[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], names=names)
 
-    return texts.select(*TEXT_KEY, "raw").mapInArrow(run, "anchor long, text_hash long, n_bytes long, first long, end long, hits long")
+    return texts.select(*TEXT_KEY, "copies", "raw").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _sort_pieces(pieces: DataFrame, length: int) -> DataFrame:
-    """(anchor, piece_hash, piece, copies), anchors whole per partition → (anchor, piece_hash, a, b): repeated starts a .. b-1."""
-    names = ["anchor", "piece_hash", "a", "b"]
+    """pieces(anchor, PIECE_KEY, piece, copies) → (PIECE_KEY, a, b): repeated starts a .. b-1 within a piece."""
+    names = [*PIECE_KEY, "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, int]] = []
+        held: list[tuple[int, int, int, bytes, int]] = []
         size = 0
 
-        def sort(rows: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
+        def sort(rows: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
             found: list[list] = [[], [], [], []]
-            for (anchor, piece_hash, _, _), flags in zip(rows, repeated_starts([r[2] for r in rows], [r[3] for r in rows], length)):
+            for (_, h1, h2, _, _), flags in zip(rows, repeated_starts([r[3] for r in rows], [r[4] for r in rows], length)):
                 a, b = _intervals(flags)
-                found[0] += [anchor] * len(a)
-                found[1] += [piece_hash] * len(a)
-                found[2] += a.tolist()
-                found[3] += b.tolist()
+                for column, values in zip(found, ([h1] * len(a), [h2] * len(a), a.tolist(), b.tolist())):
+                    column += values
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if size >= CHUNK_BYTES and row[0] != held[-1][0]:
                     yield sort(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2]) + 1
+                size += len(row[3]) + 1
         if held:
             yield sort(held)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, piece_hash long, a long, b long")
-
-
-def _count_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many pieces: window hashes are counted, combined map-side."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = [_Rolling(base, SEGMENT + 2 * length) for base in _BASES]
-        for batch in batches:
-            for anchor, piece_hash, piece, copies in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                data = np.frombuffer(piece, np.uint8)
-                h = [r(data, length).view(np.int64) for r in rolling]
-                n = len(h[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, piece_hash)), pa.array(np.arange(n)), pa.array(h[0]), pa.array(h[1]),
-                                                  pa.array(np.full(n, copies))], names=["anchor", "piece_hash", "a", "h1", "h2", "copies"])
-
-    windows = pieces.select("anchor", "piece_hash", "piece", "copies").mapInArrow(run, "anchor long, piece_hash long, a long, h1 long, h2 long, copies long")
-    twice = materialize(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2"), "suffix-windows")
-    hit = windows.join(twice, ["h1", "h2"], "left_semi").select("anchor", "piece_hash", "a")
-    # Neighbouring starts of one piece (bounded by its length) are one interval.
-    order = Window.partitionBy("anchor", "piece_hash").orderBy("a")
-    islands = hit.withColumn("island", F.col("a") - F.row_number().over(order)).groupBy("anchor", "piece_hash", "island")
-    return islands.agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b")).drop("island")
+    dealt = pieces.select("anchor", *PIECE_KEY, "piece", "copies").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_intervals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
-    """(text_hash, n_bytes, starts): per text with repeats, the intervals [a, b) of starts of repeated strings."""
-    keyed = _keyed(docs, text_col).where(F.col("n_bytes") >= length)
-    runs = _find_anchors(keyed, length, anchor).groupBy("anchor", *TEXT_KEY, "first", "end", "hits").agg(F.count("*").alias("copies"))
+def _repeated(texts: DataFrame, length: int, anchor: int, heavy_bytes: int) -> DataFrame:
+    """texts(TEXT_KEY, raw, copies) → (TEXT_KEY, a, b): the intervals [a, b) of starts of repeated strings, each text once."""
+    whole = anchor == length  # all windows of a run are one string then: its first one stands for them
+    runs = _find_anchors(texts, length, anchor).groupBy("anchor", *TEXT_KEY, "first", "end", "hits").agg(F.sum("copies").alias("copies"))
     runs = materialize(runs, "suffix-anchors")
     twice = materialize(runs.groupBy("anchor").agg(F.sum(F.col("copies") * F.col("hits")).alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     wanted = runs.join(twice, "anchor", "left_semi").groupBy(*TEXT_KEY).agg(F.collect_list(F.struct("anchor", "first", "end", "copies")).alias("runs"))
     # Each text once; the runs of one text come to it.
-    texts = keyed.groupBy(*TEXT_KEY).agg(F.first("raw").alias("raw")).join(wanted, list(TEXT_KEY))
-    cut = texts.select(*TEXT_KEY, "raw", F.explode_outer("runs").alias("r")).select(
-        *TEXT_KEY, F.col("r.anchor").alias("anchor"), F.col("r.first").alias("first"), F.col("r.copies").alias("copies"),
-        F.expr(f"substring(raw, int(r.first) + 1, int(r.end - r.first) + {length - 1})").alias("piece"))
-    placed = materialize(cut.withColumn("piece_hash", F.xxhash64("piece")), "suffix-pieces")
-
-    pieces = placed.groupBy("anchor", "piece_hash").agg(F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
+    found = texts.groupBy(*TEXT_KEY).agg(F.first("raw").alias("raw")).join(wanted, list(TEXT_KEY))
+    windows = F.col("r.end") - F.col("r.first")
+    cut = found.select(*TEXT_KEY, "raw", F.explode_outer("runs").alias("r")).select(
+        *TEXT_KEY, F.col("r.anchor").alias("anchor"), F.col("r.first").alias("first"), F.col("r.end").alias("end"),
+        (F.col("r.copies") * (windows if whole else 1)).alias("copies"),
+        F.expr(f"substring(raw, int(r.first) + 1, {length if whole else f'int(r.end - r.first) + {length - 1}'})").alias("piece"))
+    placed = materialize(cut.select("*", *_hash128("piece", PIECE_KEY)), "suffix-pieces")
+
+    # The bytes of a piece decide its anchor, so a piece is found again by its own key.
+    pieces = placed.groupBy("anchor", *PIECE_KEY).agg(F.first("piece").alias("piece"), F.sum("copies").alias("copies"))
     pieces = materialize(pieces, "suffix-distinct")
     heavy = materialize(pieces.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("n")).where(F.col("n") > heavy_bytes).select("anchor"), "suffix-heavy")
-    marks = _sort_pieces(pieces.join(heavy, "anchor", "left_anti").select("anchor", "piece_hash", "piece", "copies"), length)
-    if not heavy.isEmpty():
-        marks = marks.unionByName(_count_windows(pieces.join(heavy, "anchor", "left_semi"), length))
-    marks = materialize(marks, "suffix-marks").select(F.col("anchor").alias("_a"), F.col("piece_hash").alias("_p"), "a", "b")
-    starts = placed.select("anchor", "piece_hash", *TEXT_KEY, "first").join(marks, (F.col("anchor") == F.col("_a")) & (F.col("piece_hash") == F.col("_p")))
-    return starts.groupBy(*TEXT_KEY).agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
+    if whole or heavy.isEmpty():
+        marks = _sort_pieces(pieces, length)
+    else:
+        again = pieces.join(heavy, "anchor", "left_semi").select(
+            *[F.col(p).alias(t) for p, t in zip(PIECE_KEY, TEXT_KEY)], F.octet_length("piece").cast("long").alias("n_bytes"), F.col("piece").alias("raw"), "copies")
+        deeper = _repeated(again, length, anchor + (length - anchor + 1) // 2, heavy_bytes)
+        marks = _sort_pieces(pieces.join(heavy, "anchor", "left_anti"), length).unionByName(
+            deeper.select(*[F.col(t).alias(p) for p, t in zip(PIECE_KEY, TEXT_KEY)], "a", "b"))
+    starts = placed.select(*PIECE_KEY, *TEXT_KEY, "first", "end").join(materialize(marks, "suffix-marks"), list(PIECE_KEY))
+    return starts.select(*TEXT_KEY, (F.col("first") + F.col("a")).alias("a"), (F.col("end") if whole else F.col("first") + F.col("b")).alias("b"))
+
+
+def repeated_intervals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
+    """(TEXT_KEY, starts): per text with repeats, the intervals [a, b) of starts of repeated strings."""
+    keyed = _keyed(docs, text_col).where(F.col("n_bytes") >= length).withColumn("copies", F.lit(1).cast("long"))
+    return _repeated(keyed, length, anchor, heavy_bytes).groupBy(*TEXT_KEY).agg(F.collect_list(F.struct("a", "b")).alias("starts"))
 
 
 def cut_out(raw: bytes, starts: list[tuple[int, int]] | None, length: int) -> tuple[int, int, bytes]:
@@ -317,9 +315,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; columns not named are ignored.
     """
     found = materialize(repeated_intervals(docs, text_col, length, anchor, heavy_bytes), "suffix-starts")
-    found = found.select(F.col("text_hash").alias("_h"), F.col("n_bytes").alias("_n"), "starts")
     keyed = _keyed(docs, text_col, id_col, *keep)
-    joined = keyed.join(found, (F.col("text_hash") == F.col("_h")) & (F.col("n_bytes") == F.col("_n")), "left").select(id_col, *keep, "n_bytes", "raw", "starts")
+    joined = keyed.join(found, list(TEXT_KEY), "left").select(id_col, *keep, "n_bytes", "raw", "starts")
     fields = joined.schema[:-2]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_removed long, n_spans long, kept_sha256 string, kept binary"])
 

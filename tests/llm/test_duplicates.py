@@ -141,7 +141,7 @@ def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 100)
     rng = random.Random(2)
     raw = bytes(rng.choice(b"ab") for _ in range(1000))
-    rolling = suffix_dedup._Rolling(suffix_dedup._BASES[0], 200)
+    rolling = suffix_dedup._Rolling(suffix_dedup._BASE, 200)
     at = 0
     for _, first, end, _ in suffix_dedup.anchors(raw, 20, 8, rolling):
         assert first[0] == at and (first[1:] == end[:-1]).all()
