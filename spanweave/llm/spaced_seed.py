@@ -30,6 +30,8 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8))
 # Besides these, for items of 8 to 12 words, which are verified on their own width:
 # with them, any substitutions that the verifier accepts leave a placement intact.
 SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 5), (0, 1, 5, 6, 8))
+# For items of 5 to 7 words, of which 80 % allows one substitution: any one leaves a placement intact.
+TINY_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
 WINDOW = 13
 SIMILARITY = 0.8
 MIN_ITEM_WORDS = 5
@@ -64,19 +66,22 @@ def _unrolled(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: tuple[str
 
 
 def _seeds(items: DataFrame, i: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(seed, item_no, q) of one mask; a short mask is for the items of 8 to 12 words, a full one for the items of just its length."""
+    """(seed, item_no, q) of one mask; short masks are for the items of 8 to 12 words, tiny ones for those of 5 to 7."""
     n, span, short = F.size("tokens"), masks[i][-1] + 1, min(m[-1] + 1 for m in MASKS)
-    of_short = n.between(max(span, short), WINDOW - 1)
-    fit = items.where(n >= span if i < len(MASKS) else of_short if masks[i] in SHORT_MASKS else n == span)
+    if masks[i] in TINY_MASKS:
+        fit = items.where(n.between(max(span, MIN_ITEM_WORDS), short - 1))
+    elif masks[i] in SHORT_MASKS:
+        fit = items.where(n.between(max(span, short), WINDOW - 1))
+    else:
+        fit = items.where(n >= span)
     at = fit.select("item_no", "tokens", F.explode(F.sequence(F.lit(0), n - span)).alias("q"))
     return at.select(_window_hash(F.col("tokens"), F.col("q"), i, masks[i]).alias("seed"), "item_no", "q")
 
 
 def masks_for(lengths: list[int], masks: tuple[tuple[int, ...], ...] = MASKS) -> tuple[tuple[int, ...], ...]:
-    """The masks, the short ones if an item is shorter than the window, and a full one for each item length too short for any of the masks."""
+    """The masks, the short ones if an item is shorter than the window, and the tiny ones if one is shorter than every mask."""
     shortest = min(m[-1] + 1 for m in masks)
-    short = SHORT_MASKS if any(shortest <= n < WINDOW for n in lengths) else ()
-    return masks + short + tuple(tuple(range(n)) for n in sorted(lengths) if n < shortest)
+    return masks + (SHORT_MASKS if any(shortest <= n < WINDOW for n in lengths) else ()) + (TINY_MASKS if any(n < shortest for n in lengths) else ())
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -86,7 +91,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     One row per document text and item, with the best window.
 
     Defined results: null or empty texts and items with fewer than five words
-    match nothing; an item shorter than every mask must occur word for word;
+    match nothing; an item of 5 to 7 words may differ in one, as 80 % allows;
     repeated documents of one id and text give one row; a null id is an id; empty
     tables give no rows; other columns, whatever their names, are ignored.
     """

@@ -162,7 +162,7 @@ def brute_overlaps(docs, items):
             width = min(spaced_seed.WINDOW, len(v))
             if len(v) < spaced_seed.MIN_ITEM_WORDS:
                 continue
-            need = math.ceil(spaced_seed.SIMILARITY * width) if len(v) >= 8 else width  # shorter than every mask: word for word
+            need = math.ceil(spaced_seed.SIMILARITY * width)
             for shift in range(-len(v) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(v), len(w) - shift)
                 same = [w[j + shift] == v[j] for j in range(lo, hi)]
@@ -179,9 +179,9 @@ def test_masks_survive_every_pair_of_substitutions():
 
 
 def test_every_allowed_substitution_set_is_found(spark):
-    """Items of 8 to 13 words, each with every set of substitutions that 80 % allows, and with one more."""
+    """Items of 5 to 13 words, each with every set of substitutions that 80 % allows, and with one more."""
     items, docs, want = [], [], {}
-    for m in range(8, spaced_seed.WINDOW + 1):
+    for m in range(spaced_seed.MIN_ITEM_WORDS, spaced_seed.WINDOW + 1):
         item = [f"w{m}x{i}" for i in range(m)]
         items.append((m, " ".join(item)))
         allowed = m - math.ceil(spaced_seed.SIMILARITY * m)
