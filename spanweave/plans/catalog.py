@@ -17,6 +17,7 @@ from ..config import PAGE, fixture_params
 from ..functions import text as tx
 from ..operators import annotate, block_model, blocks, chars, evaluate, examples, scoring, spans, splits
 from ..sources import fixtures as fx
+from ..sources.store import PageStore
 from ..session import bounded_broadcast, checkpointed, ensure_checkpoint_dir
 from ..sources.pages import (
     load_pages, output_layout, read_annotations, read_pages, read_predictions, split_lines, write_partitioned, write_predictions,
@@ -324,6 +325,15 @@ def q_span_text(spark, d):
     return _corpus(spark, d).spans_of(_gold(spark, d)).select("page_id", "attribute", "start_idx", "text")
 
 
+@register("stored_spans", GOLD_SPANS + f"SELECT {SPAN_COLS} FROM spans")
+def q_stored_spans(spark, d):
+    """Gold spans over a store of page frames and annotations, which meet bucket by bucket."""
+    store = PageStore(spark, _folder(spark, "store"))
+    store.write(_corpus(spark, d).frame, _gold(spark, d), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    labels = annotate.label_chars(store.annotations(), store.frame(), P)
+    return spans.decode_spans(labels).drop("category")
+
+
 @register("span_records", W(BASE, O.title_cte(P), O.anno_cte(), O.cells_ctes(), O.dense_spans_ctes()) +
           """SELECT s.page_id, t.title, s.attribute, s.start_line, s.start_offset, s.end_line, s.end_offset, s.text
   FROM spans s LEFT JOIN titles t USING (page_id)""")
@@ -385,9 +395,10 @@ def _matches(spark, d):
     return evaluate.match_sets(set_spans(_corpus(spark, d), fx.fixture_gold_and_pred(_gold(spark, d))))
 
 
-def _holdout_pages(spark, d):
+def _holdout_pages(spark, d, sp=None):
     """The hold-out pages that exist."""
-    return _tagger_split(spark, d).where(F.col("tvt") != "train").join(_pages(spark, d).select(*PAGE), PAGE, "left_semi").select(*PAGE)
+    sp = _tagger_split(spark, d) if sp is None else sp
+    return sp.where(F.col("tvt") != "train").join(_pages(spark, d).select(*PAGE), PAGE, "left_semi").select(*PAGE)
 
 
 @register("gold_spans", GOLD_SPANS + f"SELECT {SPAN_COLS} FROM spans")
@@ -832,18 +843,22 @@ def q_macro_page_f1(spark, d):
     return m.select(F.col("n_pages").cast("bigint"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
+def _tagger_schema(spark, d):
+    """The split and the attribute names of the annotation schema (the same few as in the files), from one pass over the gold spans."""
+    pages = checkpointed(_gold(spark, d).groupBy(*PAGE).agg(F.collect_set("attribute").alias("attributes")))
+    names = pages.select(F.explode("attributes").alias("attribute")).distinct().orderBy("attribute")
+    return checkpointed(_split(pages)), [r.attribute for r in names.collect()]
+
+
 def _lr_model(spark, d):
-    pages, sp = _pages(spark, d), _tagger_split(spark, d)
-    ctx, labels = _train_side(pages, sp, 2)
-    # The attribute names of the annotation schema.
-    names = [r.attribute for r in annotate.attribute_index(_gold(spark, d)).select("attribute").distinct().orderBy("attribute").collect()]
-    return scoring.train_tagger_lr(ctx, labels, names, k=2)
+    sp, names = _tagger_schema(spark, d)
+    return sp, scoring.train_tagger_lr(*_train_side(_pages(spark, d), sp, 2), names, k=2)
 
 
 def lr_spans(spark, d):
     """Predicted spans of the logistic-regression tagger on all pages."""
     kept = chars.kept_chars(chars.clean_lines(_pages(spark, d), P), P, context=2)
-    return spans.decode_spans(scoring.score_with_lr(kept, _lr_model(spark, d)))
+    return spans.decode_spans(scoring.score_with_lr(kept, _lr_model(spark, d)[1]))
 
 
 @register("train_tagger_lr", W(BASE, O.anno_cte(), O.splits_cte()) + """SELECT s.page_id, CAST(count(k.ch) AS BIGINT) AS n_scored,
@@ -855,17 +870,16 @@ def q_train_tagger_lr(spark, d):
 
     The fit is iterative and has no SQL form; tests check its gradient and its hold-out F1.
     """
-    held = bounded_broadcast(_holdout_pages(spark, d))
-    model = _lr_model(spark, d)
+    sp, model = _lr_model(spark, d)
+    held = bounded_broadcast(_holdout_pages(spark, d, sp))
     fell = all(b <= a for a, b in zip(model.losses, model.losses[1:])) and (not model.losses or model.losses[-1] < model.losses[0] / 10)
     own = Corpus(_pages(spark, d).join(held, PAGE, "left_semi"), P)
-    kept = chars.kept_chars(own.lines, P, context=2)
-    scored = checkpointed(scoring.lr_tags(kept, model).select(*PAGE, "new_char_idx", "line_id", "offset", "ch", "tags"))
-    n = scored.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
+    scored = checkpointed(scoring.lr_cells(chars.kept_chars(own.lines, P, context=2), model))
+    n = scored.groupBy(*PAGE).agg(F.sum("n_scored").alias("n"))
     body = F.filter("lines", lambda x: x["in_body"])
     text = own.frame.select(*PAGE, F.array_join(F.transform(
         body, lambda x: F.regexp_replace(x["line"], F.lit(tx.WS_CLASS), F.lit(""))), "").alias("kept"))
-    found = spans.decode_spans(scoring.spread_tags(scored, model.attributes)).groupBy(*PAGE).agg(
+    found = spans.decode_spans(scoring.spread_tags(scored.where(F.col("tags").isNotNull()), model.attributes)).groupBy(*PAGE).agg(
         F.collect_list(F.struct("start_idx", "end_idx", "text")).alias("spans"))
     j = held.join(n, PAGE, "left").join(text, PAGE, "left").join(found, PAGE, "left")
     right = F.forall(F.coalesce("spans", F.array().cast("array<struct<start_idx:bigint,end_idx:bigint,text:string>>")),
