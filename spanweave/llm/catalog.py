@@ -61,7 +61,7 @@ def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v) for v in rule]) for rule in URL_RULES]))).toDF("action", "host", "path")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 

@@ -108,5 +108,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.length(rule).alias("n"), F.length("rule_host").alias("h"), rule.alias("rule"), "action")).alias("best"))
     best = materialize(best.select(F.col("url").alias("__rule_url"), F.col("best.rule").alias("rule"),
                                    F.col("best.action").alias("verdict")), "url-verdicts")
-    joined = base.join(best, F.col(url_col) == F.col("__rule_url"), "left")
+    # Verdicts grow with the pages, so they are never broadcast; AQE splits a hot URL's partition.
+    joined = base.join(best.hint("merge"), F.col(url_col) == F.col("__rule_url"), "left")
     return joined.select(*base.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
