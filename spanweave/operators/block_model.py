@@ -29,6 +29,7 @@ from .examples import SpecialIds
 
 N_TAGS = 3
 O_TAG = 2
+MAX_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -116,11 +117,24 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
+def _pieces(rows: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole blocks with at most ``most`` characters each (a longer block by itself)."""
+    ends = np.cumsum(np.diff(rows.column("_ids").offsets.to_numpy()))
+    first = 0
+    while first < rows.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield rows.slice(first, last - first)
+        first = last
+
+
 def score_blocks(blocks: DataFrame, scorer: Scorer, batch_size: int = 32, ids: SpecialIds = SpecialIds()) -> DataFrame:
     """``page_blocks`` rows (with places) + pred: per attribute the predicted tag (0 B, 1 I, 2 O) of each character.
 
     Blocks of a task are sorted by length and padded in batches of ``batch_size`` to
     the longest of each: [CLS] + code points + padding.  Ties go to the lower tag.
+    An Arrow batch holds up to 10,000 blocks, so it is scored in pieces of at most
+    ``MAX_CHARS`` characters: that bounds a worker's memory and what it sends back.
     The scorer travels as a broadcast, once to each executor.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(scorer)
@@ -130,9 +144,7 @@ def score_blocks(blocks: DataFrame, scorer: Scorer, batch_size: int = 32, ids: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         n_attr = len(model.attributes)
-        for arrow in batches:
-            if not arrow.num_rows:
-                continue
+        for arrow in (piece for batch in batches for piece in _pieces(batch, MAX_CHARS)):
             cps, at = _lists(arrow.column("_ids"))
             before, _ = _lists(arrow.column("_before"))
             category = arrow.column("category").to_pylist()

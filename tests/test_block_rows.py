@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def test_scored_blocks_do_not_depend_on_batches(spark, batch):
     assert empty.collect() == [] and empty.columns[-1] == "pred"
 
 
+def test_pieces_are_bounded_and_whole():
+    rng = random.Random(2)
+    rows = pa.table({"id": list(range(200)), "_ids": [[i] * rng.choice((0, 1, 5, 30)) for i in range(200)]}).to_batches()[0].slice(3, 190)
+    pieces = list(block_model._pieces(rows, 20))
+    assert pa.Table.from_batches(pieces).to_pylist() == rows.to_pylist() and len(pieces) > 50
+    assert all(p.num_rows == 1 or sum(map(len, p.column("_ids").to_pylist())) <= 20 for p in pieces)
+    assert list(block_model._pieces(rows.slice(0, 0), 20)) == []
+
+
 def test_count_tagger_is_a_scorer(spark):
     p = TextParams(header_last=-1, max_length=40)
     texts = all_pages()
