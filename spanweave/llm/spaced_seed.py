@@ -9,8 +9,8 @@ or more (the whole item, if it is shorter).
 
 Shape: one scan of the documents, which never leave their partition.  The seeds
 are those of the benchmark, not of the corpus; they are broadcast in blocks of at
-most ``MAX_BLOCK`` seeds, one scan per block, so the broadcast is bounded however
-large the benchmark is.  Only verified hits are shuffled, combined map-side.
+most ``MAX_BLOCK`` seeds, one scan and one job per block, so the broadcast is bounded
+however large the benchmark is.  Only verified hits are shuffled, combined map-side.
 Windows are unrolled by a generator and hashed in generated code.  No Python.
 """
 
@@ -102,34 +102,42 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = materialize(functools.reduce(DataFrame.unionByName, [_seeds(items, i, masks) for i in range(len(masks))]).distinct(), "seeds")
     blocks = max(1, math.ceil(seeds.count() / max_block))
 
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = docs.select("doc_id", "text", token_hashes(F.col("text")).alias("tokens"))
+    # The text's key, not the text, goes with every window and hit.
+    text = F.col(text_col)
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"), token_hashes(text).alias("tokens"))
     found = []
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("item_no"), F.lit(blocks)) == block
         # About max_block seeds, and the items they come from, which have no more tokens than that.
-        hits = _unrolled(tokens, masks, ("doc_id", "text")).join(F.broadcast(seeds.where(mine)), "seed")
+        hits = _unrolled(tokens, masks, ("doc_id", "text_key")).join(F.broadcast(seeds.where(mine)), "seed")
         item = items.where(mine).select("item_no", "item_id", F.col("tokens").alias("item_tokens"))
-        found.append(_verified(hits.join(F.broadcast(item), "item_no")))
-    best = functools.reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key", "item_id").agg(F.max("hit").alias("hit"))
+        of_block = _best(_verified(hits.join(F.broadcast(item), "item_no")))
+        # A block is a job of its own: in one plan the broadcasts of all blocks would be held at once.
+        found.append(of_block if blocks == 1 else materialize(of_block, "seed-hits"))
+    best = found[0] if blocks == 1 else _best(functools.reduce(DataFrame.unionByName, found))
     return best.select("doc_id", "text_key", "item_id", F.col("hit.equal").alias("equal_words"), F.col("hit.width").alias("window_words"),
                        (-F.col("hit.before")).alias("first_word"))
 
 
+def _best(hits: DataFrame) -> DataFrame:
+    """The best window of each document text and item."""
+    return hits.groupBy("doc_id", "text_key", "item_id").agg(F.max("hit").alias("hit"))
+
+
 def _verified(hits: DataFrame) -> DataFrame:
     """Lay document and item side by side around each hit and keep those with a window that agrees enough."""
     shift, m = F.col("at") - F.col("q"), F.size("item_tokens")
     low = F.greatest(F.lit(0), -shift, F.col("q") - (WINDOW - 1))
     high = F.least(m, F.size("tokens") - shift, F.col("q") + 2 * WINDOW)  # exclusive
-    laid = hits.select("doc_id", "text", "item_id", shift.alias("shift"), low.alias("low"), high.alias("high"), F.least(F.lit(WINDOW), m).alias("width"),
+    laid = hits.select("doc_id", "text_key", "item_id", shift.alias("shift"), low.alias("low"), high.alias("high"), F.least(F.lit(WINDOW), m).alias("width"),
                        F.transform(F.sequence(low, high - 1), lambda j: (F.get("tokens", j + shift) == F.get("item_tokens", j)).cast("int")).alias("same"))
     starts = F.when(F.col("high") - F.col("low") >= F.col("width"), F.sequence(F.lit(0), F.col("high") - F.col("low") - F.col("width")))
     sums = F.transform(starts, lambda s: F.struct(
         F.aggregate(F.slice("same", s + 1, F.col("width")), F.lit(0), lambda a, x: a + x).alias("equal"),
         F.col("width").alias("width"), (-(F.col("low") + F.col("shift") + s)).alias("before")))
     # Rows of one hit are few; the outer generator is filtered on what it makes.
-    made = laid.select("doc_id", "text", "item_id", F.array_max(sums).alias("hit"))
-    return made.where(F.col("hit.equal") >= F.ceil(F.col("hit.width") * SIMILARITY)).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "item_id", "hit")
+    made = laid.select("doc_id", "text_key", "item_id", F.array_max(sums).alias("hit"))
+    return made.where(F.col("hit.equal") >= F.ceil(F.col("hit.width") * SIMILARITY))
 
 
 def remove_contaminated(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

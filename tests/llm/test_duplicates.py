@@ -222,3 +222,21 @@ def test_overlaps_match_brute_force(spark, block):
     assert left.columns == frame.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in gone)
     assert spaced_seed.find_overlaps(frame, bench.limit(0)).count() == 0
     assert spaced_seed.find_overlaps(frame.limit(0), bench).count() == 0
+
+
+def test_seed_rows_are_narrow_and_blocks_are_jobs(spark):
+    frame = documents(spark)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(4)], "item_id long, text string")
+
+    def nodes(df):
+        todo = [df._jdf.queryExecution().optimizedPlan()]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+
+    one = [n for n in nodes(spaced_seed.find_overlaps(frame, bench)) if n.nodeName() == "Generate"]
+    carried = [{str(n.output().apply(i)).split("#")[0] for i in range(n.output().size())} for n in one]
+    assert len(one) == 2 and not any("text" in c for c in carried)
+    # Several blocks: their broadcasts are gone when the result is put together.
+    assert not any(n.nodeName() in ("Generate", "Join") for n in nodes(spaced_seed.find_overlaps(frame, bench, max_block=60)))
