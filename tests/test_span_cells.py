@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanweave.config import TextParams
-from spanweave.operators import annotate, chars
+from spanweave.functions import text
+from spanweave.operators import annotate, blocks, chars
 from tests.test_pipeline import _anno_df, all_pages, pages_df
 
 PLAIN = TextParams(header_last=-1, max_length=100, blank_patterns=False)
@@ -59,3 +61,36 @@ def _generates(df):
             found.append([str(node.output().apply(i)) for i in range(node.output().size())])
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return found
+
+
+def _nodes(df, name):
+    todo, found = [df._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        found += node.nodeName() == name
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("mode", ["char", "line"])
+def test_overlaps_are_resolved_in_the_row_of_the_line(spark, mode):
+    rng = random.Random(12)
+    p = TextParams(header_last=0, mode=mode, max_length=20, blank_patterns=False)
+    texts = {i: "".join("".join(rng.choice("ab字 \t") for _ in range(rng.randint(0, 30))) + "\n" for _ in range(4)) for i in range(8)}
+    anno = _anno_df(spark, [{"page_id": rng.randrange(9), "attribute": rng.choice("xy"), "sl": rng.randrange(4), "so": (so := rng.randrange(12)),
+                             "el": rng.randrange(5), "eo": so + rng.randrange(9), "anno_seq": i} for i in range(150)]).withColumn("set", F.when(F.col("anno_seq") % 2 == 0, "gold"))
+    frame = chars.page_frame(pages_df(spark, texts), p)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    def grouped(frame):
+        cells = annotate.expand_spans(anno, frame, p, ("set",), ("n_kept",)).where("new_char_idx IS NOT NULL")
+        return annotate.resolve_overlaps(cells, ("set", "n_kept"))
+
+    labels = annotate.label_chars(anno, frame, p, ("set",), ("n_kept",))
+    assert rows(labels) == rows(grouped(frame)) != []
+    # The spans are gathered by page; the cells are neither moved nor aggregated.
+    assert _nodes(labels, "Aggregate") == 1 and _nodes(labels, "RepartitionByExpression") == 0
+    twice = frame.unionByName(frame.where("page_id < 3"))
+    assert rows(annotate.label_chars(anno, twice, p, ("set",), ("n_kept",))) == rows(grouped(twice)) == rows(labels)
