@@ -50,14 +50,17 @@ def let(value: Column, body) -> Column:
 
 # A literal every match of the pattern contains: lines without it skip the regex.
 REQUIRED_LITERAL = {URL_PATTERN: "://", HOST_PATTERN: ".", FILE_PATTERN: "ファイル:"}
+# A cheap pattern that every match holds, for lines with the literal: a host has a
+# dot before two letters or before a digit, which the full stops of prose are not.
+REQUIRED_PATTERN = {HOST_PATTERN: r"\.(?:[a-zA-Z]{2}|[0-9])"}
 
 
 def blank_regex(line: Column, pattern: str) -> Column:
     """Replace every match by blanks of the first match's length.
 
     The replace only runs when the search found a match, and patterns with a
-    required literal are skipped on lines without it (exact: such lines
-    cannot match).
+    required literal or pattern are skipped on lines without it (exact: such
+    lines cannot match).
     """
     java = JAVA_DOT + pattern
     need = REQUIRED_LITERAL.get(pattern)
@@ -69,7 +72,10 @@ def blank_regex(line: Column, pattern: str) -> Column:
                 F.regexp_replace(y, F.lit(java), F.repeat(F.lit(" "), F.length(m)))))
         if need is None:
             return search(x)
-        return F.when(F.instr(x, need) == 0, x).otherwise(search(x))
+        none = F.instr(x, need) == 0
+        if pattern in REQUIRED_PATTERN:
+            none = none | ~x.rlike(REQUIRED_PATTERN[pattern])
+        return F.when(none, x).otherwise(search(x))
 
     return let(line, body)
 
@@ -119,6 +125,11 @@ def kept_count(line: Column) -> Column:
     return F.length(F.regexp_replace(line, F.lit(WS_CLASS), F.lit("")))
 
 
+def kept_cps(line: Column) -> Column:
+    """Code points of the non-whitespace characters of a line that holds some."""
+    return F.transform(F.split(F.regexp_replace(line, F.lit(WS_CLASS), F.lit("")), ""), lambda c: F.ascii(c))
+
+
 def normalize_newlines(text: Column) -> Column:
     """Universal newlines: \\r\\n and lone \\r become \\n (text-mode reads)."""
     return F.regexp_replace(text, F.lit("\r\n?"), F.lit("\n"))

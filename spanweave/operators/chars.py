@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import PAGE, TextParams
 from ..functions.arrays import prefix_sum
 from ..functions.text import (
-    clean_line, let, footer_trigger, is_whitespace_cp, kept_count, normalize_newlines,
+    WS_CLASS, clean_line, let, footer_trigger, is_whitespace_cp, kept_count, normalize_newlines,
     split_lines_expr, title_expr,
 )
 
@@ -136,21 +136,66 @@ def explode_chars(lines: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_words(line: Column) -> Column:
+    """Words of a line as (word, gaps, rank): whitespace characters and kept characters before it."""
+    def ranked(words: Column) -> Column:
+        return let(prefix_sum(F.transform(words, lambda w: F.length(w))), lambda ends: F.transform(words, lambda w, i: F.struct(
+            w.alias("word"), i.cast("int").alias("gaps"), (F.get(ends, i) - F.length(w)).cast("int").alias("rank"))))
+
+    return let(F.split(line, WS_CLASS, -1), ranked)
+
+
+def _word_chars(body: DataFrame, p: TextParams) -> DataFrame:
+    """Kept characters without context: lines → words → characters.
+
+    The lambdas run per word; a character is a plain generated row, whose rank and
+    offset follow from those of its word (every whitespace character is one gap).
+    """
+    words = body.select(*PAGE, "line_id", "char_base", "kept_base", F.explode_outer(_ranked_words(F.col("line"))).alias("_w"))
+    words = words.where(F.col("_w.word") != "").select(
+        *PAGE, "line_id", "char_base", "kept_base", *[F.col(f"_w.{c}").alias(f"_{c}") for c in ("word", "gaps", "rank")])
+    every = words.select(*PAGE, "line_id", "char_base", "kept_base", "_gaps", "_rank", F.posexplode_outer(F.split("_word", "")).alias("_i", "ch"))
+    out = every.where(F.col("_i").isNotNull()).select(
+        *PAGE, "line_id", "char_base", "kept_base", "ch",
+        (F.col("_rank") + F.col("_i")).alias("_k"), (F.col("_rank") + F.col("_gaps") + F.col("_i")).alias("offset"))
+    return out.where(F.col("_k") < p.capacity) if p.mode == "line" else out
+
+
 def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     """Kept characters with new_char_idx, block_id and block_idx.
 
-    Per line: split once into code points and keep the (offset, char) structs
-    of non-whitespace characters; the position among them is the rank inside
-    the line, so new_char_idx = kept_base + rank (no window).  Everything a
-    character row needs is inside its struct before the explode, so exploded
-    rows never carry the line's array (that would copy it once per char).
-    Line mode keeps only the first ``capacity`` of them (dropped characters get
+    Per line: the words are ranked by the kept characters before them, then spelled
+    out (``_word_chars``), so new_char_idx = kept_base + rank (no window).
+    Line mode keeps only the first ``capacity`` characters (dropped characters get
     no index — the running sums already count the truncated numbers).
-    ``context`` > 0 adds the raw neighbours ctx_m1.., ctx_p1.. ('' past the line).
+    ``context`` > 0 adds the raw neighbours ctx_m1.., ctx_p1.. ('' past the line):
+    the line is split once into code points, and the (offset, char) structs of
+    non-whitespace characters are kept.  Everything such a row needs is inside its
+    struct before the explode, so exploded rows never carry the line's array (that
+    would copy it once per char).
     """
     cap = p.capacity
     body = lines.where(F.col("in_body") & (F.col("kept_n") > 0))
+    exploded = _context_chars(body, p, context) if context else _word_chars(body, p)
+    ctx_cols = [f"ctx_{n}{j}" for j in range(1, context + 1) for n in ("m", "p")]
+    out = exploded.select(
+        *PAGE, "line_id", "offset",
+        (F.col("char_base") + F.col("offset")).alias("char_idx"),
+        "ch",
+        (F.col("kept_base") + F.col("_k")).alias("new_char_idx"),
+        "_k", *ctx_cols,
+    )
+    if p.mode == "line":
+        out = out.withColumn("block_id", F.col("line_id").cast("bigint")) \
+            .withColumn("block_idx", F.col("_k"))
+    else:
+        out = out.withColumn("block_id", F.expr(f"new_char_idx div {cap}").cast("bigint")) \
+            .withColumn("block_idx", F.pmod(F.col("new_char_idx"), F.lit(cap)).cast("int"))
+    return out.drop("_k")
 
+
+def _context_chars(body: DataFrame, p: TextParams, context: int) -> DataFrame:
+    """Kept characters with their raw neighbours."""
     def items(arr: Column) -> Column:
         def one(c: Column, o: Column) -> Column:
             fields = [o.alias("offset"), c.alias("ch"), F.ascii(c).alias("cp")]
@@ -163,28 +208,16 @@ def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
 
     kept = let(F.split("line", ""), items)
     if p.mode == "line":
-        kept = F.slice(kept, 1, cap)
+        kept = F.slice(kept, 1, p.capacity)
     exploded = body.select(
         *PAGE, "line_id", "char_base", "kept_base",
         F.posexplode_outer(kept).alias("_k", "_c"),
     ).where(F.col("_k").isNotNull())
     ctx_cols = [F.col(f"_c.ctx_{n}{j}").alias(f"ctx_{n}{j}") for j in range(1, context + 1) for n in ("m", "p")]
-    out = exploded.select(
-        *PAGE, "line_id",
-        F.col("_c.offset").cast("int").alias("offset"),
-        (F.col("char_base") + F.col("_c.offset")).alias("char_idx"),
-        F.col("_c.ch").alias("ch"),
-        (F.col("kept_base") + F.col("_k")).alias("new_char_idx"),
-        F.col("_k").cast("int").alias("_k"),
-        *ctx_cols,
+    return exploded.select(
+        *PAGE, "line_id", "char_base", "kept_base", F.col("_c.ch").alias("ch"), F.col("_k").cast("int").alias("_k"),
+        F.col("_c.offset").cast("int").alias("offset"), *ctx_cols,
     )
-    if p.mode == "line":
-        out = out.withColumn("block_id", F.col("line_id").cast("bigint")) \
-            .withColumn("block_idx", F.col("_k"))
-    else:
-        out = out.withColumn("block_id", F.expr(f"new_char_idx div {cap}").cast("bigint")) \
-            .withColumn("block_idx", F.pmod(F.col("new_char_idx"), F.lit(cap)).cast("int"))
-    return out.drop("_k")
 
 
 def page_chars(pages: DataFrame, p: TextParams) -> DataFrame:

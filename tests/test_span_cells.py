@@ -94,3 +94,22 @@ def test_overlaps_are_resolved_in_the_row_of_the_line(spark, mode):
     assert _nodes(labels, "Aggregate") == 1 and _nodes(labels, "RepartitionByExpression") == 0
     twice = frame.unionByName(frame.where("page_id < 3"))
     assert rows(annotate.label_chars(anno, twice, p, ("set",), ("n_kept",))) == rows(grouped(twice)) == rows(labels)
+
+
+@pytest.mark.parametrize("mode", ["char", "line"])
+def test_kept_characters_are_spelled_out_of_words(spark, mode):
+    p = TextParams(header_last=-1, mode=mode, max_length=9, blank_patterns=False)
+    lines = chars.clean_lines(pages_df(spark, {1: "  a　　b字 𠮷\t\n\n \t \nabcdefghijklm n\n", 2: "", 3: " \n", 4: "x"}), p)
+    got = chars.kept_chars(lines, p)
+    want = chars.kept_chars(lines, p, context=1).select(got.columns)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    assert [[c.split("#")[0] for c in g][-1] for g in _generates(got)] == ["ch", "_w", "in_body"]
+
+
+def test_full_stops_of_prose_are_no_hosts(spark):
+    lines = ["It ends. Here a.b too...", "a.jp x", "see www.x.org/p.", "10.0.0.1:80 and 1.2", "x.1", "no dot", "http://h.co", ".ab", "a.b1", "-.cd", ". a", "é.fr"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    plain = F.regexp_replace("line", F.lit(text.JAVA_DOT + text.HOST_PATTERN), F.repeat(F.lit(" "), F.length(F.regexp_extract("line", text.JAVA_DOT + text.HOST_PATTERN, 0))))
+    out = df.select(text.blank_regex(F.col("line"), text.HOST_PATTERN).alias("got"), plain.alias("want"))
+    assert all(r.got == r.want for r in out.collect())
+    assert "RLIKE" in out._jdf.queryExecution().optimizedPlan().toString().upper()
