@@ -113,3 +113,18 @@ def test_full_stops_of_prose_are_no_hosts(spark):
     out = df.select(text.blank_regex(F.col("line"), text.HOST_PATTERN).alias("got"), plain.alias("want"))
     assert all(r.got == r.want for r in out.collect())
     assert "RLIKE" in out._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_blocks_count_a_span_by_chunks(spark):
+    p = TextParams(header_last=-1, max_length=100, blank_patterns=False)
+    rng = random.Random(13)
+    line = "".join(rng.choice("ab字 \t") for _ in range(2000)) + "\n"
+    rows = [{"page_id": 1, "attribute": rng.choice("xy"), "sl": 0, "so": (so := rng.randrange(2100)), "el": rng.randrange(3), "eo": so + rng.randrange(90), "anno_seq": i} for i in range(60)]
+    anno, frame = _anno_df(spark, rows), chars.page_frame(pages_df(spark, {1: line * 2}), p)
+    made = blocks.page_blocks(frame, p, anno, annotate.attribute_index(anno))
+    got = {(r.first_idx + x.start + i, r.attributes[a], "BI"[x.tag]) for r in made.collect() for a, runs in enumerate(r.runs) for x in runs for i in range(x.len)}
+    assert got == {(r.new_char_idx, r.attribute, r.bio) for r in annotate.label_chars(anno, frame, p).collect()} != set()
+    # No span reads the line from its start, no character is filtered one by one.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(flatten" not in plan and "array_sort(concat" not in plan
+    assert not re.search(r"substring\(lambda", plan)
