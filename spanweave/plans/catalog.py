@@ -20,7 +20,7 @@ from ..sources import fixtures as fx
 from ..sources.store import PageStore
 from ..session import bounded_broadcast, checkpointed, ensure_checkpoint_dir
 from ..sources.pages import (
-    load_pages, output_layout, read_annotations, read_pages, read_predictions, split_lines, write_partitioned, write_predictions,
+    load_pages, output_layout, read_annotations, read_pages, read_predictions, split_lines, write_pages, write_partitioned, write_predictions,
 )
 from . import oracle as O
 from .extract import Corpus, extract_spans, flat_records, set_spans
@@ -69,16 +69,10 @@ def _folder(spark, name):
 
 @register("read_pages", "SELECT doc_id AS page_id, source AS category, text FROM documents WHERE length(text) > 0")
 def q_read_pages(spark, d):
-    """Round trip: the pages written as one text file per page, named {category}/{page_id}.txt, and read back.
-
-    A page's file is a folder with one part to Spark's writer; ``read_pages`` takes
-    both layouts.  The writer ends every row with a newline, which is taken off again.
-    """
+    """Round trip: the pages written as one text file per page, named {category}/{page_id}.txt, and read back."""
     path = _folder(spark, "pages")
-    pages = _pages(spark, d).where(F.length("text") > 0)
-    pages.select("category", "page_id", F.col("text").alias("value")).repartition("category", "page_id").write.partitionBy(
-        "category", "page_id").text(path)
-    return read_pages(spark, path).select("page_id", "category", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+    write_pages(_pages(spark, d).where(F.length("text") > 0), path)
+    return read_pages(spark, path).select("page_id", "category", "text")
 
 
 @register("split_lines", W(O.raw_lines_cte()) + "SELECT page_id, line_id, line FROM raw_lines")

@@ -3,6 +3,12 @@ and predictions, and the output folder layout."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +18,8 @@ from ..functions.text import split_lines_expr
 
 # {category}/{page_id}.txt, or the folders a partitioned text sink writes for the same.
 PAGE_FILE = r"(?:category=)?([^/]+)/(?:page_id=([0-9]+)/[^/]+|([0-9]+))\.txt$"
+NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")  # as Spark's partitioned sinks escape folder names
 ANNOTATION_FILE = r"(?:[^/=]*=)?([^/=]+)_dist\.json(?:/[^/]*)?$"
 
 POS = T.StructType([T.StructField("line_id", T.IntegerType()), T.StructField("offset", T.IntegerType())])
@@ -46,6 +54,47 @@ def read_pages(spark: SparkSession, plain_dir: str, category: str | None = None)
     )
 
 
+def write_pages(pages: DataFrame, root: str) -> int:
+    """pages(category, page_id, text) → ``{category}/{page_id}.txt`` under ``root``, a folder that all executors share.
+
+    The tasks write the files themselves: Spark's partitioned sink makes a folder for
+    every page, which its committer moves one by one on the driver.  A file is written
+    under a hidden name and then renamed, so a task that is run again replaces whole
+    files.  Rows with one key share a file, a line feed between them; null texts are
+    empty.  Folders that Spark would pass over (null, ``_x``, ``.x``) get the prefix
+    ``category=``; null ids are named as Spark's sinks name them.  Returns the number of files.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        written, now, texts = 0, None, []
+
+        def close() -> int:
+            category, page_id = now
+            name = ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", category) if category else NULL_NAME
+            folder = f"{base.rstrip('/')}/{'category=' if name[0] in '_.' else ''}{name}"
+            if folder not in made:
+                files.create_dir(folder)
+                made.add(folder)
+            held = f"{folder}/.{uuid.uuid4().hex}"
+            with files.open_output_stream(held) as out:
+                out.write("\n".join(texts).encode("utf-8"))
+            files.move(held, f"{folder}/{f'page_id={NULL_NAME}' if page_id is None else page_id}.txt")
+            return 1
+
+        for batch in batches:
+            for category, page_id, text in zip(*[batch.column(i).to_pylist() for i in range(2)], batch.column(2)):
+                if (category, page_id) != now:
+                    written += close() if now else 0
+                    now, texts = (category, page_id), []
+                texts.append(text.as_py() or "")
+        written += close() if now else 0
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
+
+    dealt = pages.select(*PAGE, "text").repartition(*PAGE).sortWithinPartitions(*PAGE)
+    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def pages_from_documents(documents: DataFrame) -> DataFrame:
     """Driver table binding: documents(doc_id, text, source) → pages."""
     return documents.select(

@@ -34,3 +34,18 @@ def test_a_run_replaces_only_its_own_folder(spark, tmp_path):
     for category, pages, model in (("City", [1, 2], "M"), ("Town", [7], "M"), ("City", [5], "N"), ("City", [3], "M")):
         src.write_predictions(*records(category, pages), root, model, "Char")
     assert written() == {("city_m_char", 3), ("town_m_char", 7), ("city_n_char", 5)}
+
+
+def test_pages_are_written_as_one_plain_file_each(spark, tmp_path):
+    """Files of the layout itself, not folders of parts; texts come back byte for byte."""
+    root = str(tmp_path / "pages")
+    rows = [("City", 1, "a\r\nb"), ("City", 2, "é\n"), ("City", 2, "é\n"), ("_x", 3, "z"), ("a/b", 4, "q"), (None, 5, "n"), ("City", None, "m")]
+    pages = spark.createDataFrame(rows, "category string, page_id long, text string").repartition(3)
+    assert src.write_pages(pages, root) == 6
+    assert src.write_pages(pages, root) == 6  # a task that is run again replaces its files
+    files = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names)
+    assert files == sorted(["City/1.txt", "City/2.txt", "category=_x/3.txt", "a%2Fb/4.txt", "category=__HIVE_DEFAULT_PARTITION__/5.txt",
+                            "City/page_id=__HIVE_DEFAULT_PARTITION__.txt"])
+    got = {r.page_id: (r.category, r.text) for r in src.read_pages(spark, root).where("category != ''").collect()}
+    assert (got[1], got[2], got[3], got[5]) == (("City", "a\r\nb"), ("City", "é\n\né\n"), ("_x", "z"), ("__HIVE_DEFAULT_PARTITION__", "n"))
+    assert src.write_pages(pages.where("page_id < 0"), str(tmp_path / "none")) == 0
