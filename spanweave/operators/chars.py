@@ -161,6 +161,11 @@ def _word_chars(body: DataFrame, p: TextParams) -> DataFrame:
     return out.where(F.col("_k") < p.capacity) if p.mode == "line" else out
 
 
+def kept_lines(lines: DataFrame) -> DataFrame:
+    """The lines that hold kept characters."""
+    return lines.where(F.col("in_body") & (F.col("kept_n") > 0))
+
+
 def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     """Kept characters with new_char_idx, block_id and block_idx.
 
@@ -175,7 +180,7 @@ def kept_chars(lines: DataFrame, p: TextParams, context: int = 0) -> DataFrame:
     would copy it once per char).
     """
     cap = p.capacity
-    body = lines.where(F.col("in_body") & (F.col("kept_n") > 0))
+    body = kept_lines(lines)
     exploded = _context_chars(body, p, context) if context else _word_chars(body, p)
     ctx_cols = [f"ctx_{n}{j}" for j in range(1, context + 1) for n in ("m", "p")]
     out = exploded.select(

@@ -839,9 +839,9 @@ def q_macro_page_f1(spark, d):
 
 def _tagger_schema(spark, d):
     """The split and the attribute names of the annotation schema (the same few as in the files), from one pass over the gold spans."""
-    pages = checkpointed(_gold(spark, d).groupBy(*PAGE).agg(F.collect_set("attribute").alias("attributes")))
-    names = pages.select(F.explode("attributes").alias("attribute")).distinct().orderBy("attribute")
-    return checkpointed(_split(pages)), [r.attribute for r in names.collect()]
+    named = checkpointed(_gold(spark, d).select(*PAGE, "attribute").distinct())
+    names = named.select("attribute").dropna().distinct().orderBy("attribute")
+    return checkpointed(_split(named)), [r.attribute for r in names.collect()]
 
 
 def _lr_model(spark, d):
@@ -868,7 +868,7 @@ def q_train_tagger_lr(spark, d):
     held = bounded_broadcast(_holdout_pages(spark, d, sp))
     fell = all(b <= a for a, b in zip(model.losses, model.losses[1:])) and (not model.losses or model.losses[-1] < model.losses[0] / 10)
     own = Corpus(_pages(spark, d).join(held, PAGE, "left_semi"), P)
-    scored = checkpointed(scoring.lr_cells(chars.kept_chars(own.lines, P, context=2), model))
+    scored = checkpointed(scoring.lr_line_cells(chars.kept_lines(own.lines), P, model))
     n = scored.groupBy(*PAGE).agg(F.sum("n_scored").alias("n"))
     body = F.filter("lines", lambda x: x["in_body"])
     text = own.frame.select(*PAGE, F.array_join(F.transform(

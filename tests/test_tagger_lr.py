@@ -74,3 +74,22 @@ def test_nothing_to_learn(spark):
     none = scoring.train_tagger_lr(ctx.where("page_id < 0"), c.labels(anno), ["name"], num_features=64)
     assert none.losses == () and not none.weights.any()
     assert scoring.score_with_lr(ctx, scoring.train_tagger_lr(ctx, c.labels(anno), [], num_features=64)).collect() == []
+
+
+def test_lines_score_as_their_characters(spark, monkeypatch):
+    """Tags and counts of whole lines equal those of character rows: neighbours past the line, astral characters, line mode."""
+    monkeypatch.setattr(scoring, "PIECE_CHARS", 16)
+    texts = {1: "aé x17\u3000𠮷b\n\n  \nBob 𠮷\u2028z\n", 2: "x", 3: "", 4: "Ann of " * 30 + "\r\nx4", 5: " \n"}
+    rng = np.random.default_rng(5)
+    model = scoring.LrModel(("a", "b"), 2, rng.normal(size=(129, 6)), ())
+    for p in (TextParams(header_last=-1), TextParams(header_last=-1, mode="line", max_length=12)):
+        lines = Corpus(pages_df(spark, texts), p).lines
+        rows = []
+        for df in (scoring.lr_cells(chars.kept_chars(lines, p, context=2), model), scoring.lr_line_cells(chars.kept_lines(lines), p, model)):
+            got = df.collect()
+            n = {}
+            for r in got:
+                if r.tags is None:
+                    n[r.category, r.page_id] = n.get((r.category, r.page_id), 0) + r.n_scored
+            rows.append((sorted(tuple(r) for r in got if r.tags is not None), n, [f.simpleString() for f in df.schema.fields]))
+        assert rows[0][0] and rows[0] == rows[1]
