@@ -56,13 +56,14 @@ def _offset(sl, so, el, eo, text=None):
 
 
 def _matches(line, pattern: str):
-    """Array of (i, so, m): every match on the line with its offset, from the lengths of what stands between."""
+    """Array of (i, so, m): every match on the line with its offset, from the lengths of what stands between (null without a match)."""
     def placed(found):
         between = F.transform(F.split(line, pattern, -1), lambda x: F.length(x))
         lengths = F.transform(found, lambda x: F.length(x))
-        return let(F.arrays_zip(prefix_sum(F.slice(between, 1, F.size(found))).alias("b"), prefix_sum(lengths).alias("e"), found.alias("m")),
-                   lambda z: F.transform(z, lambda x, i: F.struct(
-                       i.cast("long").alias("i"), (x["b"] + x["e"] - F.length(x["m"])).cast("int").alias("so"), x["m"].alias("m"))))
+        return F.when(F.size(found) > 0, let(
+            F.arrays_zip(prefix_sum(F.slice(between, 1, F.size(found))).alias("b"), prefix_sum(lengths).alias("e"), found.alias("m")),
+            lambda z: F.transform(z, lambda x, i: F.struct(
+                i.cast("long").alias("i"), (x["b"] + x["e"] - F.length(x["m"])).cast("int").alias("so"), x["m"].alias("m")))))
     return let(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), placed)
 
 
