@@ -1,48 +1,58 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one per context, where the context of a word is the ending (last two
-bytes) of the word before it, and a root restaurant that all contexts share as
-their parent; the root's parent is uniform over the known words and one unknown.
-Customers of a context are the training tokens seen there; a table that a context
-opens for a word is a customer of the root.  The seating is sampled by Gibbs: all
-customers of one word in one restaurant leave and are seated again one after
-another, given everybody else.  Predictive probabilities are averaged over the
-samples and used to score the texts.
-
-Work is dealt by word: a bucket holds whole words, hence every context of a word
-and its place in the root, so a sweep needs no exchange but the restaurants'
-totals (at most 65,537 contexts, a bound of the two bytes).  Occurrences are
-counted per task before they are shuffled, packed per bucket.  For scoring, each
-task answers for the words with at least 1/2000 of all training tokens itself
-(there are at most 2000, so the broadcast is bounded, and they are the hot keys);
-the others' occurrences go to their buckets, and sums per document come back.
+Restaurants: one per context, where the context of a word is the whole word before
+it (the end of a text stands before the first word of the next), and a root
+restaurant that all contexts share as their parent; the root's parent is uniform
+over the known words and one unknown.  Customers of a context are the training
+tokens seen there; a table that a context opens for a word is a customer of the
+root.  The seating is sampled by Gibbs: all customers of one word in one restaurant
+leave and are seated again one after another, given everybody else.  Tables of the
+contexts and root probabilities are averaged over the samples; the predictive
+probability of w after u is (own + (strength + discount x tables of u) x root(w)) /
+(strength + customers of u), own being customers less discount x tables of w at u.
+
+Every token is the context of one other, so a word's count is also the number of
+customers of its own restaurant, and a word seen once in a context has one table
+there.  Only pairs seen twice or more ("active") are sampled; all totals are counts
+less what the active pairs have seated at shared tables.
+
+Words with at least 1/``frequent`` of the training tokens have numbers, of which
+tasks hold arrays (at most ``frequent`` entries); the others are told apart by hash.
+Pairs are dealt by word, those of frequent words by word and context, so that none
+piles up.  A sweep exchanges the active pairs' totals: arrays of the frequent words,
+rows of the rare contexts (each with a bounded number of pairs).
+
+The logarithm of a probability is that of root(w), that of the context's backoff
+weight, and a correction for pairs seen in training.  In a text every word is a
+context once, so the first two are looked up by word, by the task itself if the
+word is frequent; corrections of the most frequent pairs are too.  The rest is asked
+of the buckets, in packed cells, and sums per document come back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .tokens import batch_words, mix
 
-CONTEXTS = 65_537
-START = CONTEXTS - 1
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 FLUSH_TOKENS = 400_000
-HEAVY_SHARE = 2_000
+HEAVY_SHARE = 1 << 20
+HELD_ANSWERS = 1_000_000
 SINGLE_STEPS = 64
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Discounts and strengths of the two levels, Gibbs sweeps, how many of the last ones are averaged, seed."""
+    """Discounts and strengths of the two levels, Gibbs sweeps, how many of the last ones are averaged, seed, share of a frequent word."""
 
     root_discount: float = 0.6
     root_strength: float = 10.0
@@ -51,32 +61,43 @@ class Settings:
     sweeps: int = 4
     averaged: int = 3
     seed: int = 0
+    frequent: int = 1 << 20
 
 
 # --- packing ------------------------------------------------------------------
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as bytes, byte planes apart, so that a general compressor takes out the zero planes."""
-    out = [np.array([len(arrays), *[len(a) for a in arrays], *[a.dtype.itemsize for a in arrays]], np.int64).tobytes()]
-    for a in arrays:
-        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
-    return b"".join(out)
+_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
 
 
-_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on, in the narrowest width that holds them, byte planes apart and compressed."""
+    out, planes = [np.array([len(arrays)], np.int64).tobytes()], []
+    for a in arrays:
+        top = int(a.max(initial=0))
+        width = next(w for w in _TYPES if top < 1 << 8 * w)
+        out.append(np.array([len(a), width], np.int64).tobytes())
+        planes.append(np.ascontiguousarray(a.astype(_TYPES[width]).view(np.uint8).reshape(len(a), width).T).tobytes())
+    raw = b"".join([*out, *planes])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _unpack(cell: bytes) -> list[np.ndarray]:
+    """The arrays of :func:`_pack`, as unsigned 64-bit integers."""
+    data = pa.decompress(cell[8:], int(np.frombuffer(cell, np.int64, 1)[0]), codec="zstd", asbytes=True)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 1 + 2 * n)
-    at, out = head.nbytes, []
-    for length, width in zip(head[1:1 + n].tolist(), head[1 + n:].tolist()):
+    head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2)
+    at, out = 8 + head.nbytes, []
+    for length, width in head.tolist():
         planes = np.frombuffer(data, np.uint8, length * width, at).reshape(width, length)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(_TYPES[width]))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(_TYPES[width]).astype(np.uint64))
         at += length * width
     return out
 
 
+def _ints(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    return [a.view(np.int64) for a in arrays]
+
+
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     """First positions of the runs of equal values."""
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
@@ -90,6 +111,72 @@ def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(word) % np.uint64(buckets)).astype(np.int64)
 
 
+@dataclass
+class Vocabulary:
+    """The frequent words, most frequent first: a word's place is its number."""
+
+    words: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for rare ones."""
+        return _find(self.sorted, words, self.order)
+
+    def code(self, *words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(rare words, codes): numbers of frequent words; len(self) + place among the rare words for the others."""
+        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+        number = self.find(distinct)
+        rare = number < 0
+        code = np.where(rare, len(self) + np.cumsum(rare) - 1, number)[place]
+        return distinct[rare], np.split(code, np.cumsum([len(w) for w in words])[:-1])
+
+
+def _find(ordered: np.ndarray, values: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Places of values in an ordered array, -1 for those that are not there."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at if place is None else place[at], -1)
+
+
+def _recode(code: np.ndarray, place: np.ndarray, known: int) -> np.ndarray:
+    """Codes whose rare words have moved to other places (-1: nowhere)."""
+    if not len(place):
+        return code.astype(np.int64)
+    moved = place[np.maximum(code - known, 0)]
+    return np.where(code < known, code, np.where(moved < 0, -1, known + moved))
+
+
+def _deal(known: int, rare: np.ndarray, bucket: np.ndarray, w: np.ndarray, ctx: np.ndarray, *planes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Rows as one packed cell per bucket: its rare words, steps of the word codes, context codes, planes."""
+    order = np.lexsort((ctx, w, bucket))
+    bucket, w, ctx, planes = bucket[order], w[order], ctx[order], [p[order] for p in planes]
+    first = _runs(bucket)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        yield int(bucket[a]), _cell(known, rare, w[a:b], ctx[a:b], *[p[a:b] for p in planes])
+
+
+def _cell(known: int, rare: np.ndarray, w: np.ndarray, ctx: np.ndarray, *planes: np.ndarray) -> bytes:
+    both = np.concatenate([w, ctx])
+    used = np.unique(both[both >= known])
+    w, ctx = (np.where(x < known, x, known + np.searchsorted(used, x)) for x in (w, ctx))
+    return _pack(rare[used - known], np.diff(w, prepend=0), ctx, *planes)
+
+
+def _open(cell: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rare words, [word codes, context codes, planes])."""
+    rare, *rest = _unpack(cell)
+    w, *rest = _ints(rest)
+    return rare, [np.cumsum(w), *rest]
+
+
 # --- tokens of a batch --------------------------------------------------------
 
 class _Texts:
@@ -106,58 +193,61 @@ class _Texts:
 
 
 def _tokens(texts: _Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word, context, index of the text) of the tokens, ends included, in pieces."""
-    open_ending = START
-    for words, endings, doc, ended in batch_words(texts):
+    """(word, word before it, index of the text) of the tokens, ends included, in pieces."""
+    before = END_HASH
+    for words, _, doc, ended in batch_words(texts):
         # Ends go in after the last word of their text: sort positions (text, word number, end last).
         all_words = np.concatenate([words, np.full(len(ended), END_HASH)])
         all_docs = np.concatenate([doc, ended])
         order = np.argsort(all_docs, kind="stable")
         all_words, all_docs = all_words[order], all_docs[order]
-        own = np.concatenate([endings, np.full(len(ended), START)])[order]
-        context = np.concatenate([[open_ending], own[:-1]]) if len(own) else own
-        # The token after an end starts a text; own is START there already.
-        open_ending = int(own[-1]) if len(own) else open_ending
+        context = np.concatenate([[before], all_words])[:-1].astype(np.uint64)
+        before = all_words[-1] if len(all_words) else before
         yield all_words, context, all_docs
 
 
 # --- counting -----------------------------------------------------------------
 
-def _count(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(text), training only → (bucket, cell): packed counts of (word, context), per task."""
-    def cells(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-        words, wid = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        bucket = _bucket(words, buckets)
-        rank = np.empty(len(words), np.int64)
-        rank[np.argsort(bucket, kind="stable")] = np.arange(len(words))  # words by bucket
-        key, n = np.unique(rank[wid] * CONTEXTS + np.concatenate([c for _, c in held]), return_counts=True)
-        by_rank = np.argsort(bucket, kind="stable")
-        yield from _cells(words[by_rank], bucket[by_rank], key // CONTEXTS, ((key % CONTEXTS).astype(np.uint32), n.astype(np.uint32)))
-
+def _flushed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, context) of the texts in the first column, some ``size`` tokens at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for words, context, _ in _tokens(_Texts(batch.column(0))):
+            held.append((words, context))
+            n += len(words)
+            if n >= size:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _count_words(docs: DataFrame) -> DataFrame:
+    """docs(text), training only → (word, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for words, context, _ in _tokens(_Texts(batch.column(0))):
-                held.append((words, context))
-                size += len(words)
-                if size >= FLUSH_TOKENS:
-                    yield from _rows(cells(held))
-                    held, size = [], 0
-        if held:
-            yield from _rows(cells(held))
+        for words, _ in _flushed(batches, 4 * FLUSH_TOKENS):
+            word, n = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.mapInArrow(run, "bucket int, cell binary")
+    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _cells(words: np.ndarray, bucket: np.ndarray, rank: np.ndarray, planes: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
-    """Cut rows sorted by word rank into one packed cell per bucket: words, rows per word, planes."""
-    first = _runs(bucket)
-    end = np.concatenate([first[1:], [len(bucket)]]).astype(np.int64)
-    per_word = np.bincount(rank, minlength=len(words)).astype(np.uint32)
-    row_end = np.cumsum(per_word)
-    for a, b in zip(first.tolist(), end.tolist()):
-        lo, hi = int(row_end[a - 1]) if a else 0, int(row_end[b - 1])
-        yield int(bucket[a]), _pack(words[a:b], per_word[a:b], *[p[lo:hi] for p in planes])
+def _pair_bucket(known: int, words: np.ndarray, contexts: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of pairs: by the word if it is rare, else by the word and the context."""
+    return _bucket(np.where(w < known, words ^ mix(contexts + np.uint64(1)), words), buckets)
+
+
+def _count(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
+    """docs(text), training only → (bucket, cell): packed counts of (word, context), per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = len(vocabulary.value)
+        for words, contexts in _flushed(batches, FLUSH_TOKENS):
+            rare, (w, ctx) = vocabulary.value.code(words, contexts)
+            _, first, n = np.unique(w * (known + len(rare)) + ctx, return_index=True, return_counts=True)
+            bucket = _pair_bucket(known, words[first], contexts[first], w[first], buckets)
+            yield from _rows(_deal(known, rare, bucket, w[first], ctx[first], n))
+
+    return docs.mapInArrow(run, "bucket int, cell binary")
 
 
 def _rows(cells: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -187,26 +277,63 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield key, held
 
 
-def _dishes(cells: DataFrame, partitions: int) -> DataFrame:
-    """Cells summed up per bucket: (bucket, cell), a cell holding words, contexts per word, contexts, counts, tables, table sum."""
+_STATE = "bucket int, cell binary, sums binary, ctx array<long>, c array<long>, e array<long>"
+
+
+def _state_row(bucket: int, cell: bytes, sums: bytes, rare: np.ndarray, c: np.ndarray, e: np.ndarray, **more: bytes) -> pa.RecordBatch:
+    """A row of a sampler's state: besides the cell and the sums of the frequent words, excess and customers of rare contexts."""
+    lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (rare, c, e)]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([cell], pa.binary()), pa.array([sums], pa.binary()), *lists,
+                                       *[pa.array([x], pa.binary()) for x in more.values()]], names=["bucket", "cell", "sums", "ctx", "c", "e", *more])
+
+
+def _dishes(cells: DataFrame, known: int, partitions: int) -> DataFrame:
+    """Cells summed up per bucket: ``dishes`` holds all pairs and their counts, the other columns the state before the first sweep."""
+    def merged(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = [_open(c) for c in held]
+        rare = np.unique(np.concatenate([r for r, _ in parts]))
+        w, ctx = (np.concatenate([_recode(p[i], np.searchsorted(rare, r), known) for r, p in parts]) for i in (0, 1))
+        key = w * (known + len(rare)) + ctx
+        order = np.argsort(key, kind="stable")
+        first = _runs(key[order])
+        return rare, w[order][first], ctx[order][first], _sum_runs(np.concatenate([p[2] for _, p in parts])[order], first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged() -> Iterator[tuple[int, bytes]]:
-            for bucket, held in _grouped(batches):
-                parts = [_unpack(c) for c in held]
-                word = np.concatenate([np.repeat(w, r) for w, r, _, _ in parts])
-                context = np.concatenate([c for _, _, c, _ in parts])
-                n = np.concatenate([x for _, _, _, x in parts]).astype(np.int64)
-                order = np.lexsort((context, word))
-                word, context, n = word[order], context[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
-                word, context, n = word[first], context[first], np.add.reduceat(n, first)
-                at = _runs(word)
-                per_word = np.diff(np.concatenate([at, [len(word)]])).astype(np.uint32)
-                tables = np.ones(len(n), np.uint32)  # one table per word to begin with
-                yield bucket, _pack(word[at], per_word, context, n.astype(np.uint64), tables, np.zeros(len(n), np.uint32))
-        yield from _rows(merged())
-
-    return cells.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, cell binary")
+        for bucket, held in _grouped(batches):
+            rare, w, ctx, n = merged(held)
+            count = np.bincount(w[w >= known] - known, weights=n[w >= known], minlength=len(rare)).astype(np.int64)
+            active = n > 1
+            dishes = _cell(known, rare, w, ctx, n)
+            w, ctx, n = w[active], ctx[active], n[active]
+            # Rare words that are seen once have one table in the root, whatever happens.
+            used = count > 1
+            used[ctx[ctx >= known] - known] = True
+            place = np.cumsum(used) - 1
+            rare, count = rare[used], np.where(count > 1, count, 0)[used]
+            w, ctx = _recode(w, place, known), _recode(ctx, place, known)
+            t = np.ones(len(n), np.int64)
+            state = _pack(rare, count, (count > 0).astype(np.int64), np.diff(w, prepend=0), ctx, n, t, np.zeros(len(n), np.int64))
+            at, e = _excess(ctx, n - t, known)
+            yield _state_row(bucket, state, _sums(known, w, ctx, n - t, np.minimum(count, 1)), rare[at], np.zeros(len(at), np.int64), e, dishes=dishes)
+
+    return cells.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{_STATE}, dishes binary")
+
+
+def _excess(ctx: np.ndarray, excess: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, excess) of the rare contexts: their active customers less their tables."""
+    rare = ctx >= known
+    at, by = np.unique(ctx[rare] - known, return_inverse=True)
+    return at, np.bincount(by, weights=excess[rare], minlength=len(at)).astype(np.int64)
+
+
+def _sums(known: int, w: np.ndarray, ctx: np.ndarray, excess: np.ndarray, root_t: np.ndarray) -> bytes:
+    """Excess of the frequent contexts and words, and of all pairs; tables of the root for this cell's rare words, and their number."""
+    out = []
+    for code in (ctx, w):
+        frequent = code < known
+        at, by = np.unique(code[frequent], return_inverse=True)
+        out += [at, np.bincount(by, weights=excess[frequent], minlength=len(at)).astype(np.int64)]
+    return _pack(*out, np.array([excess.sum(), root_t.sum(), (root_t > 0).sum()]))
 
 
 # --- seating ------------------------------------------------------------------
@@ -237,107 +364,147 @@ def seat(n: np.ndarray, discount: float, new_table: np.ndarray, per_table: np.nd
 
 @dataclass
 class Totals:
-    """Customers and tables of the restaurants; ``known`` is the number of distinct words."""
+    """Customers and tables of the restaurants of frequent words, their own in the root, and the root's; ``known`` is the number of distinct words."""
 
+    words: np.ndarray
     customers: np.ndarray  # per context
     tables: np.ndarray  # per context
+    root_n: np.ndarray  # per word
+    root_t: np.ndarray  # per word
     root_customers: float
     root_tables: float
     known: int
     tokens: int
 
 
-def _root_probability(customers: np.ndarray, tables: np.ndarray, t: Totals, s: Settings, known: int) -> np.ndarray:
-    uniform = 1.0 / (known + 1)
+def _root_probability(customers: np.ndarray, tables: np.ndarray, t: Totals, s: Settings) -> np.ndarray:
+    uniform = 1.0 / (t.known + 1)
     return (customers - s.root_discount * tables + (s.root_strength + s.root_discount * t.root_tables) * uniform) / (s.root_strength + t.root_customers)
 
 
-def _sweep(state: DataFrame, totals: Totals, s: Settings, sweep: int) -> DataFrame:
-    """One Gibbs sweep over every bucket: (bucket, cell, totals), totals packed per bucket.
+def _seat_root(n: np.ndarray, tables: np.ndarray, t: Totals, s: Settings, rng: np.random.Generator) -> np.ndarray:
+    uniform = np.full(len(n), 1.0 / (t.known + 1))
+    return seat(n, s.root_discount, (s.root_strength + s.root_discount * np.maximum(t.root_tables - tables, 0)) * uniform, s.root_discount * uniform, rng)
+
+
+def _replies(rows: DataFrame, known: int, buckets: int) -> DataFrame:
+    """rows(bucket, ctx, c, e) → (bucket, kind 1, cell): packed customers and excess of rare contexts; bucket -1 is the context's own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def cells() -> Iterator[tuple[int, bytes]]:
+            bucket, ctx, c, e = (np.concatenate(x) for x in zip(*held))
+            ctx = ctx.view(np.uint64)
+            bucket = np.where(bucket < 0, _bucket(ctx, buckets), bucket)
+            order = np.lexsort((ctx, bucket))
+            bucket, ctx, c, e = bucket[order], ctx[order], c[order], e[order]
+            first = _runs(bucket)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+                yield int(bucket[a]), _pack(ctx[a:b], c[a:b], e[a:b])
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            size += batch.num_rows
+            if size >= FLUSH_TOKENS:
+                yield from _rows(cells())
+                held, size = [], 0
+        if size:
+            yield from _rows(cells())
+
+    return rows.select("bucket", "ctx", "c", "e").mapInArrow(run, "bucket int, cell binary").select("bucket", F.lit(1).alias("kind"), "cell")
+
+
+def _messages(state: DataFrame) -> DataFrame:
+    """(bucket, ctx, c, e) of the rare contexts of every cell."""
+    return state.select("bucket", F.explode(F.arrays_zip("ctx", "c", "e")).alias("m")).select("bucket", "m.ctx", "m.c", "m.e")
+
+
+def _rare_totals(rare: np.ndarray, cells: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(customers, excess, told) of rare words as contexts, out of the replies."""
+    c, e, told = np.zeros(len(rare), np.int64), np.zeros(len(rare), np.int64), np.zeros(len(rare), bool)
+    for cell in cells:
+        ctx, cell_c, cell_e = _unpack(cell)
+        at = _find(rare, ctx)
+        here = at >= 0
+        c[at[here]], e[at[here]], told[at[here]] = cell_c.view(np.int64)[here], cell_e.view(np.int64)[here], True
+    return c, e, told
+
+
+def _sweep(state: DataFrame, replies: DataFrame, totals: Totals, s: Settings, sweep: int, partitions: int) -> DataFrame:
+    """One Gibbs sweep over every bucket: a state row each.
 
-    A cell's root tables are its eighth array, the root probabilities of the
-    averaged samples follow.
+    A cell holds its rare words, their counts (0 if only contexts) and tables in the
+    root, the active pairs' word and context codes, customers, tables and tables
+    summed over the averaged samples, and per such sample customers and tables of the
+    rare words in the root.
     """
     shared = state.sparkSession.sparkContext.broadcast(totals)
     keep = sweep >= s.sweeps - s.averaged
 
-    def one(bucket: int, cell: bytes) -> tuple[bytes, bytes]:
+    def one(bucket: int, cell: bytes, told: list[bytes]) -> pa.RecordBatch:
         t = shared.value
-        word, per_word, context, n, tables, table_sum, *rest = _unpack(cell)
-        n, tables, context = n.astype(np.int64), tables.astype(np.int64), context.astype(np.int64)
+        known = len(t.customers)
+        rare, *rest = _unpack(cell)
+        count, rare_t, w, ctx, n, tables, table_sum, *samples = _ints(rest)
+        w = np.cumsum(w)
         rng = np.random.default_rng([s.seed, sweep, bucket])
-        of = np.repeat(np.arange(len(word)), per_word)
-        first = (np.cumsum(per_word) - per_word).astype(np.int64)
-        root_n = _sum_runs(tables, first)
-        root_t = rest[0].astype(np.int64) if rest else np.ones(len(word), np.int64)
+        c, e, _ = _rare_totals(rare, told)
+        context_tables = np.concatenate([t.tables, c - e])
+        home = w >= known
+
+        def rare_root(tables: np.ndarray) -> np.ndarray:
+            return count - np.bincount(w[home] - known, weights=(n - tables)[home], minlength=len(rare)).astype(np.int64)
+
+        root_n, root_t = np.concatenate([t.root_n, rare_root(tables)]), np.concatenate([t.root_t, rare_t])
         # Everybody but this word's customers of this context.
-        others = root_n[of] - tables
-        others_t = np.minimum(root_t[of], others)
-        parent = _root_probability(others, others_t, t, s, t.known)
-        new_tables = seat(n, s.discount, (s.strength + s.discount * np.maximum(t.tables[context] - tables, 0)) * parent, s.discount * parent, rng)
-        root_n = _sum_runs(new_tables, first)
-        uniform = np.full(len(word), 1.0 / (t.known + 1))
-        root_t = seat(root_n, s.root_discount, (s.root_strength + s.root_discount * np.maximum(t.root_tables - root_t, 0)) * uniform,
-                      s.root_discount * uniform, rng)
-        samples = [x for x in rest[1:]]
+        others = np.maximum(root_n[w] - tables, 0)
+        parent = _root_probability(others, np.minimum(root_t[w], others), t, s)
+        new_tables = seat(n, s.discount, (s.strength + s.discount * np.maximum(context_tables[ctx] - tables, 0)) * parent, s.discount * parent, rng)
+        rare_n = rare_root(new_tables)
+        rare_t = np.where(count > 0, _seat_root(np.maximum(rare_n, 1), rare_t, t, s, rng), 0)
         if keep:
-            # The totals of this sample are known only after the sweep: keep what is the word's own.
-            table_sum = table_sum + new_tables.astype(np.uint32)
-            samples.append((root_n - s.root_discount * root_t).astype(np.float64).view(np.uint64))
-        at, by = np.unique(context, return_inverse=True)
-        sums = _pack(at.astype(np.uint32), np.bincount(by, weights=n, minlength=len(at)).astype(np.uint64),
-                     np.bincount(by, weights=new_tables, minlength=len(at)).astype(np.uint64),
-                     np.array([root_n.sum(), root_t.sum(), len(word)], np.uint64))
-        return _pack(word, per_word, context.astype(np.uint32), n.astype(np.uint64), new_tables.astype(np.uint32), table_sum,
-                     root_t.astype(np.uint32), *samples), sums
+            table_sum = table_sum + new_tables
+            samples += [rare_n, rare_t]
+        at, own = _excess(ctx, n - new_tables, known)
+        packed = _pack(rare, count, rare_t, np.diff(w, prepend=0), ctx, n, new_tables, table_sum, *samples)
+        return _state_row(bucket, packed, _sums(known, w, ctx, n - new_tables, rare_t), rare[at], c[at], own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed, sums = one(bucket, cell.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([sums], pa.binary())],
-                                                 names=["bucket", "cell", "sums"])
-
-    return state.select("bucket", "cell").mapInArrow(run, "bucket int, cell binary, sums binary")
+        for bucket, (cell, *told) in _grouped(batches):
+            yield one(bucket, cell, told)
 
+    rows = state.select("bucket", F.lit(0).alias("kind"), "cell").unionByName(replies)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").select("bucket", "cell").mapInArrow(run, _STATE)
 
-def _first_sums(cell: bytes) -> list[np.ndarray]:
-    """A bucket's totals before the first sweep, in the form of :func:`_sweep`'s ``sums``."""
-    word, _, context, n, tables, _ = _unpack(cell)
-    at, by = np.unique(context, return_inverse=True)
-    return [at, np.bincount(by, weights=n), np.bincount(by, weights=tables), np.array([tables.sum(), len(word), len(word)])]
 
+def _totals(state: DataFrame, before: Totals, s: Settings, sweep: int, rare_once: int | None = None) -> tuple[Totals, int]:
+    """Totals after a sweep and the number of rare words that are seen once, from sums per task (at most 2 x ``frequent`` rows).
 
-def _totals(packed: DataFrame, sums_of: Callable[[bytes], list[np.ndarray]] = _unpack) -> Totals:
-    """Totals of the restaurants, summed per task and then per context (at most 65,537 rows).
-
-    One pass of one Python worker a task: two passes in a row would keep twice as
-    many workers, with all their memory, on every executor.
+    The frequent words are seated in the root here, by their new customers.
     """
+    known = len(before.customers)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables, rest = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), np.zeros(3, np.int64)
+        sums, rest = np.zeros(2 * known, np.int64), np.zeros(3, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                at, n, t, more = sums_of(data.as_py())
-                customers[at] += n.astype(np.int64)
-                tables[at] += t.astype(np.int64)
-                rest += more.astype(np.int64)
-        at = np.flatnonzero(customers)
-        key = np.concatenate([at, [-1, -2]])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([customers[at], [rest[0], rest[2]]])),
-                                          pa.array(np.concatenate([tables[at], [rest[1], 0]]))], names=["at", "n", "t"])
-
-    rows = packed.mapInArrow(run, "at long, n long, t long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
-    out = Totals(np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), 0.0, 0.0, 0, 0)
-    for at, n, t in rows:
-        if at == -1:
-            out.root_customers, out.root_tables = float(n), float(t)
-        elif at == -2:
-            out.known = int(n)
-        else:
-            out.customers[at], out.tables[at] = n, t
-    out.tokens = int(out.customers.sum())
-    return out
+                u, u_e, w, w_e, more = _ints(_unpack(data.as_py()))
+                sums[u] += u_e
+                sums[known + w] += w_e
+                rest += more
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2, -3]])), pa.array(np.concatenate([sums[at], rest]))], names=["at", "n"])
+
+    rows = state.select("sums").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    sums, rest = np.zeros(2 * known, np.int64), {-1: 0, -2: 0, -3: 0} | dict(zip(at[at < 0].tolist(), n[at < 0].tolist()))
+    sums[at[at >= 0]] = n[at >= 0]
+    if rare_once is None:
+        rare_once = before.known - known - rest[-3]
+    root_n = before.customers - sums[known:]
+    root_t = _seat_root(root_n, before.root_t, before, s, np.random.default_rng([s.seed, sweep + 1])) if sweep >= 0 else np.minimum(root_n, 1)
+    return Totals(before.words, before.customers, before.customers - sums[:known], root_n, root_t, float(before.tokens - rest[-1]),
+                  float(root_t.sum() + rest[-2] + rare_once), before.known, before.tokens), rare_once
 
 
 @dataclass
@@ -345,8 +512,10 @@ class Model:
     """The sampled model: packed cells per bucket and the totals of the averaged samples."""
 
     cells: DataFrame
+    state: DataFrame
     buckets: int
     partitions: int
+    vocabulary: Vocabulary
     totals: Totals
     samples: list[Totals]
     settings: Settings
@@ -357,82 +526,164 @@ def fit(texts: DataFrame, settings: Settings = Settings(), text_col: str = "text
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
-    state = materialize(_dishes(_count(texts.select(F.col(text_col).alias("text")), buckets), partitions), "hpy-dishes")
-    totals, samples = _totals(state.select("cell"), _first_sums), []
+    docs = texts.select(F.col(text_col).alias("text"))
+    words = materialize(_count_words(docs), "hpy-words")
+    known, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = words.where(F.col("n") >= max(1, -(-tokens // settings.frequent))).orderBy(F.col("n").desc(), "word").toArrow()
+    vocabulary = Vocabulary(frequent.column(0).to_numpy().astype(np.int64).view(np.uint64), frequent.column(1).to_numpy().astype(np.int64))
+    n = vocabulary.counts
+    first = materialize(_dishes(_count(docs, spark.sparkContext.broadcast(vocabulary), buckets), len(n), partitions), "hpy-dishes")
+    totals = Totals(vocabulary.words, n, n, n, np.minimum(n, 1), float(tokens), float(known), int(known), int(tokens))
+    totals, rare_once = _totals(first, totals, settings, -1)
+    counts = words.select(F.col("word").alias("ctx"), F.col("n").alias("c"))
+    messages = _messages(first).drop("c").join(counts.hint("merge"), "ctx")
+    state, samples = first, []
     for sweep in range(settings.sweeps):
-        state = materialize(_sweep(state, totals, settings, sweep), "hpy-state")
-        totals = _totals(state.select("sums"))
+        asked = messages.select("bucket", "ctx", "c", F.sum("e").over(Window.partitionBy("ctx")).alias("e"))
+        state = materialize(_sweep(state, _replies(asked, len(n), buckets), totals, settings, sweep, partitions), "hpy-state")
+        messages = _messages(state)
+        totals, _ = _totals(state, totals, settings, sweep, rare_once)
         if sweep >= settings.sweeps - settings.averaged:
             samples.append(totals)
-    return Model(state.select("bucket", "cell"), buckets, partitions, totals, samples, settings)
+    cells = _model_cells(first, state, counts, len(n), len(samples), buckets)
+    return Model(cells, state.select("bucket", "cell"), buckets, partitions, vocabulary, totals, samples, settings)
+
+
+def _model_cells(first: DataFrame, state: DataFrame, counts: DataFrame, known: int, samples: int, buckets: int) -> DataFrame:
+    """(bucket, cell): the pairs, the state after the last sweep, and customers and summed excess of the rare contexts, told apart by their tag."""
+    def tag(column: str, value: int) -> Column:
+        return F.concat(F.lit(bytes([value])), F.col(column)).alias("cell")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rare, (_, ctx, _) = _open(cell.as_py())
+                used = rare[np.unique(ctx[ctx >= known] - known)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), bucket, np.int32)), pa.array(used)], names=["bucket", "ctx"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                rare, *rest = _unpack(cell.as_py())
+                _, _, _, ctx, n, _, table_sum, *_ = _ints(rest)
+                at, e = _excess(ctx, samples * n - table_sum, known)
+                yield pa.RecordBatch.from_arrays([pa.array(rare[at].view(np.int64)), pa.array(e)], names=["ctx", "e"])
+
+    excess = state.select("cell").mapInArrow(summed, "ctx long, e long").groupBy("ctx").agg(F.sum("e").alias("e"))
+    # A context is told to the buckets that have pairs of it and, if it has an excess, to the bucket of its own word.
+    asked = first.select("bucket", "dishes").mapInArrow(contexts, "bucket int, ctx long").join(counts.hint("merge"), "ctx").join(excess.hint("merge"), "ctx", "left")
+    own = excess.join(counts.hint("merge"), "ctx").select(F.lit(-1).alias("bucket"), "ctx", "c", "e")
+    told = _replies(asked.select("bucket", "ctx", "c", F.coalesce("e", F.lit(0)).alias("e")).unionByName(own), known, buckets)
+    return first.select("bucket", tag("dishes", 0)).unionByName(state.select("bucket", tag("cell", 1))).unionByName(told.select("bucket", tag("cell", 2)))
 
 
 class _Predictor:
-    """Averaged predictive probabilities of the words of one or more cells."""
+    """Averaged predictive probabilities of the words of one or more buckets; words and contexts go by code."""
 
     def __init__(self, cells: list[bytes], totals: Totals, samples: list[Totals], s: Settings):
-        self.totals, self.samples, self.s = totals, samples, s
-        parts = [_unpack(c) for c in cells]
-        cat = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
-        words, per_word = cat(0, np.uint64), cat(1, np.uint32).astype(np.int64)
-        context, n = cat(2, np.uint32).astype(np.int64), cat(3, np.uint64).astype(np.int64)
-        own = n - s.discount * cat(5, np.uint32) / max(1, len(samples))
-        order = np.argsort(words, kind="stable")
-        self.words = words[order]
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        of = place[np.repeat(np.arange(len(words)), per_word)]
-        self.count = np.bincount(of, weights=n, minlength=len(words))
-        key = of * CONTEXTS + context
-        by = np.argsort(key)
-        self.key, self.own = key[by], own[by]
-        # Root probability per sample; the last row is that of a word never seen.
-        self.root = []
-        for i, t in enumerate(samples):
-            numerator = np.concatenate([cat(7 + i, np.uint64).view(np.float64)[order], [0.0]])
-            self.root.append((numerator + (s.root_strength + s.root_discount * t.root_tables) / (t.known + 1)) / (s.root_strength + t.root_customers))
-        self.backoff = [(s.strength + s.discount * t.tables) / (s.strength + t.customers) for t in samples]
-
-    def find(self, word: np.ndarray) -> np.ndarray:
-        """Row of each word, -1 if it is not here."""
-        at = np.searchsorted(self.words, word)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == word, at, -1) if len(self.words) else np.full(len(word), -1)
+        self.totals, self.s, known = totals, s, len(totals.customers)
+        parts: list[list[bytes]] = [[], [], []]
+        for cell in cells:
+            parts[cell[0]].append(cell[1:])
+        dishes, n_samples = [_open(c) for c in parts[0]], max(1, len(samples))
+        self.rare = rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r for r, _ in dishes]]))
+        self.words = np.concatenate([totals.words, rare])
+        self.width = len(self.words)
+
+        def keys(words: np.ndarray, w: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = _find(rare, words)
+            w = _recode(w, place, known)
+            return w, w * self.width + _recode(ctx, place, known)
+
+        count = np.zeros(self.width, np.int64)
+        count[:known] = totals.customers
+        key, own = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for words, (w, ctx, n) in dishes:
+            w, k = keys(words, w, ctx)
+            count[known:] += np.bincount(w[w >= known] - known, weights=n[w >= known], minlength=len(rare)).astype(np.int64)
+            key.append(k)
+            own.append(n - s.discount)  # a word seen once has one table
+        self.key, own = np.concatenate(key), np.concatenate(own)
+        order = np.argsort(self.key, kind="stable")
+        self.key, own = self.key[order], own[order]
+        self.count = np.append(count, 0)
+
+        # Root probabilities; the last is that of a word never seen.
+        once = np.minimum(self.count, 1)
+        root = [(once.copy(), once.copy()) for _ in samples]
+        for (n, t), sample in zip(root, samples):
+            n[:known], t[:known] = sample.root_n, sample.root_t
+        for cell in parts[1]:
+            words, *rest = _unpack(cell)
+            times, _, w, ctx, n, _, table_sum, *sampled = _ints(rest)
+            at = np.searchsorted(self.key, keys(words, np.cumsum(w), ctx)[1])
+            own[at] = n - s.discount * table_sum / n_samples
+            home = known + _find(rare, words)
+            for i, (root_n, root_t) in enumerate(root):
+                root_n[home[times > 0]], root_t[home[times > 0]] = sampled[2 * i][times > 0], sampled[2 * i + 1][times > 0]
+        self.root = np.zeros(self.width + 1)
+        for (n, t), sample in zip(root, samples):
+            self.root += _root_probability(n, t, sample, s) / n_samples
+
+        # Contexts; the last is one never seen.
+        c, e, told = _rare_totals(rare, parts[2])
+        c = np.where(told, c, count[known:])
+        tables = np.concatenate([sum((x.tables for x in samples), np.zeros(known)) / n_samples, c - e / n_samples, [0.0]])
+        customers = np.concatenate([totals.customers, c, [0]])
+        weight = s.strength + s.discount * tables
+        self.backoff = np.log10(weight / (s.strength + customers))
+        self.correction = np.log10(1.0 + own / (weight[self.key % max(1, self.width)] * self.root[self.key // max(1, self.width)]))
+        self.value = np.log10(self.root) + self.backoff
+        self.base = np.log10((self.count + 0.5) / (totals.tokens + 0.5 * (totals.known + 1)))
+
+    def code(self, rare: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Codes given with other rare words, as codes of this predictor; -1 for words that are not here."""
+        return _recode(codes, _find(self.rare, rare), len(self.totals.customers))
+
+    def corrections(self, w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        at = _find(self.key, w * self.width + ctx)
+        seen = (w >= 0) & (ctx >= 0) & (ctx < self.width) & (at >= 0)
+        return np.where(seen, self.correction[at], 0.0) if len(self.key) else np.zeros(len(w))
 
     def __call__(self, row: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, log10 base probability, known) of words by row, -1 for unseen ones."""
-        own = np.zeros(len(row))
-        if len(self.key):
-            key = row * CONTEXTS + context
-            at = np.searchsorted(self.key, key)
-            at[at == len(self.key)] = 0
-            here = (self.key[at] == key) & (row >= 0)
-            own[here] = self.own[at[here]]
-        p = own / (self.s.strength + self.totals.customers[context])
-        for root, backoff in zip(self.root, self.backoff):
-            p = p + backoff[context] * root[row] / len(self.samples)
-        count = np.where(row >= 0, np.concatenate([self.count, [0.0]])[row], 0.0)
-        base = np.log10((count + 0.5) / (self.totals.tokens + 0.5 * (self.totals.known + 1)))
-        return np.log10(p), base, count > 0
-
-
-def _heavy_cells(model: Model) -> list[bytes]:
-    """The cells of the words with at least 1/HEAVY_SHARE of all training tokens: at most HEAVY_SHARE words."""
-    least = max(1, model.totals.tokens // HEAVY_SHARE)
+        """(log10 probability, log10 base probability, known) of words by code, -1 for unseen ones."""
+        ctx = np.where((context >= 0) & (context < self.width), context, -1)
+        return np.log10(self.root[row]) + self.backoff[ctx] + self.corrections(row, ctx), self.base[row], self.count[row] > 0
+
+
+@dataclass
+class Frequent:
+    """What every task answers itself: logarithms and base of the frequent words, corrections of the most frequent pairs."""
+
+    vocabulary: Vocabulary
+    value: np.ndarray
+    base: np.ndarray
+    key: np.ndarray
+    correction: np.ndarray
+
+
+def _frequent(model: Model) -> Frequent:
+    """Pairs with at least 1/HEAVY_SHARE of all training tokens, at most HEAVY_SHARE, are put together here."""
+    known, least = len(model.vocabulary), max(2, -(-model.totals.tokens // HEAVY_SHARE))
+    s, samples = model.settings, max(1, len(model.samples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(1):
-                word, per_word, *planes = _unpack(cell.as_py())
-                first = (np.cumsum(per_word) - per_word).astype(np.int64)
-                heavy = _sum_runs(planes[1].astype(np.int64), first) >= least
-                if heavy.any():
-                    rows = np.repeat(heavy, per_word)
-                    per_row, per_root = planes[:4], planes[4:]
-                    kept = _pack(word[heavy], per_word[heavy], *[p[rows] for p in per_row], *[p[heavy] for p in per_root])
-                    yield pa.RecordBatch.from_arrays([pa.array([kept], pa.binary())], names=["cell"])
-
-    return [r.cell for r in model.cells.mapInArrow(run, "cell binary").collect()]
+                _, *rest = _unpack(cell.as_py())
+                _, _, w, ctx, n, _, table_sum, *_ = _ints(rest)
+                w = np.cumsum(w)
+                heavy = (n >= least) & (w < known) & (ctx < known)
+                yield pa.RecordBatch.from_arrays([pa.array(w[heavy] * known + ctx[heavy]), pa.array(n[heavy] - s.discount * table_sum[heavy] / samples)], names=["key", "own"])
+
+    pairs = model.state.mapInArrow(run, "key long, own double").toArrow()
+    key, own = pairs.column(0).to_numpy(), pairs.column(1).to_numpy()
+    order = np.argsort(key)
+    words = _Predictor([], model.totals, model.samples, s)
+    key, own = key[order], own[order]
+    weight = 10 ** words.backoff * (s.strength + np.append(model.totals.customers, 0))
+    correction = np.log10(1.0 + own / (weight[key % max(1, known)] * words.root[key // max(1, known)]))
+    return Frequent(model.vocabulary, words.value[:known], words.base[:known], key, correction)
 
 
 # --- scoring ------------------------------------------------------------------
@@ -446,28 +697,28 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     """
     spark = docs.sparkSession
     settings, totals, samples, buckets = model.settings, model.totals, model.samples, model.buckets
-    heavy_words = _Predictor(_heavy_cells(model), totals, samples, settings)  # put together once, not in every task
-    shared = spark.sparkContext.broadcast((heavy_words, totals, samples))
-    fields = docs.select(*keep).schema
+    shared = spark.sparkContext.broadcast((_frequent(model), totals, samples))
+    fields, tokens = docs.select(*keep).schema, totals.tokens
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (target, block, kind, data): kind 0 asks a bucket, kind 1 holds a block's own documents and sums."""
-        heavy, _, _ = shared.value
+        frequent, _, _ = shared.value
+        known = len(frequent.vocabulary)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = _Texts(batch.column(batch.num_columns - 1))
             own = {k: np.zeros(len(texts)) for k in ("n_tokens", "n_known", "base", "score")}
             held, size = [], 0
-            for word, context, doc in _tokens(texts):
-                own["n_tokens"] += np.bincount(doc, minlength=len(texts))
-                row = heavy.find(word)
-                mine = row >= 0
-                if mine.any():
-                    s, b, k = heavy(row[mine], context[mine])
-                    for name, values in (("score", s), ("base", b), ("n_known", k.astype(float))):
-                        own[name] += np.bincount(doc[mine], weights=values, minlength=len(texts))
-                held.append((word[~mine], context[~mine], doc[~mine]))
-                size += int((~mine).sum())
+            for words, contexts, doc in _tokens(texts):
+                rare, (w, ctx) = frequent.vocabulary.code(words, contexts)
+                mine = w < known
+                number, of = w[mine], doc[mine]
+                pair = _find(frequent.key, np.where(mine & (ctx < known), w * known + ctx, -1))
+                for name, at, values in (("n_tokens", doc, None), ("n_known", of, None), ("base", of, frequent.base[number]), ("score", of, frequent.value[number]),
+                                         ("score", doc[pair >= 0], frequent.correction[pair[pair >= 0]])):
+                    own[name] += np.bincount(at, weights=values, minlength=len(texts))
+                held.append((words[pair < 0], contexts[pair < 0], doc[pair < 0]))
+                size += int((pair < 0).sum())
                 if size >= FLUSH_TOKENS:
                     yield from asked(block, held)
                     held, size = [], 0
@@ -481,49 +732,67 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             block += 1
 
     def asked(block: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        words, wid = np.unique(np.concatenate([w for w, _, _ in held]), return_inverse=True)
-        bucket = _bucket(words, buckets)
-        by = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[by] = np.arange(len(words))
-        doc = np.concatenate([d for _, _, d in held])
-        base = int(doc.max()) + 1
-        # (word, context, document) in one number: words by rank < 2^21, contexts < 2^17, documents of a batch < 2^20.
-        key, n = np.unique((rank[wid] * CONTEXTS + np.concatenate([c for _, c, _ in held])) * base + doc, return_counts=True)
-        pair = key // base
+        words, contexts, doc = (np.concatenate(x) for x in zip(*held))
+        vocabulary = shared.value[0].vocabulary
+        rare, (w, ctx) = vocabulary.code(words, contexts)
+        order = np.lexsort((ctx, w, doc))
+        w, ctx, doc = w[order], ctx[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])]))
+        n = np.diff(np.append(first, len(w)))
+        bucket = _pair_bucket(len(vocabulary), words[order][first], contexts[order][first], w[first], buckets)
         rows: list[list] = [[], [], [], []]
-        for b, cell in _cells(words[by], bucket[by], pair // CONTEXTS, ((pair % CONTEXTS).astype(np.uint32), (key % base).astype(np.uint32), n.astype(np.uint32))):
+        for b, cell in _deal(len(vocabulary), rare, bucket, w[first], ctx[first], doc[first], n):
             for column, value in zip(rows, (b, block, 0, cell)):
                 column.append(value)
         for at in range(0, len(rows[0]), 64):
             yield _asked(*[c[at:at + 64] for c in rows])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (target, kind): kind -1 is the bucket's cell of the model, then come the questions."""
+        """Rows sorted by (target, kind): kind -1 is the bucket's part of the model, then come the questions."""
         _, totals, samples = shared.value
-        nothing = _Predictor([], totals, samples, settings)
-        target, predict = None, nothing
+        known = len(totals.customers)
+        target, cells, predict = None, [], None
+        sums: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            rows = []
+            for block, (at, *values) in sums.items():
+                rows.append((0, block, 0, _pack(at, values[0].astype(np.int64), *[v.view(np.uint64) for v in values[1:]])))
+            return _asked(*[list(c) for c in zip(*rows)])
+
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            passed: list[list] = [[], [], [], []]
             for t, block, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
                 if t != target:
-                    target, predict = t, nothing
+                    target, cells, predict = t, [], None
                 if kind == -1:
-                    predict = _Predictor([data.as_py()], totals, samples, settings)
-                    continue
-                if kind == 0:
-                    word, per_word, context, doc, n = _unpack(data.as_py())
-                    row = np.repeat(predict.find(word), per_word)
-                    s, b, k = predict(row, context.astype(np.int64))
-                    at, by = np.unique(doc, return_inverse=True)
-                    values = [np.bincount(by, weights=x * n, minlength=len(at)) for x in (k, b, s)]
-                    data = _pack(at, values[0].astype(np.uint32), *[v.view(np.uint64) for v in values[1:]])
+                    cells.append(data.as_py())
+                elif kind == 1:
+                    for column, value in zip(passed, (t, block, kind, data.as_py())):
+                        column.append(value)
                 else:
-                    data = data.as_py()
-                for column, value in zip(out, (t, block, kind, data)):
-                    column.append(value)
-            if out[0]:
-                yield _asked(*out)
+                    predict = predict or _Predictor(cells, totals, samples, settings)
+                    rare, (w, ctx, doc, n) = _open(data.as_py())
+                    row, ctx, asked_here = predict.code(rare, w), predict.code(rare, ctx), w >= known
+                    value = predict.corrections(row, ctx) + np.where(asked_here, predict.value[row], 0.0)
+                    at, by = np.unique(doc, return_inverse=True)
+                    values = [np.bincount(by, weights=x * n, minlength=len(at))
+                              for x in (asked_here & (predict.count[row] > 0), np.where(asked_here, predict.base[row], 0.0), value)]
+                    if block in sums:  # another bucket of this task has answered the block before
+                        before = sums[block]
+                        size -= len(before[0])
+                        at, by = np.unique(np.concatenate([before[0], at]), return_inverse=True)
+                        values = [np.bincount(by, weights=np.concatenate(x), minlength=len(at)) for x in zip(before[1:], values)]
+                    sums[block] = [at, *values]
+                    size += len(at)
+                    if size >= HELD_ANSWERS:
+                        yield told()
+                        sums, size = {}, 0
+            if passed[0]:
+                yield _asked(*passed)
+        if sums:
+            yield told()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (block, kind descending): a block's documents, then the answers."""
@@ -534,7 +803,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             n = len(keep)
             return pa.RecordBatch.from_arrays(
                 [*now.columns[:n], pa.array(now.column(n).to_numpy().astype(np.int64)), pa.array(sums["n_known"].astype(np.int64)),
-                 pa.array(np.full(now.num_rows, totals.tokens, np.int64)), pa.array(sums["base"]), pa.array(sums["score"])],
+                 pa.array(np.full(now.num_rows, tokens, np.int64)), pa.array(sums["base"]), pa.array(sums["score"])],
                 names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for batch in batches:
@@ -546,6 +815,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                     sums = {k: now.column(now.schema.get_field_index(k)).to_numpy().copy() for k in names}
                 else:
                     at, known, base, s = _unpack(data.as_py())
+                    at = at.view(np.int64)
                     sums["n_known"][at] += known
                     sums["base"][at] += base.view(np.float64)
                     sums["score"][at] += s.view(np.float64)

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanweave.llm import pitman_yor as P
@@ -72,6 +73,50 @@ def test_predictions_sum_to_one(spark):
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_the_context_is_the_whole_word_before(spark):
+    """The words before end alike, so a model of word endings cannot tell the pairs apart."""
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][:400]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    texts = [(i, "king rules" if k % 2 else "ring shines") for k, i in enumerate(train)]
+    texts += list(zip(held, ("king rules", "ring shines", "ring rules", "king shines")))
+    rows = documents(spark, [(i, text, None, None, None, None, None, None) for i, text in texts])
+    for settings in (P.Settings(), P.Settings(frequent=2)):
+        score = {r.doc_id: r.score for r in P.score_documents(rows, settings=settings).where("held_out").collect()}
+        seen, unseen = [score[i] for i in held[:2]], [score[i] for i in held[2:]]
+        assert min(seen) > max(unseen) + 1
+
+
+@pytest.mark.parametrize("frequent", [1, 12, 1 << 20])
+def test_rare_words_and_contexts(spark, frequent):
+    """Predictions sum to one, are the scores of the texts, and the base is exact, however work is dealt."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 300), None, None, None, None, None, None) for i in range(150)]
+    rows += rows[:9]
+    settings = P.Settings(frequent=frequent)
+    docs = documents(spark, rows)
+    model = P.fit(docs.select("text"), settings)
+    totals = model.totals
+    predict = P._Predictor([bytes(r.cell) for r in model.cells.collect()], totals, model.samples, settings)
+    assert len(predict.words) == totals.known == len({w for r in rows for w in words(r[1])}) + 1
+    assert (predict.count[:-1] > 0).all() and predict.count.sum() == totals.tokens
+    assert sum(s.root_customers <= s.tokens and s.root_tables <= s.root_customers for s in model.samples) == settings.averaged
+    every = np.arange(-1, len(predict.words))
+    for context in range(-1, len(predict.words)):
+        assert (10 ** predict(every, np.full(len(every), context))[0]).sum() == pytest.approx(1.0)
+    code = {int(h): i for i, h in enumerate(predict.words.tolist())}
+
+    def expected(text):
+        w = np.array([code[int(h)] for piece in P._tokens(P._Texts(pa.array([text]))) for h in piece[0]])
+        return predict(w, np.concatenate([[code[int(P.END_HASH)]], w[:-1]]))[0].sum()
+
+    got = P.score(docs, model, ("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(expected(r.text))
+    scored = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in P.score_documents(docs, settings=settings).collect()]
+    assert sorted(scored) == sorted(brute(rows))
+
+
 def test_seating_is_bounded_and_grows_with_the_customers():
     rng = np.random.default_rng(0)
     n = np.array([1, 2, 10, 1000, 1_000_000])
