@@ -45,7 +45,7 @@ from .tokens import batch_words, mix
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 FLUSH_TOKENS = 400_000
-HEAVY_SHARE = 1 << 20
+HEAVY_SHARE = 1 << 22
 HELD_ANSWERS = 1_000_000
 SINGLE_STEPS = 64
 
@@ -61,7 +61,7 @@ class Settings:
     sweeps: int = 4
     averaged: int = 3
     seed: int = 0
-    frequent: int = 1 << 20
+    frequent: int = 1 << 21
 
 
 # --- packing ------------------------------------------------------------------
@@ -129,13 +129,16 @@ class Vocabulary:
         """Numbers of words, -1 for rare ones."""
         return _find(self.sorted, words, self.order)
 
-    def code(self, *words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(rare words, codes): numbers of frequent words; len(self) + place among the rare words for the others."""
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+    def code(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rare words, codes of the words and of their contexts) of tokens one after another, each the context of the next.
+
+        A code is a frequent word's number, or len(self) + a rare word's place among them.
+        """
+        distinct, place = np.unique(np.concatenate([contexts[:1], words]), return_inverse=True)
         number = self.find(distinct)
         rare = number < 0
         code = np.where(rare, len(self) + np.cumsum(rare) - 1, number)[place]
-        return distinct[rare], np.split(code, np.cumsum([len(w) for w in words])[:-1])
+        return distinct[rare], code[1:], code[:-1]
 
 
 def _find(ordered: np.ndarray, values: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
@@ -155,8 +158,8 @@ def _recode(code: np.ndarray, place: np.ndarray, known: int) -> np.ndarray:
 
 
 def _deal(known: int, rare: np.ndarray, bucket: np.ndarray, w: np.ndarray, ctx: np.ndarray, *planes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Rows as one packed cell per bucket: its rare words, steps of the word codes, context codes, planes."""
-    order = np.lexsort((ctx, w, bucket))
+    """Rows sorted by (word, context) as one packed cell per bucket: its rare words, steps of the word codes, context codes, planes."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     bucket, w, ctx, planes = bucket[order], w[order], ctx[order], [p[order] for p in planes]
     first = _runs(bucket)
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
@@ -232,9 +235,10 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pair_bucket(known: int, words: np.ndarray, contexts: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+def _pair_bucket(vocabulary: Vocabulary, rare: np.ndarray, w: np.ndarray, ctx: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of pairs: by the word if it is rare, else by the word and the context."""
-    return _bucket(np.where(w < known, words ^ mix(contexts + np.uint64(1)), words), buckets)
+    words = np.concatenate([vocabulary.words, rare])
+    return _bucket(np.where(w < len(vocabulary), words[w] ^ mix(words + np.uint64(1))[ctx], words[w]), buckets)
 
 
 def _count(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
@@ -242,10 +246,10 @@ def _count(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(vocabulary.value)
         for words, contexts in _flushed(batches, FLUSH_TOKENS):
-            rare, (w, ctx) = vocabulary.value.code(words, contexts)
-            _, first, n = np.unique(w * (known + len(rare)) + ctx, return_index=True, return_counts=True)
-            bucket = _pair_bucket(known, words[first], contexts[first], w[first], buckets)
-            yield from _rows(_deal(known, rare, bucket, w[first], ctx[first], n))
+            rare, w, ctx = vocabulary.value.code(words, contexts)
+            key, n = np.unique(w * (known + len(rare)) + ctx, return_counts=True)
+            w, ctx = np.divmod(key, known + len(rare))
+            yield from _rows(_deal(known, rare, _pair_bucket(vocabulary.value, rare, w, ctx, buckets), w, ctx, n))
 
     return docs.mapInArrow(run, "bucket int, cell binary")
 
@@ -387,31 +391,21 @@ def _seat_root(n: np.ndarray, tables: np.ndarray, t: Totals, s: Settings, rng: n
     return seat(n, s.root_discount, (s.root_strength + s.root_discount * np.maximum(t.root_tables - tables, 0)) * uniform, s.root_discount * uniform, rng)
 
 
-def _replies(rows: DataFrame, known: int, buckets: int) -> DataFrame:
-    """rows(bucket, ctx, c, e) → (bucket, kind 1, cell): packed customers and excess of rare contexts; bucket -1 is the context's own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def cells() -> Iterator[tuple[int, bytes]]:
-            bucket, ctx, c, e = (np.concatenate(x) for x in zip(*held))
-            ctx = ctx.view(np.uint64)
-            bucket = np.where(bucket < 0, _bucket(ctx, buckets), bucket)
-            order = np.lexsort((ctx, bucket))
-            bucket, ctx, c, e = bucket[order], ctx[order], c[order], e[order]
-            first = _runs(bucket)
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
-                yield int(bucket[a]), _pack(ctx[a:b], c[a:b], e[a:b])
+def _replies(rows: DataFrame, partitions: int) -> DataFrame:
+    """rows(bucket, ctx, c, e) → (bucket, told): customers and excess of rare contexts, one row per bucket."""
+    return rows.repartition(partitions, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("ctx", "c", "e")).alias("told"))
 
-        for batch in batches:
-            held.append([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            size += batch.num_rows
-            if size >= FLUSH_TOKENS:
-                yield from _rows(cells())
-                held, size = [], 0
-        if size:
-            yield from _rows(cells())
 
-    return rows.select("bucket", "ctx", "c", "e").mapInArrow(run, "bucket int, cell binary").select("bucket", F.lit(1).alias("kind"), "cell")
+def _told(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The last column, of :func:`_replies`, packed row by row."""
+    for row in batch.column(batch.num_columns - 1):
+        told = row.values
+        if told is None:
+            yield _pack(*[np.zeros(0, np.uint64)] * 3)
+        else:
+            ctx, c, e = (x.to_numpy() for x in told.flatten())
+            order = np.argsort(ctx.view(np.uint64))
+            yield _pack(ctx.view(np.uint64)[order], c[order], e[order])
 
 
 def _messages(state: DataFrame) -> DataFrame:
@@ -430,7 +424,7 @@ def _rare_totals(rare: np.ndarray, cells: list[bytes]) -> tuple[np.ndarray, np.n
     return c, e, told
 
 
-def _sweep(state: DataFrame, replies: DataFrame, totals: Totals, s: Settings, sweep: int, partitions: int) -> DataFrame:
+def _sweep(state: DataFrame, replies: DataFrame, totals: Totals, s: Settings, sweep: int) -> DataFrame:
     """One Gibbs sweep over every bucket: a state row each.
 
     A cell holds its rare words, their counts (0 if only contexts) and tables in the
@@ -470,11 +464,11 @@ def _sweep(state: DataFrame, replies: DataFrame, totals: Totals, s: Settings, sw
         return _state_row(bucket, packed, _sums(known, w, ctx, n - new_tables, rare_t), rare[at], c[at], own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (cell, *told) in _grouped(batches):
-            yield one(bucket, cell, told)
+        for batch in batches:
+            for bucket, cell, told in zip(batch.column(0).to_pylist(), batch.column(1), _told(batch)):
+                yield one(bucket, cell.as_py(), [told])
 
-    rows = state.select("bucket", F.lit(0).alias("kind"), "cell").unionByName(replies)
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").select("bucket", "cell").mapInArrow(run, _STATE)
+    return state.select("bucket", "cell").join(replies.hint("merge"), "bucket", "left").mapInArrow(run, _STATE)
 
 
 def _totals(state: DataFrame, before: Totals, s: Settings, sweep: int, rare_once: int | None = None) -> tuple[Totals, int]:
@@ -540,16 +534,16 @@ def fit(texts: DataFrame, settings: Settings = Settings(), text_col: str = "text
     state, samples = first, []
     for sweep in range(settings.sweeps):
         asked = messages.select("bucket", "ctx", "c", F.sum("e").over(Window.partitionBy("ctx")).alias("e"))
-        state = materialize(_sweep(state, _replies(asked, len(n), buckets), totals, settings, sweep, partitions), "hpy-state")
+        state = materialize(_sweep(state, _replies(asked, partitions), totals, settings, sweep), "hpy-state")
         messages = _messages(state)
         totals, _ = _totals(state, totals, settings, sweep, rare_once)
         if sweep >= settings.sweeps - settings.averaged:
             samples.append(totals)
-    cells = _model_cells(first, state, counts, len(n), len(samples), buckets)
+    cells = _model_cells(first, state, counts, len(n), len(samples), buckets, partitions)
     return Model(cells, state.select("bucket", "cell"), buckets, partitions, vocabulary, totals, samples, settings)
 
 
-def _model_cells(first: DataFrame, state: DataFrame, counts: DataFrame, known: int, samples: int, buckets: int) -> DataFrame:
+def _model_cells(first: DataFrame, state: DataFrame, counts: DataFrame, known: int, samples: int, buckets: int, partitions: int) -> DataFrame:
     """(bucket, cell): the pairs, the state after the last sweep, and customers and summed excess of the rare contexts, told apart by their tag."""
     def tag(column: str, value: int) -> Column:
         return F.concat(F.lit(bytes([value])), F.col(column)).alias("cell")
@@ -569,11 +563,21 @@ def _model_cells(first: DataFrame, state: DataFrame, counts: DataFrame, known: i
                 at, e = _excess(ctx, samples * n - table_sum, known)
                 yield pa.RecordBatch.from_arrays([pa.array(rare[at].view(np.int64)), pa.array(e)], names=["ctx", "e"])
 
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = _bucket(batch.column(0).to_numpy().view(np.uint64), buckets).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", "ctx", "c", "e"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, cell in zip(batch.column(0).to_pylist(), _told(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([cell], pa.binary())], names=["bucket", "cell"])
+
     excess = state.select("cell").mapInArrow(summed, "ctx long, e long").groupBy("ctx").agg(F.sum("e").alias("e"))
     # A context is told to the buckets that have pairs of it and, if it has an excess, to the bucket of its own word.
     asked = first.select("bucket", "dishes").mapInArrow(contexts, "bucket int, ctx long").join(counts.hint("merge"), "ctx").join(excess.hint("merge"), "ctx", "left")
-    own = excess.join(counts.hint("merge"), "ctx").select(F.lit(-1).alias("bucket"), "ctx", "c", "e")
-    told = _replies(asked.select("bucket", "ctx", "c", F.coalesce("e", F.lit(0)).alias("e")).unionByName(own), known, buckets)
+    own = excess.join(counts.hint("merge"), "ctx").select("ctx", "c", "e").mapInArrow(home, "bucket int, ctx long, c long, e long")
+    told = _replies(asked.select("bucket", "ctx", "c", F.coalesce("e", F.lit(0)).alias("e")).unionByName(own), partitions).mapInArrow(packed, "bucket int, cell binary")
     return first.select("bucket", tag("dishes", 0)).unionByName(state.select("bucket", tag("cell", 1))).unionByName(told.select("bucket", tag("cell", 2)))
 
 
@@ -710,14 +714,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             own = {k: np.zeros(len(texts)) for k in ("n_tokens", "n_known", "base", "score")}
             held, size = [], 0
             for words, contexts, doc in _tokens(texts):
-                rare, (w, ctx) = frequent.vocabulary.code(words, contexts)
+                if not len(words):
+                    continue
+                rare, w, ctx = frequent.vocabulary.code(words, contexts)
                 mine = w < known
                 number, of = w[mine], doc[mine]
                 pair = _find(frequent.key, np.where(mine & (ctx < known), w * known + ctx, -1))
                 for name, at, values in (("n_tokens", doc, None), ("n_known", of, None), ("base", of, frequent.base[number]), ("score", of, frequent.value[number]),
                                          ("score", doc[pair >= 0], frequent.correction[pair[pair >= 0]])):
                     own[name] += np.bincount(at, weights=values, minlength=len(texts))
-                held.append((words[pair < 0], contexts[pair < 0], doc[pair < 0]))
+                held.append((rare, w[pair < 0], ctx[pair < 0], doc[pair < 0]))
                 size += int((pair < 0).sum())
                 if size >= FLUSH_TOKENS:
                     yield from asked(block, held)
@@ -732,16 +738,20 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             block += 1
 
     def asked(block: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        words, contexts, doc = (np.concatenate(x) for x in zip(*held))
         vocabulary = shared.value[0].vocabulary
-        rare, (w, ctx) = vocabulary.code(words, contexts)
-        order = np.lexsort((ctx, w, doc))
-        w, ctx, doc = w[order], ctx[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])]))
-        n = np.diff(np.append(first, len(w)))
-        bucket = _pair_bucket(len(vocabulary), words[order][first], contexts[order][first], w[first], buckets)
+        known = len(vocabulary)
+        rare = np.unique(np.concatenate([r for r, _, _, _ in held]))
+        w, ctx = (np.concatenate([_recode(h[i], np.searchsorted(rare, h[0]), known) for h in held]) for i in (1, 2))
+        doc = np.concatenate([h[3] for h in held])
+        least = int(doc.min())
+        base = int(doc.max()) + 1 - least
+        # (word, context, document) in one number: codes < 2^22, documents of a batch < 2^19.
+        key, n = np.unique((w * (known + len(rare)) + ctx) * base + doc - least, return_counts=True)
+        key, doc = np.divmod(key, base)
+        w, ctx = np.divmod(key, known + len(rare))
+        bucket = _pair_bucket(vocabulary, rare, w, ctx, buckets)
         rows: list[list] = [[], [], [], []]
-        for b, cell in _deal(len(vocabulary), rare, bucket, w[first], ctx[first], doc[first], n):
+        for b, cell in _deal(known, rare, bucket, w, ctx, doc + least, n):
             for column, value in zip(rows, (b, block, 0, cell)):
                 column.append(value)
         for at in range(0, len(rows[0]), 64):
