@@ -7,18 +7,26 @@ Plan shape: the annotations of a page become one array (small), which meets the
 page frame in one join on the page; everything after that happens inside the
 page row.  Spans are clipped to the lines that exist, grouped by line, and a
 line is split once however many spans it holds.  All cells of a character stand
-in the row of its line, so overlaps are resolved there and labels need no
-exchange; the decode moves the tagged characters, once.
+in the row of its page, so overlaps are resolved there and labels need no
+exchange: ``label_chars`` works on the code points of many pages at once, in
+Arrow tasks (``cells``).  The decode moves the tagged runs, once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PAGE, TextParams
 from ..functions.arrays import prefix_sum
+from ..functions.codepoints import NO_CHAR, codes, single_characters
 from ..functions.text import is_whitespace_cp, kept_count, let
+from .cells import Lines, Spans, kept_cells, last_of, line_columns, page_pieces
 
 CHUNK = 64  # characters of a line that are counted together
 
@@ -215,20 +223,26 @@ def label_chars(annotations: DataFrame, frame: DataFrame, p: TextParams, extra:
     Columns: category, page_id, attribute, new_char_idx, bio, line_id, offset,
     ch, prev_ch, line_rank (rank among the kept chars of its line), ``extra``
     and ``carry``.  Cells on dropped characters vanish before the overlap
-    resolution, which only needs the cells of one character: those of one line's
-    row.  Only where page keys repeat (counted over the keys alone) do cells of
-    several rows meet, in an aggregate.
+    resolution, which only needs the cells of one character: those of one line
+    of a page's row.  Only where page keys repeat (counted over the keys alone) do
+    cells of several rows meet, in an aggregate.
     """
     if _keys_repeat(frame):
         cells = expand_spans(annotations, frame, p, extra, carry).where(F.col("new_char_idx").isNotNull())
         return resolve_overlaps(cells, (*extra, *carry))
-    lines = _annotated_lines(annotations, frame, extra, carry).where(F.col("in_body"))
-    cells = _line_cells(F.col("_l"), F.col("_s"), extra)
-    rows = lines.select(*PAGE, *carry, "line_id", "kept_base", F.inline_outer(_last_cells(cells, F.col("line_id"), p, extra)))
-    return rows.where(F.col("offset").isNotNull()).select(
-        *PAGE, "line_id", "offset", "attribute", *extra, *carry,
-        F.when(F.pmod(F.col("_w"), F.lit(2)) == 1, F.lit("I")).otherwise(F.lit("B")).alias("bio"),
-        "ch", "prev_ch", (F.col("kept_base") + F.col("rank")).alias("new_char_idx"), F.col("rank").cast("int").alias("line_rank"))
+    j = frame.select(*PAGE, *line_columns(), *carry).join(page_spans(annotations, extra), PAGE)
+    types = {f.name: f.dataType for f in j.schema.fields}
+    types |= {f.name: f.dataType for f in types["spans"].elementType.fields}
+    types |= {"line_id": T.IntegerType(), "offset": T.IntegerType(), "bio": T.StringType(), "ch": T.StringType(), "prev_ch": T.StringType(),
+              "new_char_idx": T.LongType(), "line_rank": T.IntegerType()}
+    names = [*PAGE, "line_id", "offset", "attribute", *extra, *carry, "bio", "ch", "prev_ch", "new_char_idx", "line_rank"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in page_pieces(batches):
+            for columns in _labels(piece, p, extra, carry):
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return j.mapInArrow(run, T.StructType([T.StructField(c, types[c]) for c in names]))
 
 
 def _keys_repeat(frame: DataFrame) -> bool:
@@ -236,26 +250,25 @@ def _keys_repeat(frame: DataFrame) -> bool:
     return not frame.select(*PAGE).dropna().groupBy(*PAGE).count().where("count > 1").isEmpty()
 
 
-def _last_cells(cells: Column, line_id: Column, p: TextParams, extra: tuple[str, ...]) -> Column:
-    """The kept cells of a line, of equal (offset, attribute, extra) the one of the later annotation."""
-    key = ("offset", "attribute", *extra)
-
-    def packed(c: Column) -> Column:
-        first = (line_id == c["sl"]) & (c["offset"] == c["so"])
-        return F.struct(*[c[k].alias(k) for k in key], (c["anno_seq"] * 2 + F.when(first, 0).otherwise(1)).alias("_w"),
-                        c["ch"].alias("ch"), c["prev_ch"].alias("prev_ch"), c["rank"].alias("rank"))
-
-    def last(s: Column) -> Column:
-        def differs(x: Column, i: Column) -> Column:
-            nxt = F.get(s, i + 1)
-            out = nxt.isNull()
-            for k in key:
-                out = out | ~nxt[k].eqNullSafe(x[k])
-            return out
-        return F.filter(s, differs)
-
-    kept = F.filter(cells, lambda c: (c["keep"] == 1) & (c["rank"] < p.capacity) if p.mode == "line" else c["keep"] == 1)
-    return let(F.sort_array(F.transform(kept, packed)), last)
+def _labels(piece: pa.RecordBatch, p: TextParams, extra: tuple[str, ...], carry: tuple[str, ...]) -> Iterator[dict[str, pa.Array]]:
+    """The tagged kept characters of some pages: of equal (character, attribute, extra) the cell of the later annotation."""
+    lines, spans = Lines(piece, p), Spans(piece)
+    if not len(spans.row):
+        return
+    kind = codes(spans.field("attribute")).astype(np.int64)
+    for e in extra:
+        kind = np.unique(kind * len(kind) + codes(spans.field(e)), return_inverse=True)[1]
+    for at, line, span, w in kept_cells(lines, spans):
+        one, w = last_of(kind[span] * (len(lines.cps) + 1) + at, w)
+        at, line, span = at[one], line[one], span[one]
+        rank, offset = lines.rank(at, line), at - lines.start[line]
+        row, of = pa.array(lines.row[line]), pa.array(span)
+        before = np.where(offset > 0, lines.cps[np.maximum(at - 1, 0)], NO_CHAR)
+        yield {
+            **{c: piece.column(c).take(row) for c in (*PAGE, *carry)}, **{c: spans.field(c).take(of) for c in ("attribute", *extra)},
+            "line_id": pa.array(lines.no[line].astype(np.int32)), "offset": pa.array(offset.astype(np.int32)),
+            "bio": pa.array(["B", "I"]).take(pa.array(w & 1)), "ch": single_characters(lines.cps[at]), "prev_ch": single_characters(before),
+            "new_char_idx": pa.array(lines.base[line] + rank), "line_rank": pa.array(rank.astype(np.int32))}
 
 
 def tag_string(bio, attribute):

@@ -8,14 +8,18 @@ grow with the input tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PAGE
-from ..functions.arrays import prefix_sum
-from ..functions.text import let, split_lines_expr
+from ..functions.codepoints import integers, slices, strings_of, within
 from ..operators.block_model import HeadScorer
+from ..operators.cells import PIECE_CHARS
 from ..operators.scoring import head_weights
 from .pages import TEXT_OFFSET, split_lines
 
@@ -55,54 +59,92 @@ def _offset(sl, so, el, eo, text=None):
     ).cast(TEXT_OFFSET)
 
 
-def _matches(line, pattern: str):
-    """Array of (i, so, m): every match on the line with its offset, from the lengths of what stands between (null without a match)."""
-    def placed(found):
-        between = F.transform(F.split(line, pattern, -1), lambda x: F.length(x))
-        lengths = F.transform(found, lambda x: F.length(x))
-        return F.when(F.size(found) > 0, let(
-            F.arrays_zip(prefix_sum(F.slice(between, 1, F.size(found))).alias("b"), prefix_sum(lengths).alias("e"), found.alias("m")),
-            lambda z: F.transform(z, lambda x, i: F.struct(
-                i.cast("long").alias("i"), (x["b"] + x["e"] - F.length(x["m"])).cast("int").alias("so"), x["m"].alias("m")))))
-    return let(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), placed)
+OTHER, UPPER, LOWER, ACCENT, DIGIT = range(5)
+CLASSES = np.zeros(256, np.uint8)
+CLASSES[ord("A"):ord("Z") + 1], CLASSES[ord("a"):ord("z") + 1], CLASSES[ord("0"):ord("9") + 1] = UPPER, LOWER, DIGIT
+CLASSES[[ord(c) for c in "éèê"]] = ACCENT
+
+
+def pattern_matches(cps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of the matches of each of ``ATTRIBUTE_PATTERNS`` in a text that ends with a line feed.
+
+    No pattern matches a line feed, so the matches of a text are those of its lines.
+    """
+    kind = CLASSES[np.where(cps < 256, cps, 0)]
+    upper, accent = np.flatnonzero(kind == UPPER), np.flatnonzero(kind == ACCENT)
+    no_lower, no_word = np.flatnonzero(kind != LOWER), np.flatnonzero((kind != LOWER) & (kind != ACCENT))
+    cap_end = no_lower[np.searchsorted(no_lower, upper + 1)]
+    cap = cap_end - upper >= 4
+    # Of a run of word characters, the first match begins with the run, later ones with their accent, where the one before ends.
+    after = np.searchsorted(no_word, accent)
+    run_start, run_end = np.where(after > 0, no_word[np.maximum(after - 1, 0)] + 1, 0), no_word[after]
+    first = np.append(True, run_start[1:] != run_start[:-1])[:len(accent)]
+    last = np.append(first[1:], True)[:len(accent)]
+    start = np.where(first, run_start, accent)
+    end = np.where(last, run_end, np.append(accent[1:], 0)[:len(accent)])
+    edge = np.flatnonzero(np.diff((kind == DIGIT).astype(np.int8), prepend=0, append=0))
+    return [(upper[cap], cap_end[cap]), (start, end), (edge[::2], edge[1::2])]
+
+
+def _extra_spans(page_id: np.ndarray) -> list[tuple]:
+    """(pages, page ids, attribute, sl, so, el, eo, anno_seq) of the spans that follow from the page id alone."""
+    every = ((MULTI_LINE_MOD, 0, "cap", 1, 2, 2, 6, EXTRA_SEQ), (OVERLAP_MOD, 0, "accent-word", 1, 0, 1, 8, EXTRA_SEQ + 1),
+             (EMPTY_MOD, 0, "number", 1, 5, 1, 5, EXTRA_SEQ + 2), (EMPTY_MOD, 0, "number", 1, 8, 2, 3, EXTRA_SEQ + 3),
+             (MISSING_PAGE_MOD, MISSING_PAGE_SHIFT, "cap", 0, 0, 0, 3, 0))
+    return [(found := np.flatnonzero(page_id % mod == 0), page_id[found] + shift, *rest) for mod, shift, *rest in every]
+
+
+def _gold_rows(piece: pa.RecordBatch) -> pa.RecordBatch:
+    """The gold spans of some pages (category, page_id, text), in the order of their lines."""
+    texts = [t or "" for t in piece.column(2).to_pylist()]
+    texts = [t.replace("\r\n", "\n").replace("\r", "\n") if "\r" in t else t for t in texts]
+    cps = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) + 1 for t in texts])
+    page_start = np.cumsum(size) - size
+    feeds = np.flatnonzero(cps == 10)
+    line_start, first_line = np.append(0, feeds + 1), np.searchsorted(feeds, page_start)
+    page_id = integers(piece.column(1), 1)  # 1: no extra spans
+    names = [name for name, _ in ATTRIBUTE_PATTERNS]
+    parts, matched = [], []  # (order, page, page_id, attribute, sl, so, el, eo, seq); the places of matches
+    for k, (start, end) in enumerate(pattern_matches(cps)):
+        line = np.searchsorted(feeds, start)
+        page = np.searchsorted(first_line, line, side="right") - 1
+        number, so = line - first_line[page], start - line_start[line]
+        nth = np.arange(len(line)) - np.searchsorted(line, line)
+        parts.append((line * 4 + k, page, page_id[page], np.full(len(line), k), number, so, number, so + end - start, (number * 4 + k) * MATCH_STEP + nth))
+        matched.append((start, end))
+    for page, pid, attribute, *values in _extra_spans(page_id):
+        parts.append((first_line[page] * 4 + 3, page, pid, *[np.full(len(page), v, np.int64) for v in (names.index(attribute), *values)]))
+        matched.append((np.full(len(page), -1), np.full(len(page), -1)))
+    order, page, pid, attribute, sl, so, el, eo, seq = [np.concatenate(x) for x in zip(*parts)]
+    start, end = [np.concatenate(x) for x in zip(*matched)]
+    by = np.argsort(order, kind="stable")
+    start, n = start[by], (end - start)[by]
+    text = strings_of(cps[np.repeat(start, n) + within(n)], np.append(0, np.cumsum(n)))
+    text = pc.if_else(pa.array(start >= 0), text, pa.scalar(None, pa.string()))
+    ids = pa.array(pid[by])
+    if piece.column(1).null_count:
+        ids = pc.if_else(piece.column(1).is_valid().take(pa.array(page[by])), ids, pa.scalar(None, pa.int64()))
+    numbers = [pa.array(x[by].astype(np.int32)) for x in (sl, so, el, eo)]
+    return pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(page[by])), ids, pa.array(names).take(pa.array(attribute[by])), *numbers, text, pa.array(seq[by])],
+                                      names=["category", "page_id", "attribute", "sl", "so", "el", "eo", "text", "anno_seq"])
 
 
 def fixture_annotations(pages: DataFrame) -> DataFrame:
     """Gold spans derived from raw page lines.
 
-    Columns: category, page_id, title (null), attribute, text_offset, anno_seq.
+    Columns: category, page_id, title (null), attribute, text_offset, anno_seq.  One
+    pass over the texts, in pieces of about a million characters.
     """
-    # One pass: a row per line, the page's extras on its first row (also when it has no lines).
-    lines = pages.select(*PAGE, F.posexplode_outer(split_lines_expr(F.col("text"))).alias("line_id", "line"))
-    def spans_of(k: int, name: str, pattern: str):
-        return F.transform(_matches(F.col("line"), pattern), lambda x: F.struct(
-            F.col("page_id").alias("page_id"), F.lit(name).alias("attribute"),
-            _offset(F.col("line_id"), x["so"], F.col("line_id"), x["so"] + F.length(x["m"]), x["m"]).alias("text_offset"),
-            ((F.col("line_id").cast("bigint") * 4 + k) * MATCH_STEP + x["i"]).alias("anno_seq")))
-
-    found = [spans_of(k, name, pattern) for k, (name, pattern) in enumerate(ATTRIBUTE_PATTERNS)]
-    L = F.lit
-    pid = F.col("page_id")
-
-    def extra(cond, page, attribute, sl, so_, el, eo, seq):
-        return F.when(cond, F.struct(
-            page.alias("page_id"), L(attribute).alias("attribute"),
-            _offset(L(sl), L(so_), L(el), L(eo)).alias("text_offset"),
-            L(seq).cast("bigint").alias("anno_seq"),
-        ))
-
-    extras = F.array(
-        extra(pid % MULTI_LINE_MOD == 0, pid, "cap", 1, 2, 2, 6, EXTRA_SEQ),
-        extra(pid % OVERLAP_MOD == 0, pid, "accent-word", 1, 0, 1, 8, EXTRA_SEQ + 1),
-        extra(pid % EMPTY_MOD == 0, pid, "number", 1, 5, 1, 5, EXTRA_SEQ + 2),
-        extra(pid % EMPTY_MOD == 0, pid, "number", 1, 8, 2, 3, EXTRA_SEQ + 3),
-        extra(pid % MISSING_PAGE_MOD == 0, pid + MISSING_PAGE_SHIFT, "cap", 0, 0, 0, 3, 0),
-    )
-    none = F.filter(extras, lambda x: F.lit(False))
-    first = F.when(F.coalesce(F.col("line_id"), F.lit(0)) == 0, F.filter(extras, lambda x: x.isNotNull())).otherwise(none)
-    every = F.concat(*[F.coalesce(f, none) for f in found], first)
-    out = lines.select("category", F.explode_outer(every).alias("x")).where(F.col("x").isNotNull()).select("category", "x.*")
-    return out.select(*PAGE, F.lit(None).cast("string").alias("title"), "attribute", "text_offset", "anno_seq")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in slices(integers(pc.binary_length(batch.column(2)), 0), PIECE_CHARS):
+                yield _gold_rows(batch.slice(first, last - first))
+
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    found = pages.select(*PAGE, "text").mapInArrow(run, f"category {kinds['category']}, page_id {kinds['page_id']}, attribute string, sl int, so int, el int, eo int, text string, anno_seq bigint")
+    return found.select(*PAGE, F.lit(None).cast("string").alias("title"), "attribute",
+                        _offset(F.col("sl"), F.col("so"), F.col("el"), F.col("eo"), F.col("text")).alias("text_offset"), "anno_seq")
 
 
 def fixture_predictions(annotations: DataFrame) -> DataFrame:
