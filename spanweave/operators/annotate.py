@@ -278,7 +278,7 @@ def tag_string(bio, attribute):
 
 def tag_prefix(tag):
     """The part before the first '-' (attribute names may contain '-')."""
-    return F.split_part(tag, F.lit("-"), F.lit(1))
+    return F.substring_index(tag, "-", 1)
 
 
 def bio_index(bio):
