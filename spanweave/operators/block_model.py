@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import PAGE, TextParams
+from ..functions.codepoints import list_parts, single_characters, within
 from . import spans
 from .annotate import bio_from_index
-from .blocks import page_blocks
+from .blocks import block_arrays
+from .cells import line_columns, page_pieces
 from .chars import page_frame
 from .examples import SpecialIds
 
@@ -147,22 +149,8 @@ def score_blocks(blocks: DataFrame, scorer: Scorer, batch_size: int = 32, ids: S
         for arrow in (piece for batch in batches for piece in _pieces(batch, MAX_CHARS)):
             cps, at = _lists(arrow.column("_ids"))
             before, _ = _lists(arrow.column("_before"))
-            category = arrow.column("category").to_pylist()
             n = np.diff(at)
-            tags = np.zeros(n_attr * len(cps), np.int32)  # block after block, attribute after attribute
-            for some in np.array_split(np.argsort(n, kind="stable"), range(batch_size, arrow.num_rows, batch_size)):
-                width = int(n[some].max()) + 1
-                mask = np.arange(width) <= n[some][:, None]
-                mask[:, 0] = False
-                padded, left = np.full(mask.shape, ids.pad, np.int64), np.zeros(mask.shape, np.int64)
-                padded[:, 0] = ids.cls
-                source = (at[some][:, None] + np.arange(width) - 1)[mask]
-                padded[mask], left[mask] = cps[source], before[source]
-                logits = model(Batch(padded, mask, left, [category[i] for i in some]))
-                best = logits.argmax(axis=3)
-                row, col = np.nonzero(mask)
-                for a in range(n_attr):
-                    tags[n_attr * at[some][row] + a * n[some][row] + col - 1] = best[row, col, a]
+            tags = _block_tags(model, cps, before, at, arrow.column("category").to_pylist(), batch_size, ids)
             inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(n, n_attr))]), pa.int32()), pa.array(tags, pa.int32()))
             pred = pa.ListArray.from_arrays(pa.array(np.arange(arrow.num_rows + 1) * n_attr, pa.int32()), inner)
             kept = [arrow.column(f.name) for f in schema.fields[:-1]]
@@ -171,6 +159,27 @@ def score_blocks(blocks: DataFrame, scorer: Scorer, batch_size: int = 32, ids: S
     return rows.mapInArrow(run, schema)
 
 
+def _block_tags(model: Scorer, cps: np.ndarray, before: np.ndarray, at: np.ndarray, category: Sequence[str | None], batch_size: int, ids: SpecialIds) -> np.ndarray:
+    """Predicted tags of the blocks that start at ``at``: block after block, attribute after attribute."""
+    n, n_attr = np.diff(at), len(model.attributes)
+    tags = np.zeros(n_attr * len(cps), np.int32)
+    for some in np.array_split(np.argsort(n, kind="stable"), range(batch_size, len(n), batch_size)):
+        if not len(some):
+            continue
+        width = int(n[some].max()) + 1
+        mask = np.arange(width) <= n[some][:, None]
+        mask[:, 0] = False
+        padded, left = np.full(mask.shape, ids.pad, np.int64), np.zeros(mask.shape, np.int64)
+        padded[:, 0] = ids.cls
+        source = (at[some][:, None] + np.arange(width) - 1)[mask]
+        padded[mask], left[mask] = cps[source], before[source]
+        best = model(Batch(padded, mask, left, [category[i] for i in some])).argmax(axis=3)
+        row, col = np.nonzero(mask)
+        for a in range(n_attr):
+            tags[n_attr * at[some][row] + a * n[some][row] + col - 1] = best[row, col, a]
+    return tags
+
+
 def predicted_tags(scored: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Scored blocks put together again: the tagged characters with kept index and source place (input of ``decode_spans``)."""
     def of_attribute(tags, a):
@@ -187,7 +196,41 @@ def predicted_tags(scored: DataFrame, attributes: Sequence[str]) -> DataFrame:
                         bio_from_index(F.col("tag")).alias("bio"), "line_id", "offset", ch.alias("ch"))
 
 
+def tagged_chars(frame: DataFrame, p: TextParams, scorer: Scorer, batch_size: int = 32, ids: SpecialIds = SpecialIds()) -> DataFrame:
+    """``predicted_tags`` of ``score_blocks`` of ``page_blocks`` in one Arrow pass over page frames.
+
+    The steps are the same, on the arrays of about a million characters at a time; no
+    row holds the places of a whole block's characters.
+    """
+    shared = frame.sparkSession.sparkContext.broadcast(scorer)
+    rows = frame.select(*PAGE, *line_columns())
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    types |= {"attribute": T.StringType(), "new_char_idx": T.LongType(), "bio": T.StringType(), "line_id": T.IntegerType(), "offset": T.IntegerType(), "ch": T.StringType()}
+    names = [*PAGE, "attribute", "new_char_idx", "bio", "line_id", "offset", "ch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for piece in page_pieces(batches):
+            made = block_arrays(piece, p, places=True)
+            at, chars = list_parts(made["chars"])
+            if not len(chars):
+                continue
+            line, offset, cps, before = (chars.field(i).to_numpy() for i in range(4))
+            n, n_attr = np.diff(at), len(model.attributes)
+            tags = _block_tags(model, cps, before, at, made["category"].to_pylist(), batch_size, ids)
+            block, i = np.repeat(np.arange(len(n)), n), within(n)
+            first = made["first_idx"].to_numpy()
+            for a, name in enumerate(model.attributes):
+                tag = tags[n_attr * at[block] + a * n[block] + i]
+                own = np.flatnonzero(tag != O_TAG)
+                of = pa.array(block[own])
+                yield pa.RecordBatch.from_arrays(
+                    [*[made[c].take(of) for c in PAGE], pa.array([name], pa.string()).take(pa.array(np.zeros(len(own), np.int32))), pa.array(first[block[own]] + i[own]),
+                     pa.array(["B", "I"]).take(pa.array(tag[own])), pa.array(line[own]), pa.array(offset[own]), single_characters(cps[own])], names=names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, types[c]) for c in names]))
+
+
 def predict_spans(pages: DataFrame, p: TextParams, scorer: Scorer, batch_size: int = 32) -> DataFrame:
     """Pages → predicted spans with source coordinates: clean, block, score, reassemble, decode."""
-    scored = score_blocks(page_blocks(page_frame(pages, p), p, places=True), scorer, batch_size)
-    return spans.decode_spans(predicted_tags(scored, scorer.attributes))
+    return spans.decode_spans(tagged_chars(page_frame(pages, p), p, scorer, batch_size))
