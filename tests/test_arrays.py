@@ -3,13 +3,15 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanweave.config import TextParams
-from spanweave.operators import annotate, cells, chars, spans
+from spanweave.operators import annotate, block_model, blocks, cells, chars, examples, spans
+from spanweave.plans import catalog
 from spanweave.sources import fixtures
-from tests.test_pipeline import pages_df
+from tests.test_pipeline import all_pages, pages_df
 from tests.test_store import exchanges
 
 TAGGED = "category string, page_id bigint, attribute string, new_char_idx bigint, bio string, line_id int, offset int, ch string"
@@ -97,3 +99,54 @@ def test_labels_of_odd_spans_and_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(cells, "PIECE_CELLS", 1)
     cut = [r for x in annotate._labels(piece, p, (), ()) for r in pa.RecordBatch.from_pydict(x).to_pylist()]
     assert sorted(map(str, cut)) == sorted(map(str, whole)) != []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+class Mixed:
+    """Tags by a character and the one before."""
+
+    attributes = ("a", "b")
+
+    def __call__(self, batch):
+        out = np.zeros((*batch.ids.shape, 2, 3))
+        for a in range(2):
+            np.put_along_axis(out[:, :, a], ((batch.ids * (a + 1) + batch.before) % 3)[..., None], 1.0, axis=2)
+        return out
+
+
+def test_spans_are_predicted_without_rows_of_places(spark):
+    for p in (TextParams(header_last=-1, max_length=8), TextParams(mode="line", variant="vocab", max_length=12)):
+        pages = pages_df(spark, all_pages())
+        made = block_model.predict_spans(pages, p, Mixed(), 3)
+        scored = block_model.score_blocks(blocks.page_blocks(chars.page_frame(pages, p), p, places=True), Mixed(), 3)
+        want = spans.decode_spans(block_model.predicted_tags(scored, Mixed.attributes))
+        assert sorted(map(str, made.collect())) == sorted(map(str, want.collect())) != []
+        assert "pred#" not in plan_of(made) and "_before#" not in plan_of(made) and "chars#" not in plan_of(made)
+
+
+def test_tags_and_positions_without_splitting_and_zipping(spark):
+    df = spark.createDataFrame([("B-a-b",), ("O",), ("",), (None,), ("-x",)], "tag string").select("tag", annotate.tag_prefix(F.col("tag")).alias("p"))
+    assert [(r.tag, r.p) for r in df.collect()] == [("B-a-b", "B"), ("O", "O"), ("", ""), (None, None), ("-x", "")]
+    assert "split_part" not in plan_of(df)
+    rows = [("C", 1, 0, 0, 10, [-1, 2, 0, -1, -1], [7, 1, 0, 7]), ("C", 1, 1, 0, 20, [], []), ("C", 2, 0, 1, 0, None, [1]), ("C", 2, 1, 1, 30, [-1, 1], [0, 1, 2])]
+    made = spans.reassemble_page(spark.createDataFrame(rows, "category string, page_id bigint, block_id bigint, attr_idx int, first_idx bigint, labels array<int>, pred array<int>"))
+    assert [tuple(r) for r in made.collect()] == [("C", 1, 0, 0, 0, 10, 1), ("C", 1, 0, 0, 1, 11, 0), ("C", 2, 1, 1, 0, 30, 1)]
+    assert "arrays_zip" not in plan_of(made)
+
+
+def test_ids_and_written_batches_are_made_by_arrays(spark):
+    vocab = spark.createDataFrame([("a", 3, 5), ("字", 2, 6), ("𠮷", 1, 7)], "ch string, n bigint, id int")
+    rows = [("C", 1, 0, 3, [97, 0x5B57, 98], [[2, 0, 1], [2, 2, 2]]), ("C", 1, 1, 1, [0x20BB7], [[0], [2]]), ("C", 2, 0, 0, [], [[], []])]
+    given = spark.createDataFrame(rows, "category string, page_id bigint, block_id bigint, n int, cps array<int>, tags array<array<int>>")
+    made = examples.encode_vocab(given, vocab)
+    assert [(r.page_id, r.block_id, r.input_ids, r.attention_mask) for r in made.collect()] == [
+        (1, 0, [2, 5, 6, 1, 3], [True] * 5), (1, 1, [2, 7, 3], [True] * 3), (2, 0, [2, 3], [True] * 2)]
+    assert "lambdafunction" not in plan_of(made)
+    labelled = made.withColumn("labels", F.transform("tags", lambda r: F.concat(F.array(F.lit(-1)), r, F.array(F.lit(-1)))))
+    written = catalog._padded(examples.batch_pad(labelled, 2), "page_id", "block_id")
+    assert sorted(map(tuple, written.collect())) == [
+        (1, 0, "2,5,6,1,3", 5, "-1,2,0,1,-1|-1,2,2,2,-1"), (1, 1, "2,7,3,0,0", 3, "-1,0,-1,-1,-1|-1,2,-1,-1,-1"), (2, 0, "2,3", 2, "-1,-1|-1,-1")]
+    assert spark.createDataFrame(rows, given.schema).where("false").count() == 0 and examples.encode_vocab(given, vocab.where("false")).first().input_ids == [2, 1, 1, 1, 3]
