@@ -3,10 +3,12 @@ and predictions, and the output folder layout."""
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import PAGE
+from ..functions.codepoints import joined_strings
 from ..functions.text import split_lines_expr
 
 # {category}/{page_id}.txt, or the folders a partitioned text sink writes for the same.
@@ -43,10 +46,18 @@ def read_pages(spark: SparkSession, plain_dir: str, category: str | None = None)
     ``wholetext`` reads one row per file; id and category come from the path.
     Zero-length files are skipped by the file scan; ``annotate.page_annotations``
     reports annotated pages that are missing.
+
+    Where Arrow opens the folder, tasks list it and read the files, as Spark's scan would
+    (hidden names are passed over, paths are URL-encoded); its index of all files, which
+    the driver would hold, is then not made.  Other paths and globs are scanned by Spark.
     """
     root = f"{plain_dir.rstrip('/')}/{category}" if category else plain_dir
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
+    if _opens(root):
+        df = _read_files(spark, root)
+        path = F.col("path")
+    else:
+        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+        path = F.col("_metadata.file_path")
     return df.select(
         F.regexp_extract(path, PAGE_FILE, 1).alias("category"),
         F.concat(F.regexp_extract(path, PAGE_FILE, 2), F.regexp_extract(path, PAGE_FILE, 3)).cast("bigint").alias("page_id"),
@@ -54,6 +65,89 @@ def read_pages(spark: SparkSession, plain_dir: str, category: str | None = None)
     )
 
 
+def _opens(root: str) -> bool:
+    """Whether ``root`` names a folder that Arrow reads."""
+    if any(c in root for c in "*?[]{}\\,"):
+        return False
+    try:
+        files, base = fs.FileSystem.from_uri(root)
+        return files.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+
+
+def _url_encoded(path: str) -> str:
+    """As Java quotes a path: what is not plain in ASCII, and the blanks and controls beyond it."""
+    return re.sub(r"[^\w\-.!~*'(),;:$&+=@/]|[\s\x7f-\xa0]", lambda m: m[0] if ord(m[0]) > 0xA0 and not m[0].isspace() else "".join(f"%{b:02X}" for b in m[0].encode("utf-8")), path)
+
+
+def _passed_over(name: str) -> bool:
+    return name[0] == "." or name.endswith("._COPYING_") or (name[0] == "_" and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+LISTED = 10_000       # files named in one batch
+READ_BYTES = 8 << 20  # bytes of texts in one batch
+
+
+def _read_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, value of the text files under ``root`` that are not empty.
+
+    One task lists the root, others what lies in its folders, one folder at a time;
+    the names are dealt out and the files read where they come to.
+    """
+    def entries(files: fs.FileSystem, folder: str, deep: bool) -> Iterator[tuple[str, bool]]:
+        folders = [folder]
+        while folders:
+            for found in files.get_file_info(fs.FileSelector(folders.pop())):
+                if _passed_over(found.base_name):
+                    continue
+                if found.type == fs.FileType.Directory:
+                    if deep:
+                        folders.append(found.path)
+                    else:
+                        yield found.path, True
+                elif found.base_name.endswith(".txt") and found.size:
+                    yield found.path, False
+
+    def batched(rows: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+        while some := list(itertools.islice(rows, LISTED)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.bool_())], names=["file", "folder"])
+
+    def listed(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, base = fs.FileSystem.from_uri(root)
+            for batch in batches:
+                for file, folder in zip(*[c.to_pylist() for c in batch.columns]):
+                    yield from batched(entries(files, file or base, deep) if folder else iter([(file, False)]))
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(root)
+
+        def made(paths: list[str], texts: list[bytes]) -> pa.RecordBatch:
+            at = np.append(0, np.cumsum([len(t) for t in texts]))
+            return pa.RecordBatch.from_arrays([pa.array([_url_encoded(x) for x in paths], pa.string()), joined_strings(at, b"".join(texts))], names=["path", "value"])
+
+        paths, texts, size = [], [], 0
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with files.open_input_stream(file) as f:
+                    text = f.read()
+                paths.append(file)
+                texts.append(text)
+                size += len(text)
+                if size >= READ_BYTES:
+                    yield made(paths, texts)
+                    paths, texts, size = [], [], 0
+        if paths:
+            yield made(paths, texts)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = spark.range(1).select(F.lit(None).cast("string").alias("file"), F.lit(True).alias("folder")).coalesce(1).mapInArrow(listed(False), "file string, folder boolean")
+    names = top.repartition(n, "file").mapInArrow(listed(True), "file string, folder boolean").select("file")
+    return names.repartition(n, "file").mapInArrow(read, "path string, value string")
+
+
 def write_pages(pages: DataFrame, root: str) -> int:
     """pages(category, page_id, text) → ``{category}/{page_id}.txt`` under ``root``, a folder that all executors share.
 

@@ -1,6 +1,7 @@
 """Page listings and sinks that replace only their own folders."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,18 @@ def test_pages_are_written_as_one_plain_file_each(spark, tmp_path):
     got = {r.page_id: (r.category, r.text) for r in src.read_pages(spark, root).where("category != ''").collect()}
     assert (got[1], got[2], got[3], got[5]) == (("City", "a\r\nb"), ("City", "é\n\né\n"), ("_x", "z"), ("__HIVE_DEFAULT_PARTITION__", "n"))
     assert src.write_pages(pages.where("page_id < 0"), str(tmp_path / "none")) == 0
+
+
+def test_page_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The same pages as a scan by Spark, whose driver indexes every file."""
+    for name, text in {"City/1.txt": "abc\r\n", "City/2.txt": "", "Old Town+é字%25/4.txt": "é\n", "City/note.md": "x", "_x/5.txt": "hidden", "category=_x/6.txt": "z", "City/.7.txt": "hidden",
+                       "a　b/8.txt": "w", "q~!'()@&=$,;[]{}^`|\"<>#?%/9.txt": "s", "deep/er/page_id=3/part-0.txt": "p", "12.txt": "root"}.items():
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode("utf-8"))
+    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(str(tmp_path), wholetext=True)
+    want = {(re.sub("^file:/+", "/", r.p), r.value) for r in scan.select(F.col("_metadata.file_path").alias("p"), "value").collect()}
+    assert {(r.path, r.value) for r in src._read_files(spark, str(tmp_path)).collect()} == want and len(want) == 7
+    for root, category in ((str(tmp_path), "City"), (f"file://{tmp_path}/", "City")):
+        made = src.read_pages(spark, root, category)
+        assert [(r.category, r.page_id, r.text) for r in made.collect()] == [("City", 1, "abc\r\n")] and made.inputFiles() == []
+    assert src.read_pages(spark, f"{tmp_path}/C*").collect() == src.read_pages(spark, str(tmp_path), "City").collect()
